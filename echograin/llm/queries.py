@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc.op1_warc,
+        "op3_simhash": simhash.op3_simhash,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.OP1_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
     }
