@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -25,31 +27,56 @@ PARTITION_PIECES = 50_000
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Bytes of each token of a byte-level BPE file, with its id. In the file, a byte that is no visible Latin-1 character stands as the next free character from U+0100."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    return {bytes(map(byte_of.__getitem__, token)): number for token, number in vocab.items() if all(c in byte_of for c in token)}
+
+
 class WordIds(dict):
-    """Ids of pre-tokens as little-endian unsigned 32-bit bytes, made when first asked for; empties itself when full."""
+    """Ids of a space and the word as little-endian unsigned 32-bit bytes, made when first asked for; empties itself when full."""
 
-    def __init__(self, tokenizer: Tokenizer, most: int = CACHE_WORDS):
+    def __init__(self, encode: Callable[[str], bytes], most: int = CACHE_WORDS):
         super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+        self.encode, self.most = encode, most
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        self[word] = ids = self.encode(" " + word)
         return ids
 
 
 def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
-    """text -> ids as bytes. Byte-level BPE never merges across pre-tokens, so each of them is encoded once and remembered."""
+    """text -> ids as bytes, equal to those that the tokenizers library gives for the file at `path`, a byte-level BPE.
+
+    Merging is by token rank, which gives the same ids for such a file and costs a third. No pre-token crosses a space
+    between two other characters, so words are remembered; a text with other runs of white space is encoded at once,
+    and one that holds a special token's string by the tokenizers library itself.
+    """
+    ranks = byte_ranks(path)
     tokenizer = Tokenizer.from_file(path)
-    words, split = WordIds(tokenizer), regex.compile(pattern).findall
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    ranks = {t: n for t, n in ranks.items() if t not in {s.encode() for s in special}}
+    plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    irregular = re.compile(r" \s|\s ").search
+
+    def whole(text: str) -> bytes:
+        return np.array(plain(text), "<u4").tobytes()
+
+    words = WordIds(whole)
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(words.__getitem__, split(text)))
+        if irregular(text):
+            return whole(text)
+        first, *rest = text.split(" ")
+        return whole(first) + b"".join(map(words.__getitem__, rest))
 
     return encode
 
