@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
+import struct
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -19,6 +21,21 @@ CACHE_WORDS = 250_000
 CACHE_PAIRS = 400_000
 
 
+class Words(dict):
+    """What `make` gives for a word, made when first asked for; empties itself when full."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = CACHE_WORDS):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.make(word)
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found
+        return found
+
+
 class PieceEncoder:
     """Ids of a text under a BPE model with byte fallback, equal to the sentencepiece library's.
 
@@ -27,7 +44,8 @@ class PieceEncoder:
     for the two alone. So the encoder goes left to right by longest match, checks each piece against the one before
     by merging their joint text anew (remembered by pair), and steps back to a shorter match where they do not fit;
     places that cannot be passed are noted in a bitfield. No piece goes on after a character that a space mark
-    follows, so words are encoded apart and remembered.
+    follows, and none holds two neighbours which no piece has side by side; so words, cut at such places, are
+    encoded apart and remembered.
     """
 
     def __init__(self, path: str):
@@ -43,8 +61,11 @@ class PieceEncoder:
         for piece in self.ids:
             self.matches.add_word(piece, len(piece))
         self.matches.make_automaton()
+        self.inside = {pair for piece in self.ids for pair in zip(piece, piece[1:], strict=False)}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.parts = Words(self.part)
+        self.words = Words(lambda w: self.word(SPACE + w))
+        self.begin, self.end = (struct.pack("<I", k) for k in (number.bos_id(), number.eos_id()))
 
     def merge(self, text: str) -> list[str]:
         """The pieces that merging from single characters gives."""
@@ -85,68 +106,58 @@ class PieceEncoder:
     def pieces(self, word: str) -> list[str]:
         """The pieces of one word; characters outside the vocabulary stand alone."""
         n = len(word)
-        lengths: list[list[int]] = [[] for _ in range(n)]  # of the matches at each place, ascending
+        ends: list[list[int]] = [[k + 1] for k in range(n)]  # of the matches at each place, ascending
         for end, size in self.matches.iter(word):
-            lengths[end - size + 1].append(size)
-        for k, found in enumerate(lengths):
-            if not found or found[0] != 1:
-                found.insert(0, 1)
+            if size > 1:
+                ends[end + 1 - size].append(end + 1)
         failed = 0
-        path: list[tuple[int, int]] = []  # (place, index of the match taken there)
-        at, choice = 0, len(lengths[0]) - 1
-        fits, known = self.fits, self.pairs
-        last = ""
+        path: list[int] = []  # places where the pieces so far begin
+        found: list[str] = [""]
+        at, rest = 0, ends[0] if n else []
+        known, fits = self.pairs, self.fits
         while at < n:
-            while choice >= 0:
-                size = lengths[at][choice]
-                if not failed >> (at + size) & 1:
-                    piece = word[at : at + size]
-                    if not path or (known.get((last, piece)) or fits(last, piece)):
+            while rest:
+                end = rest.pop()
+                if not failed >> end & 1:
+                    last, piece = found[-1], word[at:end]
+                    good = known.get((last, piece)) if path else True
+                    if good or good is None and fits(last, piece):
+                        path.append(at)
+                        found.append(piece)
+                        at = end
+                        rest = ends[at] if at < n else []
                         break
-                choice -= 1
-            if choice >= 0:
-                path.append((at, choice))
-                at, last = at + size, piece
-                choice = len(lengths[at]) - 1 if at < n else -1
             else:
                 failed |= 1 << at
-                at, choice = path.pop()
-                choice -= 1
-                last = word[path[-1][0] : at] if path else ""
-        places = [at for at, _ in path] + [n]
-        return [word[a:b] for a, b in zip(places, places[1:], strict=False)]
+                at = path.pop()
+                found.pop()
+                rest = ends[at]
+        return found[1:]
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            ids: list[int] = []
-            for piece in self.pieces(word):
-                number = self.ids.get(piece)
-                ids += [number] if number is not None else [self.bytes[b] for b in piece.encode()]
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            found = self.words[word] = np.array(ids, "<u4").tobytes()
-        return found
+        inside = self.inside
+        cuts = [k for k, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in inside]
+        if cuts:
+            return b"".join([self.parts[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
+        return self.part(word)
+
+    def part(self, word: str) -> bytes:
+        ids: list[int] = []
+        for piece in self.pieces(word):
+            number = self.ids.get(piece)
+            ids += [number] if number is not None else [self.bytes[b] for b in piece.encode()]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str, begin: bool = True, end: bool = True) -> bytes:
         """The ids as little-endian unsigned 32-bit bytes."""
-        library = self.library
-        parts = [np.array([library.bos_id()], "<u4").tobytes()] if begin else []
+        found = b""
         if text:
-            marked = SPACE + text.replace(" ", SPACE)
-            first, *rest = marked.split(SPACE)
-            parts.append(self.word(first)) if first else None
-            run, word = "", self.word
-            for k in rest:  # an empty one is a space mark that another one follows
-                if k:
-                    parts.append(word(run + SPACE + k))
-                    run = ""
-                else:
-                    run += SPACE
-            parts.append(word(run)) if run else None
-        if end:
-            parts.append(np.array([library.eos_id()], "<u4").tobytes())
-        return b"".join(parts)
+            words = text.split(" ")
+            if SPACE in text or "" in words:
+                found = b"".join([self.word(w) for w in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", SPACE + text.replace(" ", SPACE))])
+            else:
+                found = b"".join(map(self.words.__getitem__, words))
+        return self.begin * begin + found + self.end * end
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", derive: Callable[[str | None, bytes, sentencepiece.SentencePieceProcessor], tuple] | None = None, schema: str = "ids array<int>, decoded string") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, simhash, warc
+from . import exact_dedup, packing, pieces, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.op3_simhash,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
 
