@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pieces, simhash, warc
+from . import exact_dedup, packing, pieces, simhash, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.op1_warc,
         "op3_simhash": simhash.op3_simhash,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_topk": topk.op9_topk,
         "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
@@ -22,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.OP1_SQL,
+        "op9_topk": topk.OP9_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
     }
