@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pieces, simhash, topk, toxicity, warc
+from . import chat, exact_dedup, langid, licenses, packing, pieces, simhash, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_chat_rotation": chat.op2_chat_rotation,
         "op3_simhash": simhash.op3_simhash,
+        "op4_license_scan": licenses.op4_license_scan,
+        "op5_language_id": langid.op5_language_id,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
@@ -24,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.OP1_SQL,
+        "op2_chat_rotation": chat.OP2_SQL,
         "op9_topk": topk.OP9_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
     }
