@@ -28,7 +28,7 @@ TEMPER = 0.2
 DRAWN = 20.0
 SMOOTH = 2.0
 #: Trigrams needed; and the least probability of the best language.
-MIN_TRIGRAMS = 8
+MIN_TRIGRAMS = 1
 MIN_PROBABILITY = 0.5
 TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[a-z/!][^>]*>")
 DECLARED = r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z]{2,3})"""
