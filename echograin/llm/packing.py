@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from . import shared
 CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a task keeps at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Pieces of a packing partition, about. Waste is about a bin per partition, so partitions are large; a piece's place takes about 60 bytes of a task's memory.
 PARTITION_PIECES = 50_000
 
@@ -27,14 +29,12 @@ PARTITION_PIECES = 50_000
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """Bytes of each token of a byte-level BPE file, with its id. In the file, a byte that is no visible Latin-1 character stands as the next free character from U+0100."""
+def byte_ranks(model: dict) -> dict[bytes, int]:
+    """Bytes of each token of a byte-level BPE model, with its id. In the file, a byte that is no visible Latin-1 character stands as the next free character from U+0100."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     rest = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
-    with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    return {bytes(map(byte_of.__getitem__, token)): number for token, number in vocab.items() if all(c in byte_of for c in token)}
+    return {bytes(map(byte_of.__getitem__, token)): number for token, number in model["vocab"].items() if all(c in byte_of for c in token)}
 
 
 class WordIds(dict):
@@ -51,28 +51,31 @@ class WordIds(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
     """text -> ids as bytes, equal to those that the tokenizers library gives for the file at `path`, a byte-level BPE.
 
     Merging is by token rank, which gives the same ids for such a file and costs a third. No pre-token crosses a space
     between two other characters, so words are remembered; a text with other runs of white space is encoded at once,
-    and one that holds a special token's string by the tokenizers library itself.
+    and one that holds a special token's string by the tokenizers library itself. Python workers keep the encoder from
+    task to task.
     """
-    ranks = byte_ranks(path)
-    tokenizer = Tokenizer.from_file(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    ranks = {t: n for t, n in ranks.items() if t not in {s.encode() for s in special}}
+    with open(path, encoding="utf-8") as f:
+        stored = json.load(f)
+    special = [t["content"] for t in stored["added_tokens"]]
+    ranks = {t: n for t, n in byte_ranks(stored["model"]).items() if t not in {s.encode() for s in special}}
+    del stored
     plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     irregular = re.compile(r" \s|\s ").search
 
     def whole(text: str) -> bytes:
-        return np.array(plain(text), "<u4").tobytes()
+        return array("I", plain(text)).tobytes()
 
     words = WordIds(whole)
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(_library(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if irregular(text):
             return whole(text)
         first, *rest = text.split(" ")
@@ -81,6 +84,11 @@ def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
     return encode
 
 
+@lru_cache(maxsize=2)
+def _library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of each piece of n tokens; all but the first have the full length."""
     if n <= capacity:
