@@ -266,7 +266,7 @@ B_POINT = "round(dm * cos(radians(x * 0.1)) * cos(radians(y * 0.05)), 6) + 0.0 A
 @query(FIRST + X.peaks_sql("true", None, "all_pk") + """, mb AS (SELECT frame_id, x, y, CAST(list_position(hist, list_max(hist)) - 1 AS int) AS bin, 'strongest' AS method FROM w UNION ALL
  SELECT frame_id, x, y, CAST(floor(sum(bin * h) / nullif(sum(h), 0)) AS int), 'centroid' FROM d GROUP BY frame_id, x, y UNION ALL SELECT frame_id, x, y, CAST(floor(avg(bin) FILTER (h > 0)) AS int), 'average' FROM d GROUP BY frame_id, x, y UNION ALL
  SELECT frame_id, x, y, bin, 'first_peak' FROM fb), mb1 AS (SELECT DISTINCT frame_id, x, y, bin FROM mb)""" + fwhm_sql("mb1") + """
-SELECT m.method, m.frame_id, m.x, m.y, m.bin, p.distance_m, p.pos_x, p.pos_y, p.pos_z FROM mb m JOIN (SELECT frame_id, x, y, bin, round(dm, 6) + 0.0 AS distance_m, """ + B_POINT.replace(" AS X", " AS X1").replace(" AS Y", " AS Y1").replace(" AS pos_z", " AS Z1") + " FROM fw) p ON p.frame_id = m.frame_id AND p.x = m.x AND p.y = m.y AND p.bin = m.bin")
+SELECT m.method, m.frame_id, m.x, m.y, m.bin, p.distance_m, p.pos_x, p.pos_y, p.pos_z FROM mb m JOIN (SELECT frame_id, x, y, bin, round(dm, 6) + 0.0 AS distance_m, """ + B_POINT + " FROM fw) p ON p.frame_id = m.frame_id AND p.x = m.x AND p.y = m.y AND p.bin = m.bin")
 def range_by_method(spark, d):
     rows = X.waveforms(spark, d)
     parts = [G.range_by_method(rows, m).withColumn("method", F.lit(m)) for m in ("strongest", "centroid", "average", "first_peak")]

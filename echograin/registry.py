@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echograin.plans import base, waveforms  # noqa: F401  the modules register their queries
+from echograin.plans import base, catalog, evaluation, points, tiles, waveforms  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -55,9 +55,9 @@ def pair_peaks(left: DataFrame, peaks: DataFrame) -> DataFrame:
     return left.join(last, "frame_id")
 
 
-def latest_annotation(paths: DataFrame) -> DataFrame:
-    """Of each frame's annotation files, that in the folder annotation_v{N}, with or without _expand, of the largest N."""
-    version = F.regexp_extract("path", r"/annotation_v(\d+)(?:_expand)?/", 1)
+def latest_annotation(paths: DataFrame, expand: bool = False) -> DataFrame:
+    """Of each frame's annotation files, that in the folder annotation_v{N} (with expand, annotation_v{N}_expand) of the largest N."""
+    version = F.regexp_extract("path", rf"/annotation_v(\d+){'_expand' * expand}/", 1)
     found = paths.withColumn("version", F.when(version != "", version.cast("int"))).where("version IS NOT NULL")
     order = Window.partitionBy("scene_id", "hist_id", "frame_id").orderBy(F.desc("version"), F.desc("path"))
     return found.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
@@ -81,7 +81,9 @@ def pair_clouds(paths: DataFrame) -> DataFrame:
 
 
 def scene_name(name: Column) -> Column:
-    """sceneNNN at the begin; else what stands before the last underscore of the leading run of word characters; else the name."""
+    """Of a cloud's file name, sceneNNN at its begin; else the words before its last underscored one; else the name."""
+    name = F.regexp_replace(name, r"(_gt)?\.pcd$", "")
     scene = F.nullif(F.regexp_extract(name, r"^(scene\d+)", 1), F.lit(""))
-    head = F.nullif(F.regexp_extract(name, r"^([A-Za-z0-9_]+)_[A-Za-z0-9]*", 1), F.lit(""))
+    # Fixed value: the form of names without a scene number.
+    head = F.nullif(F.regexp_extract(name, r"^([A-Za-z0-9]+(?:_[A-Za-z0-9]+)*)_", 1), F.lit(""))
     return F.coalesce(scene, head, name)

@@ -17,7 +17,13 @@ BATCH = 2000
 
 
 def read_volumes(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:
-    """path, x, y, hist, error: a row per pixel of .npy volumes (x, y, bin) below path, without the first `offset` bins.
+    """unpack() of all .npy files below path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
+    return unpack(files.select("path", "content"), offset)
+
+
+def unpack(files: DataFrame, offset: int = 0) -> DataFrame:
+    """path, x, y, hist, error: a row per pixel of .npy volumes (x, y, bin) from rows of path and content, without the first `offset` bins.
 
     A file that is no three-dimensional array of whole numbers gives one row with the error, so a broken frame stops nothing.
     """
@@ -43,8 +49,7 @@ def read_volumes(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, max(1, part.shape[1]))[: n + 1], pa.int32()), pa.array(part.ravel()))
                     yield pa.record_batch([pa.array([name] * n), pa.array((number // ny).astype(np.int32)), pa.array((number % ny).astype(np.int32)), lists, pa.nulls(n, pa.string())], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, x int, y int, hist array<bigint>, error string")
+    return files.select("path", "content").mapInArrow(run, "path string, x int, y int, hist array<bigint>, error string")
 
 
 def write_partitioned(rows: DataFrame, path: str, by: list[str]) -> None:
