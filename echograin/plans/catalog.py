@@ -89,13 +89,12 @@ def pair_clouds(spark, d):
     return K.pair_clouds(spark.sql(CLOUDS.format(f="{f}"), f=frames(spark, d)))
 
 
-@query("""WITH n AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN concat('scene0', CAST(n_nationkey AS string), '_hist001_x.pcd') WHEN 1 THEN concat(n_name, '_run_7_gt.pcd') WHEN 2 THEN n_name ELSE concat('-', n_name, '_a') END AS name FROM nation)
-SELECT n_nationkey, name, CASE n_nationkey % 4 WHEN 0 THEN concat('scene0', CAST(n_nationkey AS string)) WHEN 1 THEN CASE WHEN contains(split_part(name, '_run', 1), ' ') THEN regexp_replace(name, '_gt.pcd$', '') ELSE regexp_replace(name, '_7_gt.pcd$', '') END
- WHEN 2 THEN CASE WHEN regexp_matches(name, '^[A-Za-z0-9]+_') THEN regexp_extract(name, '^([A-Za-z0-9]+(?:_[A-Za-z0-9]+)*)_', 1) ELSE name END ELSE name END AS scene FROM n""")
+@query("""WITH n AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN concat('scene', CAST(c_custkey AS string), '_hist001_x.pcd') WHEN 1 THEN concat(c_mktsegment, '_run_7_gt.pcd') WHEN 2 THEN c_mktsegment ELSE concat('-', c_mktsegment, '_a.pcd') END AS name FROM customer)
+SELECT c_custkey, name, CASE c_custkey % 4 WHEN 0 THEN concat('scene', CAST(c_custkey AS string)) WHEN 1 THEN regexp_replace(name, '_7_gt.pcd$', '') WHEN 2 THEN name ELSE regexp_replace(name, '.pcd$', '') END AS scene FROM n""")
 def scene_name(spark, d):
-    k, n = F.col("n_nationkey"), F.col("n_name")
-    name = F.when(k % 4 == 0, F.concat(F.lit("scene0"), k.cast("string"), F.lit("_hist001_x.pcd"))).when(k % 4 == 1, F.concat(n, F.lit("_run_7_gt.pcd"))).when(k % 4 == 2, n).otherwise(F.concat(F.lit("-"), n, F.lit("_a")))
-    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", name.alias("name")).withColumn("scene", K.scene_name(F.col("name")))
+    k, n = F.col("c_custkey"), F.col("c_mktsegment")
+    name = F.when(k % 4 == 0, F.concat(F.lit("scene"), k.cast("string"), F.lit("_hist001_x.pcd"))).when(k % 4 == 1, F.concat(n, F.lit("_run_7_gt.pcd"))).when(k % 4 == 2, n).otherwise(F.concat(F.lit("-"), n, F.lit("_a.pcd")))
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", name.alias("name")).withColumn("scene", K.scene_name(F.col("name")))
 
 
 @query("WITH f AS (" + FRAMES.format(lineitem="lineitem") + ") SELECT * FROM f WHERE n % 6 <> 2")
