@@ -61,10 +61,12 @@ def patchify(waveforms: DataFrame, shape: tuple[int, int, int], patch: tuple[int
     rows = rows.select("frame_id", "x", "y", F.posexplode(chunks).alias("_d", "_part"))
     patch_id = (F.col("_d") * (h // ph) + F.floor(F.col("y") / ph)) * (w // pw) + F.floor(F.col("x") / pw)
     spot = (F.col("y") % ph) * pw + F.col("x") % pw
-    grouped = rows.groupBy("frame_id", patch_id.cast("int").alias("patch_id")).agg(F.map_from_entries(F.collect_list(F.struct(spot.alias("s"), "_part"))).alias("_m"))
     size = ph * pw
-    value = lambda i: F.coalesce(F.get(F.try_element_at("_m", (i % size)), F.floor(i / size).cast("int")), F.lit(0).cast("bigint"))
-    return grouped.select("frame_id", "patch_id", F.transform(F.sequence(F.lit(0), F.lit(pd_ * size - 1)), value).alias("values"))
+    grouped = rows.groupBy("frame_id", patch_id.cast("int").alias("patch_id")).agg(F.collect_list(F.struct(spot.alias("s"), "_part")).alias("_e"))
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), F.lit(pd_))
+    parts = grouped.select("frame_id", "patch_id", resample.filled(F.col("_e"), "s", "_part", size, zeros).alias("_p"))
+    value = lambda i: F.get(F.get("_p", i % size), F.floor(i / size).cast("int"))
+    return parts.select("frame_id", "patch_id", F.transform(F.sequence(F.lit(0), F.lit(pd_ * size - 1)), value).alias("values"))
 
 
 def unpatchify(patches: DataFrame, shape: tuple[int, int, int], patch: tuple[int, int, int], masked_only: bool = False) -> DataFrame:
