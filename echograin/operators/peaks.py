@@ -49,25 +49,43 @@ def far_apart(places: np.ndarray, heights: np.ndarray, distance: float) -> np.nd
     return keep
 
 
-def measure(h: np.ndarray, p: int) -> tuple[float, float]:
-    """Prominence of the peak at p and its width at half prominence."""
-    higher = h > h[p]
-    left = np.flatnonzero(higher[:p])
-    right = np.flatnonzero(higher[p + 1 :])
-    lo = left[-1] + 1 if len(left) else 0
-    hi = p + right[0] if len(right) else len(h) - 1
-    side_l, side_r = h[lo : p + 1], h[p : hi + 1]
-    base_l = p - int(side_l[::-1].argmin())
-    base_r = p + int(side_r.argmin())
-    prominence = h[p] - max(h[base_l], h[base_r])
-    level = h[p] - prominence * 0.5
-    under_l = np.flatnonzero(h[base_l : p + 1] <= level)
-    under_r = np.flatnonzero(h[p : base_r + 1] <= level)
-    i = base_l + under_l[-1] if len(under_l) else base_l
-    j = p + under_r[0] if len(under_r) else base_r
-    from_left = i + ((level - h[i]) / (h[i + 1] - h[i]) if h[i] < level else 0.0)
-    from_right = j - ((level - h[j]) / (h[j - 1] - h[j]) if h[j] < level else 0.0)
-    return float(prominence), float(from_right - from_left)
+def _bases(flat: np.ndarray, places: np.ndarray, step: int, limit: np.ndarray) -> np.ndarray:
+    """From each peak outwards, until a higher bin or the place `limit` comes: the nearest bin of the smallest count. All peaks walk at once; those that have stopped drop out."""
+    base, low, top = places.copy(), flat[places].copy(), flat[places]
+    on, at = np.arange(len(places)), places.copy()
+    while len(on):
+        at = at + step
+        inside = at != limit[on]
+        on, at = on[inside], at[inside]
+        value = flat[at]
+        walks = value <= top[on]
+        on, at, value = on[walks], at[walks], value[walks]
+        lower = value < low[on]
+        low[on[lower]], base[on[lower]] = value[lower], at[lower]
+    return base
+
+
+def _crossings(flat: np.ndarray, places: np.ndarray, step: int, base: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """From each peak towards its base, where the waveform comes down to the level, between bins."""
+    found = places.astype(float)
+    on, at = np.arange(len(places)), places.copy()
+    while len(on):
+        walks = (at != base[on]) & (flat[at] > level[on])
+        stop = ~walks
+        ended, spot = on[stop], at[stop]
+        value, beside = flat[spot].astype(float), flat[np.clip(spot - step, 0, len(flat) - 1)].astype(float)
+        part = np.divide(level[ended] - value, beside - value, out=np.zeros(len(spot)), where=value < level[ended])
+        found[ended] = spot - step * part
+        on, at = on[walks], at[walks] + step
+    return found
+
+
+def measure(flat: np.ndarray, places: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prominence of the peaks at places of waveforms laid end to end, and width at half prominence; begins and ends are those of each peak's waveform."""
+    left, right = _bases(flat, places, -1, begins - 1), _bases(flat, places, 1, ends)
+    prominence = (flat[places] - np.maximum(flat[left], flat[right])).astype(float)
+    level = flat[places] - prominence * 0.5
+    return prominence, _crossings(flat, places, 1, right, level) - _crossings(flat, places, -1, left, level)
 
 
 def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,8 +124,7 @@ def find_peaks(rows: DataFrame, keys: list[str] | None = None, height: Column |
             bins = place - starts[row]
             found = np.full((len(place), 2), np.nan)
             if need:
-                for k, (r, b) in enumerate(zip(row.tolist(), bins.tolist(), strict=True)):
-                    found[k] = measure(flat[starts[r] : starts[r] + lengths[r]], b)
+                found[:, 0], found[:, 1] = measure(flat, place, starts[row], starts[row] + lengths[row])
             good = np.ones(len(place), bool)
             if prominence is not None:
                 good &= found[:, 0] >= prominence
@@ -207,10 +224,9 @@ def baseline_peaks(rows: DataFrame, keys: list[str] | None = None, sigma: float
                 places = candidates(residual, np.array([0]))
                 places = places[residual[places] >= 1.5 * mad]
                 places = places[far_apart(places, residual[places], distance)]
-                for p in places.tolist():
-                    prominence, wide = measure(residual, p)
-                    if prominence >= factor * mad and wide >= width:
-                        out.append((k, p, float(residual[p]), prominence, wide, mad))
+                prominence, wide = measure(residual, places, np.zeros_like(places), np.full_like(places, len(residual)))
+                good = (prominence >= factor * mad) & (wide >= width)
+                out += [(k, p, float(residual[p]), float(a), float(w), mad) for p, a, w in zip(places[good].tolist(), prominence[good], wide[good], strict=True)]
             taken = pa.array([r[0] for r in out], pa.int64())
             arrays = [batch.column(k).take(taken) for k in range(n)] + [pa.array([r[1] for r in out], pa.int32())]
             arrays += [pa.array([r[k] for r in out], pa.float64()) for k in range(2, 6)]
