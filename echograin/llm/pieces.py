@@ -7,6 +7,7 @@ import heapq
 import re
 import struct
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -160,6 +161,12 @@ class PieceEncoder:
         return self.begin * begin + found + self.end * end
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> PieceEncoder:
+    """The encoder of a model file; Python workers keep it, with what it remembers, from task to task."""
+    return PieceEncoder(path)
+
+
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", derive: Callable[[str | None, bytes, sentencepiece.SentencePieceProcessor], tuple] | None = None, schema: str = "ids array<int>, decoded string") -> DataFrame:
     """doc_id with the ids and the decoded text of every row of docs.
 
@@ -178,11 +185,11 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     types = [kinds[c.split()[1]] for c in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, make = PieceEncoder(path), derive or both
+        kept, make = encoder(path), derive or both
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [(d, *make(t.as_py(), encoder.encode(t.as_py() or ""), encoder.library)) for d, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)]
+                rows = [(d, *make(t.as_py(), kept.encode(t.as_py() or ""), kept.library)) for d, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)]
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
