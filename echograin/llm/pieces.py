@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -18,22 +17,27 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words and pairs of pieces that a task remembers at most.
-CACHE_WORDS = 250_000
-CACHE_PAIRS = 400_000
+CACHE_WORDS = 500_000
+CACHE_PAIRS = 600_000
+
+
+def _spans(begins: list[int], end: int) -> Iterator[tuple[int, int]]:
+    return zip(begins, [*begins[1:], end], strict=True)
 
 
 class Words(dict):
-    """What `make` gives for a word, made when first asked for; empties itself when full."""
+    """What `make` gives for a word that is `whole`, made when first asked for and remembered; empties itself when full. Other words are made each time."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int = CACHE_WORDS):
+    def __init__(self, make: Callable[[str], bytes], whole: Callable[[str], bool], most: int = CACHE_WORDS):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.whole, self.most = make, whole, most
 
     def __missing__(self, word: str) -> bytes:
         found = self.make(word)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = found
+        if self.whole(word):
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -60,105 +64,128 @@ class PieceEncoder:
             raise ValueError("a piece of the model goes on after a word's end")
         self.matches = ahocorasick.Automaton()
         for piece in self.ids:
-            self.matches.add_word(piece, len(piece))
+            self.matches.add_word(piece, (len(piece), self.ids[piece]))
         self.matches.make_automaton()
         self.inside = {pair for piece in self.ids for pair in zip(piece, piece[1:], strict=False)}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.parts = Words(self.part)
-        self.words = Words(lambda w: self.word(SPACE + w))
+        self.texts = {i: p for p, i in self.ids.items()}
+        self.pairs: dict[int, bool] = {}
+        self.parts = Words(self.part, lambda w: True, CACHE_WORDS // 4)
+        #: Whether lines can be encoded apart.
+        self.breaks = not any("\n" in p and p != "\n" for p in self.ids)
+        self.words = Words(self.closed, str.isalpha)  # with other characters, forms are too many
         self.begin, self.end = (struct.pack("<I", k) for k in (number.bos_id(), number.eos_id()))
 
     def merge(self, text: str) -> list[str]:
-        """The pieces that merging from single characters gives."""
-        pieces: list[str | None] = list(text)
-        before, after = list(range(-1, len(text) - 1)), list(range(1, len(text) + 1))
-        agenda: list[tuple[float, int, str]] = []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if left >= 0 and right < len(pieces) and (joint := pieces[left] + pieces[right]) in self.scores:
-                heapq.heappush(agenda, (-self.scores[joint], left, joint))
-
-        for k in range(len(text) - 1):
-            offer(k)
-        while agenda:
-            _, left, joint = heapq.heappop(agenda)
-            right = after[left]
-            if pieces[left] is None or right >= len(pieces) or pieces[left] + pieces[right] != joint:
-                continue
-            pieces[left], pieces[right] = joint, None
-            after[left] = after[right]
-            if after[left] < len(pieces):
-                before[after[left]] = left
-            if before[left] >= 0:
-                offer(before[left])
-            offer(left)
-        return [p for p in pieces if p is not None]
-
-    def fits(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == [left, right]
-        return known
-
-    def pieces(self, word: str) -> list[str]:
-        """The pieces of one word; characters outside the vocabulary stand alone."""
+        """The pieces that merging from single characters gives, for the short text of two pieces."""
+        pieces, score = list(text), self.scores.get
+        while True:
+            best, place = None, -1
+            for k in range(len(pieces) - 1):
+                found = score(pieces[k] + pieces[k + 1])
+                if found is not None and (best is None or found > best):
+                    best, place = found, k
+            if best is None:
+                return pieces
+            pieces[place : place + 2] = [pieces[place] + pieces[place + 1]]
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether two pieces, given by their ids, stay as they are when their joint text is merged; remembered."""
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        pair = [self.texts[left], self.texts[right]]
+        found = self.pairs[left << 20 | right] = self.merge(pair[0] + pair[1]) == pair
+        return found
+
+    def part(self, word: str) -> bytes:
+        """Ids of one word; a character outside the vocabulary stands alone and becomes its bytes."""
+        greedy = [match for _, match in self.matches.iter_long(word)]
+        if sum([size for size, _ in greedy]) == len(word):  # longest matches without a gap: right if all neighbours fit
+            known, fits = self.pairs, self.fits
+            ids = [number for _, number in greedy]
+            last = ids[0]
+            for number in ids[1:]:
+                good = known.get(last << 20 | number)
+                if not (good or good is None and fits(last, number)):
+                    break
+                last = number
+            else:
+                return struct.pack(f"<{len(ids)}I", *ids)
+        return self.backtrack(word)
+
+    def backtrack(self, word: str) -> bytes:
+        """Ids of one word by longest matches from the left, stepping back where two neighbours do not fit."""
         n = len(word)
-        ends: list[list[int]] = [[k + 1] for k in range(n)]  # of the matches at each place, ascending
-        for end, size in self.matches.iter(word):
-            if size > 1:
-                ends[end + 1 - size].append(end + 1)
+        matches: list[list[tuple[int, int]]] = [[(1, self.ids.get(c, -1))] for c in word]  # size and id, at each place, ascending
+        for end, match in self.matches.iter(word):
+            if match[0] > 1:
+                matches[end + 1 - match[0]].append(match)
         failed = 0
         path: list[int] = []  # places where the pieces so far begin
-        found: list[str] = [""]
-        at, rest = 0, ends[0] if n else []
+        ids = [-1]
+        at, rest = 0, matches[0]
         known, fits = self.pairs, self.fits
         while at < n:
             while rest:
-                end = rest.pop()
-                if not failed >> end & 1:
-                    last, piece = found[-1], word[at:end]
-                    good = known.get((last, piece)) if path else True
-                    if good or good is None and fits(last, piece):
+                size, number = rest.pop()
+                if not failed >> (at + size) & 1:
+                    last = ids[-1]
+                    good = True
+                    if last >= 0 and number >= 0:
+                        good = known.get(last << 20 | number)
+                        if good is None:
+                            good = fits(last, number)
+                    if good:
                         path.append(at)
-                        found.append(piece)
-                        at = end
-                        rest = ends[at] if at < n else []
+                        ids.append(number)
+                        at += size
+                        rest = matches[at] if at < n else []
                         break
             else:
                 failed |= 1 << at
                 at = path.pop()
-                found.pop()
-                rest = ends[at]
-        return found[1:]
+                ids.pop()
+                rest = matches[at]
+        if -1 in ids[1:]:
+            out: list[int] = []
+            for place, number in zip(path, ids[1:], strict=True):
+                out += [number] if number >= 0 else [self.bytes[b] for b in word[place].encode()]
+            return struct.pack(f"<{len(out)}I", *out)
+        return struct.pack(f"<{n and len(path)}I", *ids[1:])
 
     def word(self, word: str) -> bytes:
+        """Ids of a word, cut where no piece has the two neighbours side by side."""
         inside = self.inside
         cuts = [k for k, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in inside]
-        if cuts:
-            return b"".join([self.parts[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
-        return self.part(word)
-
-    def part(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces(word):
-            number = self.ids.get(piece)
-            ids += [number] if number is not None else [self.bytes[b] for b in piece.encode()]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if not cuts:
+            return self.part(word)
+        letters = next((k for k in cuts if not word[k].isalpha()), 0)
+        if letters > 1 and word[0] == SPACE and word[1:letters].isalpha():  # letters, then something else: the letters may be known
+            return self.words[word[1:letters]] + b"".join([self.parts[word[a:b]] for a, b in _spans([k for k in cuts if k >= letters], len(word))])
+        return b"".join([self.parts[word[a:b]] for a, b in _spans([0, *cuts], len(word))])
+
+    def closed(self, word: str) -> bytes:
+        """Ids of a space mark and the word: letters with one sign behind them by the letters, if no piece joins the two."""
+        if len(word) > 1 and (word[-2], word[-1]) not in self.inside and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.parts[word[-1]]
+        return self.word(SPACE + word)
 
     def encode(self, text: str, begin: bool = True, end: bool = True) -> bytes:
         """The ids as little-endian unsigned 32-bit bytes."""
-        found = b""
-        if text:
-            words = text.split(" ")
-            if SPACE in text or "" in words:
-                found = b"".join([self.word(w) for w in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", SPACE + text.replace(" ", SPACE))])
-            else:
-                found = b"".join(map(self.words.__getitem__, words))
-        return self.begin * begin + found + self.end * end
+        found: list[bytes] = []
+        if text and (SPACE in text or "  " in text or text[0] == " " or not self.breaks):
+            found = [self.word(w) for w in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", SPACE + text.replace(" ", SPACE))]
+        elif text:
+            word, part = self.words.__getitem__, self.parts.__getitem__
+            for number, line in enumerate(text.split("\n")):
+                first, *rest = line.split(" ")
+                if number:
+                    found.append(part("\n"))
+                    if first:
+                        found.append(part(first))
+                else:
+                    found.append(word(first))
+                found += map(word, rest)
+        return self.begin * begin + b"".join(found) + self.end * end
 
 
 @lru_cache(maxsize=2)
