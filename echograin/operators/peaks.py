@@ -65,9 +65,9 @@ def _bases(flat: np.ndarray, places: np.ndarray, step: int, limit: np.ndarray) -
     return base
 
 
-def _crossings(flat: np.ndarray, places: np.ndarray, step: int, base: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """From each peak towards its base, where the waveform comes down to the level, between bins."""
-    found = places.astype(float)
+def _crossings(flat: np.ndarray, places: np.ndarray, step: int, base: np.ndarray, level: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """From each peak towards its base, where the waveform comes down to the level, between bins; counted from the waveform's begin, so that rounding does not depend on the batch."""
+    found = np.zeros(len(places))
     on, at = np.arange(len(places)), places.copy()
     while len(on):
         walks = (at != base[on]) & (flat[at] > level[on])
@@ -75,7 +75,7 @@ def _crossings(flat: np.ndarray, places: np.ndarray, step: int, base: np.ndarray
         ended, spot = on[stop], at[stop]
         value, beside = flat[spot].astype(float), flat[np.clip(spot - step, 0, len(flat) - 1)].astype(float)
         part = np.divide(level[ended] - value, beside - value, out=np.zeros(len(spot)), where=value < level[ended])
-        found[ended] = spot - step * part
+        found[ended] = (spot - begins[ended]) - step * part
         on, at = on[walks], at[walks] + step
     return found
 
@@ -85,7 +85,7 @@ def measure(flat: np.ndarray, places: np.ndarray, begins: np.ndarray, ends: np.n
     left, right = _bases(flat, places, -1, begins - 1), _bases(flat, places, 1, ends)
     prominence = (flat[places] - np.maximum(flat[left], flat[right])).astype(float)
     level = flat[places] - prominence * 0.5
-    return prominence, _crossings(flat, places, 1, right, level) - _crossings(flat, places, -1, left, level)
+    return prominence, _crossings(flat, places, 1, right, level, begins) - _crossings(flat, places, -1, left, level, begins)
 
 
 def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,9 +10,11 @@ from echograin.functions import waveform as W
 KEYS = ["frame_id", "x", "y"]
 
 
-def filled(entries: Column, place: str, value: str, n: int, zero: Column) -> Column:
-    """An array of n values from an array of structs, one per place at most; `zero` where there is none. One pass over the entries in order of place."""
-    order = F.array_sort(entries)
+def filled(order: Column, place: str, value: str, n: int, zero: Column) -> Column:
+    """An array of n values from an array of structs sorted by place, one per place at most; `zero` where there is none.
+
+    One pass over the entries. `order` must be a column, not an expression, which each entry would evaluate anew.
+    """
     gap = lambda e, i: e[place] - F.coalesce(F.get(order, i - 1)[place], F.lit(-1)) - 1
     body = F.flatten(F.transform(order, lambda e, i: F.concat(F.array_repeat(zero, gap(e, i).cast("int")), F.array(e[value]))))
     rest = F.lit(n - 1) - F.coalesce(F.try_element_at(order, F.lit(-1))[place], F.lit(-1))
@@ -22,7 +24,7 @@ def filled(entries: Column, place: str, value: str, n: int, zero: Column) -> Col
 def densify(cells: DataFrame, bins: int, keys: list[str] | None = None, value: str = "cnt") -> DataFrame:
     """One row per pixel with the counts of all bins, from one row per occupied bin; other bins are 0. Of bins outside 0 .. bins - 1 nothing is kept."""
     keys = keys or KEYS
-    grouped = cells.where(F.col("bin").between(0, bins - 1)).groupBy(*keys).agg(F.collect_list(F.struct("bin", value)).alias("_e"))
+    grouped = cells.where(F.col("bin").between(0, bins - 1)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", value))).alias("_e"))
     return grouped.select(*keys, filled(F.col("_e"), "bin", value, bins, F.lit(0).cast("bigint")).alias("hist"))
 
 

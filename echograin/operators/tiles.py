@@ -62,7 +62,7 @@ def patchify(waveforms: DataFrame, shape: tuple[int, int, int], patch: tuple[int
     patch_id = (F.col("_d") * (h // ph) + F.floor(F.col("y") / ph)) * (w // pw) + F.floor(F.col("x") / pw)
     spot = (F.col("y") % ph) * pw + F.col("x") % pw
     size = ph * pw
-    grouped = rows.groupBy("frame_id", patch_id.cast("int").alias("patch_id")).agg(F.collect_list(F.struct(spot.alias("s"), "_part")).alias("_e"))
+    grouped = rows.groupBy("frame_id", patch_id.cast("int").alias("patch_id")).agg(F.array_sort(F.collect_list(F.struct(spot.alias("s"), "_part"))).alias("_e"))
     zeros = F.array_repeat(F.lit(0).cast("bigint"), F.lit(pd_))
     parts = grouped.select("frame_id", "patch_id", resample.filled(F.col("_e"), "s", "_part", size, zeros).alias("_p"))
     value = lambda i: F.get(F.get("_p", i % size), F.floor(i / size).cast("int"))
