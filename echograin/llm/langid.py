@@ -13,15 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Labelled rows that the text model is fitted to at most, those with the smallest hash of the id; languages at most.
+#: Ids that the text model is fitted to at most, those of each language with the smallest hashes; every language has one at least.
 MAX_TRAINING = 20_000
-MAX_LANGUAGES = 64
+#: Cells of trigrams; fewer where the table of all languages would have more than MAX_TABLE entries.
 CELLS = 1 << 16
+MAX_TABLE = 1 << 23
 #: Weight of a trigram's log likelihood: neighbouring trigrams repeat much of what they say.
 TEMPER = 0.2
 #: Rows that a parent's prior counts for, and declarations or suffixes that smoothing adds in all.
@@ -53,38 +54,79 @@ class TextModel:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
+        self.cells = len(counts)
+        self.shift = np.uint32(CELLS.bit_length() - self.cells.bit_length())
         total = counts.sum(axis=0, keepdims=True)
-        self.table = np.log((counts + 0.05) / (total + 0.05 * CELLS)).astype(np.float32)
+        self.table = np.log((counts + 0.05) / (total + 0.05 * self.cells)).astype(np.float32)
 
     def scores(self, text: str | None) -> tuple[list[float], int]:
         """Summed log likelihoods over those of an even spread over all cells, and the number of trigrams."""
         found = cells(plain(text or ""))
         if not len(found) or not self.languages:
             return [0.0] * len(self.languages), len(found)
-        return (self.table[found].sum(axis=0, dtype=np.float64) + len(found) * math.log(CELLS)).tolist(), len(found)
+        total = sum(self.table[found[at : at + 4096] >> self.shift].sum(axis=0, dtype=np.float64) for at in range(0, len(found), 4096))
+        return (total + len(found) * math.log(self.cells)).tolist(), len(found)
+
+
+def cells_for(languages: int) -> int:
+    """Cells of a table of so many languages: a power of two, CELLS at most and 1,024 at least."""
+    found = CELLS
+    while found > 1 << 10 and found * languages > MAX_TABLE:
+        found >>= 1
+    return found
+
+
+def quota(sizes: list[int], most: int) -> int:
+    """The largest number of ids per language with which all languages together have `most` at most; one at least."""
+    left = most
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return max(1, left // (len(sizes) - k))
+        left -= n
+    return max([1, *sizes])
+
+
+def _sample(ids: DataFrame, sizes: dict[str, int], most: int) -> DataFrame:
+    """id, lang: of ids (id, lang, hash) those with the smallest hashes of each language, about `most` in all.
+
+    The hash's share of its range goes down with the language's size, so only about as many ids as are kept meet in the ranking.
+    """
+    each = quota(list(sizes.values()), most)
+    wanted = each + 6 * math.sqrt(each) + 10
+    limits = [(lang, -1.0 + 2.0 * min(1.0, 1.1 * wanted / n)) for lang, n in sizes.items()]
+    cut = F.broadcast(ids.sparkSession.createDataFrame(limits, "lang string, cut double"))
+    near = ids.join(cut, "lang").where((F.col("cut") >= 1) | (F.col("hash") / F.lit(2.0**63) <= F.col("cut"))).select("id", "lang", "hash").distinct()
+    least = ids.groupBy("lang").agg(F.min(F.struct("hash", "id")).alias("s")).select("s.id", "lang", "s.hash")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
+    return near.unionByName(least).distinct().withColumn("_rank", rank).where(F.col("_rank") <= each).select("id", "lang")
 
 
 def fit(labelled: DataFrame, max_training: int = MAX_TRAINING) -> TextModel:
-    """The text model of rows (id, text, lang); rows without id or lang are left out, and the rarest languages over MAX_LANGUAGES."""
+    """The text model of rows (id, text, lang); rows without id or lang are left out. Every language that has a row is in it."""
     rows = labelled.where("id IS NOT NULL AND lang IS NOT NULL").select("id", F.col("text").cast("string").alias("text"), F.lower(F.substring_index("lang", "-", 1)).alias("lang"))
-    picked = F.broadcast(rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_training))
+    ids = rows.select("id", "lang", F.xxhash64("id").alias("hash"))
+    sizes = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()}
+    size = cells_for(len(sizes))
+    shift = np.uint32(CELLS.bit_length() - size.bit_length())
+    if not sizes:
+        return TextModel([], np.zeros((size, 0)))
+    picked = F.broadcast(shared.written(_sample(ids, sizes, max_training), "lang-sample"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, np.ndarray] = {}
+            by_lang: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = cells(plain(text.as_py() or ""))
-                by_lang[lang] = by_lang.get(lang, np.zeros(CELLS, np.int64)) + np.bincount(found, minlength=CELLS)
-            for lang, counts in by_lang.items():
+                by_lang.setdefault(lang, []).append(cells(plain(text.as_py() or "")) >> shift)
+            for lang, found in by_lang.items():
+                counts = np.bincount(np.concatenate(found), minlength=size)
                 at = np.flatnonzero(counts)
                 yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "cell", "n"])
 
-    counted = shared.written(rows.join(picked, "id", "left_semi").select("text", "lang").mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "lang-cells")
-    languages = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    languages.sort()
-    counts = np.zeros((CELLS, len(languages)))
+    counted = shared.written(rows.join(picked, ["id", "lang"], "left_semi").select("text", "lang").mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "lang-cells")
+    languages = sorted(sizes)
+    counts = np.zeros((size, len(languages)))
     place = {lang: k for k, lang in enumerate(languages)}
-    for r in counted.where(F.col("lang").isin(languages)).toLocalIterator():  # MAX_LANGUAGES times CELLS rows at most
+    for r in counted.toLocalIterator():  # MAX_TABLE rows at most, or 1,024 a language
         counts[r["cell"], place[r["lang"]]] = r["n"]
     return TextModel(languages, counts)
 
@@ -140,7 +182,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     hosts have the prior of all rows; rows with repeated ids are judged one by one; columns named like a result are replaced.
     """
     size = len(model.languages)
-    rows = shared.without(rows, "lang", "probability", "accepted", "declared", "suffix", "domain", "spoken", "scores", "trigrams", "prior", "n")
+    rows = shared.without(rows, "lang", "probability", "accepted", "declared", "suffix", "domain", "spoken", "scores", "trigrams", "prior", "by_declared", "by_suffix", "n")
     if not size:
         empty = rows.drop("text")
         for name, kind in (("lang", "string"), ("probability", "double"), ("declared", "string"), ("suffix", "string")):
@@ -155,7 +197,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     said = {(r["spoken"], r["declared"]): r["n"] for r in seen.where("spoken IS NOT NULL AND declared IS NOT NULL").groupBy("spoken", "declared").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = np.array([[said.get((k + 1, lang), 0) for k in range(size)] for lang in model.languages], float)  # declared, spoken
     table = np.log((table + SMOOTH / size) / (table.sum(axis=0, keepdims=True) + SMOOTH))
-    by_declared = F.create_map(*[x for lang, line in zip(model.languages, table, strict=True) for x in (F.lit(lang), F.array(*[F.lit(float(v)) for v in line]))])
+    by_declared = F.broadcast(rows.sparkSession.createDataFrame([(lang, line.tolist()) for lang, line in zip(model.languages, table, strict=True)], "declared string, by_declared array<double>"))
 
     suffixes = _tallies(seen, "suffix", size).withColumn("prior", _drawn(F.col("tally"), base))
     log_share = F.zip_with(F.col("prior"), base, lambda p, b: F.log(p / b))  # P(suffix | language) but for a factor
@@ -169,9 +211,10 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
 
     joined = shared.join_groups(seen, hosts, ["host"], "n")
     joined = shared.join_groups(joined, suffixes.select("suffix", "by_suffix", F.col("rows").alias("n")), ["suffix"], "n")
+    joined = joined.join(by_declared, "declared", "left")
     none = F.array(*[F.lit(0.0)] * size)
     sums = F.transform("scores", lambda s: s * TEMPER)
-    for part in (F.coalesce(F.element_at(by_declared, F.col("declared")), none), F.coalesce("by_suffix", none), F.transform(F.coalesce("prior", base), lambda p: F.log(p))):
+    for part in (F.coalesce("by_declared", none), F.coalesce("by_suffix", none), F.transform(F.coalesce("prior", base), lambda p: F.log(p))):
         sums = F.zip_with(sums, part, lambda a, b: a + b)
     joined = joined.withColumn("_sums", sums).withColumn("_most", F.array_max("_sums"))
     weight = F.aggregate(F.transform("_sums", lambda s: F.exp(s - F.col("_most"))), F.lit(0.0), lambda a, x: a + x)
