@@ -1,6 +1,6 @@
 """License scans: a trained paragraph classifier over licence families, confirmed by templates.
 
-Paragraphs are lines. Features are word unigrams and bigrams; weights of a multinomial logistic regression are learned
+Paragraphs stand between blank lines and are judged line by line and across line breaks. Features are word unigrams and bigrams; weights of a multinomial logistic regression are learned
 from notices made of the templates and, as the class "unknown", from paragraphs of the corpus. Probabilities are
 calibrated by a temperature fitted to paragraphs kept aside; a family is predicted only at MIN_PROBABILITY, and
 confirmed if the paragraph holds most of the word pairs of one of its templates.
@@ -46,6 +46,8 @@ MIN_PROBABILITY = 0.5
 MIN_SIMILARITY = 0.8
 #: Words of a paragraph around which a notice is looked for; longer paragraphs are taken in overlapping windows of this size.
 WINDOW_WORDS = 64
+#: Words after a template's pairs that are judged with them: version numbers and what tells related families apart.
+AFTER_WORDS = 4
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -76,8 +78,11 @@ class Classifier:
         self.classes, self.vocabulary, self.weights, self.bias, self.temperature = classes, vocabulary, weights, bias, temperature
         self.unknown = classes.index(UNKNOWN)
         self.pairs = {f: [(t, _pairs([w for w in t.split() if w[0] != "{"])) for t in ts] for f, ts in TEMPLATES.items()}
-        #: A window without any of these words belongs to no family under the templates.
-        self.telling = {w for ts in TEMPLATES.values() for t in ts for w in t.split() if w in ("license", "licensed", "reserved", "permission", "permitted", "copyright", "cc", "cc0", "redistribution", "redistribute", "compliance")}
+        self.templates_of: dict[tuple[str, str], list[tuple[str, int]]] = {}
+        for templates in self.pairs.values():
+            for template, pairs in templates:
+                for pair in pairs:
+                    self.templates_of.setdefault(pair, []).append((template, len(pairs)))
 
     def logits(self, words: list[str]) -> np.ndarray:
         at = [self.vocabulary[g] for g in grams(words) if g in self.vocabulary]
@@ -93,25 +98,103 @@ class Classifier:
         own = _pairs(words)
         return max(((t, len(p & own) / len(p)) for t, p in self.pairs[family]), key=lambda x: x[1])
 
-    def windows(self, words: list[str]) -> Iterator[list[str]]:
-        if len(words) <= WINDOW_WORDS:
-            yield words
+    def windows(self, first: int, end: int) -> Iterator[tuple[int, int]]:
+        """Overlapping windows of WINDOW_WORDS over the words first to end."""
+        if end - first <= WINDOW_WORDS:
+            yield first, end
         else:
-            for at in range(0, len(words) - WINDOW_WORDS // 2, WINDOW_WORDS // 2):
-                yield words[at : at + WINDOW_WORDS]
+            for at in range(first, end - WINDOW_WORDS // 2, WINDOW_WORDS // 2):
+                yield at, min(end, at + WINDOW_WORDS)
+
+    def held(self, words: list[str], first: int, end: int, only: str | None = None) -> list[tuple[int, int]]:
+        """Shortest spans from first to end that hold MIN_SIMILARITY of a template's word pairs, no longer than twice the template and eight words."""
+        hits: dict[tuple[str, int], list[tuple[int, tuple[str, str]]]] = {}
+        for at in range(first, end):
+            for pair in ((words[at], words[at + 1]) if at + 1 < end else None, (words[at], "")):
+                for key in self.templates_of.get(pair, ()) if pair else ():
+                    if only in (None, key[0]):
+                        hits.setdefault(key, []).append((at, pair))
+        found = set()
+        for (_, n), places in hits.items():
+            taken = -1
+            for k, (at, _) in enumerate(places):
+                if at <= taken:
+                    continue
+                seen: set[tuple[str, str]] = set()
+                best = None
+                for to, pair in places[k:]:
+                    if to > at + 2 * n + 8 or (seen and to > at and pair == places[k][1]):  # the pair again: another notice
+                        break
+                    if pair not in seen:
+                        seen.add(pair)
+                        if len(seen) >= MIN_SIMILARITY * n:
+                            best = min(end, to + (2 if pair[1] else 1))
+                if best:
+                    found.add((at, best))
+                    taken = best - 1
+        return sorted(found)
+
+    def find_all(self, lines: list[str]) -> list[tuple[int, int, str, float, str, float]]:
+        """(first line, last line, family, probability, template, similarity) of every notice in a paragraph of several lines.
+
+        Judged are each line, the whole paragraph across its line breaks (long ones in overlapping windows) and what
+        stands where a template's word pairs are. Predictions of one family that overlap are one notice: confirmed
+        ones, reduced to where their template's pairs stand, before others.
+        """
+        by_line = [words_of(line) for line in lines]
+        words = [w for ws in by_line for w in ws]
+        line_of = [k for k, ws in enumerate(by_line) for _ in ws]
+        units: dict[tuple[int, int], None] = {}
+        at = 0
+        for ws in by_line:
+            if ws:
+                units |= dict.fromkeys(self.windows(at, at + len(ws)))
+            at += len(ws)
+        if words:
+            units |= dict.fromkeys(self.windows(0, len(words)))
+        units |= dict.fromkeys((first, min(len(words), end + AFTER_WORDS)) for first, end in self.held(words, 0, len(words)))
+        rows = []
+        for first, end in units:
+            part = words[first:end]
+            p = self.probabilities(part)
+            k = int(p.argmax())
+            if k == self.unknown or p[k] < MIN_PROBABILITY:
+                continue
+            family = self.classes[k]
+            template, alike = self.confirm(family, part)
+            spans = self.held(words, first, end, template) if alike >= MIN_SIMILARITY else []
+            rows += [(alike < MIN_SIMILARITY, -float(p[k]), x, y, family, template, alike) for x, y in spans or [(first, end)]]
+        merged: list[list] = []
+        for unsure, p, x, y, family, template, alike in sorted(rows):
+            same = [m for m in merged if m[4] == family and m[2] < y and x < m[3]]
+            if not same:
+                merged.append([unsure, p, x, y, family, template, alike])
+            elif unsure == same[0][0]:
+                same[0][2:4] = min(x, same[0][2]), max(y, same[0][3])
+                for other in same[1:]:
+                    same[0][2:4] = min(other[2], same[0][2]), max(other[3], same[0][3])
+                    if other[0] == unsure:
+                        merged.remove(other)
+        return [(line_of[x], line_of[y - 1], family, -p, template, alike) for _, p, x, y, family, template, alike in sorted(merged, key=lambda m: (m[2], m[3], m[4]))]
 
     def find(self, paragraph: str) -> tuple[str, float, str, float] | None:
         """Family, probability, template and similarity of the likeliest notice in a paragraph, or nothing if it is unknown."""
-        best = None
-        words = words_of(paragraph)
-        for part in self.windows(words):
-            if self.telling.isdisjoint(part):
-                continue
-            p = self.probabilities(part)
-            k = int(p.argmax())
-            if k != self.unknown and p[k] >= MIN_PROBABILITY and (best is None or p[k] > best[1]):
-                best = (self.classes[k], float(p[k]), *self.confirm(self.classes[k], part))
-        return best
+        return max((found[2:] for found in self.find_all(paragraph.split("\n"))), key=lambda x: x[1], default=None)
+
+
+def paragraphs(text: str) -> Iterator[tuple[int, list[str]]]:
+    """Number of the first line, and lines, of each run of lines between blank ones."""
+    start, held = 0, []
+    for number, line in enumerate(text.split("\n")):
+        if line.strip():
+            if not held:
+                start = number
+            held.append(line)
+        elif held:
+            yield start, held
+            held = []
+    if held:
+        yield start, held
 
 
 def _pairs(words: list[str]) -> set[tuple[str, str]]:
@@ -171,25 +254,24 @@ def classifier_of(docs: DataFrame) -> Classifier:
 
 
 def scan(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph (number of the line, from 0), family, probability, template, similarity, confirmed: a row for each paragraph that a family is predicted for.
+    """doc_id, paragraph (number of the line where the notice begins, from 0), family, probability, template, similarity, confirmed, last_paragraph (the line where it ends): a row for each notice.
 
     Defined results: null and empty texts give no rows; an id may be null or repeat, and each row is scanned for
     itself; other columns are ignored; whole texts are scanned, long paragraphs in overlapping windows.
     """
-    names = ["doc_id", "paragraph", "family", "probability", "template", "similarity", "confirmed"]
-    types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.bool_()]
+    names = ["doc_id", "paragraph", "family", "probability", "template", "similarity", "confirmed", "last_paragraph"]
+    types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.bool_(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for number, paragraph in enumerate((text.as_py() or "").split("\n")):
-                    found = classifier.find(paragraph) if paragraph else None
-                    if found:
-                        out.append((doc, number, *found, found[3] >= MIN_SIMILARITY))
+                for number, lines in paragraphs(text.as_py() or ""):
+                    for first, last, *found in classifier.find_all(lines):
+                        out.append((doc, number + first, *found, found[3] >= MIN_SIMILARITY, number + last))
             yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
-    schema = "doc_id long, paragraph int, family string, probability double, template string, similarity double, confirmed boolean"
+    schema = "doc_id long, paragraph int, family string, probability double, template string, similarity double, confirmed boolean, last_paragraph int"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
