@@ -17,7 +17,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-    return shared.written(moved.where("u <> v").distinct(), "star-pairs")
+    return shared.written(moved.where("u <> v").distinct(), "star-pairs", pairs, least)
 
 
 def _state(pairs: DataFrame) -> tuple:
@@ -27,8 +27,8 @@ def _state(pairs: DataFrame) -> tuple:
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node of its component.
 
-    Each step's result is written to the shared folder. Nodes with a large share of the edges are joined by
-    broadcast. Edges may repeat and point either way; a = b and nulls are left out; without edges there are no rows.
+    Each step's result is written to the shared folder and the one before deleted. Nodes with a large share of the
+    edges are joined by broadcast. Edges may repeat and point either way; a = b and nulls are left out; without edges there are no rows.
     """
     pairs = shared.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-pairs")
     state = _state(pairs)

@@ -1,54 +1,115 @@
-"""Written intermediate tables and joins which hold up under hot keys."""
+"""Written intermediate tables, and joins which hold up under hot keys."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than this share of all rows is hot; so there are at most 1 / HOT_SHARE hot keys.
+#: A key with more than this share of all rows is joined by broadcast; so there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 1 / 1000
+#: Rows of one key that may meet in one task; keys with more of them are dealt to several slots.
+GROUP_ROWS = 1 << 20
+#: Buckets of keys by hash, each with its number of slots: the most rows of that broadcast table.
+BUCKETS = 1 << 14
+
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors see; a temporary one where it is unset."""
+    """The folder named in spark.checkpoint.dir, which all executors see. Where it is unset a temporary one is taken on a local master; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="echograin-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
 
+def written(df: DataFrame, label: str, *done: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors.
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    `done` are tables from here that only df was made of: their files are deleted once df is written.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    delete(spark, [x.stored_at for x in done])
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def mark() -> frozenset[str]:
+    """The tables that are there, for sweep()."""
+    return frozenset(_made)
+
+
+def sweep(spark: SparkSession, since: frozenset[str] = frozenset(), keep: Iterable[DataFrame] = ()) -> None:
+    """Delete what was written after mark() gave `since`, but for the tables to keep. A result that is still to be computed reads such tables: sweep after it is saved."""
+    kept = since | {x.stored_at for x in keep}
+    delete(spark, [p for p in _made if p not in kept])
+
+
+def own(df: DataFrame, name: str) -> str:
+    """A name for a working column that no column of df has in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left") -> DataFrame:
-    """Join rows to groups (one row per key, with the number of its rows in column `size`).
+    """Join rows to groups (one row per key, with the number of its rows in column `size`); inner or left.
 
-    Groups over HOT_SHARE of the sum of sizes number at most 1 / HOT_SHARE by counting, so they are broadcast; their
-    rows never meet in one task. All other groups go through a shuffle join. Rows whose key is null match nothing.
-    `groups` is read several times and should be a written table; column `size` is not part of the result.
+    Groups over HOT_SHARE of the sum of sizes number at most 1 / HOT_SHARE by counting, so they are broadcast and
+    their rows are not shuffled. All others go through a shuffle join; those with more than GROUP_ROWS rows are dealt
+    by a hash of the row to slots of about GROUP_ROWS. How many slots a key has stands in a table by buckets of keys,
+    BUCKETS rows at most, and groups are repeated for each slot of their bucket.
+    Rows whose key is null match nothing. `groups` is read several times and should be a written table; column `size` is not part of the result.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    cut = F.col(size) > F.lit(int(total * HOT_SHARE))
-    hot, cold = F.broadcast(groups.where(cut).drop(size)), groups.where(~cut).drop(size)
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    cut = F.col(size) > F.lit(int((total or 0) * HOT_SHARE))
+    hot, cold = F.broadcast(groups.where(cut).drop(size)), groups.where(~cut)
     of_hot = rows.join(hot, keys, "inner")
     rest = rows.join(F.broadcast(groups.where(cut).select(*keys)), keys, "left_anti")
-    return of_hot.unionByName(rest.join(cold, keys, how))
+    if min(most or 0, (total or 0) * HOT_SHARE) <= GROUP_ROWS:
+        return of_hot.unionByName(rest.join(cold.drop(size), keys, how))
+    bucket, slots, slot = own(rows, "_bucket"), own(rows, "_slots"), own(rows, "_slot")
+    at = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    wide = F.broadcast(cold.where(F.col(size) > GROUP_ROWS).groupBy(at.alias(bucket)).agg(F.max(F.ceil(F.col(size) / GROUP_ROWS)).alias(slots)))
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.coalesce(slots, F.lit(1)))
+    dealt = rest.withColumn(bucket, at).join(wide, bucket, "left").withColumn(slot, spread).drop(bucket, slots)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(slots, F.lit(1)).cast("long") - 1))
+    placed = cold.drop(size).withColumn(bucket, at).join(wide, bucket, "left").withColumn(slot, every).drop(bucket, slots)
+    return of_hot.unionByName(dealt.join(placed, [*keys, slot], how).drop(slot))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names in any letter case, so that a result may carry them."""
     low = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
+def column_of(df: DataFrame, name: str) -> Column:
+    """A column by its plain name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")

@@ -78,70 +78,70 @@ def ball(radius: int, blocks: int) -> list[tuple[int, int]]:
 
 
 def _variants(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """word, fp, node: a row for each word of the ball around each fingerprint, in the words' order inside each partition."""
+    """word, fp: a row for each word of the ball around each fingerprint, in the words' order inside each partition."""
     words = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(f).cast("long").alias("f")) for m, f in ball(radius, blocks)])
-    rows = fps.select("fp", "node", F.explode(words).alias("w"))
-    return rows.select(F.col("fp").bitwiseAND(F.col("w.m")).bitwiseXOR(F.col("w.f")).alias("word"), "fp", "node").repartition("word").sortWithinPartitions("word")
+    rows = fps.select("fp", F.explode(words).alias("w"))
+    return rows.select(F.col("fp").bitwiseAND(F.col("w.m")).bitwiseXOR(F.col("w.f")).alias("word"), "fp").repartition("word").sortWithinPartitions("word")
 
 
-def _links_of(fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the verified pairs of one word connect: each node to the first of its class."""
-    fp = fp.view(np.uint64)
+def _links_of(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the verified pairs of one word connect: each fingerprint to the first of its class."""
+    bits = fp.view(np.uint64)
     if len(fp) == 2:
-        good = int(np.bitwise_count(fp[0] ^ fp[1])) <= radius
-        return node[:1][: int(good)], node[1:][: int(good)]
+        good = int(np.bitwise_count(bits[0] ^ bits[1])) <= radius
+        return fp[:1][: int(good)], fp[1:][: int(good)]
     n = len(fp)
     root = np.arange(n)
     while True:
         before = root.copy()
         for at in range(0, n, 256):
-            near = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, :]) <= radius
+            near = np.bitwise_count(bits[at : at + 256, None] ^ bits[None, :]) <= radius
             root[at : at + 256] = np.where(near, root[None, :], n).min(axis=1)
         root = root[root]
         if np.array_equal(root, before):
             break
     moved = np.flatnonzero(root != np.arange(n))
-    return node[root[moved]], node[moved]
+    return fp[root[moved]], fp[moved]
 
 
 def _edges(rows: DataFrame, radius: int, most: int, star: bool) -> DataFrame:
-    """a, b: links between nodes; a row with a = b marks a node of a word that more than `most` fingerprints share.
+    """a, b: links between fingerprints; a row with a = b marks one of a word that more than `most` fingerprints share.
 
     rows come in the order of their words. With star, all that share a word are linked to its first, and only that one is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word: int | None = None  # of the run which the batch before ended in
-        held_fp, held_node, wide = np.empty(0, np.int64), np.empty(0, np.int64), False
+        held, wide = np.empty(0, np.int64), False
 
         def close(a: list, b: list) -> None:
-            nonlocal held_fp, held_node, wide
-            if len(held_fp) > 1 and not star and not wide:
-                x, y = _links_of(held_fp, held_node, radius)
+            nonlocal held, wide
+            if len(held) > 1 and not star and not wide:
+                x, y = _links_of(held, radius)
                 a.append(x)
                 b.append(y)
-            held_fp, held_node, wide = held_fp[:0], held_node[:0], False
+            held, wide = held[:0], False
 
-        def take(fp: np.ndarray, node: np.ndarray, a: list, b: list) -> None:
-            nonlocal held_fp, held_node, wide
+        def take(fp: np.ndarray, a: list, b: list) -> None:
+            nonlocal held, wide
             if star:
-                if not len(held_node):
-                    held_node = node[:1].copy()
-                a.append(np.full(len(node), held_node[0]))
-                b.append(node)
+                if not len(held):
+                    held = fp[:1].copy()
+                a.append(np.full(len(fp), held[0]))
+                b.append(fp)
                 return
             if not wide:
-                held_fp, held_node = np.concatenate([held_fp, fp]), np.concatenate([held_node, node])
-                if len(held_fp) <= most:
+                held = np.concatenate([held, fp])
+                if len(held) <= most:
                     return
-                node, wide, held_fp, held_node = held_node, True, held_fp[:0], held_node[:0]
-            a.append(node)
-            b.append(node)
+                fp, wide, held = held, True, held[:0]
+            a.append(fp)
+            b.append(fp)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, fps, nodes = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            words, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             a: list[np.ndarray] = []
             b: list[np.ndarray] = []
             starts = np.concatenate([[0], np.flatnonzero(words[1:] != words[:-1]) + 1])
@@ -150,8 +150,7 @@ def _edges(rows: DataFrame, radius: int, most: int, star: bool) -> DataFrame:
             if word is not None and words[0] != word:
                 close(a, b)
             for k in [0, *(np.flatnonzero((ends - starts)[1:last] > 1) + 1), *([last] if last else [])]:
-                s, e = starts[k], ends[k]
-                take(fps[s:e], nodes[s:e], a, b)
+                take(fps[starts[k] : ends[k]], a, b)
                 if k < last:
                     close(a, b)
             word = words[-1]
@@ -172,34 +171,31 @@ def _edges(rows: DataFrame, radius: int, most: int, star: bool) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, blocks: int = BLOCKS, max_pairwise: int = MAX_PAIRWISE) -> DataFrame:
     """doc_id, fp, component_id for every row of docs; component_id is the smallest id reachable by links.
 
-    Fingerprints are linked when they differ in at most `radius` bits. Equal fingerprints are one node, the smallest
-    id among them, so copies cost nothing; no pairs of documents are made, only links that connect their classes.
+    Fingerprints are linked when they differ in at most `radius` bits. The graph's nodes are distinct fingerprints, so
+    copies cost nothing and ids may repeat; no pairs of documents are made, only links that connect fingerprints.
 
-    Defined results: a null text counts as empty; texts without words have fingerprint 0 and link like any other;
-    rows without an id get a fingerprint, take no part in linking and have a null component_id; repeated rows give
-    repeated result rows; other columns are ignored; an empty table gives an empty table.
+    Defined results: a null text counts as empty; texts without words have fingerprint 0 and link like any other; each
+    row is placed by its own text, so rows of one id may lie in several components; rows without an id link like any
+    other, and a component of such rows only has a null component_id; repeated rows give repeated result rows;
+    other columns are ignored; an empty table gives an empty table.
     """
     found = shared.written(fingerprints(docs, id_col, text_col, width), "simhash-fps")
-    fps = shared.written(found.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    fps = shared.written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     edges = shared.written(_edges(_variants(fps, radius, blocks), radius, max_pairwise, False), "simhash-links")
-    dense = edges.where("a = b").select(F.col("a").alias("node"))
+    dense = edges.where("a = b").select(F.col("a").alias("fp"))
     links = edges.where("a <> b")
     if not dense.isEmpty():
-        crowded = fps.join(dense, "node", "left_semi")
+        crowded = fps.join(dense, "fp", "left_semi")
         links = links.unionByName(_edges(_variants(crowded, radius, 1), radius, max_pairwise, True))
-    roots = components.connected(links)
-    classes = fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"), "n")
-    classes = shared.written(classes, "simhash-classes")
-    with_id = shared.join_groups(found.where("doc_id IS NOT NULL"), classes, ["fp"], "n").select("doc_id", "fp", "component_id")
-    return with_id.unionByName(found.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long")))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; rows without an id stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    roots = components.connected(links).withColumnRenamed("node", "fp")
+    placed = shared.written(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-placed")
+    least = shared.written(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "simhash-least")
+    classes = shared.join_groups(placed.select("fp", "root", "n"), least, ["root"], "size").select("fp", "component_id", "n")
+    classes = shared.written(classes, "simhash-classes", placed, least)
+    return shared.join_groups(found, classes, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates() of the whole documents table; null and repeated rows as defined there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

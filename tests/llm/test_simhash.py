@@ -31,13 +31,13 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][0] is not None and rows[j][0] is not None and (prints[i] ^ prints[j]).bit_count() <= 4:
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
                 root[find(i)] = find(j)
     least = {}
     for i, (doc, *_) in enumerate(rows):
         if doc is not None:
             least[find(i)] = min(doc, least.get(find(i), doc))
-    return sorted(((d, p - (1 << 64) if p >> 63 else p, least.get(find(i)) if d is not None else None) for i, ((d, *_), p) in enumerate(zip(rows, prints, strict=True))), key=str)
+    return sorted(((d, p - (1 << 64) if p >> 63 else p, least.get(find(i))) for i, ((d, *_), p) in enumerate(zip(rows, prints, strict=True))), key=str)
 
 
 def texts(n):
@@ -55,7 +55,8 @@ def texts(n):
 @pytest.mark.parametrize("options", [{}, {"blocks": 1}, {"max_pairwise": 2}])
 def test_matches_brute_force(spark, options):
     rows = [(k * 3 % 251, t, "clash") for k, t in enumerate(texts(150))]
-    rows += [(900, None, ""), (901, "", ""), (902, "A\tB  c\x0bD É", ""), (902, "a b c d É", ""), (None, "a b c d É", "")]
+    rows += [(900, None, ""), (901, "", ""), (902, "A\tB  c\x0bD É", ""), (902, "a b c d É", ""), (None, "a b c d É", ""), (None, "alone " * 9, "")]
+    rows += [(7, " ".join(f"p{k}" for k in range(50)), ""), (7, " ".join(f"q{k}" for k in range(50)), ""), (3, " ".join(f"p{k}" for k in range(50)), ""), (9999, "word " * 400_000, "")]  # one id, two texts; a long text
     df = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string"), **options)
     assert sorted((tuple(r) for r in df.select("doc_id", "fp", "component_id").collect()), key=str) == brute(rows)
 
@@ -73,12 +74,23 @@ def test_ball_sizes_and_cover():
         assert {(a & m) ^ f for m, f in masks} & {(b & m) ^ f for m, f in masks}
 
 
-def test_empty_and_one_of_each(spark):
-    schema = "doc_id long, text string, lang string"
-    assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
-    rows = [(5, "same words here today", "en"), (2, "same words here today", "de"), (9, "other", "fr"), (None, "same words here today", "en")]
-    kept = simhash.one_of_each(spark.createDataFrame(rows, schema))
-    assert sorted(kept.collect(), key=str) == sorted(spark.createDataFrame([rows[1], rows[2], rows[3]], schema).collect(), key=str)
+def test_empty(spark):
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_one_id_with_two_texts_joins_no_groups(spark):
+    one, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, one), (5, other), (2, one), (3, other)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(2, 2), (3, 3), (5, 2), (5, 3)]
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = simhash.op3_simhash(spark, folder).collect()
+    want = [(d, f"{p & (1 << 64) - 1:016x}", c) for d, p, c in brute(rows)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_components(spark):
