@@ -1,4 +1,9 @@
-"""Exact document deduplication by content hash and byte comparison, in DataFrame functions only."""
+"""Exact document deduplication by content hash and byte comparison, in DataFrame functions only.
+
+Hashes and ids alone are shuffled to count hashes. A bitmap of the hashes seen twice or more, of bounded size, then
+goes to all tasks; rows that it does not hold are unique and stay where they are. Only the others bring their text, are
+grouped by hash and bytes, and learn the class that they belong to.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,10 @@ from pyspark.sql import functions as F
 from . import shared
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
+#: Bits of one part of the bitmap (Spark's size), bits for each repeated hash, and parts at most: 16 MB in all. With more repeated hashes than that is made for, more unique rows go the longer way.
+PART_BITS = 1 << 15
+BITS_EACH = 64
+MAX_PARTS = 1 << 12
 
 
 def content_hash(text: Column) -> Column:
@@ -17,42 +26,75 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _bitmap(hashes: DataFrame, parts: int) -> DataFrame:
+    """part, bits: a bit for every value of column h, at most `parts` rows of PART_BITS bits."""
+    at = F.pmod(F.xxhash64("h"), F.lit(parts * PART_BITS))
+    return hashes.groupBy(F.floor(at / PART_BITS).cast("int").alias("part")).agg(F.bitmap_construct_agg((at % PART_BITS).cast("int")).alias("bits"))
+
+
+def _seen(rows: DataFrame, bitmap: DataFrame, parts: int, hashed: str, name: str) -> DataFrame:
+    """rows with `name`: whether the bitmap holds their hash."""
+    part, bits = shared.own(rows, "_part"), shared.own(rows, "_bits")
+    at = F.pmod(F.xxhash64(hashed), F.lit(parts * PART_BITS))
+    place = (at % PART_BITS).cast("int")
+    joined = rows.withColumn(part, F.floor(at / PART_BITS).cast("int")).join(F.broadcast(bitmap.withColumnsRenamed({"part": part, "bits": bits})), part, "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.expr(f"shiftright({shared.own(rows, '_byte')}, pmod(cast({shared.own(rows, '_place')} as int), 8))").bitwiseAND(F.lit(1)) == 1
+    joined = joined.withColumn(shared.own(rows, "_byte"), byte).withColumn(shared.own(rows, "_place"), place)
+    return joined.withColumn(name, F.coalesce(held, F.lit(False))).drop(part, bits, shared.own(rows, "_byte"), shared.own(rows, "_place"))
+
+
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
     """Every row of docs with keep_id, group_size, kept and text_sha256.
 
     Rows are grouped by a 128-bit hash and, inside it, by the text's bytes, so that texts whose hashes collide stay
-    apart. Grouping combines copies before the shuffle; only classes of two or more rows are joined back, the
-    largest of them by broadcast. keep="max" keeps the row with the largest id, "min" the smallest.
+    apart. keep="max" keeps the row with the largest id, "min" the smallest. Copies are combined before the shuffle,
+    and rows learn their class by broadcast where it is large.
 
-    Defined results: a null text counts as empty and empty texts are equal; rows of one id and text (repeated rows)
-    share their decision and count in group_size; a null id is never chosen while another id is there, and rows of
-    a class with only null ids all stay; input columns named like a result column are replaced; an empty table gives an empty table.
+    Defined results: a null text counts as empty and empty texts are equal; exactly one row of each class stays, of
+    several rows of one id or of rows without an id only one of them; a null id is never chosen while another id is
+    there; all rows count in group_size; input columns named like a result column are replaced; an empty table gives an empty table.
     """
-    chosen = {"max": F.max, "min": F.min}[keep]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = shared.without(docs, *RESULT, "_hash").withColumn("_hash", hash_of(text)).withColumn("text_sha256", F.sha2(text, 256))
-    classes = (
-        docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-        .groupBy(hash_of(F.col("_text")).alias("_hash"), "_text")
-        .agg(chosen("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-        .select("_hash", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size", F.lit(True).alias("_copied"))
-    )
-    classes = shared.written(classes.withColumn("_n", F.col("group_size")), "exact-classes")
-    joined = shared.join_groups(rows, classes, ["_hash", "text_sha256"], "_n")
-    copied = F.coalesce(F.col("_copied"), F.lit(False))
-    return joined.withColumn("keep_id", F.when(copied, F.col("keep_id")).otherwise(F.col(id_col))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).drop("_hash", "_copied")
+    if keep not in ("max", "min"):
+        raise ValueError(f"keep: {keep}")
+    docs = shared.without(docs, *RESULT)
+    hashed, row, seen = shared.own(docs, "_hash"), shared.own(docs, "_row"), shared.own(docs, "_seen")
+    ident, text = shared.column_of(docs, id_col), F.coalesce(shared.column_of(docs, text_col), F.lit(""))
+    repeated = docs.select(hash_of(text).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    repeated = shared.written(repeated, "exact-repeated")
+    need = -(-repeated.count() * BITS_EACH // PART_BITS)
+    parts = min(MAX_PARTS, 1 << max(0, need - 1).bit_length())
+    bitmap = shared.written(_bitmap(repeated, parts), "exact-bitmap", repeated)
+
+    rows = _seen(docs.withColumn(hashed, hash_of(text)), bitmap, parts, hashed, seen)
+    unique = rows.where(~F.col(seen)).drop(seen, hashed)
+    unique = unique.withColumns({"keep_id": ident, "group_size": F.lit(1).cast("long"), "kept": F.lit(True), "text_sha256": F.sha2(text, 256)})
+
+    others = shared.written(rows.where(F.col(seen)).drop(seen).withColumn(row, F.monotonically_increasing_id()), "exact-rows")
+    rank = F.struct((ident.isNotNull() if keep == "max" else ident.isNull()).alias("a"), ident.alias("id"), F.col(row).alias("row"))
+    classes = others.groupBy(hashed, text.alias("_text")).agg((F.max if keep == "max" else F.min)(rank).alias("best"), F.count(F.lit(1)).alias("n"))
+    classes = shared.written(classes.withColumn("sha", F.sha2("_text", 256)), "exact-classes")
+    by_hash = classes.groupBy(hashed).agg(F.count(F.lit(1)).alias("texts"), F.first("best").alias("best"), F.first("n").alias("n"), F.first("sha").alias("sha"), F.sum("n").alias("size"))
+    by_hash = shared.written(by_hash.select(hashed, "texts", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size"), F.col("sha").alias("text_sha256"), "size"), "exact-hashes")
+    placed = shared.join_groups(others, by_hash.where("texts = 1").drop("texts"), [hashed], "size", "inner")
+    split = by_hash.where("texts > 1").select(hashed)
+    if not split.isEmpty():  # hashes that collide: their rows find their class by the bytes
+        apart = classes.join(split, hashed, "left_semi").select(hashed, "_text", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size"), F.col("sha").alias("text_sha256"), F.col("n").alias("size"))
+        placed = placed.unionByName(shared.join_groups(others.withColumn("_text", text), shared.written(apart, "exact-apart"), [hashed, "_text"], "size", "inner").drop("_text"))
+    placed = placed.withColumn("kept", F.col(row) == F.col("keep_row")).drop(hashed, row, "keep_row")
+    return unique.unionByName(placed)
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with their own columns (those named like a result column excepted)."""
+    """One row of docs of each class of equal texts, with their own columns (those named like a result column excepted)."""
     marked = mark_duplicates(docs, id_col, text_col, keep)
-    return marked.where("kept").select(*shared.without(docs, *RESULT).columns)
+    return marked.where("kept").select(*[shared.column_of(docs, c) for c in shared.without(docs, *RESULT).columns])
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """mark_duplicates() of the whole documents table, the largest doc_id of equal texts staying; edge cases as defined there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mark_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return mark_duplicates(docs.select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP6_SQL = """

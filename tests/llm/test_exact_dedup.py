@@ -5,17 +5,24 @@ import random
 
 from pyspark.sql import functions as F
 
-from echograin.llm import exact_dedup
+from echograin.llm import exact_dedup, shared
 
 SCHEMA = "doc_id long, text string, lang string, keep_id string"
 
 
 def brute(rows):
     groups = {}
+    for k, (doc, text, *_) in enumerate(rows):
+        groups.setdefault(text or "", []).append((doc is not None, doc or 0, k))
+    out, taken = [], set()
     for doc, text, *_ in rows:
-        groups.setdefault(text or "", []).append(doc)
-    keep = {t: max((d for d in ids if d is not None), default=None) for t, ids in groups.items()}
-    return sorted(((d, keep[t or ""], len(groups[t or ""]), d == keep[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in rows), key=str)
+        _, _, best = max(groups[text or ""])
+        keep = rows[best][0]
+        kept = doc == keep and (text or "") not in taken  # one row of each class
+        if kept:
+            taken.add(text or "")
+        out.append((doc, keep, len(groups[text or ""]), kept, hashlib.sha256((text or "").encode()).hexdigest()))
+    return sorted(out, key=str)
 
 
 def check(spark, rows, **options):
@@ -49,3 +56,27 @@ def test_drop_keeps_columns(spark):
     kept = exact_dedup.drop_duplicates(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "lang"]
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
+def test_clashing_names_stay(spark):
+    rows = [(1, "a", "u", "v", "w", 1), (2, "a", "u2", "v2", "w2", 2), (3, "b", "u3", "v3", "w3", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash string, _copied string, _Row string, _part int")
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[1], rows[2]]
+
+
+def test_smallest_id_and_large_groups_in_slots(spark, monkeypatch):
+    monkeypatch.setattr(shared, "GROUP_ROWS", 7)
+    monkeypatch.setattr(shared, "HOT_SHARE", 0.5)
+    rows = [(k, f"t{k % 40 if k % 3 else 0}", None, None) for k in range(900)]
+    kept = exact_dedup.drop_duplicates(spark.createDataFrame(rows, SCHEMA), keep="min")
+    first = {}
+    for k, text, *_ in rows:
+        first.setdefault(text, k)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+
+
+def test_no_python_in_the_plan(spark):
+    plan = exact_dedup.drop_duplicates(spark.createDataFrame([(k, f"t{k}", "", "") for k in range(50)], SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
