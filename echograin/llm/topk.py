@@ -1,13 +1,13 @@
 """Exact top-k search by inner product: the three-phase uniform threshold method on dimension blocks.
 
-A score is the sum of m partial scores, one per block of dimensions, so each block is a list of partial scores. Rows
-are dealt to chunks and queries to blocks; each pair of a chunk and a query block is one unit of work.
-
-1. Every chunk gathers, from each list, its best k entries for each query, and resolves these few. The k-th best of
-   all chunks' entries is a safe cutoff: at least k candidates reach it.
-2. The cutoffs go out with the queries. A candidate that reaches cutoff c must reach c / m in at least one list, so only
-   entries of that partial score are collected.
-3. Partial scores of what remains are completed, those under the cutoff are dropped, and the best k are ranked.
+A score is the sum of m partial scores, one per block of dimensions; so each block is a list of partial scores, and a
+list's rows lie in chunks. Lists, chunks and blocks of queries are dealt to tasks.
+
+1. Every chunk of every list gathers its own best entries for each query; it sees its own dimensions only. The best k
+   of each whole list are scored in full: a few rows per query, the k-th best of which is a safe cutoff.
+2. The cutoff c goes out with the queries. A row that reaches c reaches c / m in some list, so these entries are
+   sufficient. What phase 1 gathered has them all where its last entry is below c / m; only other chunks look deeper.
+3. The full scores of sufficient entries, and of no other pairs, are computed; those that reach c are ranked.
 """
 
 from __future__ import annotations
@@ -25,145 +25,212 @@ from . import shared
 K = 20
 EVERY = 20
 SCALE = 64
-CHUNK_ROWS = 4096
-QUERY_BLOCK = 1024
+#: Rows of a chunk and queries of a block at most; the least rows of a chunk when there are more cores than full chunks.
+CHUNK_ROWS = 1 << 14
+QUERY_BLOCK = 1 << 13
+LEAST_ROWS = 1 << 10
 LISTS = 2
+#: Queries whose partial scores with a chunk are held at once.
+SLICE = 256
 #: Whole numbers up to here are exact in a double.
 EXACT = 1 << 53
+LOWEST = -(1 << 63)
+_UNIT = ["block", "chunk"]
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, v: whole components floor(scale * x), as longs. Vectors that are null, empty of an id, or hold a null or non-finite component are left out; of rows with one id the smallest vector stays."""
+    """vec_id, v: whole components floor(scale * x), as longs. Vectors that are null, without an id, or hold a null or non-finite component are left out; rows of one id stay apart."""
     v = F.col(vector_col).cast("array<double>")
     fine = v.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int, number: str, ids: str, data: str) -> tuple[DataFrame, int]:
-    """The rows dealt by hash of their ids to blocks of about `size` rows: a block's number, its ids and its vectors; and how many there are."""
-    count = max(1, math.ceil(rows.count() / size))
-    return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias(number)).agg(F.collect_list("vec_id").alias(ids), F.collect_list("v").alias(data)), count
+def _dealt(rows: DataFrame, size: int, number: str, prefix: str, least: int = 1) -> tuple[DataFrame, int]:
+    """rows (row, vec_id, v) in groups of about `size`, at least about `least` groups: number, and their keys, ids and vectors; and how many groups there are."""
+    count = max(1, math.ceil(rows.count() / size), least)
+    grouped = rows.groupBy(F.pmod(F.xxhash64("row"), F.lit(count)).alias(number)).agg(F.sort_array(F.collect_list(F.struct("row", "vec_id", "v"))).alias("_r"))
+    return grouped.select(number, F.col("_r.row").alias(f"{prefix}rows"), F.col("_r.vec_id").alias(f"{prefix}ids"), F.col("_r.v").alias(f"{prefix}data")), count
 
 
-def _matrix(vectors: pa.ListScalar) -> np.ndarray:
+def _matrix(vectors: pa.ListScalar, dims: int = 0) -> np.ndarray:
     """Vectors as rows; components that shorter ones lack are zero."""
     lists = vectors.values
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-    data = np.zeros((len(lengths), max(1, int(lengths.max(initial=0)))), np.int64)
+    data = np.zeros((len(lengths), max(dims, int(lengths.max(initial=0)))), np.int64)
     data[np.arange(data.shape[1]) < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
     return data
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Of each unit: query ids, row ids, query vectors, row vectors, and the batch's other columns."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = [batch.column(c)[k] for c in range(batch.num_columns)]
-            yield row[0].values.to_numpy(zero_copy_only=False), row[1].values.to_numpy(zero_copy_only=False), _matrix(row[2]), _matrix(row[3]), [x.as_py() for x in row[4:]]
+def _ints(value: pa.ListScalar) -> np.ndarray:
+    return value.values.to_numpy(zero_copy_only=False)
 
 
-def _partials(rows: np.ndarray, queries: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Partial scores (query, row) of each block of dimensions; in doubles where these are exact, else in longs."""
-    dims = min(rows.shape[1], queries.shape[1])
-    cuts = [dims * k // lists for k in range(lists + 1)]
-    bound = dims * max(1, int(np.abs(rows).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0)))
-    kind = np.float64 if bound < EXACT else np.int64
-    return [queries[:, a:b].astype(kind) @ rows[:, a:b].astype(kind).T for a, b in zip(cuts, cuts[1:], strict=False)]
+def _exact_kind(rows: np.ndarray, queries: np.ndarray) -> type:
+    """Doubles where all products and sums are exact in them, else longs."""
+    bound = rows.shape[1] * max(1, int(np.abs(rows).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0)))
+    return np.float64 if bound < EXACT else np.int64
 
 
-def _entries(query_ids: np.ndarray, ids: np.ndarray, q: np.ndarray, r: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-    own = query_ids[q] == ids[r]
-    q, r = q[~own], r[~own]
-    return pa.record_batch([pa.array(query_ids[q]), pa.array(ids[r]), pa.array(total[q, r].astype(np.int64))], names=["query_id", "vec_id", "score"])
+def _partial(queries: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Partial scores of SLICE queries at a time with all rows: number of the first query, and the matrix."""
+    dims = min(queries.shape[1], rows.shape[1])
+    queries, rows = queries[:, :dims], rows[:, :dims]
+    kind = _exact_kind(rows, queries)
+    turned = np.ascontiguousarray(rows.astype(kind).T)
+    for at in range(0, len(queries), SLICE):
+        yield at, queries[at : at + SLICE].astype(kind) @ turned
 
 
-def _best(total: np.ndarray, ids: np.ndarray, keep: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (query, row) of the best k kept scores of each query, ties to the smaller id, with one more for the query itself."""
-    q, r = np.nonzero(keep)
-    order = np.lexsort((ids[r], -total[q, r], q))
-    q, r = q[order], r[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    return q[place <= k], r[place <= k]
-
-
-def _local_lists(k: int, lists: int):
-    """Phase 1 of a unit: scores of what is among the best k of any list."""
+def _gather(depth: int):
+    """Phase 1 of a list's chunk: for each query its best `depth` rows, their partial scores, and the last one of them (LOWEST if no row is left out)."""
+    names = [*_UNIT, "list", "q_row", "rows", "parts", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for query_ids, ids, queries, rows, (block,) in _units(batches):
-            parts = _partials(rows, queries, lists)
-            total, seen = sum(parts), np.zeros(parts[0].shape, bool)
-            for part in parts:
-                most = min(k, part.shape[1])
-                np.put_along_axis(seen, np.argpartition(-part, most - 1, axis=1)[:, :most], True, axis=1)
-            entries = _entries(query_ids, ids, *_best(total, ids, seen, k), total)
-            yield entries.append_column("block", pa.array(np.full(entries.num_rows, block, np.int64)))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, chunk, number = (batch.column(c)[k].as_py() for c in range(3))
+                q_rows, rows = _ints(batch.column(3)[k]), _ints(batch.column(5)[k])
+                for at, part in _partial(_matrix(batch.column(4)[k]), _matrix(batch.column(6)[k])):
+                    most = min(depth, part.shape[1])
+                    best = np.argpartition(-part, most - 1, axis=1)[:, :most]
+                    value = np.take_along_axis(part, best, axis=1).astype(np.int64)
+                    last = value.min(axis=1) if most < part.shape[1] else np.full(len(part), LOWEST)
+                    ends = pa.array(np.arange(len(part) + 1) * most, pa.int32())
+                    n = len(part)
+                    yield pa.record_batch([
+                        pa.array([block] * n, pa.int64()), pa.array([chunk] * n, pa.int64()), pa.array([number] * n, pa.int32()), pa.array(q_rows[at : at + n]),
+                        pa.ListArray.from_arrays(ends, pa.array(rows[best].ravel())), pa.ListArray.from_arrays(ends, pa.array(value.ravel())), pa.array(last),
+                    ], names=names)
 
     return run
 
 
-def _sufficient(k: int, lists: int):
-    """Phases 2 and 3 of a unit: entries that reach their share of the cutoff in a list, completed, and kept if they reach the cutoff."""
+_GATHERED = "block long, chunk long, list int, q_row long, rows array<long>, parts array<long>, last long"
+
+
+def _resolve(k: int, lists: int, deeper: bool):
+    """Full scores of listed pairs of a unit; `deeper` first adds the pairs of lists which phase 1 did not gather to the cutoff.
+
+    Columns of the unit: query keys, ids and vectors, row keys, ids and vectors, and the asked: structs of q_row,
+    list, rows, need (least partial score), cutoff and open (whether to look deeper). resolved counts the pairs scored for the query here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for query_ids, ids, queries, rows, (asked, cutoffs) in _units(batches):
-            known = dict(zip(asked or (), cutoffs or (), strict=True))
-            cutoff = np.array([known.get(i, -math.inf) for i in query_ids.tolist()])
-            parts = _partials(rows, queries, lists)
-            share = (cutoff / lists)[:, None]
-            reached = parts[0] >= share
-            for part in parts[1:]:
-                reached |= part >= share
-            q, r = np.nonzero(reached)
-            total = np.full(reached.shape, -math.inf) if parts[0].dtype == np.float64 else np.full(reached.shape, np.iinfo(np.int64).min)
-            total[q, r] = sum(part[q, r] for part in parts)
-            yield _entries(query_ids, ids, *_best(total, ids, reached & (total >= cutoff[:, None]), k), total)
+        for batch in batches:
+            for unit in range(batch.num_rows):
+                q_rows, q_ids, q_data, rows, ids, data, asked = (batch.column(c)[unit] for c in range(7))
+                q_rows, q_ids, rows, ids = _ints(q_rows), _ints(q_ids), _ints(rows), _ints(ids)
+                queries, vectors = _matrix(q_data), _matrix(data)
+                asked = asked.values
+                of = {n: asked.field(n) for n in ("q_row", "list", "rows", "need", "cutoff", "open")}
+                q_at = np.searchsorted(q_rows, of["q_row"].to_numpy(zero_copy_only=False))
+                counts = of["rows"].value_lengths().to_numpy(zero_copy_only=False)
+                pairs = [np.stack([np.repeat(q_at, counts), np.searchsorted(rows, of["rows"].flatten().to_numpy(zero_copy_only=False))])]
+                cutoff = np.full(len(q_rows), LOWEST)
+                cutoff[q_at] = of["cutoff"].to_numpy(zero_copy_only=False)
+                dims = min(queries.shape[1], vectors.shape[1])
+                if deeper:
+                    number, need, still = (of[n].to_numpy(zero_copy_only=False) for n in ("list", "need", "open"))
+                    for j in range(lists):
+                        some = np.flatnonzero(still.astype(bool) & (number == j))
+                        low, high = dims * j // lists, dims * (j + 1) // lists
+                        for at, part in _partial(queries[q_at[some], low:high], vectors[:, low:high]):
+                            q, r = np.nonzero(part >= need[some][at : at + len(part), None])
+                            pairs.append(np.stack([q_at[some][at + q], r]))
+                q, r = np.unique(np.concatenate(pairs, axis=1), axis=1)
+                keep = q_rows[q] != rows[r]
+                q, r = q[keep], r[keep]
+                score = np.empty(len(q), np.int64)
+                for at in range(0, len(q), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    score[part] = np.einsum("ij,ij->i", queries[q[part], :dims], vectors[r[part], :dims])
+                resolved = np.bincount(q, minlength=len(q_rows))
+                good = score >= cutoff[q]
+                q, r, score = q[good], r[good], score[good]
+                order = np.lexsort((ids[r], -score, q))
+                q, r, score = q[order], r[order], score[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, r, score = q[best], r[best], score[best]
+                yield pa.record_batch([pa.array(q_rows[q]), pa.array(q_ids[q]), pa.array(ids[r]), pa.array(score), pa.array(resolved[q])], names=["q_row", "query_id", "vec_id", "score", "resolved"])
 
     return run
 
 
+_RESOLVED = "q_row long, query_id long, vec_id long, score long, resolved long"
+
+
 def _ranked(entries: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     return entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of `vectors` for each row of `queries` (both vec_id, v as from quantised).
+def top_k(vectors: DataFrame, asks: str, k: int = K, lists: int = LISTS, depth: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of `vectors` (vec_id, v as from quantised) for each row of it that fulfils `asks`, and resolved, the pairs scored in full where the row was found.
+
+    A query's own row is no candidate; other rows of its id are, and each row of a repeated query id is a query of its
+    own. Ties go to the smaller vec_id. Fewer candidates than k give fewer rows; empty tables give none; components that
+    one of two vectors lacks count as zero. Scores are whole numbers and must fit 64 bits. depth: entries that a chunk of a list gathers at first.
 
-    A query's own id is no candidate; ties go to the smaller vec_id. Fewer candidates than k give fewer rows; empty
-    tables give none. Scores are exact as 64-bit whole numbers and wrap beyond them. Every unit of work holds a chunk
-    of rows and a block of queries of fixed size; units are made by an equal join on the query block's number, to
-    which each chunk is dealt once, so work is rows times queries and shuffled data that divided by the block size.
+    All pairs of a query and a row are looked at, list by list. A unit of work holds at most about CHUNK_ROWS rows and
+    QUERY_BLOCK queries; rows are copied once per query block and queries once per chunk, so shuffled data is the work over the size of a unit.
     """
-    chunks, _ = _blocks(vectors, CHUNK_ROWS, "chunk", "ids", "data")
-    blocks, count = _blocks(queries, QUERY_BLOCK, "block", "q_ids", "q_data")
-    slots = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
-    dealt = shared.written(chunks, "topk-chunks").withColumn("slot", F.pmod("chunk", F.lit(slots))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>")))
-    blocks = shared.written(blocks, "topk-queries")
-    every_slot = F.explode(F.sequence(F.lit(0), F.lit(slots - 1)).cast("array<long>")).alias("slot")
-
-    local = dealt.join(blocks.select("*", every_slot), ["block", "slot"]).select("q_ids", "ids", "q_data", "data", "block")
-    local = local.mapInArrow(_local_lists(k, lists), "query_id long, vec_id long, score long, block long")
-    cutoffs = _ranked(local, k).where(F.col("rank") == k).groupBy("block").agg(F.collect_list("query_id").alias("asked"), F.collect_list("score").alias("cutoffs"))
-    informed = blocks.join(shared.written(cutoffs, "topk-cutoffs"), "block", "left").select("*", every_slot)
-    found = dealt.join(informed, ["block", "slot"]).select("q_ids", "ids", "q_data", "data", "asked", "cutoffs")
-    found = found.mapInArrow(_sufficient(k, lists), "query_id long, vec_id long, score long")
-    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    vectors = shared.written(vectors.select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
+    cores = spark.sparkContext.defaultParallelism
+    n = vectors.count()
+    chunks, n_chunks = _dealt(vectors, CHUNK_ROWS, "chunk", "", min(2 * cores, n // LEAST_ROWS))
+    blocks, n_blocks = _dealt(vectors.where(asks), QUERY_BLOCK, "block", "q_")
+    chunks, blocks = shared.written(chunks, "topk-chunks"), shared.written(blocks, "topk-queries")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    width = chunks.select(F.max(F.array_max(F.transform("data", lambda v: F.size(v)))).alias("w")).first()["w"] or 0
+
+    def of_list(j: int, data: str):
+        low, high = width * j // lists, width * (j + 1) // lists
+        return F.transform(data, lambda v: F.slice(v, low + 1, F.lit(high - low)))
+
+    def lists_of(df: DataFrame, kept: list[str], data: str) -> DataFrame:
+        numbered = F.explode(F.array(*[F.struct(F.lit(j).alias("list"), of_list(j, data).alias(data)) for j in range(lists)])).alias("_l")
+        return df.select(*kept, numbered).select(*kept, "_l.*")
+
+    left = lists_of(blocks, ["block", "q_rows"], "q_data").withColumn("chunk", each(n_chunks))
+    right = lists_of(chunks, ["chunk", "rows"], "data").withColumn("block", each(n_blocks))
+    units = left.join(right.hint("shuffle_hash"), [*_UNIT, "list"]).select(*_UNIT, "list", "q_rows", "q_data", "rows", "data")
+    gathered = shared.written(units.mapInArrow(_gather(depth or 2 * k), _GATHERED), "topk-gathered")
+
+    entries = gathered.select(*_UNIT, "list", "q_row", F.explode(F.arrays_zip("rows", "parts")).alias("_e")).select(*_UNIT, "list", "q_row", "_e.rows", "_e.parts")
+    order = Window.partitionBy("q_row", "list").orderBy(F.desc("parts"), "rows")
+    firsts = entries.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).groupBy(*_UNIT, "q_row", "list").agg(F.collect_list("rows").alias("rows"))
+    firsts = firsts.withColumns({"need": F.lit(LOWEST), "cutoff": F.lit(LOWEST), "open": F.lit(False)})
+
+    def scored(asked: DataFrame, deeper: bool) -> DataFrame:
+        asked = asked.groupBy(*_UNIT).agg(F.collect_list(F.struct("q_row", "list", "rows", "need", "cutoff", "open")).alias("asked"))
+        both = asked.join(blocks.withColumn("chunk", each(n_chunks)).hint("shuffle_hash"), _UNIT).join(chunks.withColumn("block", each(n_blocks)).hint("shuffle_hash"), _UNIT)
+        return both.select("q_rows", "q_ids", "q_data", "rows", "ids", "data", "asked").mapInArrow(_resolve(k, lists, deeper), _RESOLVED)
+
+    cutoffs = _ranked(scored(firsts, False), k).groupBy("q_row").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("cutoff"))
+    cutoffs = shared.written(cutoffs.where("cutoff IS NOT NULL"), "topk-cutoffs")
+    known = gathered.join(cutoffs, "q_row", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(LOWEST)))
+    share = F.expr(f"cutoff div {lists} + IF(cutoff > 0 AND cutoff % {lists} <> 0, 1, 0)")  # rounded up
+    low = F.when(F.col("cutoff") == F.lit(LOWEST), F.col("cutoff")).otherwise(share)
+    known = known.withColumn("need", low).withColumn("open", (F.col("last") >= F.col("need")) & (F.col("last") != F.lit(LOWEST)))
+    known = known.withColumn("rows", F.transform(F.filter(F.arrays_zip("rows", "parts"), lambda e: e["parts"] >= F.col("need")), lambda e: e["rows"]))
+    found = scored(known.where(F.col("open") | (F.size("rows") > 0)), True)
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score", "resolved")
 
 
 def op9_topk(spark, sf_dir: str) -> DataFrame:
-    vectors = shared.written(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "topk-vectors")
-    return top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
+    """The K best of all other rows for every row of embeddings whose id is divisible by EVERY; edge cases as in quantised() and top_k()."""
+    vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return top_k(vectors, f"vec_id % {EVERY} = 0").select("query_id", "rank", "vec_id", "score")
 
 
 OP9_SQL = """
 WITH v AS (
-    SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+    SELECT vec_id, row_number() OVER () AS row, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains([x IS NULL OR NOT isfinite(x) FOR x IN embedding], true)
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
-), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
