@@ -32,3 +32,50 @@ def test_hard_wrapped_notices(classifier):
     assert confirmed(classifier, gpl) == {(2, 3, "gpl")}
     assert confirmed(classifier, bsd) == {(0, 1, "bsd")}
     assert confirmed(classifier, mit) == {(0, 1, "mit")}
+
+
+def test_two_notices_in_one_line(classifier):
+    assert confirmed(classifier, "Released under the MIT License. Licensed under the Apache License, Version 2.0.") == {(0, 0, "mit"), (0, 0, "apache")}
+    assert [f[2] for f in classifier.find_all(["All rights reserved. All rights reserved."])] == ["proprietary"] * 2
+
+
+def test_wrapped_and_bare_names(classifier):
+    assert confirmed(classifier, "This work is licensed under the GNU General Public\nLicense, version 3.") == {(0, 1, "gpl")}
+    for text, family in {"License: MIT": "mit", "distributed under GPL v3": "gpl", "GPL v2 only": "gpl", "GNU Lesser General Public License, version 2.1": "lgpl", "Apache License 2.0": "apache"}.items():
+        assert confirmed(classifier, text) == {(0, 0, family)}
+
+
+def test_whole_licence_text_is_one_notice(classifier):
+    text = "\n".join(licenses.TEMPLATES["mit"][7][k : k + 70] for k in range(0, 420, 70))
+    assert {f[2] for f in classifier.find_all(text.split("\n"))} == {"mit"}
+
+
+def test_calibration_is_measured(classifier):
+    assert 0 < classifier.calibration_error < 0.2 and 0.1 < classifier.temperature < 10
+
+
+def test_windows_without_ngrams_are_unknown(classifier):
+    import numpy as np
+
+    assert classifier.probabilities(classifier.bias).argmax() == classifier.unknown
+    words = "thond erean whst".split()
+    assert all(len(x) == 0 for x in classifier.evidence(words)) and classifier.segments(words) == []
+    words = licenses.words_of("so it was released under the mit license and that was all")
+    one_at, one, two_at, two = classifier.evidence(words)
+    want = sum(classifier.weights[classifier.vocabulary[g]] for g in [*words, *zip(words, words[1:])] if g in classifier.vocabulary and not (isinstance(g, str) and g.isdigit()))
+    assert np.allclose(classifier.weights[one].sum(axis=0) + classifier.weights[two].sum(axis=0), want)
+
+
+def test_hostile_text_takes_linear_time(classifier):
+    import time
+
+    began = time.process_time()
+    found = classifier.find_all(["All rights reserved. Released under the MIT License. " * 4000])
+    assert len(found) == 8000 and time.process_time() - began < 60
+
+
+def test_query_on_whole_table(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = licenses.op4_license_scan(spark, folder).collect()
+    want = {(r.doc_id, n) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() for n, line in enumerate(r.text.split("\n")) if line in ("All rights reserved.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.")}
+    assert {(r.doc_id, r.paragraph) for r in rows if r.confirmed} == want
