@@ -1,8 +1,9 @@
 """Language identification by Bayesian fusion of text, declared markup language, address suffix and host.
 
-Text speaks through hashed character trigrams (naive Bayes, tempered). What a document declares, its address's last
-label and its host speak through counts of the languages that text alone gives, gathered by grouped aggregation: the
-host's prior is drawn towards that of its domain, this towards its suffix's, and this towards that of all rows.
+Text speaks through hashed character trigrams (naive Bayes, tempered). What a document declares, its address's suffix
+and its host speak through counts of the languages that text alone gives, gathered by grouped aggregation. The address
+gives one prior: the host's is drawn towards that of its domain, this towards its suffix's, and this towards that of
+all rows. So the suffix speaks once: in full for a host that is hardly known, through the host's own rows else.
 """
 
 from __future__ import annotations
@@ -25,14 +26,20 @@ CELLS = 1 << 16
 MAX_TABLE = 1 << 23
 #: Weight of a trigram's log likelihood: neighbouring trigrams repeat much of what they say.
 TEMPER = 0.2
-#: Rows that a parent's prior counts for, and declarations or suffixes that smoothing adds in all.
+#: Rows that a parent's prior counts for, and declarations that smoothing adds in all.
 DRAWN = 20.0
 SMOOTH = 2.0
 #: Trigrams needed; and the least probability of the best language.
 MIN_TRIGRAMS = 1
 MIN_PROBABILITY = 0.5
-TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[a-z/!][^>]*>")
-DECLARED = r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z]{2,3})"""
+# Labels before a country's that belong to the suffix.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+_TAG = re.compile(r"<(?=[A-Za-z/!])")
+_RAW = re.compile(r"(?i)<(script|style)\b")
+_CLOSES = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+_ROOT = re.compile(r"(?i)<html\b")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
+_LANGUAGE = re.compile(r"[A-Za-z]{2,3}(?![A-Za-z])")
 
 
 def cells(text: str) -> np.ndarray:
@@ -46,7 +53,49 @@ def cells(text: str) -> np.ndarray:
 
 
 def plain(text: str) -> str:
-    return TAGS.sub(" ", text) if "<" in text and ">" in text else text
+    """The text without tags, comments, scripts and styles, each a space. One pass: what is not closed is looked for once only."""
+    if "<" not in text or ">" not in text:
+        return text
+    out, at, open_ended = [], 0, set()
+    while tag := _TAG.search(text, at):
+        found, end = tag.start(), -1
+        if text.startswith("<!--", found):
+            if "comment" not in open_ended and (end := text.find("-->", found + 4) + 3) < 3:
+                open_ended.add("comment")
+                end = -1
+        elif raw := _RAW.match(text, found):
+            name = raw[1].lower()
+            if name not in open_ended:
+                close = _CLOSES[name].search(text, raw.end())
+                end = close.end() if close else -1
+                if not close:
+                    open_ended.add(name)
+        if end < 0 and not (end := text.find(">", found + 1) + 1):
+            break
+        out += [text[at:found], " "]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def declared(text: str | None) -> str | None:
+    """The language of the attribute lang of the first html tag, in lower case."""
+    root = _ROOT.search(text) if text and "<" in text else None
+    if not root or (end := text.find(">", root.end())) < 0:
+        return None
+    for name, value in _ATTRIBUTE.findall(text, root.end(), end):
+        if name.lower() == "lang":
+            found = _LANGUAGE.match(value.strip("\"' "))
+            return found[0].lower() if found else None
+    return None
+
+
+def suffix_of(host: str | None) -> tuple[str | None, str | None]:
+    """Suffix and domain of a host name: the last label, or two under a country; and one label more."""
+    labels = (host or "").split(".")
+    if len(labels) < 2:
+        return None, None
+    n = 2 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND_LEVEL else 1
+    return ".".join(labels[-n:]), ".".join(labels[-n - 1 :])
 
 
 class TextModel:
@@ -64,7 +113,8 @@ class TextModel:
         found = cells(plain(text or ""))
         if not len(found) or not self.languages:
             return [0.0] * len(self.languages), len(found)
-        total = sum(self.table[found[at : at + 4096] >> self.shift].sum(axis=0, dtype=np.float64) for at in range(0, len(found), 4096))
+        kinds, counts = np.unique(found >> self.shift, return_counts=True)
+        total = counts @ self.table[kinds].astype(np.float64)
         return (total + len(found) * math.log(self.cells)).tolist(), len(found)
 
 
@@ -111,6 +161,8 @@ def fit(labelled: DataFrame, max_training: int = MAX_TRAINING) -> TextModel:
     if not sizes:
         return TextModel([], np.zeros((size, 0)))
     picked = F.broadcast(shared.written(_sample(ids, sizes, max_training), "lang-sample"))
+    languages = sorted(sizes)
+    place = {lang: k for k, lang in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,14 +172,12 @@ def fit(labelled: DataFrame, max_training: int = MAX_TRAINING) -> TextModel:
             for lang, found in by_lang.items():
                 counts = np.bincount(np.concatenate(found), minlength=size)
                 at = np.flatnonzero(counts)
-                yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "cell", "n"])
+                yield pa.record_batch([pa.array(np.full(len(at), place[lang]), pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "cell", "n"])
 
-    counted = shared.written(rows.join(picked, ["id", "lang"], "left_semi").select("text", "lang").mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "lang-cells")
-    languages = sorted(sizes)
+    counted = rows.join(picked, ["id", "lang"], "left_semi").select("text", "lang").mapInArrow(run, "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     counts = np.zeros((size, len(languages)))
-    place = {lang: k for k, lang in enumerate(languages)}
-    for r in counted.toLocalIterator():  # MAX_TABLE rows at most, or 1,024 a language
-        counts[r["cell"], place[r["lang"]]] = r["n"]
+    table = counted.toArrow()  # MAX_TABLE rows at most, or 1,024 a language
+    counts[table["cell"].to_numpy(), table["lang"].to_numpy()] = table["n"].to_numpy()
     return TextModel(languages, counts)
 
 
@@ -139,9 +189,9 @@ def _evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.scores(t.as_py()) for t in batch.column(text_at)]
-            heads = [re.search(DECLARED, t) if t and "<" in t else None for t in batch.column(text_at).to_pylist()]
+            heads = [declared(t.as_py()) for t in batch.column(text_at)]
             arrays = [c for k, c in enumerate(batch.columns) if k != text_at]
-            arrays += [pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([n for _, n in found], pa.int64()), pa.array([h and h[1].lower() for h in heads], pa.string())]
+            arrays += [pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([n for _, n in found], pa.int64()), pa.array(heads, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "scores", "trigrams", "declared"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", scores array<double>, trigrams long, declared string"
@@ -150,13 +200,23 @@ def _evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
     host = F.when(host != "", host).otherwise(F.lower(F.trim("host")))
     out = out.withColumn("host", F.when(host != "", host))
-    dotted = F.col("host").contains(".")
-    out = out.withColumn("domain", F.when(dotted, F.substring_index("host", ".", -2))).withColumn("suffix", F.when(dotted, F.substring_index("host", ".", -1)))
+    out = out.withColumn("suffix", _suffix(F.col("host"))).withColumn("domain", _domain(F.col("host")))
     enough = F.col("trigrams") >= MIN_TRIGRAMS
     spoken = F.when(enough, F.array_position("scores", F.array_max("scores")).cast("int"))  # from 1
     return out.withColumn("spoken", spoken).withColumn("declared", F.when(F.array_contains(languages, F.col("declared")), F.col("declared")))
 
 
+def _suffix(host: Column) -> Column:
+    """As suffix_of(); null without a dot."""
+    two = F.substring_index(host, ".", -2)
+    deep = (F.length(F.substring_index(host, ".", -1)) == 2) & F.substring_index(two, ".", 1).isin(*SECOND_LEVEL) & (host != two)
+    return F.when(host.contains("."), F.when(deep, two).otherwise(F.substring_index(host, ".", -1)))
+
+
+def _domain(host: Column) -> Column:
+    return F.when(_suffix(host).contains("."), F.substring_index(host, ".", -3)).when(host.contains("."), F.substring_index(host, ".", -2))
+
+
 def _tallies(rows: DataFrame, key: str, size: int) -> DataFrame:
     """key, n, tally (rows spoken in each language) of each key."""
     sums = [F.sum((F.col("spoken") == k + 1).cast("double")) for k in range(size)]
@@ -170,6 +230,10 @@ def _drawn(tally: Column, parent: Column) -> Column:
     return F.zip_with(tally, parent, lambda x, p: (x + F.lit(DRAWN) * p) / (total + F.lit(DRAWN)))
 
 
+#: Columns of a result, and those that only stand between.
+WORKING = ("lang", "probability", "accepted", "declared", "suffix", "domain", "spoken", "scores", "trigrams", "prior", "by_declared", "n", "_sums", "_most", "_bucket", "_slots", "_slot")
+
+
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     """The language of each row of rows (id, text, url, host; further columns are carried, text is not).
 
@@ -179,10 +243,11 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
 
     Defined results: a null or empty text, and a text without letters, is rejected, its lang what the other evidence
     says; an unknown declared language counts as none; without an address the host column stands for the host; null
-    hosts have the prior of all rows; rows with repeated ids are judged one by one; columns named like a result are replaced.
+    hosts have the prior of all rows; rows with repeated ids are judged one by one; columns named like a result, or like
+    a working column (see WORKING), are replaced.
     """
     size = len(model.languages)
-    rows = shared.without(rows, "lang", "probability", "accepted", "declared", "suffix", "domain", "spoken", "scores", "trigrams", "prior", "by_declared", "by_suffix", "n")
+    rows = shared.without(rows, *WORKING)
     if not size:
         empty = rows.drop("text")
         for name, kind in (("lang", "string"), ("probability", "double"), ("declared", "string"), ("suffix", "string")):
@@ -199,22 +264,20 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     table = np.log((table + SMOOTH / size) / (table.sum(axis=0, keepdims=True) + SMOOTH))
     by_declared = F.broadcast(rows.sparkSession.createDataFrame([(lang, line.tolist()) for lang, line in zip(model.languages, table, strict=True)], "declared string, by_declared array<double>"))
 
-    suffixes = _tallies(seen, "suffix", size).withColumn("prior", _drawn(F.col("tally"), base))
-    log_share = F.zip_with(F.col("prior"), base, lambda p, b: F.log(p / b))  # P(suffix | language) but for a factor
-    suffixes = shared.written(suffixes.select("suffix", "prior", log_share.alias("by_suffix"), F.col("n").alias("rows")), "lang-suffixes")
-    domains = _tallies(seen, "domain", size).withColumn("suffix", F.substring_index("domain", ".", -1))
+    suffixes = _tallies(seen, "suffix", size)
+    suffixes = shared.written(suffixes.select("suffix", _drawn(F.col("tally"), base).alias("prior"), F.col("n").alias("rows")), "lang-suffixes")
+    domains = _tallies(seen, "domain", size).withColumn("suffix", _suffix(F.col("domain")))
     domains = _joined(domains.withColumnRenamed("n", "rows"), suffixes.select("suffix", "prior"), "suffix", base)
     domains = shared.written(domains.select("domain", _drawn(F.col("tally"), F.col("prior")).alias("prior"), "rows"), "lang-domains")
-    hosts = _tallies(seen, "host", size).withColumn("domain", F.when(F.col("host").contains("."), F.substring_index("host", ".", -2)))
+    hosts = _tallies(seen, "host", size).withColumn("domain", _domain(F.col("host")))
     hosts = _joined(hosts.withColumnRenamed("n", "rows"), domains.select("domain", "prior"), "domain", base)
     hosts = shared.written(hosts.select("host", _drawn(F.col("tally"), F.col("prior")).alias("prior"), F.col("rows").alias("n")), "lang-hosts")
 
     joined = shared.join_groups(seen, hosts, ["host"], "n")
-    joined = shared.join_groups(joined, suffixes.select("suffix", "by_suffix", F.col("rows").alias("n")), ["suffix"], "n")
     joined = joined.join(by_declared, "declared", "left")
     none = F.array(*[F.lit(0.0)] * size)
     sums = F.transform("scores", lambda s: s * TEMPER)
-    for part in (F.coalesce("by_declared", none), F.coalesce("by_suffix", none), F.transform(F.coalesce("prior", base), lambda p: F.log(p))):
+    for part in (F.coalesce("by_declared", none), F.transform(F.coalesce("prior", base), lambda p: F.log(p))):
         sums = F.zip_with(sums, part, lambda a, b: a + b)
     joined = joined.withColumn("_sums", sums).withColumn("_most", F.array_max("_sums"))
     weight = F.aggregate(F.transform("_sums", lambda s: F.exp(s - F.col("_most"))), F.lit(0.0), lambda a, x: a + x)
@@ -233,9 +296,9 @@ def _joined(children: DataFrame, parents: DataFrame, key: str, base: Column) ->
     return shared.join_groups(children, groups, [key], "n").withColumn("prior", F.coalesce("prior", base))
 
 
-def of_documents(docs: DataFrame, model: TextModel) -> DataFrame:
-    """identify() for documents (doc_id, text, source): the source stands for the host."""
-    return identify(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("url"), F.col("source").cast("string").alias("host")), model)
+def of_documents(docs: DataFrame, model: TextModel, id_col: str = "doc_id") -> DataFrame:
+    """identify() for documents (id_col, text, source): the source stands for the host."""
+    return identify(docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("url"), F.col("source").cast("string").alias("host")), model)
 
 
 def model_of(docs: DataFrame) -> TextModel:
