@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -95,7 +97,15 @@ class Lexicon:
                 free.append((start, end))
             elif size > at_word.get(start, (0, 0.0))[0] or whole:
                 at_word[start] = (size + whole, weight)
-        total = sum(w for s, (_, w) in at_word.items() if not any(a <= s < b for a, b in free))
+        free.sort()
+        begins = [a for a, _ in free]
+        reach = list(accumulate((b for _, b in free), max))
+
+        def counts(place: int) -> bool:
+            k = bisect_right(begins, place)
+            return not k or place >= reach[k - 1]
+
+        total = sum(w for s, (_, w) in at_word.items() if counts(s))
         return total / math.log2(2 + len(words) / 64)
 
     def score(self, text: str | None) -> float:
@@ -239,8 +249,8 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> Da
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Whether a row is never learned from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Whether a row is never learned from; false for a row without an id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def lexicon_of(spark, sf_dir: str) -> Lexicon:
@@ -251,6 +261,7 @@ def lexicon_of(spark, sf_dir: str) -> Lexicon:
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of the whole documents table. Rows without an id are scored like any other, held_out false and never learned from; other edge cases as in learn() and score_texts()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = score_texts(docs, lexicon_of(spark, sf_dir))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,6 +1,7 @@
 """Toxicity, language identification and license scans: held-out accuracy and edge cases."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -35,6 +36,40 @@ def test_exceptions_and_whole_words():
     assert lexicon.score("") < 0.5 < lexicon.score("trash clown trash")
 
 
+def plain_raw(lexicon, text):
+    """Lexicon.raw() by looking at every word for every entry."""
+    found = toxicity.TOKEN.findall(toxicity.fold(text or ""))
+    total = 0.0
+    for k, word in enumerate(found):
+        if any(found[k - at : k - at + len(p.split())] == p.split() for p in lexicon.exceptions for at in range(len(p.split())) if k >= at):
+            continue
+        stems = [e for e in lexicon.weights if e[-1] != " " and word.startswith(e)]
+        best = word + " " if word + " " in lexicon.weights else max(stems, key=len, default=None)
+        total += lexicon.weights[best] if best else 0.0
+    return total / np.log2(2 + len(found) / 64) if found else 0.0
+
+
+def test_matcher_equals_plain_search():
+    rng = random.Random(3)
+    lexicon = toxicity.Lexicon({"trash": 3.0, "trashy ": 1.5, "idiot": 2.0, "idiotic": 2.5, "proof ": 0.5, "can ": 0.25, "fish": 1.0}, exceptions=("trash can", "useful idiot", "idiot proof", "clown fish"))
+    bag = ["trash", "trashy", "can", "useful", "idiot", "idiotic", "proof", "clown", "fish", "fishing", "1diot", "ok", "tra5h", "!", "—"]
+    for _ in range(500):
+        text = " ".join(rng.choices(bag, k=rng.randrange(30)))
+        assert abs(lexicon.raw(text) - plain_raw(lexicon, text)) < 1e-9, text
+
+
+def test_exceptions_take_linear_time():
+    lexicon = toxicity.Lexicon({"trash": 3.0, "idiot": 2.0})
+    began = time.process_time()
+    assert lexicon.raw("trash can idiot " * 60_000) > 0
+    assert time.process_time() - began < 3
+
+
+def test_held_out_is_never_null(spark):
+    rows = spark.createDataFrame([(None,), (3,)], "doc_id long").select(toxicity.held_out().alias("h")).collect()
+    assert all(r.h is not None for r in rows)
+
+
 def test_learns_words_and_stems(spark):
     rng = random.Random(9)
     docs, labels = [], []
