@@ -162,7 +162,12 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best bound on the number of bins from a family of dual feasible functions.
+    """bound_of() items one by one."""
+    return bound_of(lengths, np.ones(len(lengths), np.int64), capacity)
+
+
+def bound_of(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """The best bound on the number of bins, for so many items of each length, from a family of dual feasible functions.
 
     For a threshold t up to half the capacity: items over capacity - t count as a whole bin, those under t as nothing,
     the others by length; t = 0 is the total length. For k: u(x) = x when (k + 1) x is whole, else floor((k + 1) x) / k.
@@ -170,7 +175,8 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """
     if not len(lengths):
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+    count = np.zeros(capacity + 1, np.int64)
+    np.add.at(count, lengths, counts)
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     for t in range(1, capacity // 2 + 1):
@@ -184,7 +190,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def _packed(rows: DataFrame, capacity: int) -> DataFrame:
-    """rows with bin, offset, part and open: whether the bin may still be emptied.
+    """rows with bin, offset, part, open (whether the bin may still be emptied), and bins and bound: the partition's number of bins and the least that it could have.
 
     A partition whose bin count equals its lower bound is certified, and of it only the emptiest bin is open, which
     may be spread over others' room; in a partition with a gap, all bins that are not full are open.
@@ -199,20 +205,24 @@ def _packed(rows: DataFrame, capacity: int) -> DataFrame:
         bins, offsets, used = best_fit(lengths, capacity)
         fill = np.bincount(bins, lengths, used)
         opened = fill < capacity
-        if used == lower_bound(lengths, capacity):
+        bound = lower_bound(lengths, capacity)
+        if used == bound:
             opened &= np.arange(used) == fill.argmin()
-        for name, values in (("bin", bins), ("offset", offsets), ("open", opened[bins])):
+        for name, values in (("bin", bins), ("offset", offsets), ("open", opened[bins]), ("partition_bins", np.full(len(bins), used)), ("partition_bound", np.full(len(bins), bound))):
             table = table.append_column(name, pa.array(values))
         yield from table.combine_chunks().to_batches(max_chunksize=20_000)
 
     rows = rows.withColumn("part", F.spark_partition_id().cast("long"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", bin long, offset long, open boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", bin long, offset long, open boolean, partition_bins long, partition_bound long"
     return rows.mapInArrow(run, schema)
 
 
 def pack(rows: DataFrame, key: list[str], capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, most_rounds: int = 4) -> DataFrame:
     """rows (with a column length, 1 to capacity) with sequence_id and a gapless offset in it; all columns are carried.
 
+    partition_bins and partition_bound tell how many bins the partition had in which the item was placed for good, and the
+    least that it could have: where they are equal it is certified, else the difference is its gap. See summary() for the whole.
+
     Items are dealt by a hash of `key` to partitions of about partition_pieces items and packed by best-fit
     decreasing. Dual feasible functions bound each partition's bins from below: where the count equals the bound it is
     certified and final but for its emptiest bin. The items of open bins are exchanged across partitions and packed
@@ -221,7 +231,7 @@ def pack(rows: DataFrame, key: list[str], capacity: int = CAPACITY, partition_pi
     rows is read more than once and should be a written table. Columns named like those added here are replaced.
     Repeated rows are items of their own; an empty table gives an empty table.
     """
-    rows = shared.without(rows, "sequence_id", "offset", "part", "bin", "open", "_deal", "_round")
+    rows = shared.without(rows, "sequence_id", "offset", "part", "bin", "open", "partition_bins", "partition_bound", "_deal", "_round")
     columns, done, number, parts = rows.columns, None, 0, 2
     while parts > 1 and number < most_rounds:
         parts = max(1, round(rows.count() / partition_pieces))
@@ -232,12 +242,20 @@ def pack(rows: DataFrame, key: list[str], capacity: int = CAPACITY, partition_pi
         done = final if done is None else done.unionByName(final)
         rows, number = packed.where("open").select(*columns), number + 1
     sequence = F.col("_round") * F.lit(1 << 60) + F.col("part") * F.lit(1 << 32) + F.col("bin")
-    return done.select(*columns, sequence.alias("sequence_id"), "offset")
+    return done.select(*columns, sequence.alias("sequence_id"), "offset", "partition_bins", "partition_bound")
+
+
+def summary(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """Sequences used, and the least number that all items together need by the dual feasible functions."""
+    used = packed.select("sequence_id").distinct().count()
+    counts = packed.groupBy("length").count().collect()  # capacity rows at most
+    return used, bound_of(np.array([r["length"] for r in counts], np.int64), np.array([r["count"] for r in counts], np.int64), capacity)
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of the whole documents table in sequences of CAPACITY tokens; null texts and repeated rows as in pieces() and pack()."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = shared.written(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ids=False), "pieces")
-    return pack(found, ["doc_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(found, ["doc_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "partition_bins", "partition_bound")
