@@ -17,6 +17,11 @@ NARRATORS = ("system",)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def escaped(text: Column) -> Column:
+    """What people say, so that it holds no mark of a segment: "<|" gets a blank inside."""
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
 def _running(rows: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
     """rows with `name`, the sum of value over the rows before in their group, and _row, their number.
 
@@ -38,7 +43,10 @@ def rotate(conversations: DataFrame, narrators: tuple[str, ...] = NARRATORS) ->
 
     conv_id, perspective (the speaker who is the assistant), position (from 0), turn, speaker, segment, masked
     (whether the segment is learned from), char_start and char_end of the segment in the rendering, and mask_start
-    and mask_end, the part of a masked segment after its header: what the assistant says and its end mark.
+    and mask_end, the part of a masked segment after its header: what the assistant says and its end mark. Texts and
+    names are escaped, and line breaks in names become blanks, so that no turn can pass for another one.
+
+    A conversation of n turns and s speakers has n * s segments; its set of speakers is held in one row.
 
     Defined results: a null role is the speaker "unknown" and a null text is empty; turns go by number, nulls first,
     then by role and text, so repeated rows are turns of their own; a null conv_id is left out; a conversation of narrators only has
@@ -46,15 +54,16 @@ def rotate(conversations: DataFrame, narrators: tuple[str, ...] = NARRATORS) ->
     """
     speaker = F.coalesce(F.col("role"), F.lit("unknown"))
     turns = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("turn").asc_nulls_first(), F.col("speaker"), F.col("text")]
+    order = [F.col("turn").asc_nulls_first(), F.col("speaker"), F.col("text"), F.col("_tie")]  # the tie lets repeated turns lie in several ranges
+    turns = turns.withColumn("_tie", F.monotonically_increasing_id())
     ranged = shared.written(turns.repartitionByRange(F.col("conv_id"), *order).withColumn("_part", F.spark_partition_id()), "chat-turns")
     spoken = ~F.col("speaker").isin(*narrators) if narrators else F.lit(True)
     speakers = turns.groupBy("conv_id").agg(F.collect_set(F.when(spoken, F.col("speaker"))).alias("speakers"), F.count(F.lit(1)).alias("n"))
     rows = shared.join_groups(ranged, shared.written(speakers, "chat-speakers"), ["conv_id"], "n").withColumn("perspective", F.explode("speakers")).drop("speakers")
     own = F.col("speaker") == F.col("perspective")
-    head = F.when(own, F.lit("assistant")).when(~spoken, F.col("speaker")).otherwise(F.concat(F.lit("user name="), "speaker"))
+    head = F.when(own, F.lit("assistant")).when(~spoken, F.col("speaker")).otherwise(F.concat(F.lit("user name="), F.translate(escaped(F.col("speaker")), "\r\n", "  ")))
     head = F.concat(F.lit(OPEN), head, F.lit("\n"))
-    rows = rows.withColumn("_head", F.length(head).cast("long")).withColumn("segment", F.concat(head, "text", F.lit(CLOSE))).withColumn("masked", own)
+    rows = rows.withColumn("_head", F.length(head).cast("long")).withColumn("segment", F.concat(head, escaped(F.col("text")), F.lit(CLOSE))).withColumn("masked", own)
     rows = _running(rows, ["conv_id", "perspective"], order, F.length("segment").cast("long"), "char_start")
     start, end = F.col("char_start"), F.col("char_start") + F.length("segment")
     return rows.select(
@@ -64,6 +73,7 @@ def rotate(conversations: DataFrame, narrators: tuple[str, ...] = NARRATORS) ->
 
 
 def op2_chat_rotation(spark, sf_dir: str) -> DataFrame:
+    """rotate() of the whole conversations table; edge cases as defined there."""
     return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
@@ -71,9 +81,9 @@ OP2_SQL = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
      s AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
      r AS (SELECT t.*, s.perspective, t.speaker = s.perspective AS masked,
-                  '<|im_start|>' || CASE WHEN t.speaker = s.perspective THEN 'assistant' WHEN t.speaker = 'system' THEN 'system' ELSE 'user name=' || t.speaker END || chr(10) AS head
+                  '<|im_start|>' || CASE WHEN t.speaker = s.perspective THEN 'assistant' WHEN t.speaker = 'system' THEN 'system' ELSE 'user name=' || translate(replace(t.speaker, '<|', '< |'), chr(13) || chr(10), '  ') END || chr(10) AS head
            FROM t JOIN s USING (conv_id)),
-     g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM r),
+     g AS (SELECT *, head || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS segment FROM r),
      o AS (SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS position, CAST(sum(length(segment)) OVER w AS BIGINT) AS char_end
            FROM g WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, position, turn, speaker, segment, masked, char_end - length(segment) AS char_start, char_end,
