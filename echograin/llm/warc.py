@@ -19,9 +19,11 @@ from . import shared
 
 #: Payloads under this size are always stored whole.
 MIN_REVISIT_BYTES = 100
-#: Mean payload bytes of an archive; an archive is read as one binary value, so this bounds a reading task's memory.
+#: Payload bytes after which a task begins a new archive; an archive is read as one binary value, so this and one payload bound a reading task's memory.
 ARCHIVE_BYTES = 16 << 20
 STEP = 1 << 16
+#: Bytes of a record that may come before its header ends.
+MAX_HEAD = 128 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = (
     "archive string, record_no long, record_type string, page_id long, target_uri string, refers_to long, "
@@ -34,9 +36,12 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     ids = pages.select("page_id", F.sha2(payload, 256).alias("_digest"), F.octet_length(payload).alias("_bytes"))
     firsts = ids.where(F.col("_bytes") >= min_bytes).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    firsts = shared.written(firsts, "warc-firsts")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("_digest"))
-    joined = shared.join_groups(rows, shared.written(firsts, "warc-firsts"), ["_digest"], "_n")
-    return joined.withColumn("_refers", F.when(F.col("page_id") != F.col("_first"), F.col("_first"))).drop("_first")
+    sifted = shared.sieve(rows, shared.written(firsts.select("_digest"), "warc-repeated"), "_digest", "_seen")  # others need not move
+    joined = shared.join_groups(sifted.where("_seen").drop("_seen"), firsts, ["_digest"], "_n")
+    joined = joined.withColumn("_refers", F.when(F.col("page_id") != F.col("_first"), F.col("_first"))).drop("_first")
+    return joined.unionByName(sifted.where("NOT _seen").drop("_seen").withColumn("_refers", F.lit(None).cast(pages.schema["page_id"].dataType)))
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, date: str) -> bytes:
@@ -68,26 +73,27 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     Of rows whose payloads are equal and have at least min_bytes bytes, that with the smallest page_id is a response
     and the others are revisits of it. Spark's text sink writes the archives, so that failed tasks leave nothing
     behind: a gzip member under 16 MB ends in a zero byte, which is given to the sink as its line separator; after a
-    larger one the separator is a zero byte of padding, which gzip readers skip.
+    larger one the separator is a zero byte of padding, which gzip readers skip. Each task numbers its archives by payload bytes.
 
     Defined results: null html is an empty payload; a null url leaves out the target; a null page_id gives a record
     without a number; rows of one page_id and payload are all responses; other columns are ignored; an empty table
     gives no records.
     """
-    size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length("html"))).first()
-    per_file = max(1, int(archive_bytes / max(1, (size[1] or 0) / max(1, size[0]))))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = 0  # payload bytes so far
         for batch in batches:
-            found = []
+            found, files = [], []
             for i in range(batch.num_rows):
                 row = [batch.column(k)[i].as_py() for k in range(5)]
                 member = record_bytes(*row, date)
                 found.append(member[:-1] if member[-1] == 0 else member)
-            yield pa.record_batch([pa.array(found, pa.binary())], names=["member"])
+                files.append(held // archive_bytes)
+                held += len(row[2])
+            yield pa.record_batch([pa.array(found, pa.binary()), pa.array(files, pa.int64())], names=["member", "file"])
 
-    rows = mark_revisits(pages, min_bytes).select("page_id", "url", "payload", "_digest", "_refers").mapInArrow(members, "member binary")
-    rows.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", per_file).text(path)
+    rows = mark_revisits(pages, min_bytes).select("page_id", "url", "payload", "_digest", "_refers").mapInArrow(members, "member binary, file long")
+    rows.select(F.col("member").cast("string").alias("value"), "file").write.option("lineSep", "\x00").partitionBy("file").text(path)
 
 
 class Damaged(ValueError):
@@ -132,6 +138,8 @@ def records(content: bytes | memoryview) -> Iterator[dict]:
         need = 0
         for piece, at in _inflated(data, at):
             buffer += piece
+            if len(buffer) > (MAX_HEAD if fields is None else need + 4):
+                raise Damaged("a record is longer than stated")
             if fields is None and (end := buffer.find(b"\r\n\r\n")) >= 0:
                 fields = _fields(bytes(buffer[:end]))
                 if not fields[""].startswith("WARC/") or not fields.get("content-length", "").isdigit():
@@ -180,11 +188,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     held.append(dict.fromkeys(names) | {"archive": name.as_py(), "record_no": no + 1, "record_type": "damaged", "verified": False, "error": str(e)})
                 yield pa.record_batch([pa.array([r[n] for r in held], types[n]) for n in names], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(read, schema)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the whole pages table as archives and reads them back; edge cases as in write_archives() and read_archives()."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = shared.new_path(spark, "warc")
     write_archives(pages, path)
