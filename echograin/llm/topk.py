@@ -125,7 +125,7 @@ def _resolve(k: int, lists: int, deeper: bool):
                 of = {n: asked.field(n) for n in ("q_row", "list", "rows", "need", "cutoff", "open")}
                 q_at = np.searchsorted(q_rows, of["q_row"].to_numpy(zero_copy_only=False))
                 counts = of["rows"].value_lengths().to_numpy(zero_copy_only=False)
-                pairs = [np.stack([np.repeat(q_at, counts), np.searchsorted(rows, of["rows"].flatten().to_numpy(zero_copy_only=False))])]
+                pairs = [np.repeat(q_at, counts) * len(rows) + np.searchsorted(rows, of["rows"].flatten().to_numpy(zero_copy_only=False))]
                 cutoff = np.full(len(q_rows), LOWEST)
                 cutoff[q_at] = of["cutoff"].to_numpy(zero_copy_only=False)
                 dims = min(queries.shape[1], vectors.shape[1])
@@ -136,14 +136,16 @@ def _resolve(k: int, lists: int, deeper: bool):
                         low, high = dims * j // lists, dims * (j + 1) // lists
                         for at, part in _partial(queries[q_at[some], low:high], vectors[:, low:high]):
                             q, r = np.nonzero(part >= need[some][at : at + len(part), None])
-                            pairs.append(np.stack([q_at[some][at + q], r]))
-                q, r = np.unique(np.concatenate(pairs, axis=1), axis=1)
+                            pairs.append(q_at[some][at + q] * len(rows) + r)
+                q, r = np.divmod(np.unique(np.concatenate(pairs)), len(rows))
                 keep = q_rows[q] != rows[r]
                 q, r = q[keep], r[keep]
+                kind = _exact_kind(vectors[:, :dims], queries[:, :dims])
+                full_queries, full_rows = queries[:, :dims].astype(kind), vectors[:, :dims].astype(kind)
                 score = np.empty(len(q), np.int64)
                 for at in range(0, len(q), 1 << 16):
                     part = slice(at, at + (1 << 16))
-                    score[part] = np.einsum("ij,ij->i", queries[q[part], :dims], vectors[r[part], :dims])
+                    score[part] = np.einsum("ij,ij->i", full_queries[q[part]], full_rows[r[part]])
                 resolved = np.bincount(q, minlength=len(q_rows))
                 good = score >= cutoff[q]
                 q, r, score = q[good], r[good], score[good]
