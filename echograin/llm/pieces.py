@@ -228,6 +228,7 @@ def digests(_: str | None, ids: bytes, library: sentencepiece.SentencePieceProce
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of the whole documents table; null texts, ids and repeated rows as in encode_texts()."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
