@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from . import shared
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
-#: Bits of one part of the bitmap (Spark's size), bits for each repeated hash, and parts at most: 16 MB in all. With more repeated hashes than that is made for, more unique rows go the longer way.
-PART_BITS = 1 << 15
-BITS_EACH = 64
-MAX_PARTS = 1 << 12
 
 
 def content_hash(text: Column) -> Column:
@@ -26,24 +22,6 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _bitmap(hashes: DataFrame, parts: int) -> DataFrame:
-    """part, bits: a bit for every value of column h, at most `parts` rows of PART_BITS bits."""
-    at = F.pmod(F.xxhash64("h"), F.lit(parts * PART_BITS))
-    return hashes.groupBy(F.floor(at / PART_BITS).cast("int").alias("part")).agg(F.bitmap_construct_agg((at % PART_BITS).cast("int")).alias("bits"))
-
-
-def _seen(rows: DataFrame, bitmap: DataFrame, parts: int, hashed: str, name: str) -> DataFrame:
-    """rows with `name`: whether the bitmap holds their hash."""
-    part, bits = shared.own(rows, "_part"), shared.own(rows, "_bits")
-    at = F.pmod(F.xxhash64(hashed), F.lit(parts * PART_BITS))
-    place = (at % PART_BITS).cast("int")
-    joined = rows.withColumn(part, F.floor(at / PART_BITS).cast("int")).join(F.broadcast(bitmap.withColumnsRenamed({"part": part, "bits": bits})), part, "left")
-    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = F.expr(f"shiftright({shared.own(rows, '_byte')}, pmod(cast({shared.own(rows, '_place')} as int), 8))").bitwiseAND(F.lit(1)) == 1
-    joined = joined.withColumn(shared.own(rows, "_byte"), byte).withColumn(shared.own(rows, "_place"), place)
-    return joined.withColumn(name, F.coalesce(held, F.lit(False))).drop(part, bits, shared.own(rows, "_byte"), shared.own(rows, "_place"))
-
-
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
     """Every row of docs with keep_id, group_size, kept and text_sha256.
 
@@ -60,13 +38,8 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = shared.without(docs, *RESULT)
     hashed, row, seen = shared.own(docs, "_hash"), shared.own(docs, "_row"), shared.own(docs, "_seen")
     ident, text = shared.column_of(docs, id_col), F.coalesce(shared.column_of(docs, text_col), F.lit(""))
-    repeated = docs.select(hash_of(text).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    repeated = shared.written(repeated, "exact-repeated")
-    need = -(-repeated.count() * BITS_EACH // PART_BITS)
-    parts = min(MAX_PARTS, 1 << max(0, need - 1).bit_length())
-    bitmap = shared.written(_bitmap(repeated, parts), "exact-bitmap", repeated)
-
-    rows = _seen(docs.withColumn(hashed, hash_of(text)), bitmap, parts, hashed, seen)
+    repeated = docs.select(hash_of(text).alias(hashed)).groupBy(hashed).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(hashed)
+    rows = shared.sieve(docs.withColumn(hashed, hash_of(text)), shared.written(repeated, "exact-repeated"), hashed, seen)
     unique = rows.where(~F.col(seen)).drop(seen, hashed)
     unique = unique.withColumns({"keep_id": ident, "group_size": F.lit(1).cast("long"), "kept": F.lit(True), "text_sha256": F.sha2(text, 256)})
 
@@ -80,7 +53,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = by_hash.where("texts > 1").select(hashed)
     if not split.isEmpty():  # hashes that collide: their rows find their class by the bytes
         apart = classes.join(split, hashed, "left_semi").select(hashed, "_text", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size"), F.col("sha").alias("text_sha256"), F.col("n").alias("size"))
-        placed = placed.unionByName(shared.join_groups(others.withColumn("_text", text), shared.written(apart, "exact-apart"), [hashed, "_text"], "size", "inner").drop("_text"))
+        placed = placed.unionByName(shared.join_groups(others.withColumn("_text", text), shared.written(apart, "exact-apart"), [hashed, "_text"], "size", "inner", small=False).drop("_text"))
     placed = placed.withColumn("kept", F.col(row) == F.col("keep_row")).drop(hashed, row, "keep_row")
     return unique.unionByName(placed)
 

@@ -16,6 +16,11 @@ GROUP_ROWS = 1 << 20
 #: Buckets of keys by hash, each with its number of slots: the most rows of that broadcast table.
 BUCKETS = 1 << 14
 
+#: Bits of one part of a sieve (Spark's size), bits for each key, and parts at most: 16 MB in all.
+PART_BITS = 1 << 15
+BITS_EACH = 64
+MAX_PARTS = 1 << 12
+
 _made: list[str] = []
 
 
@@ -78,30 +83,71 @@ def own(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left", most_rows: int = 0, small: bool = True) -> DataFrame:
     """Join rows to groups (one row per key, with the number of its rows in column `size`); inner or left.
 
     Groups over HOT_SHARE of the sum of sizes number at most 1 / HOT_SHARE by counting, so they are broadcast and
-    their rows are not shuffled. All others go through a shuffle join; those with more than GROUP_ROWS rows are dealt
-    by a hash of the row to slots of about GROUP_ROWS. How many slots a key has stands in a table by buckets of keys,
+    their rows are not shuffled (not so with small=False, where a group's own row may be large). All others go through a
+    shuffle join; those with more than most_rows (GROUP_ROWS) rows are dealt by a hash of the row to slots of about that many. How many slots a key has stands in a table by buckets of keys,
     BUCKETS rows at most, and groups are repeated for each slot of their bucket.
     Rows whose key is null match nothing. `groups` is read several times and should be a written table; column `size` is not part of the result.
     """
     total, most = groups.agg(F.sum(size), F.max(size)).first()
-    cut = F.col(size) > F.lit(int((total or 0) * HOT_SHARE))
-    hot, cold = F.broadcast(groups.where(cut).drop(size)), groups.where(~cut)
-    of_hot = rows.join(hot, keys, "inner")
-    rest = rows.join(F.broadcast(groups.where(cut).select(*keys)), keys, "left_anti")
-    if min(most or 0, (total or 0) * HOT_SHARE) <= GROUP_ROWS:
-        return of_hot.unionByName(rest.join(cold.drop(size), keys, how))
+    most_rows = most_rows or GROUP_ROWS
+    if small:
+        bound = int((total or 0) * HOT_SHARE)
+        cut = F.col(size) > F.lit(bound)
+        hot, cold = F.broadcast(groups.where(cut).drop(size)), groups.where(~cut)
+        of_hot = rows.join(hot, keys, "inner")
+        rest = rows.join(F.broadcast(groups.where(cut).select(*keys)), keys, "left_anti")
+        if min(most or 0, bound) <= most_rows:
+            return of_hot.unionByName(rest.join(cold.drop(size), keys, how))
+        return of_hot.unionByName(_by_slots(rest, cold, keys, size, how, most_rows))
+    if (most or 0) <= most_rows:
+        return rows.join(groups.drop(size), keys, how)
+    return _by_slots(rows, groups, keys, size, how, most_rows)
+
+
+def _by_slots(rest: DataFrame, cold: DataFrame, keys: list[str], size: str, how: str, most_rows: int) -> DataFrame:
+    rows = rest
     bucket, slots, slot = own(rows, "_bucket"), own(rows, "_slots"), own(rows, "_slot")
     at = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    wide = F.broadcast(cold.where(F.col(size) > GROUP_ROWS).groupBy(at.alias(bucket)).agg(F.max(F.ceil(F.col(size) / GROUP_ROWS)).alias(slots)))
+    wide = F.broadcast(cold.where(F.col(size) > most_rows).groupBy(at.alias(bucket)).agg(F.max(F.ceil(F.col(size) / most_rows)).alias(slots)))
     spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.coalesce(slots, F.lit(1)))
     dealt = rest.withColumn(bucket, at).join(wide, bucket, "left").withColumn(slot, spread).drop(bucket, slots)
     every = F.explode(F.sequence(F.lit(0), F.coalesce(slots, F.lit(1)).cast("long") - 1))
     placed = cold.drop(size).withColumn(bucket, at).join(wide, bucket, "left").withColumn(slot, every).drop(bucket, slots)
-    return of_hot.unionByName(dealt.join(placed, [*keys, slot], how).drop(slot))
+    return dealt.join(placed, [*keys, slot], how).drop(slot)
+
+
+def sieve(rows: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with `flag`, false only where `keys` does not hold the row's `key`: so what has to meet the keys can be told from what need not move.
+
+    A bitmap of hashes, of bounded size, goes to all tasks. With more keys than that is made for more rows are flagged. keys has the one column `key` and should be a written table.
+    """
+    need = -(-keys.count() * BITS_EACH // PART_BITS)
+    parts = min(MAX_PARTS, 1 << max(0, need - 1).bit_length())
+    part, bits, byte, place = (own(rows, n) for n in ("_part", "_bits", "_byte", "_place"))
+    at = F.pmod(F.xxhash64(key), F.lit(parts * PART_BITS))
+    spot = (at % PART_BITS).cast("int")
+    bitmap = keys.groupBy(F.floor(at / PART_BITS).cast("int").alias(part)).agg(F.bitmap_construct_agg(spot).alias(bits))
+    joined = rows.withColumns({part: F.floor(at / PART_BITS).cast("int"), place: spot}).join(F.broadcast(bitmap), part, "left")
+    joined = joined.withColumn(byte, F.conv(F.hex(F.substring(F.col(bits), F.floor(F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int"))
+    held = F.expr(f"shiftright(`{byte}`, `{place}` % 8)").bitwiseAND(F.lit(1)) == 1
+    return joined.withColumn(flag, F.coalesce(held, F.lit(False))).drop(part, bits, byte, place)
+
+
+def drop_rows(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows without those whose `key` is in `gone` (one column, a written table); only rows that the sieve flags are shuffled."""
+    flag = own(rows, "_flag")
+    sifted = sieve(rows, gone, key, flag)
+    return sifted.where(~F.col(flag)).drop(flag).unionByName(sifted.where(flag).drop(flag).join(gone, key, "left_anti"))
+
+
+def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df as a written table with a number for each row, and that column's name: so a row can be decided for itself whatever its id."""
+    row = own(df, "_row")
+    return written(df.withColumn(row, F.monotonically_increasing_id()), label), row
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

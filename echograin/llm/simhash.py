@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, shared
+from . import components, near_copies, shared
 
 SEED = 42
 WIDTH = 4
@@ -195,6 +195,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return shared.join_groups(found, classes, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each group of near copies: texts linked by a Jaccard similarity of 0.8 of their five-word shingles.
+
+    Such pairs lie too far apart for a ball of half their distance, so candidates are found by MinHash (see near_copies).
+    """
+    return near_copies.one_of_each(docs, id_col, text_col)
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """near_duplicates() of the whole documents table; null and repeated rows as defined there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

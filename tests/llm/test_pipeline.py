@@ -1,51 +1,88 @@
 """Pipeline stages one after another, each against what its operator says by brute force."""
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from echograin.llm import queries, simhash
+from echograin.llm import langid, near_copies, packing, queries, shared, toxicity
+from tests.llm.test_langid_fusion import brute as fused
 
 SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+def components(texts):
+    """Of a list of texts, the number of the first one that each is linked to."""
+    sets = [near_copies.shingles(t) for t in texts]
+    root, before = list(range(len(texts))), None
+    near = [[j for j in range(len(texts)) if near_copies.similarity(sets[i], sets[j]) >= 0.8] for i in range(len(texts))]
+    while root != before:
+        before, root = root, [min(root[j] for j in near[i]) for i in range(len(texts))]
+    return root
 
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs.collect()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.shared.written(stage(spark, docs, SF), name)
+        model = langid.model_of(docs) if name == "language_id" else None
+        lexicon = toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").where(~toxicity.held_out())) if name == "toxicity" else None
+        docs = shared.written(stage(spark, docs, SF), name)
         assert docs.columns == list(corpus_pipeline.COLUMNS)
         after = docs.collect()
-        kept, had = {r.doc_id for r in after}, {r.doc_id for r in before}
-        assert kept <= had and len(after) == len(kept)
+        kept = {r.doc_id for r in after}
+        assert set(after) <= set(before) and len(after) == len(kept)
         if name == "language_id":
-            assert len(kept) >= 0.98 * len(had)
+            found = fused([(r.doc_id, "d", r.text, None, r.source) for r in before], model)
+            assert kept == {d for (d, _), (_, _, accepted) in found.items() if accepted}
+        if name == "toxicity":
+            assert kept == {r.doc_id for r in before if lexicon.score(r.text) < 0.5}
         if name == "exact_dedup":
             best = {}
             for r in before:
                 best[r.text] = max(r.doc_id, best.get(r.text, -1))
             assert kept == set(best.values())
         if name == "simhash_near_dedup":
-            prints = {r.doc_id: simhash.fingerprint(r.text) for r in before}
-            root = {d: d for d in prints}
-            changed = True
-            while changed:
-                changed = False
-                for a in prints:
-                    for b in prints:
-                        if (prints[a] ^ prints[b]).bit_count() <= 4 and root[b] < root[a]:
-                            root[a], changed = root[b], True
-            assert kept == {d for d in root if root[d] == d}
+            before = sorted(before, key=lambda r: r.doc_id)
+            root = components([r.text for r in before])
+            assert kept == {before[k].doc_id for k in set(root)} and len(kept) < len(before)
         before = after
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in before}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = STAGES["best_fit_packing"](spark, docs, SF).collect()
+    tokens = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in before}
+    got, rooms = dict.fromkeys(tokens, 0), {}
+    for r in packed:
+        got[r.doc_id] += r.length
+        rooms.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert got == tokens
+    for spots in rooms.values():
+        spots.sort()
+        assert [o for o, _ in spots] == [sum(n for _, n in spots[:k]) for k in range(len(spots))] and sum(n for _, n in spots) <= packing.CAPACITY
+    assert len(rooms) <= -(-sum(tokens.values()) // packing.CAPACITY) + 1
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
 
 
-def test_null_and_repeated_rows(spark):
-    rows = [(1, "the of and that thing", "en", "s", 5), (1, "the of and that thing", "en", "s", 5), (None, "the of and that thing", None, None, None), (2, None, "en", "s", None), (3, "", "en", "s", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == list(corpus_pipeline.COLUMNS)
-    assert {r.doc_id for r in docs.collect()} <= {1, None}
+def test_rows_decide_for_themselves(spark):
+    good = "the of and that thing with this is the end of it"
+    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (None, good, None, None, None), (None, "another the of and that one", None, None, None), (2, None, "en", "s", None), (2, f"{good} and more", "en", "s", 1), (3, "", "en", "s", 0), (4, "1234 !!", "en", "s", 0), (5, "the long of and that " * 60_000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"_row": shared.F.lit("x"), "_node": shared.F.lit(1)})
+    kept = STAGES["language_id"](spark, docs, SF)
+    assert sorted((r.doc_id or 0, len(r.text)) for r in kept.collect()) == sorted((d or 0, len(t)) for d, t, *_ in rows if t and t != "1234 !!")
+    for name in ("toxicity", "exact_dedup", "simhash_near_dedup"):
+        kept = STAGES[name](spark, kept, SF)
+        assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted((r.doc_id or 0, len(r.text)) for r in kept.collect()) == sorted([(1, len(good)), (0, 27), (2, len(good) + 9), (5, len(rows[-1][1]))])
+
+
+def test_run_leaves_only_what_the_result_reads(spark):
+    before = shared.mark()
+    found = corpus_pipeline.run(spark, SF)
+    left = shared.mark() - before
+    assert not any("near" in p or "lang" in p or "star" in p for p in left)
+    assert found.count() > 0
+    shared.sweep(spark, before)
+    assert shared.mark() == before
 
 
 def test_empty(spark):
