@@ -65,14 +65,14 @@ def test_stages(spark):
 
 def test_rows_decide_for_themselves(spark):
     good = "the of and that thing with this is the end of it"
-    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (None, good, None, None, None), (None, "another the of and that one", None, None, None), (2, None, "en", "s", None), (2, f"{good} and more", "en", "s", 1), (3, "", "en", "s", 0), (4, "1234 !!", "en", "s", 0), (5, "the long of and that " * 60_000, "en", "s", 1)]
+    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (None, good, None, None, None), (None, "another the of and that one", None, None, None), (2, None, "en", "s", None), (2, f"{good} and more than that", "en", "s", 1), (3, "", "en", "s", 0), (4, "1234 !!", "en", "s", 0), (5, "the long of and that " * 60_000, "en", "s", 1)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumns({"_row": shared.F.lit("x"), "_node": shared.F.lit(1)})
     kept = STAGES["language_id"](spark, docs, SF)
     assert sorted((r.doc_id or 0, len(r.text)) for r in kept.collect()) == sorted((d or 0, len(t)) for d, t, *_ in rows if t and t != "1234 !!")
     for name in ("toxicity", "exact_dedup", "simhash_near_dedup"):
         kept = STAGES[name](spark, kept, SF)
         assert kept.columns == list(corpus_pipeline.COLUMNS)
-    assert sorted((r.doc_id or 0, len(r.text)) for r in kept.collect()) == sorted([(1, len(good)), (0, 27), (2, len(good) + 9), (5, len(rows[-1][1]))])
+    assert sorted((r.doc_id or 0, len(r.text)) for r in kept.collect()) == sorted([(1, len(good)), (0, 27), (2, len(good) + 19), (5, len(rows[-1][1]))])
 
 
 def test_run_leaves_only_what_the_result_reads(spark):
