@@ -20,8 +20,12 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return shared.written(moved.where("u <> v").distinct(), "star-pairs", pairs, least)
 
 
-def _state(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first())
+def _settled(pairs: DataFrame) -> bool:
+    """Whether pairs are stars: each u has one v, which is no u. Then the v are the roots."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(pairs.select(F.col("v").alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    each = ends.groupBy("x").agg(F.sum("a").alias("a"), F.max("b").alias("b"))
+    most, both = each.agg(F.max("a"), F.max((F.col("a") > 0) & (F.col("b") > 0))).first()
+    return not most or (most == 1 and not both)
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -31,14 +35,10 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges are joined by broadcast. Edges may repeat and point either way; a = b and nulls are left out; without edges there are no rows.
     """
     pairs = shared.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-pairs")
-    state = _state(pairs)
     for _ in range(most_rounds):
-        if not state[0]:
+        if _settled(pairs):
             break
         pairs = _star(_star(pairs, True), False)
-        before, state = state, _state(pairs)
-        if state == before and state[0] == state[2]:
-            break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

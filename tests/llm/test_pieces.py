@@ -45,3 +45,10 @@ def test_rows(spark):
 
 def test_empty(spark):
     assert pieces.encode_texts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_very_long_texts():
+    encoder = pieces.PieceEncoder(PATH)
+    random.seed(8)
+    for text in ("the thing in the end. " * 50_000, "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=60_000)), "a" * 60_000, "日本語" * 20_000, "x1-_" * 20_000):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.library.encode(text, add_bos=True, add_eos=True)
