@@ -73,30 +73,19 @@ def simple_range(bin_: Column, offset: int = 0, mode: int = 15) -> Column:
     return (bin_ - offset) * F.lit(C.METRES_PER_BIN) if mode == 15 else F.lit(0.0)
 
 
-def fwhm(hist: Column, bin_: Column, above_half: Column, saturation: int | None = None) -> Column:
-    """Range of a peak from the middle of its full width at half maximum.
+def fwhm(start: Column, end: Column, code: Column, above_half: Column, height: Column, saturation: int | None = None, bin_offset: int = 0) -> Column:
+    """Range of a peak from the middle of its full width at half maximum: a struct of distance_m and notes.
 
-    A struct of distance_m, start_fwhm_bin, end_fwhm_bin and notes. On each side the nearest bin at or below half the
-    peak is taken and the crossing interpolated; without one the peak's bin stands in. above_half is the number of
-    peaks of at least half this height in the waveform.
+    start, end, code and above_half are columns of the peak kernel (peaks.FWHM); bin_offset are bins that were cut off before.
     """
-    peak = F.get(hist, bin_).cast("double")
-    half = peak / 2
-    n = F.size(hist)
-    at = lambda i: F.get(hist, i).cast("double")
-    left = F.array_max(F.transform(F.slice(hist, F.lit(1), bin_), lambda v, i: F.when(v <= half, i)))
-    right = F.array_min(F.transform(F.slice(hist, bin_ + 2, F.greatest(n - bin_ - 1, F.lit(0))), lambda v, i: F.when(v <= half, i))) + bin_ + 1
-    rise, fall = at(left + 1) - at(left), at(right - 1) - at(right)
-    start = F.when(left.isNull(), bin_.cast("double")).when(rise == 0, left.cast("double")).otherwise(left + (half - at(left)) / rise)
-    end = F.when(right.isNull(), bin_.cast("double")).when(fall == 0, right.cast("double")).otherwise(right - (half - at(right)) / fall)
-    distance = (start + end) / 2 * F.lit(C.METRES_PER_BIN) - F.lit(C.RANGE_OFFSET)
+    distance = ((start + end) / 2 + bin_offset) * F.lit(C.METRES_PER_BIN) - F.lit(C.RANGE_OFFSET)
+    bit = lambda k, text: F.when(code.bitwiseAND(F.lit(k)) != 0, text)
     notes = [
-        F.when(left.isNull(), "no half maximum on the left"), F.when(rise == 0, "flat on the left"),
-        F.when(right.isNull(), "no half maximum on the right"), F.when(fall == 0, "flat on the right"),
-        F.when(peak >= saturation, "saturated") if saturation is not None else F.lit(None).cast("string"),
+        bit(1, "no half maximum on the left"), bit(2, "flat on the left"), bit(4, "no half maximum on the right"), bit(8, "flat on the right"),
+        F.when(height >= saturation, "saturated") if saturation is not None else F.lit(None).cast("string"),
         F.when(above_half > 1, "several peaks above half maximum"), F.when(distance < 0, "negative distance"),
     ]
-    return F.struct(distance.alias("distance_m"), start.alias("start_fwhm_bin"), end.alias("end_fwhm_bin"), F.array_compact(F.array(*notes)).alias("notes"))
+    return F.struct(distance.alias("distance_m"), F.array_compact(F.array(*notes)).alias("notes"))
 
 
 def logits_to_label(logits: Column, threshold: float | None = None, below: int = C.NOISE, ignored: tuple[int, ...] = ()) -> Column:

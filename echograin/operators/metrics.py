@@ -106,7 +106,7 @@ def report(rows: DataFrame, classes: int = C.CLASSES) -> DataFrame:
 
 
 def metrics_long(rows: DataFrame, classes: int = C.CLASSES) -> DataFrame:
-    """metric, value: a name for each figure of each scene."""
+    """metric, value: a name for each figure of each scene. The names of the metrics."""
     prf = scene_prf(rows, classes)
     name = lambda figure: F.concat(F.lit("test_scene_"), "scene_id", F.lit("_peak_"), F.lit(figure))
     each = prf.select("scene_id", "class", F.expr("stack(3, 'precision', precision, 'recall', recall, 'f1', f1) AS (figure, value)"))
@@ -132,6 +132,22 @@ def masked_report(rows: DataFrame) -> DataFrame:
     return prf.select("class", "support", "precision", "recall", "f1")
 
 
+def masked_matrix(rows: DataFrame) -> DataFrame:
+    """ann, pred, n over voxels whose truth is not noise, for every pair of the labels present on either side."""
+    counts = rows.where(F.col("ann") != C.NOISE).groupBy("ann", "pred").agg(F.count(F.lit(1)).alias("n"))
+    present = counts.agg(F.array_distinct(F.flatten(F.collect_list(F.array("ann", "pred")))).alias("_k"))  # a few labels
+    grid = present.select(F.explode("_k").alias("ann"), "_k").select("ann", F.explode("_k").alias("pred"))
+    return grid.join(counts, ["ann", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+
+
+def masked_summary(rows: DataFrame) -> DataFrame:
+    """total, correct, accuracy and macro precision, recall and F1 over voxels whose truth is not noise; undefined ratios are 1."""
+    prf = class_prf(masked_matrix(rows), [], undefined=1.0)
+    means = [F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    sums = prf.agg(F.sum("support").alias("total"), F.sum("tp").alias("correct"), *means)
+    return sums.withColumn("accuracy", safe_div(F.col("correct"), F.col("total")))
+
+
 def label_stats(waveforms: DataFrame, labels: DataFrame, classes: int = C.CLASSES) -> DataFrame:
     """class, n, percent (2 decimals): noise is what is left of all voxels; undefined labels are a row of their own."""
     counts = labels.groupBy(F.col("label").alias("class")).agg(F.count(F.lit(1)).alias("n")).where(F.col("class").between(-1, classes - 1) & (F.col("class") != C.NOISE))

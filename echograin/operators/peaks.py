@@ -88,6 +88,55 @@ def measure(flat: np.ndarray, places: np.ndarray, begins: np.ndarray, ends: np.n
     return prominence, _crossings(flat, places, 1, right, level, begins) - _crossings(flat, places, -1, left, level, begins)
 
 
+def _nearest_half(flat: np.ndarray, places: np.ndarray, step: int, limit: np.ndarray) -> np.ndarray:
+    """From each place outwards, the nearest place at or below half its count; -1 where the place `limit` comes first."""
+    found, half = np.full(len(places), -1, np.int64), flat[places] / 2
+    on, at = np.arange(len(places)), places.copy()
+    while len(on):
+        at = at + step
+        inside = at != limit[on]
+        on, at = on[inside], at[inside]
+        low = flat[at] <= half[on]
+        found[on[low]] = at[low]
+        on, at = on[~low], at[~low]
+    return found
+
+
+#: Bits of the column fwhm_code.
+NO_LEFT, FLAT_LEFT, NO_RIGHT, FLAT_RIGHT = 1, 2, 4, 8
+FWHM = "start_fwhm_bin double, end_fwhm_bin double, fwhm_code int, above_half int"
+
+
+def half_widths(flat: np.ndarray, places: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each place's waveform comes down to half its count, between bins, on the left and the right, and bits on what is missing: without such a bin the place itself stands in."""
+    bins, half, code = (places - begins).astype(float), flat[places] / 2.0, np.zeros(len(places), np.int32)
+    out = []
+    for step, limit, none, even in ((-1, begins - 1, NO_LEFT, FLAT_LEFT), (1, ends, NO_RIGHT, FLAT_RIGHT)):
+        at = _nearest_half(flat, places, step, limit)
+        there = at >= 0
+        spot = np.where(there, at, places)
+        slope = flat[np.clip(spot - step, 0, max(0, len(flat) - 1))].astype(float) - flat[spot]
+        rises = there & (slope != 0)
+        part = np.divide(half - flat[spot], slope, out=np.zeros(len(places)), where=rises)
+        out.append(np.where(there, (spot - begins) - step * part, bins))
+        code |= np.where(there, np.where(rises, 0, even), none).astype(np.int32)
+    return out[0], out[1], code
+
+
+def _at_least(rows: np.ndarray, tops: np.ndarray, of: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """How many of the peaks (row, top), sorted by row, are in the row `of` and reach `least`."""
+    order = np.lexsort((tops, rows))
+    sorted_rows, sorted_tops = rows[order], tops[order]
+    low, high = np.searchsorted(sorted_rows, of), np.searchsorted(sorted_rows, of, side="right")
+    end = high.copy()
+    while (open_ := low < high).any():  # bisection inside each row
+        middle = (low + high) // 2
+        small = np.zeros(len(of), bool)
+        small[open_] = sorted_tops[middle[open_]] < least[open_]
+        low, high = np.where(open_ & small, middle + 1, low), np.where(open_ & ~small, middle, high)
+    return (end - low).astype(np.int32)
+
+
 def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values of a list column laid end to end, and each list's begin and length; nulls are empty."""
     lengths = np.nan_to_num(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -95,8 +144,12 @@ def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, np.cumsum(lengths) - lengths, lengths
 
 
-def find_peaks(rows: DataFrame, keys: list[str] | None = None, height: Column | float | None = None, distance: float | None = None, prominence: float | None = None, width: float | None = None, hist: str = "hist", measured: bool = True) -> DataFrame:
-    """A row per peak: the keys with bin, height, prominence and width.
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def find_peaks(rows: DataFrame, keys: list[str] | None = None, height: Column | float | None = None, distance: float | None = None, prominence: float | None = None, width: float | None = None, hist: str = "hist", measured: bool = True, ranged: bool = False) -> DataFrame:
+    """A row per peak: the keys with bin, height, prominence and width; with `ranged` also the columns FWHM, by which with_fwhm ranges it.
 
     height may be an expression over the row. Without `measured`, and without a condition on them, prominence and width are null and cost nothing.
     A null or empty waveform, and one without a strict rise and fall, has no peaks.
@@ -106,22 +159,20 @@ def find_peaks(rows: DataFrame, keys: list[str] | None = None, height: Column |
     low = F.lit(None) if height is None else height if isinstance(height, Column) else F.lit(float(height))
     chosen = rows.select(*keys, low.cast("double").alias("_low"), F.col(hist).alias("_hist"))
     n = len(keys)
-    fields = [f for f in chosen.schema.fields if f.name in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             flat, starts, lengths = _rows_of(batch.column(n + 1))
             low = batch.column(n).to_numpy(zero_copy_only=False).astype(float)
-            place = candidates(flat, starts[lengths > 0])
-            row = np.searchsorted(starts + lengths, place, side="right")
-            top = flat[place].astype(float)
-            good = ~(top < low[row])  # a null threshold is no condition
-            place, row, top = place[good], row[good], top[good]
+            every = candidates(flat, starts[lengths > 0])
+            every_row = np.searchsorted(starts + lengths, every, side="right")
+            every_top = flat[every].astype(float)
+            good = ~(every_top < low[every_row])  # a null threshold is no condition
+            place, row, top = every[good], every_row[good], every_top[good]
             if distance is not None and len(place):
                 cuts = np.flatnonzero(np.diff(row)) + 1
                 keep = np.concatenate([far_apart(p, t, distance) for p, t in zip(np.split(place, cuts), np.split(top, cuts), strict=True)])
                 place, row, top = place[keep], row[keep], top[keep]
-            bins = place - starts[row]
             found = np.full((len(place), 2), np.nan)
             if need:
                 found[:, 0], found[:, 1] = measure(flat, place, starts[row], starts[row] + lengths[row])
@@ -130,19 +181,67 @@ def find_peaks(rows: DataFrame, keys: list[str] | None = None, height: Column |
                 good &= found[:, 0] >= prominence
             if width is not None:
                 good &= found[:, 1] >= width
-            taken = pa.array(row[good])
+            place, row, top, found = place[good], row[good], top[good], found[good]
+            taken = pa.array(row)
             arrays = [batch.column(k).take(taken) for k in range(n)]
-            arrays += [pa.array(bins[good].astype(np.int32)), pa.array(top[good])]
-            arrays += [pa.array(found[good, k], from_pandas=True) for k in range(2)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "bin", "height", "prominence", "width"])
+            arrays += [pa.array((place - starts[row]).astype(np.int32)), pa.array(top)]
+            arrays += [pa.array(found[:, k], from_pandas=True) for k in range(2)]
+            names = [*keys, "bin", "height", "prominence", "width"]
+            if ranged:
+                arrays += [pa.array(v) for v in half_widths(flat, place, starts[row], starts[row] + lengths[row])]
+                arrays.append(pa.array(_at_least(every_row, every_top, row, top / 2)))
+                names += [c.split()[0] for c in FWHM.split(", ")]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    schema = _fields(rows.select(*keys)) + ", bin int, height double, prominence double, width double" + f", {FWHM}" * ranged
+    return chosen.mapInArrow(run, schema)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", bin int, height double, prominence double, width double"
-    return chosen.select(*[f.name for f in fields], "_low", "_hist").mapInArrow(run, schema)
 
+def at_bins(rows: DataFrame, bins: Column, carried: list[str], first: tuple[float, int] | None = None, hist: str = "hist") -> DataFrame:
+    """A row for each bin of an array of each row: carried columns, number (its place in the array), bin, height and the columns FWHM.
 
-def relative_peaks(rows: DataFrame, share: float = 0.1, width: float | None = 3, distance: float | None = None, keys: list[str] | None = None) -> DataFrame:
+    With first = (least, top), the row's first peak comes last in number: the earliest of its `top` highest peaks of at
+    least `least` counts, else the array's first bin. Bins that are null or outside the waveform are left out. One pass, no shuffle.
+    """
+    chosen = rows.select(*carried, bins.cast("array<int>").alias("_bins"), F.col(hist).alias("_hist"))
+    n = len(carried)
+    names = [*carried, "number", "bin", "height", *[c.split()[0] for c in FWHM.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
+            flat, starts, lengths = _rows_of(batch.column(n + 1))
+            every = candidates(flat, starts[lengths > 0])
+            every_row = np.searchsorted(starts + lengths, every, side="right")
+            every_top = flat[every].astype(float)
+            _, asked_starts, asked_lengths = _rows_of(batch.column(n))
+            asked = batch.column(n).flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), asked_lengths)
+            number = np.arange(len(asked)) - np.repeat(asked_starts, asked_lengths)
+            if first is not None:
+                some = every_top >= first[0]
+                order = np.lexsort((every[some], -every_top[some], every_row[some]))
+                r, p = every_row[some][order], every[some][order]
+                best = np.arange(len(r)) - np.searchsorted(r, r) < first[1]
+                earliest = np.full(batch.num_rows, np.iinfo(np.int64).max)
+                np.minimum.at(earliest, r[best], p[best])
+                has = np.flatnonzero(asked_lengths > 0)
+                spot = np.where(earliest[has] < np.iinfo(np.int64).max, earliest[has] - starts[has], asked[asked_starts[has]])
+                row, number, asked = np.concatenate([row, has]), np.concatenate([number, asked_lengths[has]]), np.concatenate([asked, spot])
+            good = (asked >= 0) & (asked < lengths[row])
+            row, number, asked = row[good], number[good], asked[good]
+            place = starts[row] + asked
+            taken = pa.array(row)
+            arrays = [batch.column(k).take(taken) for k in range(n)] + [pa.array(number.astype(np.int32)), pa.array(asked.astype(np.int32)), pa.array(flat[place].astype(float))]
+            arrays += [pa.array(v) for v in half_widths(flat, place, starts[row], starts[row] + lengths[row])]
+            arrays.append(pa.array(_at_least(every_row, every_top, row, flat[place] / 2)))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return chosen.mapInArrow(run, _fields(rows.select(*carried)) + f", number int, bin int, height double, {FWHM}")
+
+
+def relative_peaks(rows: DataFrame, share: float = 0.1, width: float | None = 3, distance: float | None = None, keys: list[str] | None = None, ranged: bool = False) -> DataFrame:
     """Peaks of at least `share` of their waveform's largest count."""
-    return find_peaks(rows, keys, F.array_max("hist") * F.lit(share), distance=distance, width=width)
+    return find_peaks(rows, keys, F.array_max("hist") * F.lit(share), distance=distance, width=width, ranged=ranged)
 
 
 def median(hist: str = "hist") -> Column:
@@ -161,12 +260,9 @@ def peaks_above_median(rows: DataFrame, keys: list[str] | None = None) -> DataFr
 
 
 def first_peak_bin(rows: DataFrame, least: float = 3, top: int = 2, keys: list[str] | None = None) -> DataFrame:
-    """rows with bin: the earliest of the `top` highest peaks of at least `least`, else the strongest bin."""
-    keys = keys or KEYS
-    found = find_peaks(rows, keys, least, measured=False)
-    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("height"), "bin"))).where(F.col("_r") <= top)
-    earliest = ranked.groupBy(*keys).agg(F.min("bin").alias("_first"))
-    return rows.join(earliest, keys, "left").withColumn("bin", F.coalesce("_first", W.strongest_bin(F.col("hist")))).drop("_first")
+    """keys and hist with bin: the earliest of the `top` highest peaks of at least `least`, else the strongest bin. Empty waveforms are left out."""
+    found = at_bins(rows, F.array(W.strongest_bin(F.col("hist"))), [*(keys or KEYS), "hist"], (least, top))
+    return found.where("number = 1").select(*(keys or KEYS), "hist", "bin")
 
 
 # --- baseline correction --------------------------------------------------------------------------------------------
@@ -198,61 +294,72 @@ def deviation(residual: np.ndarray) -> np.ndarray:
     return np.median(np.abs(residual - np.median(residual, axis=-1, keepdims=True)), axis=-1)
 
 
+def _alike(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the rows of each length, empty ones left out: such rows are handled as one matrix."""
+    for n in np.unique(lengths[lengths > 0]):
+        yield np.flatnonzero(lengths == n)
+
+
+def _residual(flat: np.ndarray, starts: np.ndarray, length: int, rows: np.ndarray, sigma: float, kernel: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of rows of one length, smoothed, their baseline, and the deviation of what is above it."""
+    h = flat[starts[rows][:, None] + np.arange(length)]
+    s = smooth(h, sigma)
+    base = median_filter(s, kernel)
+    return h, s, base, deviation(np.maximum(s - base, 0.0))
+
+
 def baseline_peaks(rows: DataFrame, keys: list[str] | None = None, sigma: float = 1.0, kernel: int = 51, factor: float = 3.0, distance: float = 5, width: float = 1) -> DataFrame:
     """Peaks above a baseline: keys, bin, height and prominence of the residual, width, and mad.
 
     Smoothed waveform less its running median, cut at 0; peaks have at least 1.5 deviations of height and `factor` of
-    prominence. A waveform that sums to 0 or whose deviation is 0 has none.
+    prominence. A waveform that sums to 0 or whose deviation is 0 has none. Waveforms of one length are handled at once.
     """
     keys = keys or KEYS
-    fields = [f for f in rows.select(*keys).schema.fields]
+    n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(keys)
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             flat, starts, lengths = _rows_of(batch.column(n))
-            out: list[tuple] = []
-            for k in range(batch.num_rows):
-                h = flat[starts[k] : starts[k] + lengths[k]]
-                if not len(h) or h.sum() == 0:
-                    continue
-                s = smooth(h, sigma)
-                residual = np.maximum(s - median_filter(s, kernel), 0.0)
-                mad = float(deviation(residual))
-                if mad == 0:
-                    continue
-                places = candidates(residual, np.array([0]))
-                places = places[residual[places] >= 1.5 * mad]
-                places = places[far_apart(places, residual[places], distance)]
-                prominence, wide = measure(residual, places, np.zeros_like(places), np.full_like(places, len(residual)))
-                good = (prominence >= factor * mad) & (wide >= width)
-                out += [(k, p, float(residual[p]), float(a), float(w), mad) for p, a, w in zip(places[good].tolist(), prominence[good], wide[good], strict=True)]
-            taken = pa.array([r[0] for r in out], pa.int64())
-            arrays = [batch.column(k).take(taken) for k in range(n)] + [pa.array([r[1] for r in out], pa.int32())]
-            arrays += [pa.array([r[k] for r in out], pa.float64()) for k in range(2, 6)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "bin", "height", "prominence", "width", "mad"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", bin int, height double, prominence double, width double, mad double"
-    return rows.select(*keys, "hist").mapInArrow(run, schema)
+            for alike in _alike(lengths):
+                size = int(lengths[alike[0]])
+                h, s, base, mad = _residual(flat, starts, size, alike, sigma, kernel)
+                some = (h.sum(axis=1) != 0) & (mad != 0)
+                alike, mad = alike[some], mad[some]
+                residual = np.maximum(s - base, 0.0)[some].ravel()
+                place = candidates(residual, np.arange(len(alike)) * size)
+                row = place // size
+                high = residual[place] >= 1.5 * mad[row]
+                place, row = place[high], row[high]
+                if len(place):
+                    cuts = np.flatnonzero(np.diff(row)) + 1
+                    keep = np.concatenate([far_apart(p, residual[p], distance) for p in np.split(place, cuts)])
+                    place, row = place[keep], row[keep]
+                prominence, wide = measure(residual, place, row * size, row * size + size)
+                good = (prominence >= factor * mad[row]) & (wide >= width)
+                place, row = place[good], row[good]
+                taken = pa.array(alike[row])
+                arrays = [batch.column(k).take(taken) for k in range(n)] + [pa.array((place % size).astype(np.int32))]
+                arrays += [pa.array(v) for v in (residual[place], prominence[good], wide[good], mad[row])]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "bin", "height", "prominence", "width", "mad"])
+
+    return rows.select(*keys, "hist").mapInArrow(run, _fields(rows.select(*keys)) + ", bin int, height double, prominence double, width double, mad double")
 
 
 def filtered(rows: DataFrame, keys: list[str] | None = None, sigma: float = 1.0, kernel: int = 51) -> DataFrame:
-    """keys with smoothed and baseline (arrays), and mad of the residual."""
+    """keys with smoothed and baseline (arrays), and mad of the residual; an empty waveform has empty arrays and no mad."""
     keys = keys or KEYS
-    fields = [f for f in rows.select(*keys).schema.fields]
+    n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(keys)
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             flat, starts, lengths = _rows_of(batch.column(n))
-            made = []
-            for k in range(batch.num_rows):
-                h = flat[starts[k] : starts[k] + lengths[k]]
-                s = smooth(h, sigma) if len(h) else h.astype(float)
-                base = median_filter(s, kernel) if len(h) else s
-                made.append((s, base, float(deviation(np.maximum(s - base, 0.0))) if len(h) else None))
-            arrays = [*batch.columns[:n], pa.array([m[0] for m in made], pa.list_(pa.float64())), pa.array([m[1] for m in made], pa.list_(pa.float64())), pa.array([m[2] for m in made], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "smoothed", "baseline", "mad"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", smoothed array<double>, baseline array<double>, mad double"
-    return rows.select(*keys, "hist").mapInArrow(run, schema)
+            parts = [(alike, *_residual(flat, starts, int(lengths[alike[0]]), alike, sigma, kernel)[1:]) for alike in _alike(lengths)]
+            empty = np.flatnonzero(lengths == 0)
+            parts.append((empty, np.empty((len(empty), 0)), np.empty((len(empty), 0)), np.full(len(empty), np.nan)))
+            for alike, s, base, mad in parts:
+                ends = pa.array(np.arange(len(alike) + 1) * s.shape[1], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v.ravel())) for v in (s, base)]
+                arrays = [batch.column(k).take(pa.array(alike)) for k in range(n)] + [*lists, pa.array(mad, from_pandas=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "smoothed", "baseline", "mad"])
+
+    return rows.select(*keys, "hist").mapInArrow(run, _fields(rows.select(*keys)) + ", smoothed array<double>, baseline array<double>, mad double")

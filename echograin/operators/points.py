@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,33 +44,47 @@ def depth_points(rows: DataFrame, mode: int) -> DataFrame:
     return spd_points_b(rows, "Depth")
 
 
-def with_fwhm(rows: DataFrame, saturation: int | None = None, keys: list[str] | None = None) -> DataFrame:
-    """rows (keys, hist, bin) with distance_m, start_fwhm_bin, end_fwhm_bin and notes.
+def ranged(found: DataFrame, saturation: int | None = None, bin_offset: int = 0) -> DataFrame:
+    """Rows with the kernel's columns peaks.FWHM, ranged: distance_m and notes instead of the code and count."""
+    r = W.fwhm(*[F.col(c) for c in ("start_fwhm_bin", "end_fwhm_bin", "fwhm_code", "above_half", "height")], saturation, bin_offset)
+    kept = [c for c in found.columns if c not in ("fwhm_code", "above_half")]
+    return found.withColumn("_f", r).select(*kept, F.col("_f.distance_m").alias("distance_m"), F.col("_f.notes").alias("notes"))
 
-    The note on several peaks counts all peaks of at least half the peak's count; they come from one pass of the
-    peak kernel and a join on the pixel.
+
+def with_fwhm(rows: DataFrame, saturation: int | None = None, bin_offset: int = 0) -> DataFrame:
+    """rows (hist, bin and others) with distance_m, start_fwhm_bin, end_fwhm_bin and notes; rows whose bin is null or outside their waveform are left out.
+
+    The note on several peaks counts all peaks of at least half the peak's count. One pass of the peak kernel, no shuffle.
     """
-    keys = keys or KEYS
-    pixels = rows.select(*keys, "hist").dropDuplicates(keys)
-    heights = P.find_peaks(pixels, keys, measured=False).groupBy(*keys).agg(F.collect_list("height").alias("_heights"))
-    joined = rows.join(heights, keys, "left")
-    half = F.get("hist", F.col("bin")) / 2.0
-    above = F.size(F.filter(F.coalesce("_heights", F.array().cast("array<double>")), lambda v: v >= half))
-    return joined.withColumn("_f", W.fwhm(F.col("hist"), F.col("bin"), above, saturation)).select(*rows.columns, "_f.*")
+    carried = [c for c in rows.columns if c != "bin"]
+    found = ranged(P.at_bins(rows, F.array("bin"), carried), saturation, bin_offset)
+    return found.select(*rows.columns, "distance_m", "start_fwhm_bin", "end_fwhm_bin", "notes")
+
 
+METHODS = ("strongest", "centroid", "average", "first_peak")
 
-def range_by_method(rows: DataFrame, method: str, keys: list[str] | None = None) -> DataFrame:
-    """keys with bin, range and pos_x, pos_y, pos_z, by the method strongest, centroid, average or first_peak; waveforms for which it gives no bin are left out."""
+
+def range_by_methods(rows: DataFrame, methods: tuple[str, ...] = METHODS, keys: list[str] | None = None, place: Callable[[DataFrame], DataFrame] | None = None, bin_offset: int = 0, saturation: int | None = None) -> DataFrame:
+    """method and keys with bin, range and pos_x, pos_y, pos_z, by each method; waveforms for which it gives no bin are left out.
+
+    All methods share one pass of the peak kernel. place is the geometry: spd_points_b, or srl_points for the second sensor.
+    """
     keys = keys or KEYS
     by_column = {"strongest": W.strongest_bin, "centroid": W.centroid_bin, "average": W.average_bin}
-    if method == "first_peak":
-        rows = P.first_peak_bin(rows, keys=keys)
-    elif method in by_column:
-        rows = rows.withColumn("bin", by_column[method](F.col("hist")))
-    else:
-        raise ValueError(f"unknown method: {method}")
-    ranged = with_fwhm(rows.where(F.col("bin").isNotNull()).select(*keys, "hist", "bin"), keys=keys)
-    return spd_points_b(ranged).drop("hist")
+    if unknown := [m for m in methods if m not in METHODS]:
+        raise ValueError(f"unknown method: {unknown[0]}")
+    first = "first_peak" in methods
+    named = [m for m in methods if m != "first_peak"]
+    bins = F.array(W.strongest_bin(F.col("hist")), *[by_column[m](F.col("hist")) for m in named])
+    found = P.at_bins(rows, bins, keys, (3, 2) if first else None).where("number > 0")
+    method = F.element_at(F.array(*[F.lit(m) for m in [*named, "first_peak"]]), F.col("number"))
+    placed = (place or spd_points_b)(ranged(found.withColumn("method", method).drop("number"), saturation, bin_offset))
+    return placed.drop("height")
+
+
+def range_by_method(rows: DataFrame, method: str, keys: list[str] | None = None, **options) -> DataFrame:
+    """range_by_methods() for one method, without its name."""
+    return range_by_methods(rows, (method,), keys, **options).drop("method")
 
 
 def intensity(rows: DataFrame, gain: float, stack: int, use_block_gain: bool = True) -> DataFrame:
@@ -95,8 +110,19 @@ def raster(pixels: DataFrame, value: str) -> DataFrame:
 COLOURS = {0: (0.5, 0.5, 0.5), 1: (0.0, 1.0, 0.0), 2: (0.0, 0.0, 1.0), 3: (1.0, 0.0, 0.0), -1: (1.0, 1.0, 1.0)}
 
 
+# Colours of labels in charts of voxels, and in viewers of single waveforms (other labels are grey).
+CHART = {0: "#808080", 1: "#1f77b4", 2: "#ff7f0e", 3: "#2ca02c"}
+VIEWER = {1: "#00a65a", 2: "#1f77b4", 3: "#d62728"}
+
+
+def hex_colour(label: Column, palette: dict[int, str] | None = None, other: str = "#808080") -> Column:
+    """Colour of a label as #rrggbb."""
+    return reduce(lambda c, item: c.when(label == item[0], item[1]), (palette or CHART).items(), F.when(F.lit(False), "")).otherwise(other)
+
+
 def coloured(points: DataFrame) -> DataFrame:
     """points with r, g, b of their label; other labels are black."""
+
     def channel(k: int) -> Column:
         return reduce(lambda c, item: c.when(F.col("label") == item[0], F.lit(item[1][k])), COLOURS.items(), F.when(F.lit(False), F.lit(0.0))).otherwise(0.0)
 
@@ -133,20 +159,30 @@ def _celled(points: DataFrame, size: float, around: bool) -> DataFrame:
     return points
 
 
+#: Side of a small cell over the radius: two points of one such cell are nearer than the radius for certain (1 / sqrt(3) is 0.57735).
+SURE = 0.577
+
+
 def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str], how: str = "left_semi") -> DataFrame:
     """Rows of left that have a point of right (same keys) at most `radius` away, or with how="left_anti" those that have none.
 
-    Radius 0 is equality of coordinates. Otherwise points meet by an equal join on grid cells as large as the radius,
-    right's points going to the 27 cells around them after copies in one place are taken once.
+    Radius 0 is equality of coordinates. Otherwise a point that shares a small cell with one of right has it near for
+    certain: an equal join on these cells, which right fills once each, settles dense places without comparing points. What
+    is left meets right's points by an equal join on grid cells as large as the radius, right's points going to the 27
+    cells around them after copies in one place are taken once; Spark splits cells with many points of left among tasks (adaptive skew join).
     """
     xyz = ["pos_x", "pos_y", "pos_z"]
     if radius == 0:
         return left.join(right.select(*keys, *xyz).distinct(), [*keys, *xyz], how)
-    near = _celled(right.select(*keys, *xyz).distinct(), radius, True).select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(a).alias(f"_{a}") for a in xyz], *[F.col(c).alias(f"{c}r") for c in ("_cx", "_cy", "_cz")])
-    cond = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(c) == F.col(f"{c}r") for c in ("_cx", "_cy", "_cz")]
+    points = right.select(*keys, *xyz).distinct()
+    cells = ["_cx", "_cy", "_cz"]
+    small = _celled(points, radius * SURE, False).select(*keys, *cells).distinct()
+    sifted = _celled(left, radius * SURE, False).join(small.withColumn("_sure", F.lit(True)), [*keys, *cells], "left").select(*left.columns, "_sure")
+    near = _celled(points, radius, True).select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(a).alias(f"_{a}") for a in xyz], *[F.col(c).alias(f"{c}r") for c in cells])
+    cond = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(c) == F.col(f"{c}r") for c in cells]
     square = sum(((F.col(a) - F.col(f"_{a}")) ** 2 for a in xyz), F.lit(0.0))
-    joined = _celled(left, radius, False).join(near, [*cond, square <= radius * radius], how)
-    return joined.select(*left.columns)
+    rest = _celled(sifted.where("_sure IS NULL"), radius, False).join(near, [*cond, square <= radius * radius], how).select(*left.columns)
+    return rest if how == "left_anti" else sifted.where("_sure").select(*left.columns).unionByName(rest)
 
 
 def without_ghost_neighbours(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
@@ -171,9 +207,8 @@ def labelled(peaks: DataFrame, labels: DataFrame, column: str = "label", keys: l
 def peaks_to_points(waveforms: DataFrame, labels: DataFrame, noise: bool = False, undefined: bool = False, skip_ghosts: bool = False, ghost_radius: float = 0.0, keys: list[str] | None = None) -> DataFrame:
     """Labelled, ranged and placed points of all relative peaks of the waveforms."""
     keys = keys or KEYS
-    found = visible(labelled(P.relative_peaks(waveforms, keys=keys), labels, keys=keys), noise, undefined, skip_ghosts)
-    ranged = with_fwhm(found.select(*keys, "bin", "label").join(waveforms.select(*keys, "hist"), keys), keys=keys).drop("hist")
-    points = spd_points_a(ranged)
+    found = visible(labelled(P.relative_peaks(waveforms, keys=keys, ranged=True), labels, keys=keys), noise, undefined, skip_ghosts)
+    points = spd_points_a(ranged(found)).drop("height", "prominence", "width")
     return without_ghost_neighbours(points, ghost_radius, keys[:1]) if ghost_radius else points
 
 

@@ -63,21 +63,23 @@ def crop_labels(labels: DataFrame, x: tuple[int, int], y: tuple[int, int], shape
 
 
 def random_starts(frames: DataFrame, shape: tuple[int, int, int], target: tuple[int, int, int], seed: int = 0) -> DataFrame:
-    """frame_id with the start of a crop on each axis, drawn evenly from what fits by a hash of frame and seed."""
-    draw = lambda axis, n, t: F.pmod(F.xxhash64("frame_id", F.lit(seed), F.lit(axis)), F.lit(max(0, n - t) + 1)).cast("int").alias(f"{axis}0")
+    """frame_id with the start of a crop on each axis, drawn evenly from what fits by the MD5 of seed, frame and axis."""
+    number = lambda axis: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("frame_id").cast("string"), F.lit(axis))), 1, 12), 16, 10).cast("bigint")
+    draw = lambda axis, n, t: F.pmod(number(axis), F.lit(max(0, n - t) + 1)).cast("int").alias(f"{axis}0")
     return frames.select("frame_id").distinct().select("frame_id", *[draw(a, n, t) for a, n, t in zip("xyz", shape, target, strict=True)])
 
 
 def random_crop(rows: DataFrame, starts: DataFrame, target: tuple[int, int, int]) -> DataFrame:
-    """Waveforms inside each frame's crop, re-based; with a column bin instead of hist, sparse rows inside it."""
+    """Waveforms inside each frame's crop, re-based; with a column bin, or position of peaks, instead of hist, sparse rows inside it."""
     kept = rows.join(starts, "frame_id")
     x, y = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
     kept = kept.where((x >= 0) & (x < target[0]) & (y >= 0) & (y < target[1])).withColumns({"x": x, "y": y})
     if "hist" in rows.columns:
         kept = kept.withColumn("hist", F.slice("hist", F.col("z0") + 1, F.lit(target[2])))
     else:
-        z = F.col("bin") - F.col("z0")
-        kept = kept.where((z >= 0) & (z < target[2])).withColumn("bin", z)
+        name = "bin" if "bin" in rows.columns else "position"
+        z = F.col(name) - F.col("z0")
+        kept = kept.where((z >= 0) & (z < target[2])).withColumn(name, z)
     return kept.drop("x0", "y0", "z0")
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from echograin.functions import waveform as W
 
-from . import resample
+from . import resample, sampling
 
 KEYS = ["frame_id", "x", "y"]
 
@@ -51,22 +53,37 @@ def stitch(tiles: DataFrame, value: str = "label") -> DataFrame:
 def patchify(waveforms: DataFrame, shape: tuple[int, int, int], patch: tuple[int, int, int]) -> DataFrame:
     """frame_id, patch_id, values: the volume (bin, y, x) cut into patches, numbered and laid out in this axis order.
 
-    shape and patch are (bins, lines, columns); a patch's sides divide the shape. Missing pixels are zeros.
+    shape and patch are (bins, lines, columns); a patch's sides divide the shape. Missing pixels are zeros, and so are
+    bins that a waveform lacks. Columns of pixels meet by frame and place; an Arrow kernel lays each patch column out as arrays.
     """
     if any(n % p for n, p in zip(shape, patch, strict=True)):
         raise ValueError("patches do not divide the volume")
-    (_, h, w), (pd_, ph, pw) = shape, patch
-    rows = waveforms.where((F.col("x") < w) & (F.col("y") < h))
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(shape[0] // pd_ - 1)), lambda k: F.slice("hist", k * pd_ + 1, F.lit(pd_)))
-    rows = rows.select("frame_id", "x", "y", F.posexplode(chunks).alias("_d", "_part"))
-    patch_id = (F.col("_d") * (h // ph) + F.floor(F.col("y") / ph)) * (w // pw) + F.floor(F.col("x") / pw)
+    (bins, h, w), (pd_, ph, pw) = shape, patch
+    deep, size = bins // pd_, ph * pw
+    rows = waveforms.where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1))
+    column = F.floor(F.col("y") / ph) * (w // pw) + F.floor(F.col("x") / pw)
     spot = (F.col("y") % ph) * pw + F.col("x") % pw
-    size = ph * pw
-    grouped = rows.groupBy("frame_id", patch_id.cast("int").alias("patch_id")).agg(F.array_sort(F.collect_list(F.struct(spot.alias("s"), "_part"))).alias("_e"))
-    zeros = F.array_repeat(F.lit(0).cast("bigint"), F.lit(pd_))
-    parts = grouped.select("frame_id", "patch_id", resample.filled(F.col("_e"), "s", "_part", size, zeros).alias("_p"))
-    value = lambda i: F.get(F.get("_p", i % size), F.floor(i / size).cast("int"))
-    return parts.select("frame_id", "patch_id", F.transform(F.sequence(F.lit(0), F.lit(pd_ * size - 1)), value).alias("values"))
+    grouped = rows.groupBy("frame_id", column.cast("int").alias("_c")).agg(F.collect_list(F.struct(spot.cast("int").alias("s"), "hist")).alias("_e"))  # a patch has size pixels
+    frame = waveforms.schema["frame_id"].dataType.simpleString()
+    per_batch = max(1, (1 << 20) // (bins * size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, per_batch) for b in batches for at in range(0, b.num_rows, per_batch)):
+            entries = batch.column(2)
+            pixels, hists = entries.flatten().field("s").to_numpy(zero_copy_only=False), entries.flatten().field("hist")
+            owner = np.repeat(np.arange(batch.num_rows), entries.value_lengths().to_numpy(zero_copy_only=False))
+            lengths = hists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            begins = np.cumsum(lengths) - lengths
+            at = np.arange(lengths.sum()) - np.repeat(begins, lengths)
+            inside = at < bins
+            volume = np.zeros((batch.num_rows, bins, size), np.int64)
+            volume[np.repeat(owner, lengths)[inside], at[inside], np.repeat(pixels, lengths)[inside]] = hists.flatten().to_numpy(zero_copy_only=False)[inside]
+            n = batch.num_rows * deep
+            number = (np.arange(deep) * (h // ph) * (w // pw) + batch.column(1).to_numpy(zero_copy_only=False)[:, None]).ravel()
+            values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * pd_ * size, pa.int32()), pa.array(volume.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), deep))), pa.array(number.astype(np.int32)), values], names=["frame_id", "patch_id", "values"])
+
+    return grouped.mapInArrow(run, f"frame_id {frame}, patch_id int, values array<bigint>")
 
 
 def unpatchify(patches: DataFrame, shape: tuple[int, int, int], patch: tuple[int, int, int], masked_only: bool = False) -> DataFrame:
@@ -84,7 +101,7 @@ def unpatchify(patches: DataFrame, shape: tuple[int, int, int], patch: tuple[int
 
 def patch_mask(patches: DataFrame, ratio: float, count: int, seed: int = 0) -> DataFrame:
     """patches with masked: whole part of count * ratio of each frame's `count` patches, drawn by a hash of frame, patch and seed."""
-    order = Window.partitionBy("frame_id").orderBy(F.xxhash64("frame_id", "patch_id", F.lit(seed)), "patch_id")
+    order = Window.partitionBy("frame_id").orderBy(sampling.draw(["frame_id", "patch_id"], seed), "patch_id")
     return patches.withColumn("masked", F.row_number().over(order) <= int(count * ratio))
 
 
@@ -100,10 +117,22 @@ def peak_tensors(lists: DataFrame, shape: tuple[int, int, int], k: int = 4, min_
     return rows.select(*KEYS, "k", at(0).alias("position"), at(1).alias("height"), at(2).alias("width"))
 
 
-def crop_peak_tensors(tensors: DataFrame, x: tuple[int, int], y: tuple[int, int]) -> DataFrame:
-    """Tensors of a half-open window, x and y counted from its begin; positions are kept."""
+def crop_peak_tensors(tensors: DataFrame, x: tuple[int, int], y: tuple[int, int], bins: tuple[int, int] | None = None, resampled: tuple[int, int] | None = None, as_reference: bool = False) -> DataFrame:
+    """Tensors of a half-open window, x and y counted from its begin.
+
+    bins is the half-open window of bins and resampled the numbers of bins before and after downsample(): positions
+    are moved and scaled along with the waveforms, and peaks outside the bins are left out. With as_reference, positions are kept as they are.
+    """
     kept = tensors.where((F.col("x") >= x[0]) & (F.col("x") < x[1]) & (F.col("y") >= y[0]) & (F.col("y") < y[1]))
-    return kept.withColumns({"x": F.col("x") - x[0], "y": F.col("y") - y[0]})
+    kept = kept.withColumns({"x": F.col("x") - x[0], "y": F.col("y") - y[0]})
+    if as_reference:
+        return kept
+    if bins:
+        kept = kept.where((F.col("position") >= bins[0]) & (F.col("position") < bins[1])).withColumn("position", F.col("position") - bins[0])
+    if resampled:
+        scale = (resampled[1] - 1) / max(1, resampled[0] - 1)
+        kept = kept.withColumn("position", F.col("position") * F.lit(scale))
+    return kept
 
 
 def patch_peak_mean(tensors: DataFrame, patch: tuple[int, int], columns: int) -> DataFrame:
@@ -113,8 +142,8 @@ def patch_peak_mean(tensors: DataFrame, patch: tuple[int, int], columns: int) ->
     return tensors.groupBy("frame_id", patch_id.cast("int").alias("patch_id"), "k").agg(*[mean(c) for c in ("position", "height", "width")])
 
 
-def stub_label(hist: Column) -> Column:
-    """A rule instead of a model: labels from counts, bin by bin."""
+def stub_label(hist: Column, tile: Column | None = None) -> Column:
+    """A rule instead of a model: labels from counts, bin by bin; every tile is judged alike."""
     return F.transform(hist, lambda v, i: F.when(v == 0, F.lit(0)).otherwise((v + i) % 4).cast("int"))
 
 
@@ -130,16 +159,17 @@ def score_tiles(tiles: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd
     return tiles.mapInPandas(run, schema)
 
 
-def estimate(waveforms: DataFrame, width: int, height: int, window: tuple[int, int], crop: tuple[int, int, int], bins: int, target: int, score: Callable[[Column], Column] = stub_label) -> DataFrame:
+def estimate(waveforms: DataFrame, width: int, height: int, window: tuple[int, int], crop: tuple[int, int, int], bins: int, target: int, score: Callable[[Column, Column], Column] = stub_label) -> DataFrame:
     """frame_id, x, y, bin, label: crop, downsample, tile, score, stitch, and spread the labels over the cropped bins again.
 
-    crop is (bottom, top, front). With a column rule as score all work stays in SQL expressions.
+    crop is (bottom, top, front); score gives labels from a waveform and the number of its tile. A later tile
+    overrules an earlier one also where it says noise, which is dropped only after stitching.
     """
     bottom, top, front = crop
     small = resample.downsample(resample.crop_z(resample.crop_y(waveforms, bottom, top, height), front), target)
     tiles = extract_tiles(small, width, height - bottom - top, window)
-    scored = tiles.select("frame_id", "tile_id", "x0", "y0", "dx", "dy", F.posexplode(score(F.col("hist"))).alias("bin", "label"))
-    return resample.upsample_zero(stitch(scored.where("label <> 0")), target, bins - front)
+    scored = tiles.select("frame_id", "tile_id", "x0", "y0", "dx", "dy", F.posexplode(score(F.col("hist"), F.col("tile_id"))).alias("bin", "label"))
+    return resample.upsample_zero(stitch(scored).where("label <> 0"), target, bins - front)
 
 
 def frame_labels(logits: DataFrame, column: str, threshold: float | None = None, below: int = 0, ignored: tuple[int, ...] = ()) -> DataFrame:

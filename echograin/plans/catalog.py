@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from echograin import fixtures as X
+from echograin.operators import peaks as P
 from echograin.operators import sampling as S
-from echograin.plans.base import query
+from echograin.plans.base import query, rounded
 from echograin.plans.points import clouds
 from echograin.sources import catalog as K
 from echograin.sources import volumes as V
@@ -89,6 +91,11 @@ def pair_clouds(spark, d):
     return K.pair_clouds(spark.sql(CLOUDS.format(f="{f}"), f=frames(spark, d)))
 
 
+@query("WITH f AS (" + FRAMES.format(lineitem="lineitem") + "), c AS (" + CLOUDS.format(f="f") + "), s AS (SELECT regexp_replace(regexp_replace(path, '^.*/', ''), '(_gt)?.pcd$', '') AS stem, path LIKE '%_gt.pcd' AS gt FROM c), g AS (SELECT stem, bool_or(gt) AS has_gt, bool_or(NOT gt) AS has_pred FROM s GROUP BY stem) SELECT CASE WHEN has_gt AND has_pred THEN 'paired' WHEN has_gt THEN 'truth only' ELSE 'prediction only' END AS status, count(*) AS clouds FROM g GROUP BY 1")
+def cloud_status(spark, d):
+    return K.cloud_status(spark.sql(CLOUDS.format(f="{f}"), f=frames(spark, d)))
+
+
 @query("""WITH n AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN concat('scene', CAST(c_custkey AS string), '_hist001_x.pcd') WHEN 1 THEN concat(c_mktsegment, '_run_7_gt.pcd') WHEN 2 THEN c_mktsegment ELSE concat('-', c_mktsegment, '_a.pcd') END AS name FROM customer)
 SELECT c_custkey, name, CASE c_custkey % 4 WHEN 0 THEN concat('scene', CAST(c_custkey AS string)) WHEN 1 THEN regexp_replace(name, '_7_gt.pcd$', '') WHEN 2 THEN name ELSE regexp_replace(name, '.pcd$', '') END AS scene FROM n""")
 def scene_name(spark, d):
@@ -106,12 +113,15 @@ def exclude_frames(spark, d):
 # --- samples and splits ---------------------------------------------------------------------------------------------
 
 
-@query()
+PLAN = "WITH f AS (" + FRAMES.format(lineitem="lineitem") + "), i AS (SELECT frame_id, row_number() OVER (ORDER BY md5(concat_ws('-', '0', frame_id)), frame_id) AS r, count(*) OVER () AS c FROM (SELECT DISTINCT frame_id FROM f)) "
+
+
+@query(PLAN + "SELECT f.* FROM f JOIN i USING (frame_id) WHERE r <= c // 3")
 def sample_frames(spark, d):
     return S.sample_frames(frames(spark, d), 3)
 
 
-@query()
+@query(PLAN + "SELECT f.*, CASE WHEN r <= floor(c * 0.8::double) THEN 'train' ELSE 'valid' END AS split FROM f JOIN i USING (frame_id)")
 def split_frames(spark, d):
     return S.split_frames(frames(spark, d))
 
@@ -124,12 +134,20 @@ def scene_split(spark, d):
     return S.scene_split(rows, rows.select("scene_id", "hist_id").distinct().withColumn("split", split)).select("n", "scene_id", "hist_id", "frame_id", "split")
 
 
-@query()
+@query(X.SQL + """, fine AS (SELECT frame_id, x, y FROM (SELECT frame_id, x, y, ann AS v, ann, pred FROM v_cells UNION ALL SELECT frame_id, x, y, pred, ann, pred FROM v_cells) GROUP BY ALL HAVING count(DISTINCT v) >= 2 AND bool_or(ann <> 0 OR pred <> 0)),
+pick AS (SELECT frame_id, x, y, row_number() OVER (PARTITION BY frame_id ORDER BY md5(concat_ws('-', '0', frame_id, x, y)), x, y) AS r FROM fine),
+mid AS (SELECT frame_id, CAST(floor((max(x) + 1) / 2) AS int) AS mx, CAST(floor((max(y) + 1) / 2) AS int) AS my FROM v_cells GROUP BY frame_id)
+SELECT mid.frame_id, coalesce(p.x, mx) AS x, coalesce(p.y, my) AS y FROM mid LEFT JOIN pick p ON p.frame_id = mid.frame_id AND p.r = 1""")
 def random_pixel(spark, d):
     return S.random_pixel(X.cells(spark, d).select("frame_id", "x", "y", "ann", "pred"))
 
 
-@query()
+@query(X.SQL + X.peaks_sql("h >= mx * 0.1", 3) + ", pick AS (SELECT frame_id, x, y, bin, row_number() OVER (PARTITION BY frame_id ORDER BY md5(concat_ws('-', '0', frame_id, x, y, bin)), x, y, bin) AS r FROM peaks_wide) SELECT frame_id, x, y, bin FROM pick WHERE r = 1")
+def random_peak(spark, d):
+    return S.random_peak(P.relative_peaks(X.waveforms(spark, d)))
+
+
+@query(X.SQL + "SELECT frame_id, x, y, bin, ann AS label FROM v_cells WHERE ann <> 0 ORDER BY md5(concat_ws('-', '0', frame_id, x, y, bin)), frame_id, x, y, bin LIMIT 500")
 def cap_rows(spark, d):
     return S.cap_rows(X.labels(spark, d), 500, ["frame_id", "x", "y", "bin"])
 
@@ -138,23 +156,27 @@ def cap_rows(spark, d):
 
 
 def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="echograin-")
-    return f"{shared.rstrip('/')}/echograin-{uuid.uuid4().hex}"
+    """A new folder that all executors see: below spark.checkpoint.dir, or on a local master a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(folder or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/echograin-{uuid.uuid4().hex}"
 
 
 @query(X.SQL + "SELECT concat('scene', lpad(CAST(frame_id % 3 AS string), 3, '0')) AS scene_id, CAST(frame_id AS bigint) AS frame_id, x, y, bin, pred AS label FROM v_cells WHERE pred <> 0")
 def write_predictions(spark, d):
     rows = X.labels(spark, d, "pred").withColumns({"scene_id": X.scene(), "hist_id": F.lit("hist000")})
     path = _folder(spark)
-    V.write_predictions(rows, path)
+    for part in (rows.where("frame_id % 2 = 0"), rows.where("frame_id % 2 = 1")):  # what one call wrote stays when another writes other frames
+        V.write_predictions(part, path)
     return spark.read.parquet(path).select("scene_id", F.col("frame_id").cast("bigint").alias("frame_id"), "x", "y", "bin", "label")
 
 
-@query("SELECT concat('scene00', CAST(vec_id % 3 AS string), '_', CAST(vec_id % 2 AS string)) AS cloud_id, 'gt' AS role, vec_id AS point_id, CAST(label % 4 AS int) AS label FROM embeddings")
+@query("SELECT concat('scene00', CAST(vec_id % 3 AS string), '_', CAST(vec_id % 2 AS string)) AS cloud_id, 'gt' AS role, vec_id AS point_id, CAST(embedding[1] AS double) AS pos_x, CAST(embedding[2] AS double) AS pos_y, CAST(embedding[3] AS double) AS pos_z, CAST(label % 4 AS int) AS label FROM embeddings")
 def write_points(spark, d):
     path = _folder(spark)
     V.write_points(clouds(spark, d), path)
-    return V.read_points(spark, path).select("cloud_id", "role", "point_id", "label")
+    return V.read_points(spark, path).select("cloud_id", "role", "point_id", "pos_x", "pos_y", "pos_z", "label")
 
 
 @query("SELECT concat('scene00', CAST(vec_id % 3 AS string), '_', CAST(vec_id % 2 AS string)) AS cloud_id, count(*) AS points FROM embeddings GROUP BY 1")
@@ -164,9 +186,22 @@ def read_points(spark, d):
     return V.read_points(spark, path).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("points"))
 
 
-@query(X.SQL + "SELECT frame_id, count(*) AS pixels, CAST(64 AS int) AS least_bins, CAST(64 AS int) AS most_bins FROM px GROUP BY frame_id")
+@query(X.SQL + "SELECT concat('scene_id=scene', lpad(CAST(frame_id % 3 AS string), 3, '0')) AS scene_id, concat('frame=', frame_id) AS frame, CAST(1 AS bigint) AS files FROM px GROUP BY ALL")
+def list_frame_files(spark, d):
+    """Files of frames written by scene and frame, listed by name."""
+    path = _folder(spark)
+    rows = X.waveforms(spark, d).select("*", X.scene().alias("scene_id"), F.col("frame_id").alias("frame"))
+    V.write_partitioned(rows, path, ["scene_id", "frame"], ["x", "y"])
+    found = K.keys(K.list_files(spark, [path], "*.parquet", True))
+    return found.groupBy("scene_id", F.element_at(F.split("path", "/"), -2).alias("frame")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(X.SQL + "SELECT frame_id, count(*) AS pixels, CAST(min(len(hist)) AS int) AS least_bins, CAST(max(len(hist)) AS int) AS most_bins FROM (SELECT frame_id, CASE WHEN frame_id % 3 = 0 AND x = 0 THEN hist[1:60] ELSE hist END AS hist FROM w WHERE NOT (frame_id % 4 = 2 AND y = 0)) GROUP BY frame_id HAVING count(*) <> 64 OR min(len(hist)) <> 64")
 def validate_frames(spark, d):
-    return V.validate(X.waveforms(spark, d), 700, 204_800)
+    """Frames of 64 pixels and bins; some are made to lack a line of pixels or the last bins of a column."""
+    short = F.when((F.col("frame_id") % 3 == 0) & (F.col("x") == 0), F.slice("hist", 1, 60)).otherwise(F.col("hist"))
+    rows = X.waveforms(spark, d).where("NOT (frame_id % 4 = 2 AND y = 0)").withColumn("hist", short)
+    return V.validate(rows, 64, 64)
 
 
 def packed_frames(spark, d):
@@ -192,3 +227,47 @@ def packed_frames(spark, d):
 def volume_to_waveforms(spark, d):
     rows = V.unpack(packed_frames(spark, d), 3)
     return rows.where("error IS NULL").select(F.col("path").cast("int").alias("frame_id"), "x", "y", "hist")
+
+
+@query(X.SQL + "SELECT CASE WHEN frame_id % 9 = 8 THEN 'failed' ELSE 'ok' END AS status, count(*) AS frames FROM (SELECT DISTINCT frame_id FROM d) GROUP BY 1")
+def volume_status(spark, d):
+    return K.status(V.outcomes(V.unpack(packed_frames(spark, d), 3)))
+
+
+def packed_tables(spark, d):
+    """Each frame's waveforms as the bytes of an archive with pixel_x, pixel_y and hist_data; every seventh one lacks an array."""
+
+    def pack(parts):
+        for part in parts:
+            out = []
+            for frame, pixels in zip(part["frame_id"], part["pixels"], strict=True):
+                pixels = sorted(pixels, key=lambda p: (p["x"], p["y"]))
+                arrays = {"pixel_x": np.array([p["x"] for p in pixels]), "pixel_y": np.array([p["y"] for p in pixels]), "hist_data": np.array([p["hist"] for p in pixels], np.int64)}
+                if frame % 7 == 3:
+                    del arrays["pixel_y"]
+                if frame % 2:  # counts as text
+                    arrays["hist_data"] = np.array([str(list(map(int, p["hist"]))).replace(",", "") for p in pixels])
+                buffer = io.BytesIO()
+                np.savez(buffer, **arrays)
+                out.append(buffer.getvalue())
+            yield pd.DataFrame({"path": part["frame_id"].astype(str), "content": out})
+
+    frames_ = X.waveforms(spark, d).groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", "hist")).alias("pixels"))  # a frame has a fixed number of pixels
+    return frames_.mapInPandas(pack, "path string, content binary")
+
+
+@query(X.SQL + "SELECT frame_id, x, y, hist[3:64] AS hist FROM w WHERE frame_id % 7 <> 3")
+def pixel_table_to_waveforms(spark, d):
+    rows = V.unpack(packed_tables(spark, d), 2)
+    return rows.where("error IS NULL").select(F.col("path").cast("int").alias("frame_id"), "x", "y", "hist")
+
+
+@query(X.SQL + X.peaks_sql("h >= mx * 0.1", 1.5) + "SELECT frame_id, x, y, CAST(row_number() OVER (PARTITION BY frame_id, x, y ORDER BY bin) - 1 AS int) AS k, bin::double AS position, height, round(width, 6) + 0.0 AS width FROM peaks_wide")
+def peak_list_source(spark, d):
+    """Peak lists written as Parquet by scene and frame, and read again."""
+    from echograin.plans.tiles import peak_lists
+
+    path = _folder(spark)
+    V.write_peak_lists(peak_lists(spark, d).withColumn("scene_id", X.scene()), path)
+    rows = V.read_peak_lists(spark, path).select("frame_id", "x", "y", F.posexplode("peaks").alias("k", "p"))
+    return rounded(rows.select("frame_id", "x", "y", "k", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("position", "height", "width"))]))

@@ -98,6 +98,21 @@ def masked_report(spark, d):
     return rounded(M.masked_report(voxels(spark, d)).withColumn("support", F.col("support").cast("bigint")))
 
 
+MASKED = X.SQL + ", v AS (SELECT * FROM v_cells WHERE ann <> 0), c AS (SELECT DISTINCT ann AS class FROM v UNION SELECT DISTINCT pred FROM v)"
+
+
+@query(MASKED + " SELECT a.class AS ann, p.class AS pred, (SELECT count(*) FROM v WHERE v.ann = a.class AND v.pred = p.class) AS n FROM c a, c p")
+def masked_matrix(spark, d):
+    return M.masked_matrix(voxels(spark, d))
+
+
+@query(MASKED + """, r AS (SELECT class, coalesce(count(*) FILTER (ann = class AND pred = class) / nullif(count(*) FILTER (pred = class), 0), 1.0) AS p, coalesce(count(*) FILTER (ann = class AND pred = class) / nullif(count(*) FILTER (ann = class), 0), 1.0) AS r FROM v, c GROUP BY class),
+t AS (SELECT count(*) AS total, count(*) FILTER (ann = pred) AS correct FROM v)
+SELECT any_value(total) AS total, any_value(correct) AS correct, round(any_value(correct) / any_value(total), 6) + 0.0 AS accuracy, round(avg(p), 6) + 0.0 AS macro_precision, round(avg(r), 6) + 0.0 AS macro_recall, round(avg(coalesce(2 * p * r / nullif(p + r, 0), 0)), 6) + 0.0 AS macro_f1 FROM r, t""")
+def masked_summary(spark, d):
+    return rounded(M.masked_summary(voxels(spark, d)))
+
+
 @query(X.SQL + """, t AS (SELECT count(*) AS v FROM d), s AS (SELECT pred AS class, count(*) AS n FROM d WHERE pred <> 0 GROUP BY pred UNION ALL SELECT 0, count(*) FROM d WHERE pred = 0)
 SELECT class, n, round(100.0::double * n / v, 2) AS percent FROM s, t""")
 def label_stats(spark, d):

@@ -9,7 +9,7 @@ from echograin.operators import metrics as M
 from echograin.operators import peaks as P
 from echograin.operators import points as G
 from echograin.plans.base import query, rounded
-from echograin.plans.waveforms import B_POINT, PEAK_RANGE
+from echograin.plans.waveforms import B_POINT, MPB, PEAK_RANGE
 from echograin.sources import catalog
 
 RADIUS = 0.05
@@ -30,9 +30,7 @@ def clouds(spark, d, role: str = "gt"):
 
 
 def ranged(spark, d):
-    rows = X.waveforms(spark, d)
-    found = P.relative_peaks(rows).select("frame_id", "x", "y", "bin").join(rows, ["frame_id", "x", "y"])
-    return G.with_fwhm(found).select("frame_id", "x", "y", "bin", "distance_m")
+    return G.ranged(P.relative_peaks(X.waveforms(spark, d), ranged=True)).select("frame_id", "x", "y", "bin", "distance_m")
 
 
 A_POINT = "round(dm * cos(radians(x * 0.1)) * cos(radians(25.6 - y * 0.05)), 6) + 0.0 AS pos_x, round(dm * sin(radians(x * 0.1)) * cos(radians(25.6 - y * 0.05)), 6) + 0.0 AS pos_y, round(-dm * sin(radians(25.6 - y * 0.05)), 6) + 0.0 AS pos_z"
@@ -49,6 +47,12 @@ def spd_points_b(spark, d):
     return rounded(G.spd_points_b(ranged(spark, d)))
 
 
+@query(PEAK_RANGE + f", so AS (SELECT frame_id, x, y, bin, dm + 3 * {MPB} AS dm FROM fw) SELECT frame_id, x, y, bin, round(dm, 6) + 0.0 AS distance_m, {S_POINT} FROM so")
+def srl_points_offset(spark, d):
+    found = G.ranged(P.relative_peaks(X.waveforms(spark, d), ranged=True), bin_offset=3).select("frame_id", "x", "y", "bin", "distance_m")
+    return rounded(G.srl_points(found))
+
+
 @query(PEAK_RANGE + f" SELECT frame_id, x, y, bin, round(dm, 6) + 0.0 AS distance_m, {S_POINT} FROM fw")
 def srl_points(spark, d):
     return rounded(G.srl_points(ranged(spark, d)))
@@ -68,6 +72,12 @@ def label_colors(spark, d):
     return G.coloured(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", (F.col("label") - 1).cast("int").alias("label")))
 
 
+@query("""SELECT vec_id, CASE label - 1 WHEN 1 THEN '#1f77b4' WHEN 2 THEN '#ff7f0e' WHEN 3 THEN '#2ca02c' ELSE '#808080' END AS chart, CASE label - 1 WHEN 1 THEN '#00a65a' WHEN 2 THEN '#1f77b4' WHEN 3 THEN '#d62728' ELSE '#808080' END AS viewer FROM embeddings""")
+def label_hex_colors(spark, d):
+    label = F.col("label") - 1
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", G.hex_colour(label).alias("chart"), G.hex_colour(label, G.VIEWER).alias("viewer"))
+
+
 @query("""WITH c AS (SELECT vec_id, CAST((vec_id * 3 % 11) / 10.0 AS double) AS r, CAST((vec_id * 5 % 11) / 10.0 AS double) AS g, CAST((vec_id * 7 % 11) / 10.0 AS double) AS b FROM embeddings)
 SELECT vec_id, r, g, b, CAST(CASE WHEN r < 0.1 AND g > 0.9 AND b < 0.1 THEN 1 WHEN r < 0.1 AND g < 0.1 AND b > 0.9 THEN 2 WHEN r > 0.9 AND g < 0.1 AND b < 0.1 THEN 3
  WHEN r BETWEEN 0.4 AND 0.6 AND g BETWEEN 0.4 AND 0.6 AND b BETWEEN 0.4 AND 0.6 THEN 0 END AS int) AS colour_label FROM c""")

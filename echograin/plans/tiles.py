@@ -40,7 +40,7 @@ def unpatchify_masked(spark, d):
     return T.unpatchify(masked(spark, d), SHAPE, PATCH, True)
 
 
-@query()
+@query(PATCHES + "SELECT frame_id, patch_id, row_number() OVER (PARTITION BY frame_id ORDER BY md5(concat_ws('-', '0', frame_id, patch_id)), patch_id) <= 11 AS masked FROM pa")
 def patch_mask(spark, d):
     return T.patch_mask(patches(spark, d).select("frame_id", "patch_id"), 0.7, 16)
 
@@ -80,6 +80,11 @@ def crop_peak_tensors(spark, d):
     return rounded(T.crop_peak_tensors(T.peak_tensors(peak_lists(spark, d), (7, 8, 64)), (2, 6), (1, 5)))
 
 
+@query(LISTS + "SELECT frame_id, x - 2 AS x, y - 1 AS y, k, round((position - 4) * (22 / 55::double), 6) + 0.0 AS position, height, round(width, 6) + 0.0 AS width FROM pt WHERE x >= 2 AND x < 6 AND y >= 1 AND y < 5 AND position >= 4 AND position < 60")
+def crop_peak_tensors_moved(spark, d):
+    return rounded(T.crop_peak_tensors(T.peak_tensors(peak_lists(spark, d), (7, 8, 64)), (2, 6), (1, 5), (4, 60), (56, 23)))
+
+
 @query(LISTS + "SELECT frame_id, CAST((y // 4) * 2 + x // 4 AS int) AS patch_id, k, round(sum(position) / 16.0, 6) + 0.0 AS position, round(sum(height) / 16.0, 6) + 0.0 AS height, round(sum(width) / 16.0, 6) + 0.0 AS width FROM pt GROUP BY ALL")
 def patch_peak_mean(spark, d):
     return rounded(T.patch_peak_mean(T.peak_tensors(peak_lists(spark, d), (7, 8, 64)), (4, 4), 2))
@@ -123,3 +128,16 @@ l AS (SELECT frame_id, x, y, CAST(i AS int) AS b, CAST(CASE WHEN hist[i + 1] = 0
 SELECT frame_id, x, y, CAST({pick_sql('b', '60', 23)} AS int) AS bin, label FROM l WHERE label <> 0""")
 def estimate(spark, d):
     return T.estimate(X.waveforms(spark, d), 8, 8, (3, 4), (1, 1, 4), 64, 23)
+
+
+@query(V + f""", c AS (SELECT frame_id, x, y - 1 AS y, [hist[({pick_sql('i', '60', 23)}) + 5] FOR i IN range(23)] AS hist FROM w WHERE y BETWEEN 1 AND 6),
+tl AS (SELECT CAST(row_number() OVER (ORDER BY a.v, b.v) - 1 AS int) AS tile_id, a.v AS x0, b.v AS y0 FROM (VALUES (0), (3), (5)) a(v), (VALUES (0), (2)) b(v)),
+l AS (SELECT c.frame_id, c.x, c.y, CAST(i AS int) AS b, tl.tile_id, CAST((hist[i + 1] + tl.tile_id) % 4 AS int) AS label FROM c JOIN tl ON c.x >= x0 AND c.x < x0 + 3 AND c.y >= y0 AND c.y < y0 + 4, range(23) r(i)),
+m AS (SELECT frame_id, x, y, b, max_by(label, tile_id) AS label FROM l GROUP BY ALL)
+SELECT frame_id, x, y, CAST({pick_sql('b', '60', 23)} AS int) AS bin, label FROM m WHERE label <> 0""")
+def estimate_by_tile(spark, d):
+    """A rule that differs from tile to tile: where tiles overlap, noise of the later one counts."""
+    rule = lambda hist, tile: F.transform(hist, lambda v: ((v + tile) % 4).cast("int"))
+    rows = X.waveforms(spark, d)
+    pixels = rows.select("frame_id", "x", (F.col("y") - 1).alias("y"))
+    return T.estimate(rows, 8, 8, (3, 4), (1, 1, 4), 64, 23, rule).join(pixels, ["frame_id", "x", "y"], "left_semi")

@@ -13,7 +13,6 @@ from echograin.operators import sampling as S
 from echograin.plans.base import query, r6, rounded
 
 V = X.SQL
-LINE = "CAST(floor(i * ({n} - 1) / ({m} - 1)::double) AS int)"
 
 
 def pick_sql(i: str, n: str, m: int) -> str:
@@ -56,7 +55,10 @@ def crop_annotation(spark, d):
     return R.crop_labels(X.labels(spark, d), (2, 5), (1, 90), (8, 8), 3)
 
 
-@query()
+CROP_STARTS = ", st AS (SELECT frame_id, " + ", ".join(f"('0x' || substr(md5(concat_ws('-', '0', frame_id, '{a}')), 1, 12))::BIGINT % {n} AS {a}0" for a, n in (("x", 5), ("y", 5), ("z", 33))) + " FROM (SELECT DISTINCT frame_id FROM w) f) "
+
+
+@query(V + CROP_STARTS + "SELECT w.frame_id, CAST(x - x0 AS int) AS x, CAST(y - y0 AS int) AS y, hist[z0 + 1:z0 + 32] AS hist FROM w JOIN st USING (frame_id) WHERE x >= x0 AND x < x0 + 4 AND y >= y0 AND y < y0 + 4")
 def random_crop(spark, d):
     rows = X.waveforms(spark, d)
     return R.random_crop(rows, R.random_starts(rows, (8, 8, 64), (4, 4, 32)), (4, 4, 32))
@@ -216,9 +218,8 @@ PEAK_RANGE = V + X.peaks_sql("h >= mx * 0.1", 3) + X.peaks_sql("true", None, "al
 
 @query(PEAK_RANGE + " SELECT frame_id, x, y, bin, round(dm, 6) + 0.0 AS distance_m, round(sb, 6) + 0.0 AS start_fwhm_bin, round(eb, 6) + 0.0 AS end_fwhm_bin, array_to_string(notes, '; ') AS notes FROM fw")
 def fwhm_range(spark, d):
-    rows = X.waveforms(spark, d)
-    found = P.relative_peaks(rows).select("frame_id", "x", "y", "bin").join(rows, ["frame_id", "x", "y"])
-    return rounded(G.with_fwhm(found).drop("hist").withColumn("notes", F.concat_ws("; ", "notes")))
+    found = G.ranged(P.relative_peaks(X.waveforms(spark, d), ranged=True)).withColumn("notes", F.concat_ws("; ", "notes"))
+    return rounded(found.select("frame_id", "x", "y", "bin", "distance_m", "start_fwhm_bin", "end_fwhm_bin", "notes"))
 
 
 @query(V + f"SELECT frame_id, x, y, round((CAST(list_position(hist, list_max(hist)) - 1 AS int) - 3) * {MPB}, 6) + 0.0 AS range_m, 0.0::double AS other_mode FROM w")
@@ -268,7 +269,5 @@ B_POINT = "round(dm * cos(radians(x * 0.1)) * cos(radians(y * 0.05)), 6) + 0.0 A
  SELECT frame_id, x, y, bin, 'first_peak' FROM fb), mb1 AS (SELECT DISTINCT frame_id, x, y, bin FROM mb)""" + fwhm_sql("mb1") + """
 SELECT m.method, m.frame_id, m.x, m.y, m.bin, p.distance_m, p.pos_x, p.pos_y, p.pos_z FROM mb m JOIN (SELECT frame_id, x, y, bin, round(dm, 6) + 0.0 AS distance_m, """ + B_POINT + " FROM fw) p ON p.frame_id = m.frame_id AND p.x = m.x AND p.y = m.y AND p.bin = m.bin")
 def range_by_method(spark, d):
-    rows = X.waveforms(spark, d)
-    parts = [G.range_by_method(rows, m).withColumn("method", F.lit(m)) for m in ("strongest", "centroid", "average", "first_peak")]
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    found = G.range_by_methods(X.waveforms(spark, d))
     return rounded(found.select("method", "frame_id", "x", "y", "bin", "distance_m", "pos_x", "pos_y", "pos_z"))

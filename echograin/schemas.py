@@ -1,7 +1,5 @@
-"""Schemas of the tables that operators exchange."""
+"""Schemas of tables that sources read."""
 
-KEYS = ["frame_id", "x", "y"]
 WAVEFORMS = "frame_id int, x int, y int, hist array<bigint>"
-LABELS = "frame_id int, x int, y int, bin int, label int"
 PEAK_LISTS = "frame_id int, x int, y int, peaks array<array<double>>"
 POINTS = "cloud_id string, role string, point_id bigint, pos_x double, pos_y double, pos_z double, label int"

@@ -66,6 +66,7 @@ def latest_annotation(paths: DataFrame, expand: bool = False) -> DataFrame:
 def resolve_predictions(predictions: DataFrame, frames: DataFrame) -> DataFrame:
     """Prediction files with the data file of the frame that their names tell; status ok, no source or bad name."""
     name = F.element_at(F.split("prediction_path", "/"), -1)
+    # Fixed value: the form of prediction files' names.
     part = lambda k: F.regexp_extract(name, r"^(.+?)_(hist\d+)_(.+)_prediction_voxel\.b2$", k)
     named = predictions.withColumns({"scene_id": part(1), "hist_id": part(2), "frame_id": part(3)})
     joined = named.join(frames.select("scene_id", "hist_id", "frame_id", "path"), ["scene_id", "hist_id", "frame_id"], "left")
@@ -80,10 +81,21 @@ def pair_clouds(paths: DataFrame) -> DataFrame:
     return truth.join(rows, "stem")
 
 
+def cloud_status(paths: DataFrame) -> DataFrame:
+    """status, clouds: how many clouds are paired, and how many have a truth or a prediction only."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.pcd$", "")
+    truth = stem.endswith("_gt")
+    each = paths.groupBy(F.when(truth, F.regexp_replace(stem, "_gt$", "")).otherwise(stem).alias("stem")).agg(F.bool_or(truth).alias("_t"), F.bool_or(~truth).alias("_p"))
+    state = F.when(F.col("_t") & F.col("_p"), "paired").when(F.col("_t"), "truth only").otherwise("prediction only")
+    return each.groupBy(state.alias("status")).agg(F.count(F.lit(1)).alias("clouds"))
+
+
 def scene_name(name: Column) -> Column:
-    """Of a cloud's file name, sceneNNN at its begin; else the words before its last underscored one; else the name."""
+    """Of a cloud's file name, sceneNNN at its begin; else the part before the last underscore of its leading run of letters, digits and underscores; else the name."""
     name = F.regexp_replace(name, r"(_gt)?\.pcd$", "")
-    scene = F.nullif(F.regexp_extract(name, r"^(scene\d+)", 1), F.lit(""))
-    # Fixed value: the form of names without a scene number.
-    head = F.nullif(F.regexp_extract(name, r"^([A-Za-z0-9]+(?:_[A-Za-z0-9]+)*)_", 1), F.lit(""))
-    return F.coalesce(scene, head, name)
+    digits = F.length(F.regexp_extract(name, r"^scene(\d*)", 1))
+    run = F.substring_index(F.regexp_extract(name, r"^\w*", 0), "__", 1)
+    doubled = F.substring(name, F.length(run) + 1, F.lit(2)) == "__"
+    cut = F.when(doubled, F.length(run)).otherwise(F.length(run) - F.length(F.substring_index(run, "_", -1)) - 1)
+    head = F.when((cut > 0) & ~run.startswith("_"), F.substring(name, F.lit(1), cut))
+    return F.coalesce(F.when(digits > 0, F.substring(name, F.lit(1), digits + 5)), head, name)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from io import BytesIO
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -16,53 +18,139 @@ from echograin import schemas
 BATCH = 2000
 
 
-def read_volumes(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:
-    """unpack() of all .npy files below path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
-    return unpack(files.select("path", "content"), offset)
+NAMES = ["path", "x", "y", "hist", "error"]
+_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string()]
+_SCHEMA = "path string, x int, y int, hist array<bigint>, error string"
 
 
-def unpack(files: DataFrame, offset: int = 0) -> DataFrame:
-    """path, x, y, hist, error: a row per pixel of .npy volumes (x, y, bin) from rows of path and content, without the first `offset` bins.
+def read_volumes(spark: SparkSession, path: str, offset: int = 0, mounted: bool = False, trusted: bool = False) -> DataFrame:
+    """unpack() of all .npy and .npz files below path.
 
-    A file that is no three-dimensional array of whole numbers gives one row with the error, so a broken frame stops nothing.
+    With mounted, path is a folder that all executors have under the same name: only the files' names are listed, and
+    tasks map the arrays into memory, so that a large frame is never one value in a row.
     """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.np[yz]").option("recursiveFileLookup", "true").load(path)
+    if not mounted:
+        return unpack(files.select("path", "content"), offset, trusted)
+    return _unpacked(files.select("path"), lambda name, _: unquote(re.sub("^file:/*", "/", name)), 0, offset, trusted)
 
+
+def unpack(files: DataFrame, offset: int = 0, trusted: bool = False) -> DataFrame:
+    """path, x, y, hist, error: a row per pixel of arrays in rows of path and content, without the first `offset` bins.
+
+    Content is a .npy volume (x, y, bin); or a .npz archive of pixel_x, pixel_y and hist_data (counts, or text like "[1 2 3]"); with
+    trusted, also an object array of rows (x, y, counts), which runs what its pickle says. Anything else gives one row with the error, so a broken frame stops nothing.
+    """
+    return _unpacked(files.select("path", "content"), lambda _, content: BytesIO(content.as_buffer()), 1, offset, trusted)
+
+
+def _counts(value: object) -> np.ndarray:
+    """Counts of one pixel: an array, or text."""
+    if isinstance(value, str):
+        return np.array(value.strip().strip("[]").split(), np.int64)
+    found = np.asarray(value)
+    if found.ndim != 1 or not np.issubdtype(found.dtype, np.integer):
+        raise ValueError("counts are not whole numbers in a row")
+    return found.astype(np.int64)
+
+
+def _pixels(source: object, trusted: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray] | np.ndarray]]:
+    """x, y and counts of parts of an array file."""
+    held = np.load(source, allow_pickle=trusted, mmap_mode="r" if isinstance(source, str) and source.endswith(".npy") else None)
+    if isinstance(held, np.lib.npyio.NpzFile):
+        if missing := [n for n in ("pixel_x", "pixel_y", "hist_data") if n not in held]:
+            raise ValueError(f"the archive lacks {missing[0]}")
+        x, y, data = held["pixel_x"], held["pixel_y"], held["hist_data"]
+        if not len(x) == len(y) == len(data):
+            raise ValueError("the archive's arrays differ in length")
+    elif held.ndim == 2 and held.shape[1] == 3:
+        x, y, data = held[:, 0], held[:, 1], held[:, 2]
+    elif held.ndim == 3 and np.issubdtype(held.dtype, np.integer):
+        nx, ny, _ = held.shape
+        step = max(1, BATCH // max(1, ny))
+        for at in range(0, nx, step):
+            part = np.asarray(held[at : at + step])
+            number = np.arange(len(part) * ny)
+            yield at + number // ny, number % ny, part.reshape(len(part) * ny, -1).astype(np.int64)
+        return
+    else:
+        raise ValueError(f"not a volume of whole numbers: {held.dtype}, {held.ndim} dimensions")
+    for at in range(0, len(x), BATCH):
+        part = data[at : at + BATCH]
+        yield np.asarray(x[at : at + BATCH], np.int64), np.asarray(y[at : at + BATCH], np.int64), part.astype(np.int64) if part.ndim == 2 else [_counts(v) for v in part]
+
+
+def _unpacked(files: DataFrame, opened: Callable, column: int, offset: int, trusted: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "x", "y", "hist", "error"]
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string()]
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(column), strict=True):
                 try:
-                    volume = np.load(BytesIO(content.as_buffer()), allow_pickle=False)
-                    if volume.ndim != 3 or not np.issubdtype(volume.dtype, np.integer):
-                        raise ValueError(f"not a volume of whole numbers: {volume.dtype}, {volume.ndim} dimensions")
+                    for x, y, data in _pixels(opened(name, content), trusted):
+                        rows = [v[offset:] for v in data]
+                        ends = np.concatenate([[0], np.cumsum([len(v) for v in rows])])
+                        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))
+                        n = len(rows)
+                        yield pa.record_batch([pa.array([name] * n, pa.string()), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), lists, pa.nulls(n, pa.string())], names=NAMES)
                 except Exception as e:  # any broken file becomes a row
-                    yield pa.record_batch([pa.array([v], k) for v, k in zip([name, None, None, None, str(e)[:200]], kinds, strict=True)], names=names)
-                    continue
-                nx, ny, _ = volume.shape
-                pixels = volume[:, :, offset:].reshape(nx * ny, -1)
-                for at in range(0, len(pixels), BATCH):
-                    part = pixels[at : at + BATCH].astype(np.int64)
-                    n = len(part)
-                    number = np.arange(at, at + n)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, max(1, part.shape[1]))[: n + 1], pa.int32()), pa.array(part.ravel()))
-                    yield pa.record_batch([pa.array([name] * n), pa.array((number // ny).astype(np.int32)), pa.array((number % ny).astype(np.int32)), lists, pa.nulls(n, pa.string())], names=names)
+                    yield pa.record_batch([pa.array([v], k) for v, k in zip([name, None, None, None, str(e)[:200]], _KINDS, strict=True)], names=NAMES)
+
+    return files.mapInArrow(run, _SCHEMA)
+
+
+def outcomes(rows: DataFrame) -> DataFrame:
+    """path, status (ok or failed) and error of each file of unpack()."""
+    each = rows.groupBy("path").agg(F.max("error").alias("error"))
+    return each.select("path", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error")
+
+
+def write_partitioned(rows: DataFrame, path: str, by: list[str], spread: list[str], files: int = 1) -> None:
+    """Parquet with a folder per value of `by`. Folders of earlier calls stay, but for those that rows have values of, which are replaced.
+
+    A folder's rows are brought together first, in `files` parts by a hash of the columns `spread`, so that it holds few files and a large one is no single task.
+    """
+    part = F.pmod(F.xxhash64(*spread), F.lit(files))
+    rows.repartition(*by, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
-    return files.select("path", "content").mapInArrow(run, "path string, x int, y int, hist array<bigint>, error string")
 
+def write_predictions(labels: DataFrame, path: str, files: int = 1) -> None:
+    write_partitioned(labels, path, ["scene_id", "hist_id", "frame_id"], ["x", "y"], files)
 
-def write_partitioned(rows: DataFrame, path: str, by: list[str]) -> None:
-    """Parquet with a folder per value of `by`; rows of a folder are brought together first, so that it holds few files."""
-    rows.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
+def write_points(points: DataFrame, path: str, files: int = 4) -> None:
+    write_partitioned(points, path, ["cloud_id", "role"], ["point_id"], files)
 
-def write_predictions(labels: DataFrame, path: str) -> None:
-    write_partitioned(labels, path, ["scene_id", "hist_id", "frame_id"])
 
+def write_peak_lists(lists: DataFrame, path: str, files: int = 1) -> None:
+    """lists: scene_id, frame_id, x, y, peaks."""
+    write_partitioned(lists, path, ["scene_id", "frame_id"], ["x", "y"], files)
+
+
+def read_peak_lists(spark: SparkSession, path: str) -> DataFrame:
+    """frame_id, x, y, peaks (arrays of position, height, width and further fields) of all frames below path; an error if there are none."""
+    if not spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path").limit(1).count():
+        raise ValueError(f"no peak lists in {path}")
+    lists = spark.read.schema(schemas.PEAK_LISTS).parquet(path)
+    if lists.isEmpty():
+        raise ValueError(f"no peak lists in {path}")
+    return lists
+
+
+def unpack_peak_lists(files: DataFrame) -> DataFrame:
+    """path, x, y, peaks, error of object arrays of rows (x, y, list of peaks) in rows of path and content. Such files are pickles and run what they say: for trusted ones only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["path", "x", "y", "peaks", "error"], [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.float64())), pa.string()]
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    held = np.load(BytesIO(content.as_buffer()), allow_pickle=True)
+                    for at in range(0, len(held), BATCH):
+                        rows = [(name, int(x), int(y), [[float(v) for v in p] for p in peaks], None) for x, y, peaks in held[at : at + BATCH]]
+                        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                except Exception as e:  # any broken file becomes a row
+                    yield pa.record_batch([pa.array([v], k) for v, k in zip([name, None, None, None, str(e)[:200]], kinds, strict=True)], names=names)
 
-def write_points(points: DataFrame, path: str) -> None:
-    write_partitioned(points, path, ["cloud_id", "role"])
+    return files.select("path", "content").mapInArrow(run, "path string, x int, y int, peaks array<array<double>>, error string")
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:

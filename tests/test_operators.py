@@ -117,6 +117,10 @@ def test_files(spark, tmp_path):
     good = {(r.x, r.y): r.hist for r in rows.where("error IS NULL").collect()}
     assert good == {(x, y): volume[x, y, 1:].tolist() for x in range(3) for y in range(2)}
     assert rows.where("error IS NOT NULL").count() == 2
+    assert catalog.list_files(spark, [str(tmp_path)], "2024*.npy").count() == 0 and catalog.list_files(spark, [str(folder)], "2024*.npy").count() == 1
+    assert {r.status: r.frames for r in catalog.status(volumes.outcomes(rows)).collect()} == {"ok": 1, "failed": 2}
+    mapped = volumes.read_volumes(spark, str(tmp_path), 1, mounted=True)
+    assert {(r.x, r.y): r.hist for r in mapped.where("error IS NULL").collect()} == good and mapped.where("error IS NOT NULL").count() == 2
     listed = catalog.keys(catalog.list_files(spark, [str(tmp_path)], "2024*.npy", True)).collect()
     assert [(r.scene_id, r.hist_id, r.frame_id, r.t, r.seq) for r in listed] == [("scene001", "hist002", "20240101000000_5_000007", 5, 7)]
     with pytest.raises(ValueError):
@@ -127,3 +131,96 @@ def test_files(spark, tmp_path):
 def test_hist_strings(spark):
     got = spark.createDataFrame([("[1 2  3]",), ("[ 4\n5 ]",), ("[]",), (" 7 ",)], "s string").select(W.parse_hist(F.col("s")).alias("h")).collect()
     assert [r.h for r in got] == [[1, 2, 3], [4, 5], [], [7]]
+
+
+def test_pixel_tables_and_object_arrays(spark, tmp_path):
+    np.savez(tmp_path / "good.npz", pixel_x=np.array([1, 2]), pixel_y=np.array([0, 5]), hist_data=np.array(["[1 2 3]", "[4 5]"]))
+    np.savez(tmp_path / "short.npz", pixel_x=np.array([1]), pixel_y=np.array([0]))
+    table = np.empty((2, 3), object)
+    table[0], table[1] = [3, 4, np.array([7, 8, 9])], [5, 6, "[1 1]"]
+    np.save(tmp_path / "table.npy", table, allow_pickle=True)
+    rows = volumes.read_volumes(spark, str(tmp_path), 1)
+    assert {(r.x, r.y): r.hist for r in rows.where("error IS NULL").collect()} == {(1, 0): [2, 3], (2, 5): [5]}
+    assert rows.where("error LIKE '%lacks pixel_%' OR error LIKE '%lacks hist_data%'").count() == 1 and rows.where("error IS NOT NULL").count() == 2
+    trusted = volumes.read_volumes(spark, str(tmp_path), 0, trusted=True)
+    assert {(r.x, r.y): r.hist for r in trusted.where("error IS NULL AND path LIKE '%/table.npy'").collect()} == {(3, 4): [7, 8, 9], (5, 6): [1, 1]}
+
+
+def test_peak_list_source(spark, tmp_path):
+    lists = np.empty((2, 3), object)
+    lists[0], lists[1] = [0, 1, [[5, 9.5, 2.0], [7, 1.0, 1.5, 0.5]]], [2, 3, []]
+    np.save(tmp_path / "a_peak.npy", lists, allow_pickle=True)
+    (tmp_path / "b_peak.npy").write_bytes(b"no array")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {r.x: r.peaks for r in volumes.unpack_peak_lists(files).where("error IS NULL").collect()}
+    assert got == {0: [[5.0, 9.5, 2.0], [7.0, 1.0, 1.5, 0.5]], 2: []}
+    assert volumes.unpack_peak_lists(files).where("error IS NOT NULL").count() == 1
+    with pytest.raises(ValueError, match="no peak lists"):
+        volumes.read_peak_lists(spark, str(tmp_path))
+
+
+def test_sinks_keep_what_other_calls_wrote(spark, tmp_path):
+    schema = "scene_id string, hist_id string, frame_id int, x int, y int, bin int, label int"
+    path = str(tmp_path / "predictions")
+    for frame, label in ((1, 1), (2, 1), (2, 3)):
+        volumes.write_predictions(spark.createDataFrame([("s", "h", frame, 0, 0, b, label) for b in range(3)], schema), path)
+    got = {(r.frame_id, r.label): r["count"] for r in spark.read.parquet(path).groupBy("frame_id", "label").count().collect()}
+    assert got == {(1, 1): 3, (2, 3): 3}
+    points = spark.createDataFrame([("c", "gt", k, k / 7, -k / 3, 0.5, 1) for k in range(20)], "cloud_id string, role string, point_id bigint, pos_x double, pos_y double, pos_z double, label int")
+    volumes.write_points(points, str(tmp_path / "points"))
+    assert sorted(map(tuple, volumes.read_points(spark, str(tmp_path / "points")).select(*points.columns).collect())) == sorted(map(tuple, points.collect()))
+
+
+def test_later_tile_overrules_with_noise(spark):
+    rows = spark.createDataFrame([(0, x, y, [1, 2]) for x in range(3) for y in range(2)], WAVES)
+    rule = lambda hist, tile: F.transform(hist, lambda v: F.when(tile == 0, 2).otherwise(0))
+    got = tiles.estimate(rows, 3, 2, (2, 2), (0, 0, 0), 2, 2, rule)
+    assert {(r.x, r.y, r.bin, r.label) for r in got.collect()} == {(0, y, b, 2) for y in range(2) for b in range(2)}  # tile 1 covers x = 1 and 2 and says noise
+
+
+def test_fwhm_is_one_pass(spark):
+    rows = spark.createDataFrame([(0, 0, 0, [0, 4, 9, 4, 0, 3, 8, 3, 0], 2)], "frame_id int, x int, y int, hist array<bigint>, bin int")
+    for df in (points.with_fwhm(rows), points.range_by_methods(rows), points.ranged(points.P.relative_peaks(rows, ranged=True))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert points.range_by_methods(rows, bin_offset=2, place=points.srl_points).count() == 4
+    assert points.range_by_method(rows, "first_peak").first().bin == 2
+    with pytest.raises(ValueError):
+        points.range_by_method(rows, "best")
+
+
+def test_dense_cells(spark):
+    random.seed(4)
+    wall = [("c", k, random.uniform(0, 0.05), random.uniform(0, 0.05), 0.0) for k in range(1500)]
+    edge = [("c", 5000 + k, 0.149 + k * 0.0001, 0.02, 0.0) for k in range(30)]
+    schema = "cloud_id string, point_id long, pos_x double, pos_y double, pos_z double"
+    left, right = spark.createDataFrame(wall + edge, schema), spark.createDataFrame(wall, schema)
+    want = {p[1] for p in wall + edge if any((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= 0.1 * 0.1 for q in wall)}
+    assert {r.point_id for r in points.within(left, right, 0.1, ["cloud_id"]).collect()} == want
+    assert {r.point_id for r in points.within(left, right, 0.1, ["cloud_id"], "left_anti").collect()} == {p[1] for p in wall + edge} - want
+    assert 1500 < len(want) < 1530
+
+
+def test_peak_positions_follow_crops(spark):
+    tensors = spark.createDataFrame([(0, 2, 1, 0, 10.0, 5.0, 1.0), (0, 3, 1, 0, 2.0, 5.0, 1.0), (0, 9, 1, 0, 10.0, 5.0, 1.0)], "frame_id int, x int, y int, k int, position double, height double, width double")
+    moved = tiles.crop_peak_tensors(tensors, (2, 5), (1, 3), (4, 15), (11, 6)).collect()
+    assert [(r.x, r.y, r.position) for r in moved] == [(0, 0, 3.0)]
+    assert {r.position for r in tiles.crop_peak_tensors(tensors, (2, 5), (1, 3), (4, 15), (11, 6), as_reference=True).collect()} == {10.0, 2.0}
+    starts = spark.createDataFrame([(0, 2, 0, 8)], "frame_id int, x0 int, y0 int, z0 int")
+    assert [(r.x, r.position) for r in resample.random_crop(tensors, starts, (2, 4, 4)).collect()] == [(0, 2.0)]
+
+
+def test_samples_resolve_one_part_of_the_draw(spark):
+    frames = spark.createDataFrame([(f"f{k}",) for k in range(500)], "frame_id string")
+    order = sorted(r.frame_id for r in frames.select("frame_id", sampling.draw(["frame_id"], 0).alias("h")).orderBy("h").limit(100).collect())
+    assert sorted(r.frame_id for r in sampling.sample_frames(frames, 5).collect()) == order
+    assert sampling.sample_frames(frames, 501).count() == 0 and sampling.sample_frames(frames, 1).count() == 500
+    assert "TakeOrdered" not in sampling.sample_frames(frames, 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cloud_status_and_scene_names(spark):
+    rows = spark.createDataFrame([("/c/a_gt.pcd",), ("/c/a.pcd",), ("/c/b_gt.pcd",), ("/c/d.pcd",), ("/c/e.pcd",)], "path string")
+    assert {r.status: r.clouds for r in catalog.cloud_status(rows).collect()} == {"paired": 1, "truth only": 1, "prediction only": 2}
+    names = {"scene12_a_b.pcd": "scene12", "run_7_gt.pcd": "run", "plain.pcd": "plain", "-x_a.pcd": "-x_a", "a_b_c-d_e.pcd": "a_b", "_x_y.pcd": "_x_y", "a_b__c.pcd": "a_b", "scene.pcd": "scene"}
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", catalog.scene_name(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in got} == names
