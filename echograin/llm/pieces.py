@@ -19,6 +19,8 @@ SPACE = "▁"
 #: Words and pairs of pieces that a task remembers at most.
 CACHE_WORDS = 500_000
 CACHE_PAIRS = 600_000
+#: Characters of a word that is remembered, at most.
+CACHE_LENGTH = 64
 
 
 def _spans(begins: list[int], end: int) -> Iterator[tuple[int, int]]:
@@ -69,10 +71,10 @@ class PieceEncoder:
         self.inside = {pair for piece in self.ids for pair in zip(piece, piece[1:], strict=False)}
         self.texts = {i: p for p, i in self.ids.items()}
         self.pairs: dict[int, bool] = {}
-        self.parts = Words(self.part, lambda w: True, CACHE_WORDS // 4)
+        self.parts = Words(self.part, lambda w: len(w) <= CACHE_LENGTH, CACHE_WORDS // 4)
         #: Whether lines can be encoded apart.
         self.breaks = not any("\n" in p and p != "\n" for p in self.ids)
-        self.words = Words(self.closed, str.isalpha)  # with other characters, forms are too many
+        self.words = Words(self.closed, lambda w: len(w) <= CACHE_LENGTH and w.isalpha())  # with other characters, forms are too many
         self.begin, self.end = (struct.pack("<I", k) for k in (number.bos_id(), number.eos_id()))
 
     def merge(self, text: str) -> list[str]:
@@ -165,7 +167,7 @@ class PieceEncoder:
 
     def closed(self, word: str) -> bytes:
         """Ids of a space mark and the word: letters with one sign behind them by the letters, if no piece joins the two."""
-        if len(word) > 1 and (word[-2], word[-1]) not in self.inside and word[:-1].isalpha():
+        if len(word) > 1 and not word[-1].isalpha() and word[:-1].isalpha() and (word[-2], word[-1]) not in self.inside:
             return self.words[word[:-1]] + self.parts[word[-1]]
         return self.word(SPACE + word)
 
