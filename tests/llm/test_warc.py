@@ -47,7 +47,7 @@ def test_hot_group_and_many_archives(spark):
 
 def test_archives_are_plain_gzip_members(spark, tmp_path):
     path, got = trip(spark, [(k, "u", f"page {k}" * 40, "") for k in range(5)])
-    text = b"".join(gzip.decompress(p.read_bytes()) for p in __import__("pathlib").Path(path.removeprefix("file:")).glob("part-*"))
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in __import__("pathlib").Path(path.removeprefix("file:")).rglob("part-*"))
     assert text.count(b"WARC/1.1\r\n") == 5
 
 
