@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other, and a component of such rows only has a null component_id; repeated rows give repeated result rows;
     other columns are ignored; an empty table gives an empty table.
     """
+    before = shared.mark()
     found = shared.written(fingerprints(docs, id_col, text_col, width), "simhash-fps")
     fps = shared.written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     edges = shared.written(_edges(_variants(fps, radius, blocks), radius, max_pairwise, False), "simhash-links")
@@ -191,7 +192,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = shared.written(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-placed")
     least = shared.written(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "simhash-least")
     classes = shared.join_groups(placed.select("fp", "root", "n"), least, ["root"], "size").select("fp", "component_id", "n")
-    classes = shared.written(classes, "simhash-classes", placed, least)
+    classes = shared.written(classes, "simhash-classes")
+    shared.sweep(docs.sparkSession, before, [found, classes])
     return shared.join_groups(found, classes, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
