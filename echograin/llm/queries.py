@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, langid, licenses, packing, pieces, simhash, topk, toxicity, warc
+from . import chat, exact_dedup, fim, langid, licenses, packing, pieces, simhash, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_topk": topk.op9_topk,
         "op10_sentencepiece": pieces.op10_sentencepiece,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_rotation": chat.OP2_SQL,
         "op9_topk": topk.OP9_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op11_fill_in_middle": fim.OP11_SQL,
     }
