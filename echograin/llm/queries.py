@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, clusters, exact_dedup, fim, langid, licenses, packing, pieces, simhash, topk, toxicity, warc
+from . import chat, clusters, exact_dedup, fim, langid, licenses, packing, pieces, pii, simhash, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_topk": topk.op9_topk,
         "op10_sentencepiece": pieces.op10_sentencepiece,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_personal_data": pii.op12_personal_data,
         "op13_centroid_clusters": clusters.op13_centroid_clusters,
     }
 
