@@ -268,18 +268,19 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Defined results: a null text counts as empty; every row is read for itself, so rows may repeat, share an id or have
     none; repeated texts count as often as they occur in places, but their identifiers once; extra columns are left out; an empty table gives an empty table.
     """
-    before = shared.mark()
     found = shared.written(scan(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-found")
     plain = ["doc_id", *(f"n_{k}" for k in KINDS), "base"]
-    learned = learn(docs, found, text_col)
+    with shared.Scope(docs.sparkSession) as scope:
+        learned = learn(docs, found, text_col)
+        if learned is not None:
+            spread = found.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.kind", "c.start", "c.end", "c.inst")
+            placed = shared.join_groups(spread, learned[1].select("kind", "inst", "score", "n"), ["kind", "inst"], "n", "inner")
+            placed = placed.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+            placed = placed.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+            placed = shared.written(placed, "pii-placed")
+            scope.keep(placed)
     if learned is None:
-        shared.sweep(docs.sparkSession, before, [found])
         return found.select(*plain, F.lit(0).cast("long").alias("n_found"), F.col("base").alias("spans"))
-    spread = found.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.kind", "c.start", "c.end", "c.inst")
-    placed = shared.join_groups(spread, learned[1].select("kind", "inst", "score", "n"), ["kind", "inst"], "n", "inner")
-    placed = placed.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-    placed = placed.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
-    placed = shared.written(placed, "pii-placed")
     flagged = shared.sieve(found, shared.written(placed.select("row"), "pii-rows"), "row", "_seen")
     strict = F.transform("seeds", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     names = F.array(*[F.lit(k) for k in KINDS])

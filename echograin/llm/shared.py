@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,34 @@ PART_BITS = 1 << 15
 BITS_EACH = 64
 MAX_PARTS = 1 << 12
 
-_made: list[str] = []
+
+class Scope:
+    """The tables that one call writes; `with` makes it the current one, of this thread alone.
+
+    At its end all of them are deleted but those kept, which then belong to the scope around it, if there is one. A result that is
+    still to be computed reads what was kept: put the call and the saving of its result in a scope of your own.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept |= {t.stored_at for t in tables}
+
+    def __enter__(self) -> Scope:
+        self.outer = _scope.get()
+        self.token = _scope.set(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _scope.reset(self.token)
+        if self.outer is not None:
+            self.outer.made += [p for p in self.made if p in self.kept]
+        delete(self.spark, [p for p in self.made if p not in self.kept])
+
+
+#: The current scope. Threads have one of their own, so queries that run at once leave each other's tables alone.
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +66,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    if (scope := _scope.get()) is not None:
+        scope.made.append(path)
     return path
 
 
@@ -60,19 +89,11 @@ def delete(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _made:
-            _made.remove(path)
-
-
-def mark() -> frozenset[str]:
-    """The tables that are there, for sweep()."""
-    return frozenset(_made)
-
-
-def sweep(spark: SparkSession, since: frozenset[str] = frozenset(), keep: Iterable[DataFrame] = ()) -> None:
-    """Delete what was written after mark() gave `since`, but for the tables to keep. A result that is still to be computed reads such tables: sweep after it is saved."""
-    kept = since | {x.stored_at for x in keep}
-    delete(spark, [p for p in _made if p not in kept])
+        scope = _scope.get()
+        while scope is not None:
+            if path in scope.made:
+                scope.made.remove(path)
+            scope = scope.outer
 
 
 def own(df: DataFrame, name: str) -> str:
