@@ -22,6 +22,8 @@ MIN_REVISIT_BYTES = 100
 #: Payload bytes after which a task begins a new archive; an archive is read as one binary value, so this and one payload bound a reading task's memory.
 ARCHIVE_BYTES = 16 << 20
 STEP = 1 << 16
+#: Archives that a task may have open before Spark sorts the rest of its records.
+WRITERS = 64
 #: Bytes of a record that may come before its header ends.
 MAX_HEAD = 128 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,7 +34,7 @@ RECORD_SCHEMA = (
 
 
 def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, _digest, _refers: null for a response, else the smallest page_id with an equal payload."""
+    """page_id, url, payload, _digest, _refers: null for a response, else the smallest page_id with an equal payload. A row without an id refers to it like any other; where none has one, all are responses."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     ids = pages.select("page_id", F.sha2(payload, 256).alias("_digest"), F.octet_length(payload).alias("_bytes"))
     firsts = ids.where(F.col("_bytes") >= min_bytes).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -40,7 +42,7 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("_digest"))
     sifted = shared.sieve(rows, shared.written(firsts.select("_digest"), "warc-repeated"), "_digest", "_seen")  # others need not move
     joined = shared.join_groups(sifted.where("_seen").drop("_seen"), firsts, ["_digest"], "_n")
-    joined = joined.withColumn("_refers", F.when(F.col("page_id") != F.col("_first"), F.col("_first"))).drop("_first")
+    joined = joined.withColumn("_refers", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))).drop("_first")
     return joined.unionByName(sifted.where("NOT _seen").drop("_seen").withColumn("_refers", F.lit(None).cast(pages.schema["page_id"].dataType)))
 
 
@@ -76,8 +78,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     larger one the separator is a zero byte of padding, which gzip readers skip. Each task numbers its archives by payload bytes.
 
     Defined results: null html is an empty payload; a null url leaves out the target; a null page_id gives a record
-    without a number; rows of one page_id and payload are all responses; other columns are ignored; an empty table
-    gives no records.
+    without a number, which is a revisit where another row with its payload has an id, else a response; rows that repeat
+    the smallest page_id of a payload are all responses; other columns are ignored; an empty table gives no records.
     """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +95,14 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
             yield pa.record_batch([pa.array(found, pa.binary()), pa.array(files, pa.int64())], names=["member", "file"])
 
     rows = mark_revisits(pages, min_bytes).select("page_id", "url", "payload", "_digest", "_refers").mapInArrow(members, "member binary, file long")
-    rows.select(F.col("member").cast("string").alias("value"), "file").write.option("lineSep", "\x00").partitionBy("file").text(path)
+    out = rows.select(F.col("member").cast("string").alias("value"), "file")
+    conf, name = pages.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(WRITERS))  # else a task sorts its records by their archive, in whose order they come already
+    try:
+        out.write.option("lineSep", "\x00").partitionBy("file").text(path)
+    finally:
+        conf.set(name, before)
 
 
 class Damaged(ValueError):
@@ -167,7 +176,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
     payload_bytes and payload_digest are those stated, also for revisits; verified tells whether the block digest
     and, for responses, payload digest and length hold. Where an archive's framing breaks, one row of type
-    "damaged" with the reason stands for the rest of it. A folder without records gives an empty table.
+    "damaged" with the reason stands for the rest of it; so does one for a record whose header is longer than MAX_HEAD bytes. A folder without records gives an empty table.
     """
     schema = RECORD_SCHEMA + ", payload binary" * payloads
     names = [x.split()[0] for x in schema.split(", ")]
@@ -193,7 +202,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the whole pages table as archives and reads them back; edge cases as in write_archives() and read_archives()."""
+    """Writes the whole pages table as archives and reads them back. A null html is an empty payload, a null page_id with a repeated payload of 100 bytes or more a revisit of the smallest id; further edge cases as in write_archives() and read_archives()."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = shared.new_path(spark, "warc")
     write_archives(pages, path)
@@ -204,7 +213,7 @@ OP1_SQL = r"""
 WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
      f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, n AS payload_bytes, h AS payload_digest,
-       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to, url AS target_uri, true AS verified
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to, url AS target_uri, true AS verified
 FROM f
 """
