@@ -116,7 +116,7 @@ class Lexicon:
 def terms_of(text: str | None) -> set[str]:
     """Each distinct word of a folded text, with a space behind it, and each beginning of one."""
     words = set(TOKEN.findall(fold(text or "")))
-    return {w[:n] for w in words for n in STEMS if len(w) >= n} | {w + " " for w in words if len(w) <= 24}
+    return {w[:n] for w in words for n in STEMS if len(w) >= n} | {w + " " for w in words}
 
 
 def _counts(rows: DataFrame) -> DataFrame:
