@@ -1,5 +1,7 @@
 """Pipeline stages one after another, each against what its operator says by brute force."""
 
+import os
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -76,13 +78,12 @@ def test_rows_decide_for_themselves(spark):
 
 
 def test_run_leaves_only_what_the_result_reads(spark):
-    before = shared.mark()
-    found = corpus_pipeline.run(spark, SF)
-    left = shared.mark() - before
-    assert not any(x in p for p in left for x in ("near-", "lang-", "star-", "exact-"))
-    assert found.count() > 0
-    shared.sweep(spark, before)
-    assert shared.mark() == before
+    with shared.Scope(spark) as scope:
+        found = corpus_pipeline.run(spark, SF)
+        assert scope.made and not any(x in p for p in scope.made for x in ("near-", "lang-", "star-", "exact-", "crowd-"))
+        assert found.count() > 0
+        left = list(scope.made)
+    assert left and not any(os.path.exists(p) for p in left)
 
 
 def test_empty(spark):
