@@ -189,8 +189,8 @@ def bound_of(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _packed(rows: DataFrame, capacity: int) -> DataFrame:
-    """rows with bin, offset, part, open (whether the bin may still be emptied), and bins and bound: the partition's number of bins and the least that it could have.
+def _packed(rows: DataFrame, capacity: int, names: dict[str, str]) -> DataFrame:
+    """rows with bin, offset, part, open (whether the bin may still be emptied), and bins and bound: the partition's number of bins and the least that it could have. `names` are these columns' names.
 
     A partition whose bin count equals its lower bound is certified, and of it only the emptiest bin is open, which
     may be spread over others' room; in a partition with a gap, all bins that are not full are open.
@@ -208,41 +208,56 @@ def _packed(rows: DataFrame, capacity: int) -> DataFrame:
         bound = lower_bound(lengths, capacity)
         if used == bound:
             opened &= np.arange(used) == fill.argmin()
-        for name, values in (("bin", bins), ("offset", offsets), ("open", opened[bins]), ("partition_bins", np.full(len(bins), used)), ("partition_bound", np.full(len(bins), bound))):
-            table = table.append_column(name, pa.array(values))
+        for name, values in (("bin", bins), ("offset", offsets), ("open", opened[bins]), ("bins", np.full(len(bins), used)), ("bound", np.full(len(bins), bound))):
+            table = table.append_column(names[name], pa.array(values))
         yield from table.combine_chunks().to_batches(max_chunksize=20_000)
 
-    rows = rows.withColumn("part", F.spark_partition_id().cast("long"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", bin long, offset long, open boolean, partition_bins long, partition_bound long"
-    return rows.mapInArrow(run, schema)
+    rows = rows.withColumn(names["part"], F.spark_partition_id().cast("long"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, schema + "".join(f", `{names[c]}` {kind}" for c, kind in (("bin", "long"), ("offset", "long"), ("open", "boolean"), ("bins", "long"), ("bound", "long"))))
 
 
-def pack(rows: DataFrame, key: list[str], capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, most_rounds: int = 4) -> DataFrame:
+def pack(rows: DataFrame, key: list[str], capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """rows (with a column length, 1 to capacity) with sequence_id and a gapless offset in it; all columns are carried.
 
     partition_bins and partition_bound tell how many bins the partition had in which the item was placed for good, and the
     least that it could have: where they are equal it is certified, else the difference is its gap. See summary() for the whole.
 
-    Items are dealt by a hash of `key` to partitions of about partition_pieces items and packed by best-fit
-    decreasing. Dual feasible functions bound each partition's bins from below: where the count equals the bound it is
+    Items are dealt by a hash of `key` and of their place in the table, so that items of one key are spread, to partitions of about
+    partition_pieces items and packed by best-fit decreasing. Dual feasible functions bound each partition's bins from below: where the count equals the bound it is
     certified and final but for its emptiest bin. The items of open bins are exchanged across partitions and packed
-    anew, until they fit one partition or the rounds are used up.
+    anew, round after round, until they fit one partition or a round no longer needs fewer bins for them: then they stay as they were.
 
-    rows is read more than once and should be a written table. Columns named like those added here are replaced.
+    rows is read more than once and should be a written table. Columns named like a result column are replaced.
     Repeated rows are items of their own; an empty table gives an empty table.
     """
-    rows = shared.without(rows, "sequence_id", "offset", "part", "bin", "open", "partition_bins", "partition_bound", "_deal", "_round")
-    columns, done, number, parts = rows.columns, None, 0, 2
-    while parts > 1 and number < most_rounds:
+    rows = shared.without(rows, "sequence_id", "offset", "partition_bins", "partition_bound")
+    columns, names = rows.columns, {c: shared.own(rows, f"_{c}") for c in ("bin", "offset", "open", "bins", "bound", "part", "deal", "round")}
+    done, number, before = None, 0, None  # before: the arrangement of the open items, and its bins
+    while True:
         parts = max(1, round(rows.count() / partition_pieces))
-        dealt = rows.withColumn("_deal", F.xxhash64(F.lit(number), *key)).repartition(parts, "_deal").drop("_deal")
-        packed = shared.written(_packed(dealt, capacity), "packed").withColumn("_round", F.lit(number))
-        last = parts == 1 or number == most_rounds - 1
-        final = packed if last else packed.where("NOT open")
+        deal = F.xxhash64(F.lit(number), *key, F.monotonically_increasing_id())
+        dealt = rows.withColumn(names["deal"], deal).repartition(parts, names["deal"]).drop(names["deal"])
+        packed = shared.written(_packed(dealt, capacity, names), "packed").withColumn(names["round"], F.lit(number).cast("long"))
+        used, opened = _bins(packed, names)
+        if before is not None and used >= before[1]:
+            final = before[0]
+        else:
+            final = packed if parts == 1 or not opened else packed.where(~F.col(names["open"]))
         done = final if done is None else done.unionByName(final)
-        rows, number = packed.where("open").select(*columns), number + 1
-    sequence = F.col("_round") * F.lit(1 << 60) + F.col("part") * F.lit(1 << 32) + F.col("bin")
-    return done.select(*columns, sequence.alias("sequence_id"), "offset", "partition_bins", "partition_bound")
+        if parts == 1 or not opened or (before is not None and used >= before[1]):
+            break
+        before = packed.where(names["open"]), opened
+        rows, number = before[0].select(*columns), number + 1
+    sequence = F.col(names["round"]) * F.lit(1 << 52) + F.col(names["part"]) * F.lit(1 << 24) + F.col(names["bin"])
+    return done.select(*columns, sequence.alias("sequence_id"), F.col(names["offset"]).alias("offset"), F.col(names["bins"]).alias("partition_bins"), F.col(names["bound"]).alias("partition_bound"))
+
+
+def _bins(packed: DataFrame, names: dict[str, str]) -> tuple[int, int]:
+    """Bins of all partitions, and how many of them are open. A bin's first item stands for it."""
+    first = packed.where(F.col(names["offset"]) == 0)
+    found = first.agg(F.count(F.lit(1)).alias("used"), F.count_if(names["open"]).alias("opened")).first()
+    return found["used"], found["opened"]
 
 
 def summary(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:

@@ -70,3 +70,45 @@ def test_empty_and_repeated_rows(spark):
     assert packing.pack(spark.createDataFrame([], schema), ["doc_id", "piece"]).count() == 0
     rows = packing.pack(spark.createDataFrame([(1, 0, 600)] * 3, schema), ["doc_id", "piece"]).collect()
     assert len({r.sequence_id for r in rows}) == 3 and all(r.offset == 0 for r in rows)
+
+
+def check_rooms(rows, capacity=1024):
+    rooms = {}
+    for r in rows:
+        rooms.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spots in rooms.values():
+        spots.sort()
+        assert [o for o, _ in spots] == [sum(n for _, n in spots[:k]) for k in range(len(spots))] and sum(n for _, n in spots) <= capacity
+    return len(rooms)
+
+
+def test_rows_of_one_key_are_spread(spark):
+    rows = shared.written(spark.range(400_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "0 AS piece", "1 + id % 97 AS length"), "pieces")
+    packed = packing.pack(rows, ["doc_id", "piece"]).select("length", "sequence_id", "offset")
+    got = packed.collect()
+    assert len(got) == 400_000 and {r.sequence_id >> 52 for r in got} <= {0, 1}
+    parts = {}
+    for r in got:
+        if r.sequence_id >> 52 == 0:
+            parts[r.sequence_id >> 24] = parts.get(r.sequence_id >> 24, 0) + 1
+    assert len(parts) == 8 and max(parts.values()) < 60_000
+    assert check_rooms(got) == packing.summary(packed)[1]
+
+
+def test_rounds_go_on_until_no_gap_closes(spark):
+    random.seed(7)
+    rows = shared.written(spark.createDataFrame([(k, 0, random.choice([341, 342, 343, 500, 510, 530])) for k in range(3000)], "doc_id long, piece int, length long"), "pieces")
+    packed = packing.pack(rows, ["doc_id", "piece"], partition_pieces=60)
+    got = packed.collect()
+    used, bound = packing.summary(packed)
+    assert sorted(r.doc_id for r in got) == list(range(3000)) and check_rooms(got) == used
+    alone = packing.best_fit(np.array([r.length for r in got]), 1024)[2]
+    assert bound <= used <= alone * 1.02 + 2
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = "doc_id, piece, length, open, bin, part, _round, _deal, _open, offset"
+    rows = shared.written(spark.createDataFrame([(k, 0, 300, "o", "b", "p", "r", "d", "x", "gone") for k in range(50)], ", ".join(f"{n} {'long' if i < 3 else 'string'}" for i, n in enumerate(names.split(", ")))), "pieces")
+    got = packing.pack(rows, ["doc_id"], partition_pieces=10)
+    assert got.columns == ["doc_id", "piece", "length", "open", "bin", "part", "_round", "_deal", "_open", "sequence_id", "offset", "partition_bins", "partition_bound"]
+    assert {(r.open, r.bin, r.part, r._round, r._deal, r._open) for r in got.collect()} == {("o", "b", "p", "r", "d", "x")}
