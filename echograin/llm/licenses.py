@@ -1,10 +1,10 @@
 """License scans: a trained paragraph classifier over licence families, confirmed by templates.
 
-Paragraphs stand between blank lines; wrapped lines are read as one. Features are counts of word unigrams and bigrams
-that notices have and common prose has not; weights of a sparse multinomial logistic regression are learned from notices, alone and
+Paragraphs stand between blank lines; wrapped lines are read as one. Features are word unigrams and bigrams that notices have
+and common prose has not, each counted once a window, so that a word said over and over tells no more than once; weights of a sparse multinomial logistic regression are learned from notices, alone and
 inside prose, and, as the class "unknown", from paragraphs of the corpus. Probabilities are calibrated by a temperature
-fitted to examples kept aside; the calibration error is measured on others. As logits are sums over words, those of
-every window of a paragraph come from running sums; the windows that tell most are taken first, so a paragraph may hold several notices.
+and a rising curve, one for families and one for unknown, fitted to examples kept aside; the calibration error is measured on others. As logits are sums over words, those of
+every window of a paragraph come from running sums, less what an n-gram adds again inside the window; the windows that tell most are taken first, so a paragraph may hold several notices.
 A predicted family is confirmed if the place holds most of the word pairs of one of its templates.
 """
 
@@ -124,11 +124,11 @@ def notices() -> list[tuple[str, list[str], int]]:
 
 
 class Classifier:
-    """Multinomial logistic regression on counts of n-grams, with a temperature, and the templates' word pairs."""
+    """Multinomial logistic regression on the n-grams of a window, with a temperature, and the templates' word pairs."""
 
-    def __init__(self, classes: list[str], vocabulary: dict[str | tuple[str, str], int], weights: np.ndarray, bias: np.ndarray, temperature: float, calibration_error: float = 0.0):
+    def __init__(self, classes: list[str], vocabulary: dict[str | tuple[str, str], int], weights: np.ndarray, bias: np.ndarray, temperature: float, calibration_error: float = 0.0, curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))):
         self.classes, self.vocabulary, self.weights, self.bias = classes, vocabulary, weights.astype(float), bias.astype(float)
-        self.temperature, self.calibration_error = temperature, calibration_error
+        self.temperature, self.calibration_error, self.curve = temperature, calibration_error, curve
         self.unknown = classes.index(UNKNOWN)
         self.templates = {f: [(t, _pairs(template_words(t))) for t in ts] for f, ts in TEMPLATES.items()}
         # Numbers of the words of all n-grams (other spellings included); the n-gram of a word, and of a pair of words, in order.
@@ -176,17 +176,39 @@ class Classifier:
         return template, alike, begin, end
 
     def _stand(self, pairs: set[tuple[str, str]], own: list[tuple[str, str]]) -> tuple[int, int, int]:
-        """First and last number, and how many, of a template's pairs where they first stand together, GAP apart at most and each once."""
-        runs: list[tuple[int, int, set]] = []
+        """First and last number, and how many, of a template's pairs where most of them stand together: of the first such run, GAP apart at most, the shortest part with all that it has."""
+        runs: list[list[tuple[int, tuple[str, str]]]] = []
         for k, pair in enumerate(own):
-            if pair not in pairs:
-                continue
-            if runs and k - runs[-1][1] <= GAP and not (pair in runs[-1][2] and len(runs[-1][2]) >= MIN_SIMILARITY * len(pairs)):
-                runs[-1] = (runs[-1][0], k, runs[-1][2] | {pair})
-            else:
-                runs.append((k, k, {pair}))
-        first, last, seen = max(runs, key=lambda r: len(r[2]))
-        return first, last, len(seen)
+            if pair in pairs:
+                if runs and k - runs[-1][-1][0] <= GAP:
+                    runs[-1].append((k, pair))
+                else:
+                    runs.append([(k, pair)])
+        run = max(runs, key=lambda r: len({p for _, p in r}))
+        distinct, latest, best = len({p for _, p in run}), {}, None
+        for k, pair in run:
+            latest.pop(pair, None)
+            latest[pair] = k  # in the order of their last places
+            if len(latest) == distinct:
+                first = next(iter(latest.values()))
+                if best is None or k - first < best[1] - best[0]:
+                    best = first, k
+        return *best, distinct
+
+    def _again(self, at: np.ndarray, ngram: np.ndarray, back: int, weight: np.ndarray, starts: np.ndarray, gaps: np.ndarray, size: int) -> np.ndarray:
+        """For windows of `size` words from each of starts: the weights of n-grams (places `at`) that the window holds already; back: words of the n-gram before its place."""
+        order = np.lexsort((at, ngram))
+        same = np.flatnonzero(ngram[order][1:] == ngram[order][:-1])
+        before, later = at[order[same]] - back, order[same + 1]
+        gap = np.searchsorted(gaps[:, 0], at[later], side="right") - 1
+        inside = (gap >= 0) & (at[later] < gaps[gap, 1])
+        low = np.searchsorted(starts, np.maximum(at[later] - size + 1, gaps[gap, 0]))
+        high = np.searchsorted(starts, before, side="right")
+        good = inside & (low < high)
+        change = np.zeros((len(starts) + 1, weight.shape[1]))
+        np.add.at(change, low[good], weight[later[good]])
+        np.subtract.at(change, high[good], weight[later[good]])
+        return np.cumsum(change, axis=0)[:-1]
 
     def segments(self, words: list[str]) -> list[tuple[int, int, str, float, str, float]]:
         """(begin, end, family, probability, template, similarity) of disjoint places of notices.
@@ -198,6 +220,7 @@ class Classifier:
         at_one, one, at_two, two = self.evidence(words)
         if not len(at_one) and not len(at_two):
             return []
+        ngrams = one, two
         one, two = self.weights[one], self.weights[two]
         sums, pair_sums = (np.concatenate([np.zeros((1, len(self.classes))), np.cumsum(x, axis=0)]) for x in (one, two))
         starts = np.union1d(at_one, at_two - 1)
@@ -212,11 +235,14 @@ class Classifier:
             end = np.minimum(begin + np.tile(WINDOWS, int(some.sum())), np.repeat(highs[gap[some]], len(WINDOWS)))
             place = lambda at, to: np.searchsorted(at, to)
             logits = self.bias + sums[place(at_one, end)] - sums[place(at_one, begin)] + pair_sums[place(at_two, end)] - pair_sums[np.minimum(place(at_two, begin + 1), place(at_two, end))]
+            first = starts[some]
+            again = [self._again(at_one, ngrams[0], 0, one, first, np.array(gaps), w) + self._again(at_two, ngrams[1], 1, two, first, np.array(gaps), w) for w in WINDOWS]
+            logits -= np.stack(again, axis=1).reshape(logits.shape)
             best = logits.argmax(axis=1)
             good = np.flatnonzero(best != self.unknown)
             if not len(good):
                 break
-            p = self.probabilities(logits[good])[np.arange(len(good)), best[good]]
+            p = np.interp(self.probabilities(logits[good])[np.arange(len(good)), best[good]], *self.curve)
             margin = logits[good, best[good]] - logits[good, self.unknown]
             used = np.zeros(len(words), bool)
             for b, e, *_ in taken:
@@ -281,8 +307,8 @@ def paragraphs(text: str) -> Iterator[tuple[int, list[str]]]:
         yield start, held
 
 
-def _grams(words: list[str]) -> Counter:
-    return Counter([w for w in words if not w.isdigit()]) + Counter(zip(words, words[1:], strict=False))
+def _grams(words: list[str]) -> set[str | tuple[str, str]]:
+    return {w for w in words if not w.isdigit()} | set(zip(words, words[1:], strict=False))
 
 
 class _Sparse:
@@ -314,9 +340,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def calibration_error(p: np.ndarray, y: np.ndarray, weight: np.ndarray, bins: int = 10) -> float:
+def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rising curve nearest to points (x, y), as its corners: neighbours that fall are averaged until none does."""
+    steps: list[list[float]] = []  # mean, weight, first and last x
+    for k in np.argsort(x, kind="stable"):
+        steps.append([float(y[k]), float(weight[k]), float(x[k]), float(x[k])])
+        while len(steps) > 1 and steps[-2][0] >= steps[-1][0]:
+            (m, a, first, _), (n, b, _, last) = steps[-2:]
+            steps[-2:] = [[(m * a + n * b) / (a + b), a + b, first, last]]
+    if not steps:
+        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    corners = sorted({(at, s[0]) for s in steps for at in s[2:]})
+    return np.array([c[0] for c in corners]), np.array([c[1] for c in corners])
+
+
+def calibration_error(top: np.ndarray, right: np.ndarray, weight: np.ndarray, bins: int = 10) -> float:
     """Weighted mean of the distance between the probability of the predicted class and how often it is right, over equal bins of probability."""
-    top, right = p.max(axis=1), p.argmax(axis=1) == y
     at = np.minimum((top * bins).astype(int), bins - 1)
     return float(sum(abs((weight * (top - right))[at == k].sum()) for k in range(bins)) / weight.sum())
 
@@ -343,17 +382,17 @@ def _fit(rows: list[dict[int, int]], y: np.ndarray, classes: int, width: int, ro
 def train(unknown: list[list[str]]) -> Classifier:
     """A classifier from the notices, alone and inside prose, and unknown windows.
 
-    For the temperature a first fit leaves out every third template of a family and every third unknown window; half of what was
-    left out fits the temperature and the other half measures the calibration error. The weights are then fitted to everything.
+    For the calibration a first fit leaves out every third template of a family and every third unknown window; half of what was
+    left out fits the temperature and the curves, and the other half measures the calibration error. The weights are then fitted to everything.
     """
     prose = [w for w in unknown if len(w) > 8] or [[]]
     known = notices()
     inside = [(f, prose[k % len(prose)][:12] + w + prose[(k * 7 + 3) % len(prose)][-12:], n) for k, (f, w, n) in enumerate(known)]
     data = known + inside + [(UNKNOWN, w, k) for k, w in enumerate(unknown)] + [(UNKNOWN, words_of(t), k) for k, t in enumerate(UNRELATED)] * 10 + [(UNKNOWN, [], 1)] * 10
     classes = sorted({f for f, *_ in data})
-    counted = Counter(g for w in unknown for g in _grams(w).keys())
+    counted = Counter(g for w in unknown for g in _grams(w))
     vocabulary = {g: k for k, g in enumerate(sorted({g for _, w, _ in known for g in _grams(w) if counted[g] <= COMMON * len(unknown)}, key=str))}
-    rows = [{vocabulary[g]: n for g, n in _grams(w).items() if g in vocabulary} for _, w, _ in data]
+    rows = [{vocabulary[g]: 1 for g in _grams(w) if g in vocabulary} for _, w, _ in data]
     y = np.array([classes.index(f) for f, *_ in data])
     aside = np.array([n % 3 == 2 for *_, n in data])
     w, b = _fit([r for r, out in zip(rows, aside, strict=True) if not out], y[~aside], len(classes), len(vocabulary))
@@ -363,9 +402,13 @@ def train(unknown: list[list[str]]) -> Classifier:
     half = np.arange(len(right)) % 2 == 0
     losses = [(-(heavy * np.log(_softmax(z / t)[np.arange(len(right)), right] + 1e-12))[half].sum(), t) for t in np.geomspace(0.1, 10, 60)]
     heat = float(min(losses)[1])
-    error = calibration_error(_softmax(z[~half] / heat), right[~half], heavy[~half])
+    p = _softmax(z / heat)
+    top, named, good = p.max(axis=1), p.argmax(axis=1) != classes.index(UNKNOWN), p.argmax(axis=1) == right
+    curves = [rising(top[half & (named == kind)], good[half & (named == kind)], heavy[half & (named == kind)]) for kind in (False, True)]
+    top = np.where(named, np.interp(top, *curves[1]), np.interp(top, *curves[0]))
+    error = calibration_error(top[~half], good[~half], heavy[~half])
     w, b = _fit(rows, y, len(classes), len(vocabulary))
-    return Classifier(classes, vocabulary, w, b, heat, error)
+    return Classifier(classes, vocabulary, w, b, heat, error, curves[1])
 
 
 def classifier_of(docs: DataFrame) -> Classifier:
