@@ -6,15 +6,17 @@ conditions on height, distance, prominence and width in this order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echograin.functions import waveform as W
 
+from . import outcomes
+
 KEYS = ["frame_id", "x", "y"]
 #: Waveforms that the kernel handles at once.
 BATCH = 2000
@@ -144,15 +146,75 @@ def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, np.cumsum(lengths) - lengths, lengths
 
 
+def _mapped(rows: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], keys: int, size: int, schema: str, errors: bool) -> DataFrame:
+    """rows by the kernel, `size` rows at a time; with errors, failures are rows."""
+    guard = outcomes.guarded(kernel, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, size) for b in batches for at in range(0, b.num_rows, size)):
+            if errors:
+                yield from guard(batch)
+            else:
+                yield kernel(batch)
+
+    return rows.mapInArrow(run, schema + ", error string" * errors)
+
+
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def find_peaks(rows: DataFrame, keys: list[str] | None = None, height: Column | float | None = None, distance: float | None = None, prominence: float | None = None, width: float | None = None, hist: str = "hist", measured: bool = True, ranged: bool = False) -> DataFrame:
-    """A row per peak: the keys with bin, height, prominence and width; with `ranged` also the columns FWHM, by which with_fwhm ranges it.
+def whole_counts(column: pa.Array) -> None:
+    """Raises where waveforms have counts that are null or no numbers."""
+    values = column.flatten()
+    if values.null_count or (pa.types.is_floating(values.type) and np.isnan(values.to_numpy(zero_copy_only=False)).any()):
+        raise ValueError("a waveform has null counts")
+
+
+def _by_height(row: np.ndarray, top: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rank of each peak inside its row, from 1: the higher first, at a tie the lower bin. Rows are in order."""
+    order = np.lexsort((place, -top, row))
+    rank = np.empty(len(row), np.int32)
+    rank[order] = np.arange(len(row)) - np.searchsorted(row, row[order]) + 1
+    return rank
+
+
+def _conditions(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, every: tuple[np.ndarray, np.ndarray, np.ndarray], low: np.ndarray, distance: float | None, prominence: float | None, width: float | None, need: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, rows, heights and measures (prominence and width) of the candidates that meet the conditions, in their order."""
+    place, row, top = every
+    good = ~(top < low[row])  # a null threshold is no condition
+    place, row, top = place[good], row[good], top[good]
+    if distance is not None and len(place):
+        cuts = np.flatnonzero(np.diff(row)) + 1
+        keep = np.concatenate([far_apart(p, t, distance) for p, t in zip(np.split(place, cuts), np.split(top, cuts), strict=True)])
+        place, row, top = place[keep], row[keep], top[keep]
+    found = np.full((len(place), 2), np.nan)
+    if need:
+        found[:, 0], found[:, 1] = measure(flat, place, starts[row], starts[row] + lengths[row])
+    good = np.ones(len(place), bool)
+    if prominence is not None:
+        good &= found[:, 0] >= prominence
+    if width is not None:
+        good &= found[:, 1] >= width
+    return place[good], row[good], top[good], found[good]
+
+
+def peaks_of(hists: pa.Array, low: np.ndarray, distance: float | None = None, prominence: float | None = None, width: float | None = None) -> Iterator[tuple[int, int, float, float, float]]:
+    """Number of the waveform, bin, height, prominence and width of the peaks of a list array; low is the least height of each waveform."""
+    whole_counts(hists)
+    flat, starts, lengths = _rows_of(hists)
+    every = candidates(flat, starts[lengths > 0])
+    row = np.searchsorted(starts + lengths, every, side="right")
+    place, row, top, found = _conditions(flat, starts, lengths, (every, row, flat[every].astype(float)), low, distance, prominence, width, True)
+    return zip(row.tolist(), (place - starts[row]).tolist(), top.tolist(), found[:, 0].tolist(), found[:, 1].tolist(), strict=True)
+
+
+def find_peaks(rows: DataFrame, keys: list[str] | None = None, height: Column | float | None = None, distance: float | None = None, prominence: float | None = None, width: float | None = None, hist: str = "hist", measured: bool = True, ranged: bool = False, ranked: bool = False, errors: bool = False) -> DataFrame:
+    """A row per peak: the keys with bin, height, prominence and width; with `ranged` also the columns FWHM, by which with_fwhm ranges it; with `ranked` its rank by height inside the waveform.
 
     height may be an expression over the row. Without `measured`, and without a condition on them, prominence and width are null and cost nothing.
-    A null or empty waveform, and one without a strict rise and fall, has no peaks.
+    A null or empty waveform, and one without a strict rise and fall, has no peaks. With `errors` there is a last column error: a waveform
+    that cannot be worked on, such as one with null counts, is one row of its keys and the error (see outcomes.split); else it ends the job.
     """
     keys = keys or KEYS
     need = measured or prominence is not None or width is not None
@@ -160,41 +222,30 @@ def find_peaks(rows: DataFrame, keys: list[str] | None = None, height: Column |
     chosen = rows.select(*keys, low.cast("double").alias("_low"), F.col(hist).alias("_hist"))
     n = len(keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
-            flat, starts, lengths = _rows_of(batch.column(n + 1))
-            low = batch.column(n).to_numpy(zero_copy_only=False).astype(float)
-            every = candidates(flat, starts[lengths > 0])
-            every_row = np.searchsorted(starts + lengths, every, side="right")
-            every_top = flat[every].astype(float)
-            good = ~(every_top < low[every_row])  # a null threshold is no condition
-            place, row, top = every[good], every_row[good], every_top[good]
-            if distance is not None and len(place):
-                cuts = np.flatnonzero(np.diff(row)) + 1
-                keep = np.concatenate([far_apart(p, t, distance) for p, t in zip(np.split(place, cuts), np.split(top, cuts), strict=True)])
-                place, row, top = place[keep], row[keep], top[keep]
-            found = np.full((len(place), 2), np.nan)
-            if need:
-                found[:, 0], found[:, 1] = measure(flat, place, starts[row], starts[row] + lengths[row])
-            good = np.ones(len(place), bool)
-            if prominence is not None:
-                good &= found[:, 0] >= prominence
-            if width is not None:
-                good &= found[:, 1] >= width
-            place, row, top, found = place[good], row[good], top[good], found[good]
-            taken = pa.array(row)
-            arrays = [batch.column(k).take(taken) for k in range(n)]
-            arrays += [pa.array((place - starts[row]).astype(np.int32)), pa.array(top)]
-            arrays += [pa.array(found[:, k], from_pandas=True) for k in range(2)]
-            names = [*keys, "bin", "height", "prominence", "width"]
-            if ranged:
-                arrays += [pa.array(v) for v in half_widths(flat, place, starts[row], starts[row] + lengths[row])]
-                arrays.append(pa.array(_at_least(every_row, every_top, row, top / 2)))
-                names += [c.split()[0] for c in FWHM.split(", ")]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        whole_counts(batch.column(n + 1))
+        flat, starts, lengths = _rows_of(batch.column(n + 1))
+        low = batch.column(n).to_numpy(zero_copy_only=False).astype(float)
+        every = candidates(flat, starts[lengths > 0])
+        every_row = np.searchsorted(starts + lengths, every, side="right")
+        every_top = flat[every].astype(float)
+        place, row, top, found = _conditions(flat, starts, lengths, (every, every_row, every_top), low, distance, prominence, width, need)
+        taken = pa.array(row)
+        arrays = [batch.column(k).take(taken) for k in range(n)]
+        arrays += [pa.array((place - starts[row]).astype(np.int32)), pa.array(top)]
+        arrays += [pa.array(found[:, k], from_pandas=True) for k in range(2)]
+        names = [*keys, "bin", "height", "prominence", "width"]
+        if ranged:
+            arrays += [pa.array(v) for v in half_widths(flat, place, starts[row], starts[row] + lengths[row])]
+            arrays.append(pa.array(_at_least(every_row, every_top, row, top / 2)))
+            names += [c.split()[0] for c in FWHM.split(", ")]
+        if ranked:
+            arrays.append(pa.array(_by_height(row, top, place)))
+            names.append("rank")
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = _fields(rows.select(*keys)) + ", bin int, height double, prominence double, width double" + f", {FWHM}" * ranged
-    return chosen.mapInArrow(run, schema)
+    schema = _fields(rows.select(*keys)) + ", bin int, height double, prominence double, width double" + f", {FWHM}" * ranged + ", rank int" * ranked
+    return _mapped(chosen, kernel, n, BATCH, schema, errors)
 
 
 def at_bins(rows: DataFrame, bins: Column, carried: list[str], first: tuple[float, int] | None = None, hist: str = "hist") -> DataFrame:
@@ -239,9 +290,9 @@ def at_bins(rows: DataFrame, bins: Column, carried: list[str], first: tuple[floa
     return chosen.mapInArrow(run, _fields(rows.select(*carried)) + f", number int, bin int, height double, {FWHM}")
 
 
-def relative_peaks(rows: DataFrame, share: float = 0.1, width: float | None = 3, distance: float | None = None, keys: list[str] | None = None, ranged: bool = False) -> DataFrame:
+def relative_peaks(rows: DataFrame, share: float = 0.1, width: float | None = 3, distance: float | None = None, keys: list[str] | None = None, ranged: bool = False, errors: bool = False) -> DataFrame:
     """Peaks of at least `share` of their waveform's largest count."""
-    return find_peaks(rows, keys, F.array_max("hist") * F.lit(share), distance=distance, width=width, ranged=ranged)
+    return find_peaks(rows, keys, F.array_max("hist") * F.lit(share), distance=distance, width=width, ranged=ranged, errors=errors)
 
 
 def median(hist: str = "hist") -> Column:
@@ -252,11 +303,10 @@ def median(hist: str = "hist") -> Column:
 
 
 def peaks_above_median(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Peaks of at least the waveform's median, with rank by height (at a tie the lower bin first) and label: the strongest is object, others noise."""
+    """Peaks of at least the waveform's median, with rank by height (at a tie the lower bin first) and label: the strongest is object, others noise. The kernel ranks them, without a shuffle."""
     keys = keys or KEYS
-    found = find_peaks(rows, keys, median(), measured=False).drop("prominence", "width")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("height"), "bin")))
-    return ranked.withColumn("label", (F.col("rank") == 1).cast("int"))
+    found = find_peaks(rows, keys, median(), measured=False, ranked=True).drop("prominence", "width")
+    return found.withColumn("label", (F.col("rank") == 1).cast("int"))
 
 
 def first_peak_bin(rows: DataFrame, least: float = 3, top: int = 2, keys: list[str] | None = None) -> DataFrame:
@@ -308,41 +358,46 @@ def _residual(flat: np.ndarray, starts: np.ndarray, length: int, rows: np.ndarra
     return h, s, base, deviation(np.maximum(s - base, 0.0))
 
 
-def baseline_peaks(rows: DataFrame, keys: list[str] | None = None, sigma: float = 1.0, kernel: int = 51, factor: float = 3.0, distance: float = 5, width: float = 1) -> DataFrame:
+def baseline_peaks(rows: DataFrame, keys: list[str] | None = None, sigma: float = 1.0, kernel: int = 51, factor: float = 3.0, distance: float = 5, width: float = 1, errors: bool = False) -> DataFrame:
     """Peaks above a baseline: keys, bin, height and prominence of the residual, width, and mad.
 
     Smoothed waveform less its running median, cut at 0; peaks have at least 1.5 deviations of height and `factor` of
-    prominence. A waveform that sums to 0 or whose deviation is 0 has none. Waveforms of one length are handled at once.
+    prominence. A waveform that sums to 0 or whose deviation is 0 has none. Waveforms of one length are handled at once. `errors` as in find_peaks().
     """
     keys = keys or KEYS
     n = len(keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            flat, starts, lengths = _rows_of(batch.column(n))
-            for alike in _alike(lengths):
-                size = int(lengths[alike[0]])
-                h, s, base, mad = _residual(flat, starts, size, alike, sigma, kernel)
-                some = (h.sum(axis=1) != 0) & (mad != 0)
-                alike, mad = alike[some], mad[some]
-                residual = np.maximum(s - base, 0.0)[some].ravel()
-                place = candidates(residual, np.arange(len(alike)) * size)
-                row = place // size
-                high = residual[place] >= 1.5 * mad[row]
-                place, row = place[high], row[high]
-                if len(place):
-                    cuts = np.flatnonzero(np.diff(row)) + 1
-                    keep = np.concatenate([far_apart(p, residual[p], distance) for p in np.split(place, cuts)])
-                    place, row = place[keep], row[keep]
-                prominence, wide = measure(residual, place, row * size, row * size + size)
-                good = (prominence >= factor * mad[row]) & (wide >= width)
-                place, row = place[good], row[good]
-                taken = pa.array(alike[row])
-                arrays = [batch.column(k).take(taken) for k in range(n)] + [pa.array((place % size).astype(np.int32))]
-                arrays += [pa.array(v) for v in (residual[place], prominence[good], wide[good], mad[row])]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "bin", "height", "prominence", "width", "mad"])
-
-    return rows.select(*keys, "hist").mapInArrow(run, _fields(rows.select(*keys)) + ", bin int, height double, prominence double, width double, mad double")
+    names = [*keys, "bin", "height", "prominence", "width", "mad"]
+
+    def peaks_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        whole_counts(batch.column(n))
+        flat, starts, lengths = _rows_of(batch.column(n))
+        found = []
+        for alike in _alike(lengths):
+            size = int(lengths[alike[0]])
+            h, s, base, mad = _residual(flat, starts, size, alike, sigma, kernel)
+            some = (h.sum(axis=1) != 0) & (mad != 0)
+            alike, mad = alike[some], mad[some]
+            residual = np.maximum(s - base, 0.0)[some].ravel()
+            place = candidates(residual, np.arange(len(alike)) * size)
+            row = place // size
+            high = residual[place] >= 1.5 * mad[row]
+            place, row = place[high], row[high]
+            if len(place):
+                cuts = np.flatnonzero(np.diff(row)) + 1
+                keep = np.concatenate([far_apart(p, residual[p], distance) for p in np.split(place, cuts)])
+                place, row = place[keep], row[keep]
+            prominence, wide = measure(residual, place, row * size, row * size + size)
+            good = (prominence >= factor * mad[row]) & (wide >= width)
+            place, row = place[good], row[good]
+            taken = pa.array(alike[row])
+            arrays = [batch.column(k).take(taken) for k in range(n)] + [pa.array((place % size).astype(np.int32))]
+            arrays += [pa.array(v) for v in (residual[place], prominence[good], wide[good], mad[row])]
+            found.append(pa.RecordBatch.from_arrays(arrays, names=names))
+        kinds = [*(batch.schema.field(k).type for k in range(n)), pa.int32(), *[pa.float64()] * 4]
+        return pa.concat_batches(found) if found else pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names=names)
+
+    schema = _fields(rows.select(*keys)) + ", bin int, height double, prominence double, width double, mad double"
+    return _mapped(rows.select(*keys, "hist"), peaks_of, n, 500, schema, errors)
 
 
 def filtered(rows: DataFrame, keys: list[str] | None = None, sigma: float = 1.0, kernel: int = 51) -> DataFrame:

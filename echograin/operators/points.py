@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echograin import constants as C
@@ -16,6 +16,14 @@ from . import peaks as P
 KEYS = ["frame_id", "x", "y"]
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name for a working column that no column of df has in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _place(distance: Column, azimuth: Column, altitude: Column, turn: int) -> dict[str, Column]:
     a, o = F.radians(azimuth), F.radians(altitude)
     return {"pos_x": distance * F.cos(a) * F.cos(o), "pos_y": turn * distance * F.sin(a) * F.cos(o), "pos_z": -distance * F.sin(o)}
@@ -88,13 +96,19 @@ def range_by_method(rows: DataFrame, method: str, keys: list[str] | None = None,
 
 
 def intensity(rows: DataFrame, gain: float, stack: int, use_block_gain: bool = True) -> DataFrame:
-    """rows (frame_id, y, hist, bin) with raw (whole, at most 255) and normalised (over the frame's largest)."""
+    """rows (frame_id, y, bin, hist and others) with raw (whole, at most 255) and normalised (over the frame's largest), without hist.
+
+    A frame's largest comes from a grouped maximum joined back, so waveforms do not move and a large frame needs no single task.
+    """
     value = F.get("hist", F.col("bin"))
     block = W.block_gain(F.col("y")) if use_block_gain else F.lit(1.0)
     found = (value * block + W.plateau(F.col("hist"), F.col("bin")) * F.lit(float(gain))) / F.lit(float(stack))
-    rows = rows.withColumn("_i", F.least(found, F.lit(255.0)))
-    most = F.max("_i").over(Window.partitionBy("frame_id"))
-    return rows.withColumn("raw", F.floor("_i").cast("int")).withColumn("normalised", F.col("_i") / F.when(most == 0, 1.0).otherwise(most)).drop("_i")
+    kept = [c for c in rows.columns if c not in ("hist", "raw", "normalised")]
+    value, most = free(rows, "_i"), free(rows, "_most")
+    rows = rows.select(*kept, F.least(found, F.lit(255.0)).alias(value))
+    tops = rows.groupBy("frame_id").agg(F.max(value).alias(most))
+    share = F.col(value) / F.when(F.col(most) == 0, 1.0).otherwise(F.col(most))
+    return rows.join(tops, "frame_id").select(*kept, F.floor(value).cast("int").alias("raw"), share.alias("normalised"))
 
 
 def raster(pixels: DataFrame, value: str) -> DataFrame:
@@ -141,9 +155,10 @@ def colour_class(points: DataFrame) -> DataFrame:
 def distance_scale(points: DataFrame, cloud: str = "cloud_id") -> DataFrame:
     """points with scale: log(1 + distance from the origin), 0 to 1 inside each cloud, 0 where all are equal. A cloud's bounds come from a grouped count joined back, so a large cloud needs no single task."""
     far = F.log1p(F.sqrt(F.col("pos_x") ** 2 + F.col("pos_y") ** 2 + F.col("pos_z") ** 2))
-    bounds = points.groupBy(cloud).agg(F.min(far).alias("_lo"), F.max(far).alias("_hi"))
+    low, high = free(points, "_lo"), free(points, "_hi")
+    bounds = points.groupBy(cloud).agg(F.min(far).alias(low), F.max(far).alias(high))
     joined = points.join(bounds, cloud)
-    return joined.withColumn("scale", F.when(F.col("_hi") > F.col("_lo"), (far - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
+    return joined.withColumn("scale", F.when(F.col(high) > F.col(low), (far - F.col(low)) / (F.col(high) - F.col(low))).otherwise(0.0)).drop(low, high)
 
 
 # --- radius joins ---------------------------------------------------------------------------------------------------

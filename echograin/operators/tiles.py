@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from echograin.functions import waveform as W
 
-from . import resample, sampling
+from . import outcomes, resample, sampling
 
 KEYS = ["frame_id", "x", "y"]
 
@@ -31,17 +33,37 @@ def tile_list(width: int, height: int, window: tuple[int, int]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("tile_id"), F.lit(x).alias("x0"), F.lit(y).alias("y0")) for k, (x, y) in enumerate(tiles)])
 
 
+def _covering(place: Column, size: int, window: int) -> Column:
+    """Numbers of the windows along one axis that hold a place: the one of its own, and the last one, which is pulled back."""
+    last = len(positions(size, window)) - 1
+    own = F.least(F.floor(place / window).cast("int"), F.lit(last))
+    return F.array_distinct(F.array(own, F.when(place >= positions(size, window)[-1], F.lit(last)).otherwise(own)))
+
+
+def _placed(waveforms: DataFrame, width: int, height: int, window: tuple[int, int]) -> DataFrame:
+    """frame_id, tile_id, x0, y0, dx, dy, hist of every window's pixels that are there. A pixel names its windows by arithmetic, four at most; nothing is joined or shuffled."""
+    across, down = positions(width, window[0]), positions(height, window[1])
+    begin = lambda at, number: F.element_at(F.array(*[F.lit(p) for p in at]), F.col(number) + 1)
+    rows = waveforms.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).select(*KEYS, "hist", F.explode(_covering(F.col("x"), width, window[0])).alias("_a"))
+    rows = rows.select("*", F.explode(_covering(F.col("y"), height, window[1])).alias("_b"))
+    rows = rows.select("frame_id", (F.col("_a") * len(down) + F.col("_b")).alias("tile_id"), begin(across, "_a").alias("x0"), begin(down, "_b").alias("y0"), "x", "y", "hist")
+    return rows.select("frame_id", "tile_id", "x0", "y0", (F.col("x") - F.col("x0")).alias("dx"), (F.col("y") - F.col("y0")).alias("dy"), "hist")
+
+
 def extract_tiles(waveforms: DataFrame, width: int, height: int, window: tuple[int, int]) -> DataFrame:
-    """Every pixel of every window: frame_id, tile_id, x0, y0, dx, dy, hist; zeros where the frame has no pixel.
+    """Every pixel of every window: frame_id, tile_id, x0, y0, dx, dy, hist; zeros, as many as the frame's longest waveform has bins, where the frame has no pixel.
 
-    Each frame's row is opened into its windows' places, which meet the pixels by an equal join on frame and place.
+    Waveforms stay where they are. Only windows that lack pixels are opened into their places, which are
+    then told apart from those that are there by an anti join on keys.
     """
     axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    there = _placed(waveforms, width, height, window)
     frames = waveforms.groupBy("frame_id").agg(F.max(F.size("hist")).alias("_n"))
-    spots = frames.select("frame_id", "_n", F.inline(tile_list(width, height, window))).withColumn("dx", axis(window[0])).withColumn("dy", axis(window[1]))
-    spots = spots.withColumns({"x": F.col("x0") + F.col("dx"), "y": F.col("y0") + F.col("dy")})
-    joined = spots.join(waveforms, KEYS, "left")
-    return joined.select("frame_id", "tile_id", "x0", "y0", "dx", "dy", F.coalesce("hist", F.array_repeat(F.lit(0).cast("bigint"), F.col("_n"))).alias("hist"))
+    counts = there.groupBy("frame_id", "tile_id").agg(F.count(F.lit(1)).alias("_c"))
+    lacking = frames.select("frame_id", "_n", F.inline(tile_list(width, height, window))).join(counts, ["frame_id", "tile_id"], "left").where(F.coalesce("_c", F.lit(0)) < window[0] * window[1])
+    spots = lacking.withColumn("dx", axis(window[0])).withColumn("dy", axis(window[1]))
+    absent = spots.join(there.select("frame_id", "tile_id", "dx", "dy"), ["frame_id", "tile_id", "dx", "dy"], "left_anti")
+    return there.unionByName(absent.select("frame_id", "tile_id", "x0", "y0", "dx", "dy", F.array_repeat(F.lit(0).cast("bigint"), F.col("_n")).alias("hist")))
 
 
 def stitch(tiles: DataFrame, value: str = "label") -> DataFrame:
@@ -147,11 +169,27 @@ def stub_label(hist: Column, tile: Column | None = None) -> Column:
     return F.transform(hist, lambda v, i: F.when(v == 0, F.lit(0)).otherwise((v + i) % 4).cast("int"))
 
 
+#: Models of this Python worker by the pickled function that loads them: a worker loads each once, whatever tasks it runs.
+_MODELS: dict[bytes, Callable] = {}
+
+
+def _model(key: bytes, load: Callable[[], Callable]) -> Callable:
+    if key not in _MODELS:
+        _MODELS.clear()  # one model at a time
+        _MODELS[key] = load()
+    return _MODELS[key]
+
+
+def _named(load: Callable[[], Callable]) -> bytes:
+    return hashlib.sha256(cloudpickle.dumps(load)).digest()
+
+
 def score_tiles(tiles: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Series]], columns: list[str]) -> DataFrame:
-    """tiles with labels, from a user's model: load() runs once per Python worker task and returns a function from rows to a series of arrays."""
+    """tiles with labels, from a user's model of single pixels: load() runs once per Python worker and returns a function from rows to a series of arrays."""
+    key = _named(load)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = _model(key, load)
         for part in parts:
             yield part[columns].assign(labels=model(part))
 
@@ -159,17 +197,85 @@ def score_tiles(tiles: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd
     return tiles.mapInPandas(run, schema)
 
 
+SCORED = "tile_id int, x0 int, y0 int, dx int, dy int, labels array<int>, error string"
+
+
+def score_whole_tiles(waveforms: DataFrame, width: int, height: int, window: tuple[int, int], load: Callable[[], Callable[[np.ndarray, int], np.ndarray]]) -> DataFrame:
+    """frame_id, tile_id, x0, y0, dx, dy, labels, error of every pixel of every window, from a user's model of whole windows.
+
+    load() runs once per Python worker; it returns a function of a volume (x, y, bin) of counts, zero where there is no pixel or bin, and
+    the window's number that gives labels of the volume's shape. A window's pixels meet in one task, whatever
+    the size of Arrow batches: as many as the window has places. What a model, or a waveform with null counts, raises is one row of the window with the error and without
+    place and labels, and stops nothing. Windows without any pixel are not scored. Without the window's last pixels the volume is as large all the same.
+    """
+    key = _named(load)
+    frame = waveforms.schema["frame_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ["frame_id", *[c.split()[0] for c in SCORED.split(", ")]]
+        head = [table.column(c)[:1] for c in ("frame_id", "tile_id", "x0", "y0")]
+        try:
+            dx, dy = (table.column(c).to_numpy() for c in ("dx", "dy"))
+            hists = table.column("hist").combine_chunks()
+            lengths = hists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = hists.flatten()
+            if values.null_count:
+                raise ValueError("a waveform has null counts")
+            volume = np.zeros((*window, int(lengths.max(initial=0))), np.int64)
+            row = np.repeat(np.arange(len(dx)), lengths)
+            volume[dx[row], dy[row], np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values.to_numpy(zero_copy_only=False)
+            labels = np.asarray(_model(key, load)(volume, head[1][0].as_py()))
+            if labels.shape != volume.shape:
+                raise ValueError(f"the model gives labels of shape {labels.shape} for a volume of {volume.shape}")
+            flat = labels.astype(np.int32).reshape(window[0] * window[1], -1)
+        except Exception as e:  # any failure of a window becomes a row
+            return pa.table([*head, *[pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.list_(pa.int32()))], pa.array([f"{type(e).__name__}: {e}"[:200]])], names=names)
+        n = len(flat)
+        spot = np.arange(n, dtype=np.int32)
+        ends = pa.array(np.arange(n + 1) * flat.shape[1], pa.int32())
+        columns = [c.take(pa.array(np.zeros(n, np.int64))) for c in head]
+        return pa.table([*columns, pa.array(spot // window[1]), pa.array(spot % window[1]), pa.ListArray.from_arrays(ends, pa.array(flat.ravel())), pa.nulls(n, pa.string())], names=names)
+
+    return _placed(waveforms, width, height, window).groupBy("frame_id", "tile_id").applyInArrow(run, f"frame_id {frame}, {SCORED}")
+
+
+def _small(waveforms: DataFrame, height: int, crop: tuple[int, int, int], target: int) -> DataFrame:
+    bottom, top, front = crop
+    return resample.downsample(resample.crop_z(resample.crop_y(waveforms, bottom, top, height), front), target)
+
+
 def estimate(waveforms: DataFrame, width: int, height: int, window: tuple[int, int], crop: tuple[int, int, int], bins: int, target: int, score: Callable[[Column, Column], Column] = stub_label) -> DataFrame:
     """frame_id, x, y, bin, label: crop, downsample, tile, score, stitch, and spread the labels over the cropped bins again.
 
     crop is (bottom, top, front); score gives labels from a waveform and the number of its tile. A later tile
-    overrules an earlier one also where it says noise, which is dropped only after stitching.
+    overrules an earlier one also where it says noise, which is dropped only after stitching. estimate_frames() does the same with a model of whole tiles.
     """
-    bottom, top, front = crop
-    small = resample.downsample(resample.crop_z(resample.crop_y(waveforms, bottom, top, height), front), target)
-    tiles = extract_tiles(small, width, height - bottom - top, window)
+    small = _small(waveforms, height, crop, target)
+    tiles = extract_tiles(small, width, height - crop[0] - crop[1], window)
     scored = tiles.select("frame_id", "tile_id", "x0", "y0", "dx", "dy", F.posexplode(score(F.col("hist"), F.col("tile_id"))).alias("bin", "label"))
-    return resample.upsample_zero(stitch(scored).where("label <> 0"), target, bins - front)
+    return resample.upsample_zero(stitch(scored).where("label <> 0"), target, bins - crop[2])
+
+
+def stitch_scored(scored: DataFrame) -> DataFrame:
+    """frame_id, x, y, bin, label of score_whole_tiles(): of each pixel the labels of the latest window, without noise. Whole label rows are compared, so nothing is exploded before."""
+    placed = scored.where("error IS NULL").select("frame_id", (F.col("x0") + F.col("dx")).alias("x"), (F.col("y0") + F.col("dy")).alias("y"), "tile_id", "labels")
+    latest = placed.groupBy(*KEYS).agg(F.max_by("labels", "tile_id").alias("labels"))
+    return latest.select(*KEYS, F.posexplode("labels").alias("bin", "label")).where("label <> 0")
+
+
+def estimate_frames(waveforms: DataFrame, width: int, height: int, window: tuple[int, int], crop: tuple[int, int, int], bins: int, target: int, load: Callable[[], Callable[[np.ndarray, int], np.ndarray]], to: str) -> tuple[DataFrame, DataFrame]:
+    """Labels of all frames without a failure (frame_id, x, y, bin, label), and frame_id, status and error of each, by a model of whole windows.
+
+    The model runs once: what it gives is written to the folder `to`, from which both results are read. Windows without
+    pixels are noise. Labels that fall outside the frame, where a window is larger than it, are left out.
+    """
+    small = _small(waveforms, height, crop, target)
+    high = height - crop[0] - crop[1]
+    score_whole_tiles(small, width, high, window, load).write.mode("overwrite").parquet(to)
+    scored = waveforms.sparkSession.read.parquet(to)
+    good, status = outcomes.split(scored, waveforms.select("frame_id").distinct())
+    labels = stitch_scored(good).where((F.col("x") < width) & (F.col("y") < high))
+    return resample.upsample_zero(labels, target, bins - crop[2]), status
 
 
 def frame_labels(logits: DataFrame, column: str, threshold: float | None = None, below: int = 0, ignored: tuple[int, ...] = ()) -> DataFrame:

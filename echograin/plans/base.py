@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +38,14 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def new_folder(spark) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, or on a local master a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(folder or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/echograin-{uuid.uuid4().hex}"
+
+
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks with true and predicted labels and their scene."""
     from echograin.operators import peaks as P

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -14,9 +11,10 @@ from pyspark.sql import functions as F
 from echograin import fixtures as X
 from echograin.operators import peaks as P
 from echograin.operators import sampling as S
-from echograin.plans.base import query, rounded
+from echograin.plans.base import new_folder, query, rounded
 from echograin.plans.points import clouds
 from echograin.sources import catalog as K
+from echograin.sources import npy as N
 from echograin.sources import volumes as V
 
 #: Frames and their files, the same text in both engines: a frame for each 400 orders.
@@ -155,18 +153,10 @@ def cap_rows(spark, d):
 # --- sinks and sources ----------------------------------------------------------------------------------------------
 
 
-def _folder(spark) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, or on a local master a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(folder or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/echograin-{uuid.uuid4().hex}"
-
-
 @query(X.SQL + "SELECT concat('scene', lpad(CAST(frame_id % 3 AS string), 3, '0')) AS scene_id, CAST(frame_id AS bigint) AS frame_id, x, y, bin, pred AS label FROM v_cells WHERE pred <> 0")
 def write_predictions(spark, d):
     rows = X.labels(spark, d, "pred").withColumns({"scene_id": X.scene(), "hist_id": F.lit("hist000")})
-    path = _folder(spark)
+    path = new_folder(spark)
     for part in (rows.where("frame_id % 2 = 0"), rows.where("frame_id % 2 = 1")):  # what one call wrote stays when another writes other frames
         V.write_predictions(part, path)
     return spark.read.parquet(path).select("scene_id", F.col("frame_id").cast("bigint").alias("frame_id"), "x", "y", "bin", "label")
@@ -174,14 +164,14 @@ def write_predictions(spark, d):
 
 @query("SELECT concat('scene00', CAST(vec_id % 3 AS string), '_', CAST(vec_id % 2 AS string)) AS cloud_id, 'gt' AS role, vec_id AS point_id, CAST(embedding[1] AS double) AS pos_x, CAST(embedding[2] AS double) AS pos_y, CAST(embedding[3] AS double) AS pos_z, CAST(label % 4 AS int) AS label FROM embeddings")
 def write_points(spark, d):
-    path = _folder(spark)
+    path = new_folder(spark)
     V.write_points(clouds(spark, d), path)
     return V.read_points(spark, path).select("cloud_id", "role", "point_id", "pos_x", "pos_y", "pos_z", "label")
 
 
 @query("SELECT concat('scene00', CAST(vec_id % 3 AS string), '_', CAST(vec_id % 2 AS string)) AS cloud_id, count(*) AS points FROM embeddings GROUP BY 1")
 def read_points(spark, d):
-    path = _folder(spark)
+    path = new_folder(spark)
     V.write_points(clouds(spark, d), path)
     return V.read_points(spark, path).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("points"))
 
@@ -189,7 +179,7 @@ def read_points(spark, d):
 @query(X.SQL + "SELECT concat('scene_id=scene', lpad(CAST(frame_id % 3 AS string), 3, '0')) AS scene_id, concat('frame=', frame_id) AS frame, CAST(1 AS bigint) AS files FROM px GROUP BY ALL")
 def list_frame_files(spark, d):
     """Files of frames written by scene and frame, listed by name."""
-    path = _folder(spark)
+    path = new_folder(spark)
     rows = X.waveforms(spark, d).select("*", X.scene().alias("scene_id"), F.col("frame_id").alias("frame"))
     V.write_partitioned(rows, path, ["scene_id", "frame"], ["x", "y"])
     found = K.keys(K.list_files(spark, [path], "*.parquet", True))
@@ -267,7 +257,31 @@ def peak_list_source(spark, d):
     """Peak lists written as Parquet by scene and frame, and read again."""
     from echograin.plans.tiles import peak_lists
 
-    path = _folder(spark)
+    path = new_folder(spark)
     V.write_peak_lists(peak_lists(spark, d).withColumn("scene_id", X.scene()), path)
     rows = V.read_peak_lists(spark, path).select("frame_id", "x", "y", F.posexplode("peaks").alias("k", "p"))
     return rounded(rows.select("frame_id", "x", "y", "k", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("position", "height", "width"))]))
+
+
+@query(X.SQL + "SELECT f.frame_id, CAST(i.v AS int) AS x, CAST(j.v AS int) AS y, coalesce(w.hist[4:64], [0 FOR q IN range(61)]) AS hist FROM (SELECT DISTINCT frame_id FROM d) f CROSS JOIN range(8) i(v) CROSS JOIN range(8) j(v) LEFT JOIN w ON w.frame_id = f.frame_id AND w.x = i.v AND w.y = j.v")
+def volume_slabs(spark, d):
+    """Each frame's volume written as an array file, and read by byte ranges, in several tasks a file."""
+    path = new_folder(spark)
+    N.write_volumes(X.waveforms(spark, d), path, (8, 8, X.BINS)).count()
+    rows = N.read_slabs(spark, path, 3, 10_000)
+    return rows.where("error IS NULL").select(F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("int").alias("frame_id"), "x", "y", "hist")
+
+
+WRITTEN = D + ", v AS (SELECT * FROM k WHERE path LIKE '%/data/%'), l AS (SELECT n, scene_id, hist_id, CASE WHEN n % 7 = 3 THEN concat(frame_id, 'x') ELSE frame_id END AS frame_id FROM f) "
+
+
+@query(WRITTEN + "SELECT l.scene_id, l.hist_id, l.frame_id, v.path, CASE WHEN v.path IS NULL THEN 'no source' ELSE 'ok' END AS status, CAST(1 + n % 3 AS bigint) AS labels FROM l LEFT JOIN v USING (scene_id, hist_id, frame_id)")
+def resolve_written_predictions(spark, d):
+    """Predictions written by frame, found again by their folders' names, joined with their data files, and read."""
+    path, rows = new_folder(spark), frames(spark, d)
+    name = F.when(F.col("n") % 7 == 3, F.concat("frame_id", F.lit("x"))).otherwise(F.col("frame_id"))
+    labels = rows.select("scene_id", "hist_id", name.alias("frame_id"), F.explode(F.sequence(F.lit(0), F.col("n") % 3)).alias("x"), F.lit(0).alias("y"), F.lit(5).alias("bin"), F.lit(1).alias("label"))
+    V.write_predictions(labels, path)
+    found = K.resolve_written(K.written_predictions(spark, path), K.volumes(paths(spark, d))).drop("prediction_path")
+    counts = spark.read.parquet(path).groupBy("frame_id").agg(F.count(F.lit(1)).alias("labels"))
+    return found.join(counts, "frame_id").select("scene_id", "hist_id", "frame_id", "path", "status", "labels")

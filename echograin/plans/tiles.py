@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from echograin import fixtures as X
+from echograin.operators import estimation as E
 from echograin.operators import peaks as P
 from echograin.operators import tiles as T
-from echograin.plans.base import query, rounded
+from echograin.plans.base import new_folder, query, rounded
 from echograin.plans.waveforms import pick_sql
 
 V = X.SQL
@@ -141,3 +143,80 @@ def estimate_by_tile(spark, d):
     rows = X.waveforms(spark, d)
     pixels = rows.select("frame_id", "x", (F.col("y") - 1).alias("y"))
     return T.estimate(rows, 8, 8, (3, 4), (1, 1, 4), 64, 23, rule).join(pixels, ["frame_id", "x", "y"], "left_semi")
+
+
+# --- models of whole tiles ------------------------------------------------------------------------------------------
+
+
+def box_model():
+    """A user's model that reads neighbours: the sum of 3 by 3 pixels of the window, by fours."""
+
+    def run(volume, tile):
+        nx, ny, _ = volume.shape
+        padded = np.pad(volume, ((1, 1), (1, 1), (0, 0)))
+        return sum(padded[i : i + nx, j : j + ny] for i in range(3) for j in range(3)) % 4
+
+    return run
+
+
+def failing_model():
+    """box_model(), which fails on windows whose counts sum to a multiple of 13."""
+    box = box_model()
+
+    def run(volume, tile):
+        if volume.sum() % 13 == 0:
+            raise ArithmeticError("an unlucky window")
+        return box(volume, tile)
+
+    return run
+
+
+def boxed_sql(cells: str, bins: int) -> str:
+    """DuckDB: from `cells` (frame_id, x, y, bin, h) and windows tl of 3 by 4 pixels, the label of every place by box_model()."""
+    return f"""bx AS (SELECT f.frame_id, tl.*, CAST(i.v AS int) AS dx, CAST(j.v AS int) AS dy, CAST(b.v AS int) AS bin FROM (SELECT DISTINCT frame_id FROM {cells}) f, tl, range(3) i(v), range(4) j(v), range({bins}) b(v)),
+bs AS (SELECT bx.frame_id, tile_id, x0, y0, dx, dy, bx.bin, CAST(coalesce(sum(n.h), 0) % 4 AS int) AS label FROM bx LEFT JOIN {cells} n ON n.frame_id = bx.frame_id AND n.bin = bx.bin
+  AND n.x BETWEEN greatest(x0, x0 + dx - 1) AND least(x0 + 2, x0 + dx + 1) AND n.y BETWEEN greatest(y0, y0 + dy - 1) AND least(y0 + 3, y0 + dy + 1) GROUP BY ALL)"""
+
+
+@query(TILES + ", " + boxed_sql("d", 64) + " SELECT frame_id, tile_id, dx, dy, list(label ORDER BY bin) AS labels FROM bs GROUP BY ALL")
+def score_tiles_whole(spark, d):
+    return T.score_whole_tiles(X.waveforms(spark, d), 8, 8, (3, 4), box_model).select("frame_id", "tile_id", "dx", "dy", "labels")
+
+
+ESTIMATED = V + f""", c AS (SELECT frame_id, x, y - 1 AS y, [hist[({pick_sql('i', '60', 23)}) + 5] FOR i IN range(23)] AS hist FROM w WHERE y BETWEEN 1 AND 6),
+cu AS (SELECT frame_id, x, y, CAST(i AS int) AS bin, hist[i + 1] AS h FROM c, range(23) r(i)),
+tl AS (SELECT CAST(row_number() OVER (ORDER BY a.v, b.v) - 1 AS int) AS tile_id, a.v AS x0, b.v AS y0 FROM (VALUES (0), (3), (5)) a(v), (VALUES (0), (2)) b(v)),
+""" + boxed_sql("cu", 23) + f""",
+bad AS (SELECT DISTINCT frame_id FROM (SELECT u.frame_id, tile_id FROM cu u JOIN tl ON x BETWEEN x0 AND x0 + 2 AND y BETWEEN y0 AND y0 + 3 GROUP BY ALL HAVING sum(h) % 13 = 0)),
+mb AS (SELECT frame_id, x0 + dx AS x, y0 + dy AS y, bin AS b, max_by(label, tile_id) AS label FROM bs WHERE frame_id NOT IN (SELECT frame_id FROM bad) GROUP BY ALL),
+lb AS (SELECT frame_id, x, y, CAST({pick_sql('b', '60', 23)} AS int) AS bin, label FROM mb WHERE label <> 0)
+"""
+
+
+def estimated(spark, d):
+    """An estimate that is interrupted after its first group of frames and then goes on; its folder."""
+    rows, to = X.waveforms(spark, d), new_folder(spark)
+    frames = rows.select("frame_id").distinct().select(X.scene().alias("scene_id"), F.lit("hist000").alias("hist_id"), "frame_id")
+
+    def stop(number):
+        raise InterruptedError
+
+    options = ((3, 4), (1, 1, 4), 64, 23, failing_model)
+    try:
+        E.estimate_written(rows, frames, to, 8, 8, *options, frames_each=16, after_each=stop)
+    except InterruptedError:
+        pass
+    E.estimate_written(rows, frames, to, 8, 8, *options, frames_each=16)
+    return to
+
+
+@query(ESTIMATED + "SELECT concat('scene', lpad(CAST(frame_id % 3 AS string), 3, '0')) AS scene_id, frame_id, x, y, bin, label FROM lb")
+def estimate_written(spark, d):
+    """From waveforms to written predictions by a model of whole windows, resumed."""
+    return E.predictions(spark, estimated(spark, d)).select("scene_id", F.col("frame_id").cast("int").alias("frame_id"), "x", "y", "bin", "label")
+
+
+@query(ESTIMATED + "SELECT concat('scene', lpad(CAST(f.frame_id % 3 AS string), 3, '0')) AS scene_id, f.frame_id, CASE WHEN f.frame_id IN (SELECT frame_id FROM bad) THEN 'failed' ELSE 'ok' END AS status, count(lb.bin) AS labels, CASE WHEN f.frame_id IN (SELECT frame_id FROM bad) THEN 'ArithmeticError: an unlucky window' END AS error FROM (SELECT DISTINCT frame_id FROM d) f LEFT JOIN lb ON lb.frame_id = f.frame_id GROUP BY ALL")
+def estimate_ledger(spark, d):
+    """Every frame of the estimate with its outcome."""
+    return E.ledger(spark, estimated(spark, d)).select("scene_id", "frame_id", "status", "labels", "error")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from echograin import fixtures as X
+from echograin.functions import table
 from echograin.functions import waveform as W
+from echograin.operators import outcomes
 from echograin.operators import peaks as P
 from echograin.operators import points as G
 from echograin.operators import resample as R
 from echograin.operators import sampling as S
-from echograin.plans.base import query, r6, rounded
+from echograin.plans.base import new_folder, query, r6, rounded
 
 V = X.SQL
 
@@ -126,6 +128,49 @@ def peaks_rel20(spark, d):
     return rounded(P.relative_peaks(X.waveforms(spark, d), 0.2, None))
 
 
+@query(V + X.peaks_sql("h >= 5") + "SELECT frame_id, x, y, bin, height, prominence, round(width, 6) + 0.0 AS width FROM peaks WHERE prominence >= 4 AND width >= 1")
+def find_peaks_sql(spark, d):
+    """find_peaks() as a table function of SQL."""
+    table.register(spark)
+    found = spark.sql("SELECT * FROM find_peaks(TABLE({w}) PARTITION BY frame_id, height => 5, prominence => 4, width => 1)", w=X.waveforms(spark, d))
+    return rounded(found)
+
+
+def greedy_sql(source: str, distance: int, name: str = "gr") -> str:
+    """DuckDB: those of `source` (frame_id, x, y, bin, height) that stay when, highest first, each drops neighbours nearer than the distance."""
+    return f""", {name}_l AS (SELECT frame_id, x, y, list([bin] ORDER BY height DESC, bin) AS bs FROM {source} GROUP BY ALL),
+{name} AS (SELECT frame_id, x, y, unnest(list_reduce(bs, lambda kept, b: CASE WHEN len(list_filter(kept, lambda q: abs(q - b[1]) < {distance})) > 0 THEN kept ELSE list_append(kept, b[1]) END)) AS bin FROM {name}_l)"""
+
+
+@query(V + X.peaks_sql("h >= mx * 0.2") + greedy_sql("peaks", 7) + " SELECT frame_id, x, y, bin, height, prominence, round(width, 6) + 0.0 AS width FROM peaks SEMI JOIN gr USING (frame_id, x, y, bin) WHERE width >= 1")
+def peaks_rel20_distance(spark, d):
+    return rounded(P.relative_peaks(X.waveforms(spark, d), 0.2, 1, 7))
+
+
+BROKEN = V + X.peaks_sql("h >= mx * 0.1", 3) + ", bad AS (SELECT DISTINCT frame_id FROM px WHERE frame_id % 5 = 3 AND x = 2 AND y = 3) "
+
+
+def some_broken(spark, d):
+    """Peaks of waveforms of which some have a null count, written once; and the frames."""
+    rows = X.waveforms(spark, d)
+    broken = F.when(F.expr("frame_id % 5 = 3 AND x = 2 AND y = 3"), F.transform("hist", lambda v, i: F.when(i != 10, v))).otherwise(F.col("hist"))
+    path = new_folder(spark)
+    P.relative_peaks(rows.withColumn("hist", broken), errors=True).write.parquet(path)
+    return outcomes.split(spark.read.parquet(path), rows.select("frame_id").distinct())
+
+
+@query(BROKEN + "SELECT frame_id, x, y, bin, height, prominence, round(width, 6) + 0.0 AS width FROM peaks_wide WHERE frame_id NOT IN (SELECT frame_id FROM bad)")
+def peaks_of_whole_frames(spark, d):
+    """Peaks of the frames in which no waveform fails."""
+    return rounded(some_broken(spark, d)[0].drop("error"))
+
+
+@query(BROKEN + "SELECT frame_id, CASE WHEN frame_id IN (SELECT frame_id FROM bad) THEN 'failed' ELSE 'ok' END AS status, CASE WHEN frame_id IN (SELECT frame_id FROM bad) THEN 'ValueError: a waveform has null counts' END AS error FROM (SELECT DISTINCT frame_id FROM px)")
+def peak_status(spark, d):
+    """Every frame with the outcome of its peak search."""
+    return some_broken(spark, d)[1]
+
+
 RANKED = V + X.peaks_sql("h >= med") + ", rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY frame_id, x, y ORDER BY height DESC, bin) AS int) AS rank FROM peaks) "
 
 
@@ -139,7 +184,28 @@ def top_k_peaks(spark, d):
     return P.peaks_above_median(X.waveforms(spark, d)).where("rank <= 3").drop("label")
 
 
-@query()
+# Smoothing with the kernel's weights in the kernel's order, so that equal sums are equal in both engines.
+_AT = lambda o: f"hist[CASE WHEN i + {o} < 0 THEN -1 - (i + {o}) WHEN i + {o} > 63 THEN 127 - (i + {o}) ELSE i + {o} END + 1]::double"
+_SUM = "0.0"
+for _k, _w in enumerate(P.gaussian_weights()):
+    _SUM = f"({_SUM} + {float(_w)!r}::double * {_AT(_k - 4)})"
+BASELINE = (
+    V
+    + f""", s0 AS (SELECT frame_id, x, y, hist, [{_SUM} FOR i IN range(64)] AS s FROM w),
+s1 AS (SELECT *, [list_sort(([0.0::double FOR q IN range(25)] || s || [0.0::double FOR q IN range(25)])[i + 1:i + 51])[26] FOR i IN range(64)] AS b FROM s0),
+s2 AS (SELECT *, [greatest(s[i + 1] - b[i + 1], 0.0) FOR i IN range(64)] AS r FROM s1),
+s3 AS (SELECT *, list_sort(r) AS o FROM s2), s4 AS (SELECT *, list_sort([abs(v - (o[32] + o[33]) / 2) FOR v IN r]) AS a FROM s3),
+s5 AS (SELECT frame_id, x, y, r, (a[32] + a[33]) / 2 AS mad FROM s4 WHERE list_sum(hist) <> 0),
+s6 AS (SELECT * FROM s5 WHERE mad <> 0),
+bp AS (SELECT * FROM (WITH d AS (SELECT frame_id, x, y, CAST(i AS int) AS bin, r[i + 1] AS h FROM s6, range(64) q(i))"""
+    + X.peaks_sql("h > 0", None, "bk")
+    + """ SELECT * FROM bk)),
+bh AS (SELECT bp.*, s6.mad FROM bp JOIN s6 USING (frame_id, x, y) WHERE height >= 1.5 * mad)"""
+    + greedy_sql("bh", 5)
+)
+
+
+@query(BASELINE + " SELECT frame_id, x, y, bin, round(height, 6) + 0.0 AS height, round(prominence, 6) + 0.0 AS prominence, round(width, 6) + 0.0 AS width, round(mad, 6) + 0.0 AS mad FROM bh SEMI JOIN gr USING (frame_id, x, y, bin) WHERE prominence >= 3 * mad AND width >= 1")
 def baseline_peaks(spark, d):
     return rounded(P.baseline_peaks(X.waveforms(spark, d)))
 

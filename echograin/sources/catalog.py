@@ -57,6 +57,7 @@ def pair_peaks(left: DataFrame, peaks: DataFrame) -> DataFrame:
 
 def latest_annotation(paths: DataFrame, expand: bool = False) -> DataFrame:
     """Of each frame's annotation files, that in the folder annotation_v{N} (with expand, annotation_v{N}_expand) of the largest N."""
+    # Fixed value: the form of annotation folders' names.
     version = F.regexp_extract("path", rf"/annotation_v(\d+){'_expand' * expand}/", 1)
     found = paths.withColumn("version", F.when(version != "", version.cast("int"))).where("version IS NOT NULL")
     order = Window.partitionBy("scene_id", "hist_id", "frame_id").orderBy(F.desc("version"), F.desc("path"))
@@ -73,6 +74,20 @@ def resolve_predictions(predictions: DataFrame, frames: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("scene_id") == "", "bad name").when(F.col("path").isNull(), "no source").otherwise("ok"))
 
 
+def written_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """scene_id, hist_id, frame_id and prediction_path (a folder) of each frame that volumes.write_predictions() has written below path. Names only are read."""
+    folders = list_files(spark, [path], "*.parquet", True).select(F.regexp_replace("path", "/[^/]*$", "").alias("prediction_path")).distinct()
+    part = lambda name: F.url_decode(F.replace(F.regexp_extract("prediction_path", f"/{name}=([^/]*)", 1), F.lit("+"), F.lit("%2B")))
+    return folders.select(*[part(n).alias(n) for n in ("scene_id", "hist_id", "frame_id")], "prediction_path").where("frame_id <> ''")
+
+
+def resolve_written(predictions: DataFrame, frames: DataFrame) -> DataFrame:
+    """written_predictions() with the path of their frame's data file and a status: ok, or no source."""
+    on = ["scene_id", "hist_id", "frame_id"]
+    joined = predictions.join(frames.select(*[F.col(c).cast("string").alias(c) for c in on], "path"), on, "left")
+    return joined.withColumn("status", F.when(F.col("path").isNull(), "no source").otherwise("ok"))
+
+
 def pair_clouds(paths: DataFrame) -> DataFrame:
     """stem, gt_path, path: clouds X_gt with their X; those alone are dropped."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.pcd$", "")
