@@ -8,7 +8,8 @@ from echograin import fixtures as X
 from echograin.operators import metrics as M
 from echograin.operators import peaks as P
 from echograin.operators import points as G
-from echograin.plans.base import query, rounded
+from echograin.operators import radius as N
+from echograin.plans.base import new_folder, query, rounded
 from echograin.plans.waveforms import B_POINT, MPB, PEAK_RANGE
 from echograin.sources import catalog
 
@@ -114,6 +115,17 @@ def remove_ghost_neighbors(spark, d):
     return G.without_ghost_neighbours(clouds(spark, d), 0.1, ["cloud_id"]).select("point_id", "cloud_id", "label")
 
 
+@query(PTS + f"SELECT p.point_id, p.cloud_id, p.label FROM pts p WHERE EXISTS (SELECT 1 FROM prd r WHERE r.cloud_id = p.cloud_id AND {NEAR.format(r='0.3::double')})")
+def match_radius_refined(spark, d):
+    """A wide radius, in whose cells many points meet: cells are cut until few are compared."""
+    return N.within_refined(clouds(spark, d), clouds(spark, d, "pred"), 0.3, ["cloud_id"], new_folder(spark)).select("point_id", "cloud_id", "label")
+
+
+@query(PTS + f"SELECT p.point_id, p.cloud_id, p.label FROM pts p WHERE NOT EXISTS (SELECT 1 FROM pts r WHERE r.label = 3 AND r.cloud_id = p.cloud_id AND {NEAR.format(r='0.1::double')})")
+def remove_ghost_neighbors_refined(spark, d):
+    return N.without_ghost_neighbours_refined(clouds(spark, d), 0.1, ["cloud_id"], new_folder(spark)).select("point_id", "cloud_id", "label")
+
+
 @query("SELECT vec_id, CAST(label - 1 AS int) AS label FROM embeddings WHERE label - 1 NOT IN (0, -1)")
 def visible_points(spark, d):
     return G.visible(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", (F.col("label") - 1).cast("int").alias("label")))
