@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from echograin import constants as C
 from echograin import fixtures as X
 from echograin.operators import metrics as M
+from echograin.operators import peaks as P
+from echograin.operators import points as G
 from echograin.operators import tiles as T
-from echograin.plans.base import EVALUATED, evaluated, query, rounded
+from echograin.plans.base import EVALUATED, evaluated, new_folder, query, rounded
+from echograin.sources import bucketed as B
 
 NAMES = "CASE class WHEN 0 THEN 'noise' WHEN 1 THEN 'object' WHEN 2 THEN 'glass' WHEN 3 THEN 'ghost' END"
 
@@ -18,6 +21,15 @@ def peak_eval_rows(spark, d):
     return evaluated(spark, d).where("ann <> 0").select("frame_id", "x", "y", "bin", "ann", "pred", "scene_id")
 
 
+@query(EVALUATED + "SELECT frame_id, x, y, bin, ann, pred FROM ev")
+def label_peaks_bucketed(spark, d):
+    """Peaks, labels and predictions kept in buckets of voxels, joined in place."""
+    path = new_folder(spark)
+    tables = (P.relative_peaks(X.waveforms(spark, d)).select(*B.VOXEL), X.labels(spark, d), X.labels(spark, d, "pred"))
+    found, truth, guess = (B.write_bucketed(rows, f"{path}/{k}", 8) for k, rows in enumerate(tables))
+    return G.labelled(G.labelled(found, truth, "ann"), guess, "pred")
+
+
 @query(EVALUATED + "SELECT scene_id, ann, pred, n FROM cm")
 def confusion(spark, d):
     return M.confusion(evaluated(spark, d), ["scene_id"])

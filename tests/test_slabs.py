@@ -101,3 +101,24 @@ def test_table_function_says_what_is_wrong(spark):
     for call, said in (("TABLE(SELECT id FROM odd_of_test)", "column hist"), ("TABLE(SELECT id AS hist FROM odd_of_test)", "no array"), ("TABLE(SELECT id, hist FROM odd_of_test), depth => 3", "no option"), ("TABLE(odd_of_test)", "bin already")):
         with pytest.raises(Exception, match=said):
             spark.sql(f"SELECT * FROM find_peaks({call})").collect()
+
+
+def test_label_joins_on_buckets_move_nothing(spark, tmp_path):
+    from echograin.operators import points
+    from echograin.sources import bucketed
+
+    rng = np.random.default_rng(2)
+    keys = [tuple(map(int, r)) for r in {tuple(r) for r in rng.integers(0, 5, (400, 4))}]
+    found = bucketed.write_bucketed(spark.createDataFrame(keys[:300], "frame_id int, x int, y int, bin int"), str(tmp_path / "p"), 4)
+    tables = [bucketed.write_bucketed(spark.createDataFrame([(*k, 1 + n) for k in keys[150 * n : 150 * n + 200]], "frame_id int, x int, y int, bin int, label int"), str(tmp_path / f"l{n}"), 4) for n in (0, 1)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = points.labelled(points.labelled(found, tables[0], "ann"), tables[1], "pred")
+        got = rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Join" in plan and "Exchange" not in plan
+    want = {k: (int(k in set(keys[:200])), 2 * (k in set(keys[150:350]))) for k in keys[:300]}
+    assert {(r.frame_id, r.x, r.y, r.bin): (r.ann, r.pred) for r in got} == want
