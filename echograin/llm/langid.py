@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -196,7 +196,7 @@ def _evidence(rows: DataFrame, model: TextModel) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", scores array<double>, trigrams long, declared string"
     out = rows.mapInArrow(run, schema)
-    languages = F.array(*[F.lit(x) for x in model.languages])
+    languages = _words(model.languages)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
     host = F.when(host != "", host).otherwise(F.lower(F.trim("host")))
     out = out.withColumn("host", F.when(host != "", host))
@@ -217,11 +217,22 @@ def _domain(host: Column) -> Column:
     return F.when(_suffix(host).contains("."), F.substring_index(host, ".", -3)).when(host.contains("."), F.substring_index(host, ".", -2))
 
 
+def _numbers(values: Iterable[float]) -> Column:
+    """A literal array of doubles."""
+    return F.expr("array(" + ",".join(f"{float(x)!r}D" for x in values) + ")")
+
+
+def _words(values: Iterable[str]) -> Column:
+    """A literal array of strings."""
+    return F.expr("array(" + ",".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in values) + ")")
+
+
 def _tallies(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """key, n, tally (rows spoken in each language) of each key."""
-    sums = [F.sum((F.col("spoken") == k + 1).cast("double")) for k in range(size)]
-    tally = F.transform(F.array(*sums), lambda x: F.coalesce(x, F.lit(0.0)))
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), tally.alias("tally"))
+    """key, n, tally (rows spoken in each language) of each key, from counts by key and language: no plan grows with the number of languages."""
+    each = rows.where(F.col(key).isNotNull()).groupBy(key, "spoken").agg(F.count(F.lit(1)).alias("_c"))
+    entry = F.when(F.col("spoken").isNotNull(), F.struct("spoken", F.col("_c").cast("double")))
+    counts = each.groupBy(key).agg(F.sum("_c").alias("n"), F.map_from_entries(F.collect_list(entry)).alias("_m"))  # a key has an entry for each language at most
+    return counts.select(key, "n", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0))).alias("tally"))
 
 
 def _drawn(tally: Column, parent: Column) -> Column:
@@ -234,6 +245,14 @@ def _drawn(tally: Column, parent: Column) -> Column:
 WORKING = ("lang", "probability", "accepted", "declared", "suffix", "domain", "spoken", "scores", "trigrams", "prior", "by_declared", "n", "_sums", "_most", "_bucket", "_slots", "_slot")
 
 
+def _by_language(rows: DataFrame, size: int) -> np.ndarray:
+    """Rows spoken in each of the model's languages."""
+    out = np.zeros(size)
+    for r in rows.where("spoken IS NOT NULL").groupBy("spoken").agg(F.count(F.lit(1)).alias("n")).collect():  # as many rows as the model has languages
+        out[r["spoken"] - 1] = r["n"]
+    return out
+
+
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     """The language of each row of rows (id, text, url, host; further columns are carried, text is not).
 
@@ -254,15 +273,15 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
             empty = empty.withColumn(name, F.lit(None).cast(kind))
         return empty.withColumn("accepted", F.lit(False))
     seen = shared.written(_evidence(rows, model), "lang-evidence")
-    overall = [F.coalesce(F.sum((F.col("spoken") == k + 1).cast("double")), F.lit(0.0)) for k in range(size)]
-    counts = np.array(list(seen.agg(*[c.alias(f"c{k}") for k, c in enumerate(overall)]).first()), float) + 1.0
-    base = F.array(*[F.lit(float(x)) for x in counts / counts.sum()])
+    counts = _by_language(seen, size) + 1.0
+    base = _numbers(counts / counts.sum())
 
     # what languages declare, and the share of each suffix in each language
-    said = {(r["spoken"], r["declared"]): r["n"] for r in seen.where("spoken IS NOT NULL AND declared IS NOT NULL").groupBy("spoken", "declared").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = np.array([[said.get((k + 1, lang), 0) for k in range(size)] for lang in model.languages], float)  # declared, spoken
-    table = np.log((table + SMOOTH / size) / (table.sum(axis=0, keepdims=True) + SMOOTH))
-    by_declared = F.broadcast(rows.sparkSession.createDataFrame([(lang, line.tolist()) for lang, line in zip(model.languages, table, strict=True)], "declared string, by_declared array<double>"))
+    paired = seen.where("spoken IS NOT NULL AND declared IS NOT NULL")
+    of = _by_language(paired, size)
+    unsaid = _numbers(np.log(SMOOTH / size / (of + SMOOTH)))
+    said = F.zip_with("tally", _numbers(of), lambda n, total: F.log((n + F.lit(SMOOTH / size)) / (total + F.lit(SMOOTH))))
+    by_declared = shared.written(_tallies(paired, "declared", size).select("declared", said.alias("by_declared"), F.col("n").alias("rows")), "lang-declared")
 
     suffixes = _tallies(seen, "suffix", size)
     suffixes = shared.written(suffixes.select("suffix", _drawn(F.col("tally"), base).alias("prior"), F.col("n").alias("rows")), "lang-suffixes")
@@ -274,14 +293,14 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     hosts = shared.written(hosts.select("host", _drawn(F.col("tally"), F.col("prior")).alias("prior"), F.col("rows").alias("n")), "lang-hosts")
 
     joined = shared.join_groups(seen, hosts, ["host"], "n")
-    joined = joined.join(by_declared, "declared", "left")
-    none = F.array(*[F.lit(0.0)] * size)
+    joined = shared.join_groups(joined, by_declared, ["declared"], "rows")
+    none = F.when(F.col("declared").isNotNull(), unsaid).otherwise(F.array_repeat(F.lit(0.0), size))
     sums = F.transform("scores", lambda s: s * TEMPER)
     for part in (F.coalesce("by_declared", none), F.transform(F.coalesce("prior", base), lambda p: F.log(p))):
         sums = F.zip_with(sums, part, lambda a, b: a + b)
     joined = joined.withColumn("_sums", sums).withColumn("_most", F.array_max("_sums"))
     weight = F.aggregate(F.transform("_sums", lambda s: F.exp(s - F.col("_most"))), F.lit(0.0), lambda a, x: a + x)
-    languages = F.array(*[F.lit(x) for x in model.languages])
+    languages = _words(model.languages)
     joined = joined.withColumn("lang", F.element_at(languages, F.array_position("_sums", F.col("_most")).cast("int"))).withColumn("probability", 1.0 / weight)
     accepted = (F.col("probability") >= MIN_PROBABILITY) & (F.col("trigrams") >= MIN_TRIGRAMS) & (F.array_max("scores") > 0)
     names = [c for c in rows.columns if c not in ("text", "host")]
@@ -306,7 +325,7 @@ def model_of(docs: DataFrame) -> TextModel:
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
-    """Every document (doc_id) and every page (page_id)."""
+    """Every document (doc_id) and every page (page_id), each row judged for itself: nulls, empty texts, repeated ids and clashing columns as in identify()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     none = F.lit(None).cast("string")

@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 from echograin.llm import langid
+from tests.llm.test_langid_fusion import brute
 
 SCHEMA = "id long, text string, lang string"
 
@@ -36,3 +39,19 @@ def test_sample_is_bounded_and_even():
     assert langid.quota([5, 7], 100) == 7
     assert langid.quota([10] * 50, 20) == 1
     assert langid.cells_for(4) == 1 << 16 and langid.cells_for(1000) * 1000 <= langid.MAX_TABLE
+
+
+def test_two_thousand_languages(spark):
+    """Plans do not grow with the number of languages, and the fusion is that of the plain version."""
+    rng = random.Random(3)
+    names = [f"l{k:04d}" for k in range(2000)]
+    names[7] = "o'b\\c"
+    counts = np.random.default_rng(1).poisson(2.0, (1 << 10, 2000)).astype(float)
+    model = langid.TextModel(names, counts)
+    model.table[:, 3] += 0.5
+    rows = [(k, f'<html lang="{rng.choice(names[:5])}">' * (k % 3 == 0) + spoken(rng, "abcdefghij"), f"http://h{k % 5}.example.com/", None) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, url string, host string")
+    found = langid.identify(df, model)
+    got = {r.id: (r.lang, round(r.probability, 6), r.accepted) for r in found.collect()}
+    want = brute([(k, "p", text, url, host) for k, text, url, host in rows], model)
+    assert all(got[k][0] == lang and abs(got[k][1] - p) <= 2e-6 and got[k][2] == a for (k, _), (lang, p, a) in want.items())
