@@ -164,13 +164,13 @@ def distance_scale(points: DataFrame, cloud: str = "cloud_id") -> DataFrame:
 # --- radius joins ---------------------------------------------------------------------------------------------------
 
 
-def _celled(points: DataFrame, size: float, around: bool) -> DataFrame:
-    """points with the grid cell they lie in, or a row for each of the 27 cells around."""
-    cells = {n: F.floor(F.col(a) / F.lit(size)) for n, a in (("_cx", "pos_x"), ("_cy", "pos_y"), ("_cz", "pos_z"))}
+def _celled(points: DataFrame, size: float, around: bool, tag: str) -> DataFrame:
+    """points with the grid cell they lie in, or a row for each of the 27 cells around; names of new columns begin with tag."""
+    cells = {f"{tag}{n}": F.floor(F.col(a) / F.lit(size)) for n, a in (("cx", "pos_x"), ("cy", "pos_y"), ("cz", "pos_z"))}
     points = points.withColumns(cells)
     if around:
         for n in cells:
-            points = points.withColumn("_s", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(n, F.col(n) + F.col("_s")).drop("_s")
+            points = points.withColumn(f"{tag}s", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(n, F.col(n) + F.col(f"{tag}s")).drop(f"{tag}s")
     return points
 
 
@@ -185,19 +185,24 @@ def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str], ho
     certain: an equal join on these cells, which right fills once each, settles dense places without comparing points. What
     is left meets right's points by an equal join on grid cells as large as the radius, right's points going to the 27
     cells around them after copies in one place are taken once; Spark splits cells with many points of left among tasks (adaptive skew join).
+    Where very many points of both sides lie in cells about the radius apart, radius.within_refined() compares far fewer.
     """
     xyz = ["pos_x", "pos_y", "pos_z"]
     if radius == 0:
         return left.join(right.select(*keys, *xyz).distinct(), [*keys, *xyz], how)
+    tag = "_"
+    while any(c.lower().startswith(tag) for c in left.columns):
+        tag += "_"
     points = right.select(*keys, *xyz).distinct()
-    cells = ["_cx", "_cy", "_cz"]
-    small = _celled(points, radius * SURE, False).select(*keys, *cells).distinct()
-    sifted = _celled(left, radius * SURE, False).join(small.withColumn("_sure", F.lit(True)), [*keys, *cells], "left").select(*left.columns, "_sure")
-    near = _celled(points, radius, True).select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(a).alias(f"_{a}") for a in xyz], *[F.col(c).alias(f"{c}r") for c in cells])
-    cond = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(c) == F.col(f"{c}r") for c in cells]
-    square = sum(((F.col(a) - F.col(f"_{a}")) ** 2 for a in xyz), F.lit(0.0))
-    rest = _celled(sifted.where("_sure IS NULL"), radius, False).join(near, [*cond, square <= radius * radius], how).select(*left.columns)
-    return rest if how == "left_anti" else sifted.where("_sure").select(*left.columns).unionByName(rest)
+    cells = [f"{tag}{n}" for n in ("cx", "cy", "cz")]
+    small = _celled(points, radius * SURE, False, tag).select(*keys, *cells).distinct()
+    own, sure = [f"`{c}`" for c in left.columns], f"{tag}sure"
+    sifted = _celled(left, radius * SURE, False, tag).join(small.withColumn(sure, F.lit(True)), [*keys, *cells], "left").select(*own, sure)
+    near = _celled(points, radius, True, tag).select(*[F.col(k).alias(f"{tag}r{k}") for k in [*keys, *xyz]], *[F.col(c).alias(f"{c}r") for c in cells])
+    cond = [F.col(k) == F.col(f"{tag}r{k}") for k in keys] + [F.col(c) == F.col(f"{c}r") for c in cells]
+    square = sum(((F.col(a) - F.col(f"{tag}r{a}")) ** 2 for a in xyz), F.lit(0.0))
+    rest = _celled(sifted.where(F.col(sure).isNull()), radius, False, tag).join(near, [*cond, square <= radius * radius], how).select(*own)
+    return rest if how == "left_anti" else sifted.where(sure).select(*own).unionByName(rest)
 
 
 def without_ghost_neighbours(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from echograin.operators import points, radius
 
@@ -72,3 +73,14 @@ def test_ghosts_of_any_density(spark, tmp_path):
     want = points.without_ghost_neighbours(df, 0.3, ["cloud_id"]).collect()
     assert sorted(radius.without_ghost_neighbours_refined(df, 0.3, ["cloud_id"], str(tmp_path)).collect()) == sorted(want)
     assert radius.without_ghost_neighbours_refined(df, 0, ["cloud_id"], str(tmp_path)) is df
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    names = ["_sure", "_cx", "_cxr", "_s", "__cy", "odd.name"]
+    df = spark.createDataFrame([("c", 0.0, 0.0, float(k), *names) for k in range(6)], "cloud_id string, pos_x double, pos_y double, pos_z double, " + ", ".join(f"`{n}` string" for n in names))
+    right = rows(spark, "c", [[0, 0, 0.2], [0, 0, 3.9]])
+    for found in (points.within(df, right, 0.5, ["cloud_id"]), radius.within_refined(df, right, 0.5, ["cloud_id"], str(tmp_path))):
+        assert found.columns == df.columns and sorted(map(tuple, found.collect())) == [("c", 0.0, 0.0, z, *names) for z in (0.0, 4.0)]
+    assert points.within(df, right, 0.5, ["cloud_id"], "left_anti").count() == 4
+    scaled = points.distance_scale(df.withColumns({"_lo": F.lit(1), "_hi": F.lit(2)}))
+    assert set(scaled.columns) == {*df.columns, "_lo", "_hi", "scale"} and {(r["_lo"], r["_hi"]) for r in scaled.collect()} == {(1, 2)}
