@@ -114,3 +114,16 @@ def test_components(spark):
                     todo += graph[x]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
+
+
+def test_fingerprint_of_more_shingles_than_one_part():
+    """Counts go on from part to part: against one plain count over all shingles."""
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(3000)}" for _ in range(140_000)]
+    votes = [0] * 64
+    for k in range(len(words) - 3):
+        h = xxhash.xxh64_intdigest(" ".join(words[k : k + 4]).encode(), 42)
+        for bit in range(64):
+            votes[bit] += h >> bit & 1
+    want = sum(1 << bit for bit in range(64) if 2 * votes[bit] > len(words) - 3)
+    assert simhash.fingerprint(" ".join(words)) == want
