@@ -248,46 +248,46 @@ def find_peaks(rows: DataFrame, keys: list[str] | None = None, height: Column |
     return _mapped(chosen, kernel, n, BATCH, schema, errors)
 
 
-def at_bins(rows: DataFrame, bins: Column, carried: list[str], first: tuple[float, int] | None = None, hist: str = "hist") -> DataFrame:
+def at_bins(rows: DataFrame, bins: Column, carried: list[str], first: tuple[float, int] | None = None, hist: str = "hist", errors: bool = False) -> DataFrame:
     """A row for each bin of an array of each row: carried columns, number (its place in the array), bin, height and the columns FWHM.
 
     With first = (least, top), the row's first peak comes last in number: the earliest of its `top` highest peaks of at
-    least `least` counts, else the array's first bin. Bins that are null or outside the waveform are left out. One pass, no shuffle.
+    least `least` counts, else the array's first bin. Bins that are null or outside the waveform are left out. One pass, no shuffle. `errors` as in find_peaks(), the carried columns being the keys.
     """
     chosen = rows.select(*carried, bins.cast("array<int>").alias("_bins"), F.col(hist).alias("_hist"))
     n = len(carried)
     names = [*carried, "number", "bin", "height", *[c.split()[0] for c in FWHM.split(", ")]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
-            flat, starts, lengths = _rows_of(batch.column(n + 1))
-            every = candidates(flat, starts[lengths > 0])
-            every_row = np.searchsorted(starts + lengths, every, side="right")
-            every_top = flat[every].astype(float)
-            _, asked_starts, asked_lengths = _rows_of(batch.column(n))
-            asked = batch.column(n).flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), asked_lengths)
-            number = np.arange(len(asked)) - np.repeat(asked_starts, asked_lengths)
-            if first is not None:
-                some = every_top >= first[0]
-                order = np.lexsort((every[some], -every_top[some], every_row[some]))
-                r, p = every_row[some][order], every[some][order]
-                best = np.arange(len(r)) - np.searchsorted(r, r) < first[1]
-                earliest = np.full(batch.num_rows, np.iinfo(np.int64).max)
-                np.minimum.at(earliest, r[best], p[best])
-                has = np.flatnonzero(asked_lengths > 0)
-                spot = np.where(earliest[has] < np.iinfo(np.int64).max, earliest[has] - starts[has], asked[asked_starts[has]])
-                row, number, asked = np.concatenate([row, has]), np.concatenate([number, asked_lengths[has]]), np.concatenate([asked, spot])
-            good = (asked >= 0) & (asked < lengths[row])
-            row, number, asked = row[good], number[good], asked[good]
-            place = starts[row] + asked
-            taken = pa.array(row)
-            arrays = [batch.column(k).take(taken) for k in range(n)] + [pa.array(number.astype(np.int32)), pa.array(asked.astype(np.int32)), pa.array(flat[place].astype(float))]
-            arrays += [pa.array(v) for v in half_widths(flat, place, starts[row], starts[row] + lengths[row])]
-            arrays.append(pa.array(_at_least(every_row, every_top, row, flat[place] / 2)))
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        whole_counts(batch.column(n + 1))
+        flat, starts, lengths = _rows_of(batch.column(n + 1))
+        every = candidates(flat, starts[lengths > 0])
+        every_row = np.searchsorted(starts + lengths, every, side="right")
+        every_top = flat[every].astype(float)
+        _, asked_starts, asked_lengths = _rows_of(batch.column(n))
+        asked = batch.column(n).flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), asked_lengths)
+        number = np.arange(len(asked)) - np.repeat(asked_starts, asked_lengths)
+        if first is not None:
+            some = every_top >= first[0]
+            order = np.lexsort((every[some], -every_top[some], every_row[some]))
+            r, p = every_row[some][order], every[some][order]
+            best = np.arange(len(r)) - np.searchsorted(r, r) < first[1]
+            earliest = np.full(batch.num_rows, np.iinfo(np.int64).max)
+            np.minimum.at(earliest, r[best], p[best])
+            has = np.flatnonzero(asked_lengths > 0)
+            spot = np.where(earliest[has] < np.iinfo(np.int64).max, earliest[has] - starts[has], asked[asked_starts[has]])
+            row, number, asked = np.concatenate([row, has]), np.concatenate([number, asked_lengths[has]]), np.concatenate([asked, spot])
+        good = (asked >= 0) & (asked < lengths[row])
+        row, number, asked = row[good], number[good], asked[good]
+        place = starts[row] + asked
+        taken = pa.array(row)
+        arrays = [batch.column(k).take(taken) for k in range(n)] + [pa.array(number.astype(np.int32)), pa.array(asked.astype(np.int32)), pa.array(flat[place].astype(float))]
+        arrays += [pa.array(v) for v in half_widths(flat, place, starts[row], starts[row] + lengths[row])]
+        arrays.append(pa.array(_at_least(every_row, every_top, row, flat[place] / 2)))
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return chosen.mapInArrow(run, _fields(rows.select(*carried)) + f", number int, bin int, height double, {FWHM}")
+    return _mapped(chosen, kernel, n, BATCH, _fields(rows.select(*carried)) + f", number int, bin int, height double, {FWHM}", errors)
 
 
 def relative_peaks(rows: DataFrame, share: float = 0.1, width: float | None = 3, distance: float | None = None, keys: list[str] | None = None, ranged: bool = False, errors: bool = False) -> DataFrame:
@@ -400,21 +400,24 @@ def baseline_peaks(rows: DataFrame, keys: list[str] | None = None, sigma: float
     return _mapped(rows.select(*keys, "hist"), peaks_of, n, 500, schema, errors)
 
 
-def filtered(rows: DataFrame, keys: list[str] | None = None, sigma: float = 1.0, kernel: int = 51) -> DataFrame:
-    """keys with smoothed and baseline (arrays), and mad of the residual; an empty waveform has empty arrays and no mad."""
+def filtered(rows: DataFrame, keys: list[str] | None = None, sigma: float = 1.0, kernel: int = 51, errors: bool = False) -> DataFrame:
+    """keys with smoothed and baseline (arrays), and mad of the residual; an empty waveform has empty arrays and no mad. `errors` as in find_peaks()."""
     keys = keys or KEYS
     n = len(keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            flat, starts, lengths = _rows_of(batch.column(n))
-            parts = [(alike, *_residual(flat, starts, int(lengths[alike[0]]), alike, sigma, kernel)[1:]) for alike in _alike(lengths)]
-            empty = np.flatnonzero(lengths == 0)
-            parts.append((empty, np.empty((len(empty), 0)), np.empty((len(empty), 0)), np.full(len(empty), np.nan)))
-            for alike, s, base, mad in parts:
-                ends = pa.array(np.arange(len(alike) + 1) * s.shape[1], pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(v.ravel())) for v in (s, base)]
-                arrays = [batch.column(k).take(pa.array(alike)) for k in range(n)] + [*lists, pa.array(mad, from_pandas=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "smoothed", "baseline", "mad"])
-
-    return rows.select(*keys, "hist").mapInArrow(run, _fields(rows.select(*keys)) + ", smoothed array<double>, baseline array<double>, mad double")
+    def arrays_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        whole_counts(batch.column(n))
+        flat, starts, lengths = _rows_of(batch.column(n))
+        parts = [(alike, *_residual(flat, starts, int(lengths[alike[0]]), alike, sigma, kernel)[1:]) for alike in _alike(lengths)]
+        empty = np.flatnonzero(lengths == 0)
+        parts.append((empty, np.empty((len(empty), 0)), np.empty((len(empty), 0)), np.full(len(empty), np.nan)))
+        found = []
+        for alike, s, base, mad in parts:
+            ends = pa.array(np.arange(len(alike) + 1) * s.shape[1], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v.ravel())) for v in (s, base)]
+            arrays = [batch.column(k).take(pa.array(alike)) for k in range(n)] + [*lists, pa.array(mad, from_pandas=True)]
+            found.append(pa.RecordBatch.from_arrays(arrays, names=[*keys, "smoothed", "baseline", "mad"]))
+        return pa.concat_batches(found)
+
+    schema = _fields(rows.select(*keys)) + ", smoothed array<double>, baseline array<double>, mad double"
+    return _mapped(rows.select(*keys, "hist"), arrays_of, n, 500, schema, errors)
