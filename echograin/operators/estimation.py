@@ -30,9 +30,11 @@ def ledger(spark: SparkSession, to: str, frame: str = "int") -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def predictions(spark: SparkSession, to: str) -> DataFrame:
-    """What estimate_written() has written of finished frames: scene_id, hist_id, frame_id, x, y, bin, label."""
-    return spark.read.parquet(f"{to}/labels")
+def predictions(spark: SparkSession, to: str, frame: str = "int") -> DataFrame:
+    """What estimate_written() has written of finished frames: scene_id, hist_id, frame_id, x, y, bin, label. Frames without labels have no rows."""
+    rows = spark.read.schema(f"scene_id string, hist_id string, frame_id {frame}, x int, y int, bin int, label int").parquet(f"{to}/labels")
+    done = ledger(spark, to, frame).where("status = 'ok'").select("frame_id")
+    return rows.join(done, "frame_id", "left_semi").select("scene_id", "hist_id", "frame_id", "x", "y", "bin", "label")
 
 
 def estimate_written(waveforms: DataFrame, frames: DataFrame, to: str, width: int, height: int, window: tuple[int, int], crop: tuple[int, int, int], bins: int, target: int, load: Callable[[], Callable[[np.ndarray, int], np.ndarray]], frames_each: int = FRAMES, after_each: Callable[[int], None] | None = None) -> DataFrame:

@@ -252,13 +252,13 @@ def estimate(waveforms: DataFrame, width: int, height: int, window: tuple[int, i
     """
     small = _small(waveforms, height, crop, target)
     tiles = extract_tiles(small, width, height - crop[0] - crop[1], window)
-    scored = tiles.select("frame_id", "tile_id", "x0", "y0", "dx", "dy", F.posexplode(score(F.col("hist"), F.col("tile_id"))).alias("bin", "label"))
-    return resample.upsample_zero(stitch(scored).where("label <> 0"), target, bins - crop[2])
+    scored = tiles.select("frame_id", "tile_id", "x0", "y0", "dx", "dy", score(F.col("hist"), F.col("tile_id")).alias("labels"))
+    return resample.upsample_zero(stitch_scored(scored), target, bins - crop[2])
 
 
 def stitch_scored(scored: DataFrame) -> DataFrame:
-    """frame_id, x, y, bin, label of score_whole_tiles(): of each pixel the labels of the latest window, without noise. Whole label rows are compared, so nothing is exploded before."""
-    placed = scored.where("error IS NULL").select("frame_id", (F.col("x0") + F.col("dx")).alias("x"), (F.col("y0") + F.col("dy")).alias("y"), "tile_id", "labels")
+    """frame_id, x, y, bin, label of rows of windows' pixels with labels (tile_id, x0, y0, dx, dy, labels): of each pixel the labels of the latest window, without noise. Arrays of labels move, and bins are taken apart only after that."""
+    placed = scored.select("frame_id", (F.col("x0") + F.col("dx")).alias("x"), (F.col("y0") + F.col("dy")).alias("y"), "tile_id", "labels")
     latest = placed.groupBy(*KEYS).agg(F.max_by("labels", "tile_id").alias("labels"))
     return latest.select(*KEYS, F.posexplode("labels").alias("bin", "label")).where("label <> 0")
 
@@ -274,7 +274,7 @@ def estimate_frames(waveforms: DataFrame, width: int, height: int, window: tuple
     score_whole_tiles(small, width, high, window, load).write.mode("overwrite").parquet(to)
     scored = waveforms.sparkSession.read.parquet(to)
     good, status = outcomes.split(scored, waveforms.select("frame_id").distinct())
-    labels = stitch_scored(good).where((F.col("x") < width) & (F.col("y") < high))
+    labels = stitch_scored(good.where("error IS NULL")).where((F.col("x") < width) & (F.col("y") < high))
     return resample.upsample_zero(labels, target, bins - crop[2]), status
 
 

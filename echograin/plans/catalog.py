@@ -272,6 +272,15 @@ def volume_slabs(spark, d):
     return rows.where("error IS NULL").select(F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("int").alias("frame_id"), "x", "y", "hist")
 
 
+@query(X.SQL + "SELECT f.frame_id, CAST(i.v AS int) AS x, CAST(j.v AS int) AS y, coalesce(w.hist[4:64], [0 FOR q IN range(61)]) AS hist FROM (SELECT DISTINCT frame_id FROM d) f CROSS JOIN range(8) i(v) CROSS JOIN range(8) j(v) LEFT JOIN w ON w.frame_id = f.frame_id AND w.x = i.v AND w.y = j.v")
+def volume_files(spark, d):
+    """Each frame's volume written as an array file, and read where tasks can map files into memory."""
+    path = new_folder(spark)
+    N.write_volumes(X.waveforms(spark, d), path, (8, 8, X.BINS)).count()
+    rows = V.read_volumes(spark, path, 3, mounted=True)
+    return rows.where("error IS NULL").select(F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("int").alias("frame_id"), "x", "y", "hist")
+
+
 WRITTEN = D + ", v AS (SELECT * FROM k WHERE path LIKE '%/data/%'), l AS (SELECT n, scene_id, hist_id, CASE WHEN n % 7 = 3 THEN concat(frame_id, 'x') ELSE frame_id END AS frame_id FROM f) "
 
 

@@ -213,7 +213,7 @@ def estimated(spark, d):
 @query(ESTIMATED + "SELECT concat('scene', lpad(CAST(frame_id % 3 AS string), 3, '0')) AS scene_id, frame_id, x, y, bin, label FROM lb")
 def estimate_written(spark, d):
     """From waveforms to written predictions by a model of whole windows, resumed."""
-    return E.predictions(spark, estimated(spark, d)).select("scene_id", F.col("frame_id").cast("int").alias("frame_id"), "x", "y", "bin", "label")
+    return E.predictions(spark, estimated(spark, d)).select("scene_id", "frame_id", "x", "y", "bin", "label")
 
 
 @query(ESTIMATED + "SELECT concat('scene', lpad(CAST(f.frame_id % 3 AS string), 3, '0')) AS scene_id, f.frame_id, CASE WHEN f.frame_id IN (SELECT frame_id FROM bad) THEN 'failed' ELSE 'ok' END AS status, count(lb.bin) AS labels, CASE WHEN f.frame_id IN (SELECT frame_id FROM bad) THEN 'ArithmeticError: an unlucky window' END AS error FROM (SELECT DISTINCT frame_id FROM d) f LEFT JOIN lb ON lb.frame_id = f.frame_id GROUP BY ALL")

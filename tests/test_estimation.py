@@ -161,3 +161,14 @@ def test_intensity_carries_no_waveforms(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and found.columns == ["frame_id", "x", "y", "bin", "_i", "_most", "raw", "normalised"]
     assert {r["m"] for r in found.groupBy("frame_id").agg(F.max("normalised").alias("m")).collect()} == {1.0}
+
+
+def test_all_frames_fail(spark, tmp_path):
+    def load():
+        raise OSError("no weights")
+
+    frames = spark.createDataFrame([("s", "h", 0)], "scene_id string, hist_id string, frame_id int")
+    to = str(tmp_path / "out")
+    done = estimation.estimate_written(spark.createDataFrame(frame(0), WAVES), frames, to, *OPTIONS, load).collect()
+    assert [(r.status, r.labels, r.error) for r in done] == [("failed", 0, "OSError: no weights")]
+    assert estimation.predictions(spark, to).count() == 0
