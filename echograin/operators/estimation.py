@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echograin.sources import volumes
+from echograin.sources import catalog, npy, volumes
 
 from . import tiles
 
@@ -37,9 +37,12 @@ def predictions(spark: SparkSession, to: str, frame: str = "int") -> DataFrame:
     return rows.join(done, "frame_id", "left_semi").select("scene_id", "hist_id", "frame_id", "x", "y", "bin", "label")
 
 
-def estimate_written(waveforms: DataFrame, frames: DataFrame, to: str, width: int, height: int, window: tuple[int, int], crop: tuple[int, int, int], bins: int, target: int, load: Callable[[], Callable[[np.ndarray, int], np.ndarray]], frames_each: int = FRAMES, after_each: Callable[[int], None] | None = None) -> DataFrame:
+def estimate_written(waveforms: DataFrame | Callable[[DataFrame], DataFrame], frames: DataFrame, to: str, width: int, height: int, window: tuple[int, int], crop: tuple[int, int, int], bins: int, target: int, load: Callable[[], Callable[[np.ndarray, int], np.ndarray]], frames_each: int = FRAMES, after_each: Callable[[int], None] | None = None) -> DataFrame:
     """Estimates all frames (scene_id, hist_id, frame_id) that are not in the ledger yet and returns the ledger.
 
+    waveforms is a table, best partitioned by frame_id, so that a group reads its own frames only; or a function that gives the waveforms
+    of a group of frames. They may have a column error: see tiles.estimate_frames().
+
     Frames go in groups of about frames_each, by a hash of their id, so that no list of frames comes to the driver. A group is scored by tiles.estimate_frames(),
     its labels replace what the folders of these frames held, and only then its frames enter the ledger: so frames of an
     interrupted group are done again, all others are not, and a resumed run ends like one run. With frames_each=1 every frame is a commit of its own.
@@ -48,14 +51,14 @@ def estimate_written(waveforms: DataFrame, frames: DataFrame, to: str, width: in
     a frame without any label is ok; waveforms of frames that are not listed are not read further than their key. To try failed
     frames again, leave them out of the ledger. after_each is called with the number of each group that is done.
     """
-    spark, kind = waveforms.sparkSession, frames.schema["frame_id"].dataType.simpleString()
-    pending = frames.select("scene_id", "hist_id", "frame_id").join(ledger(spark, to, kind).select("frame_id"), "frame_id", "left_anti")
+    spark, kind = frames.sparkSession, frames.schema["frame_id"].dataType.simpleString()
+    pending = frames.join(ledger(spark, to, kind).select("frame_id"), "frame_id", "left_anti")
     groups = max(1, math.ceil(pending.count() / frames_each))
     for number in range(groups):
         group = pending.where(F.pmod(F.xxhash64("frame_id"), F.lit(groups)) == number)  # about frames_each rows
-        rows = waveforms.join(F.broadcast(group.select("frame_id")), "frame_id", "left_semi")
+        rows = waveforms(group) if callable(waveforms) else waveforms.join(F.broadcast(group.select("frame_id")), "frame_id", "left_semi")
         labels, status = tiles.estimate_frames(rows, width, height, window, crop, bins, target, load, f"{to}/scored")
-        volumes.write_predictions(labels.join(F.broadcast(group), "frame_id"), f"{to}/labels")
+        volumes.write_predictions(labels.join(F.broadcast(group.select("scene_id", "hist_id", "frame_id")), "frame_id"), f"{to}/labels")
         counts = labels.groupBy("frame_id").agg(F.count(F.lit(1)).alias("labels"))
         done = group.join(status, "frame_id", "left").join(counts, "frame_id", "left")
         lost = F.col("status").isNull()
@@ -64,3 +67,19 @@ def estimate_written(waveforms: DataFrame, frames: DataFrame, to: str, width: in
         if after_each is not None:
             after_each(number)
     return ledger(spark, to, kind)
+
+
+def estimate_files(spark: SparkSession, path: str, to: str, width: int, height: int, window: tuple[int, int], crop: tuple[int, int, int], bins: int, target: int, load: Callable[[], Callable[[np.ndarray, int], np.ndarray]], slab_bytes: int = npy.SLAB_BYTES, **options) -> DataFrame:
+    """estimate_written() of all .npy volumes below path, whose scene, hist and frame are read from their names (catalog.keys()); returns the ledger.
+
+    A group's files, about frames_each, are read by byte ranges, no others. A file that is no volume, or ends early, fails its frame. Of several files of a
+    frame the last path counts.
+    """
+    files = catalog.keys(catalog.list_files(spark, [path], "*.npy", True))
+    frames = files.groupBy("scene_id", "hist_id", "frame_id").agg(F.max("path").alias("path"))
+
+    def waveforms(group: DataFrame) -> DataFrame:
+        names = [r["path"] for r in group.select("path").collect()]  # about frames_each
+        return catalog.keys(npy.read_slabs(spark, names, 0, slab_bytes)).select("frame_id", "x", "y", "hist", "error")
+
+    return estimate_written(waveforms, frames, to, width, height, window, crop, bins, target, load, **options)

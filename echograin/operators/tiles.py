@@ -204,9 +204,10 @@ def score_whole_tiles(waveforms: DataFrame, width: int, height: int, window: tup
     """frame_id, tile_id, x0, y0, dx, dy, labels, error of every pixel of every window, from a user's model of whole windows.
 
     load() runs once per Python worker; it returns a function of a volume (x, y, bin) of counts, zero where there is no pixel or bin, and
-    the window's number that gives labels of the volume's shape. A window's pixels meet in one task, whatever
+    the window's number that gives labels of the volume's shape. The volume has the window's size, also where it
+    goes beyond the frame, and as many bins as the window's longest waveform. A window's pixels meet in one task, whatever
     the size of Arrow batches: as many as the window has places. What a model, or a waveform with null counts, raises is one row of the window with the error and without
-    place and labels, and stops nothing. Windows without any pixel are not scored. Without the window's last pixels the volume is as large all the same.
+    place and labels, and stops nothing. Windows without any pixel are not scored.
     """
     key = _named(load)
     frame = waveforms.schema["frame_id"].dataType.simpleString()
@@ -267,11 +268,17 @@ def estimate_frames(waveforms: DataFrame, width: int, height: int, window: tuple
     """Labels of all frames without a failure (frame_id, x, y, bin, label), and frame_id, status and error of each, by a model of whole windows.
 
     The model runs once: what it gives is written to the folder `to`, from which both results are read. Windows without
-    pixels are noise. Labels that fall outside the frame, where a window is larger than it, are left out.
+    pixels are noise. Labels that fall outside the frame, where a window is larger than it, are left out. Where waveforms have a column
+    error, as a source of files gives it, rows with an error fail their frame.
     """
-    small = _small(waveforms, height, crop, target)
+    broken = waveforms.where("error IS NOT NULL").select("frame_id", "error") if "error" in waveforms.columns else None
+    waves = waveforms if broken is None else waveforms.where("error IS NULL").drop("error")
+    small = _small(waves, height, crop, target)
     high = height - crop[0] - crop[1]
-    score_whole_tiles(small, width, high, window, load).write.mode("overwrite").parquet(to)
+    scored = score_whole_tiles(small, width, high, window, load)
+    if broken is not None:
+        scored = scored.unionByName(broken, allowMissingColumns=True)
+    scored.write.mode("overwrite").parquet(to)
     scored = waveforms.sparkSession.read.parquet(to)
     good, status = outcomes.split(scored, waveforms.select("frame_id").distinct())
     labels = stitch_scored(good.where("error IS NULL")).where((F.col("x") < width) & (F.col("y") < high))

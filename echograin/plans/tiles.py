@@ -12,6 +12,7 @@ from echograin.operators import peaks as P
 from echograin.operators import tiles as T
 from echograin.plans.base import new_folder, query, rounded
 from echograin.plans.waveforms import pick_sql
+from echograin.sources import npy as N
 
 V = X.SQL
 PATCHES = V + """, pv AS (SELECT frame_id, CAST(((bin // 16) * 2 + y // 4) * 2 + x // 4 AS int) AS patch_id, (bin % 16) * 16 + (y % 4) * 4 + x % 4 AS s, h, x, y, bin FROM d),
@@ -216,6 +217,15 @@ def estimate_written(spark, d):
     return E.predictions(spark, estimated(spark, d)).select("scene_id", "frame_id", "x", "y", "bin", "label")
 
 
+@query(ESTIMATED + "SELECT frame_id, x, y, bin, label FROM lb")
+def estimate_from_files(spark, d):
+    """From array files, read by byte ranges, to written predictions."""
+    files, to = new_folder(spark), new_folder(spark)
+    N.write_volumes(X.waveforms(spark, d), files, (8, 8, X.BINS)).count()
+    E.estimate_files(spark, files, to, 8, 8, (3, 4), (1, 1, 4), 64, 23, failing_model, 10_000, frames_each=16)
+    return E.predictions(spark, to, "string").select(F.col("frame_id").cast("int").alias("frame_id"), "x", "y", "bin", "label")
+
+
 @query(ESTIMATED + "SELECT concat('scene', lpad(CAST(f.frame_id % 3 AS string), 3, '0')) AS scene_id, f.frame_id, CASE WHEN f.frame_id IN (SELECT frame_id FROM bad) THEN 'failed' ELSE 'ok' END AS status, count(lb.bin) AS labels, CASE WHEN f.frame_id IN (SELECT frame_id FROM bad) THEN 'ArithmeticError: an unlucky window' END AS error FROM (SELECT DISTINCT frame_id FROM d) f LEFT JOIN lb ON lb.frame_id = f.frame_id GROUP BY ALL")
 def estimate_ledger(spark, d):
     """Every frame of the estimate with its outcome."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import math
 import os
 import uuid
@@ -32,14 +33,14 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Slab(InputPartition):
-    def __init__(self, path: str, size: int, number: int, count: int):
-        self.path, self.size, self.number, self.count = path, size, number, count
+    def __init__(self, path: str, given: str, number: int, count: int):
+        self.path, self.given, self.number, self.count = path, given, number, count
 
 
 class NpyVolumes(DataSource):
     """spark.read.format("npy_volumes").load(path): path, x, y, hist, error like volumes.unpack(), of all .npy volumes (x, y, bin) of whole numbers at or below path.
 
-    Options: offset (bins left out at the front), slabBytes. The driver lists names and sizes only; each task reads an array's header and then
+    Options: offset (bins left out at the front), slabBytes, and files, a JSON list of the files to read instead of a path. The driver lists names and sizes only; each task reads an array's header and then
     its own pixels' bytes, in steps of some thousand pixels. A file that is no such volume, or that ends early, is one row
     with the error. Files are not changed while they are read.
     """
@@ -57,27 +58,28 @@ class NpyVolumes(DataSource):
 
 class SlabReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+        self.paths = json.loads(options["files"]) if "files" in options else [options["path"]]
         self.offset = int(options.get("offset", 0))
         self.slab = int(options.get("slabBytes", SLAB_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        store, path = _store(self.path)
-        info = store.get_file_info(path)
-        if info.type == fs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
         slabs = []
-        for f in sorted((f for f in found if f.is_file and f.path.endswith(".npy")), key=lambda f: f.path):
-            count = max(1, math.ceil(f.size / self.slab))
-            slabs += [Slab(f.path, f.size, k, count) for k in range(count)]
-        return slabs or [Slab("", 0, 0, 0)]
+        for given in self.paths:
+            store, path = _store(given)
+            info = store.get_file_info(path)
+            if info.type == fs.FileType.NotFound:
+                raise FileNotFoundError(given)
+            found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
+            for f in sorted((f for f in found if f.is_file and f.path.endswith(".npy")), key=lambda f: f.path):
+                count = max(1, math.ceil(f.size / self.slab))
+                slabs += [Slab(f.path, given, k, count) for k in range(count)]
+        return slabs or [Slab("", "", 0, 0)]
 
     def read(self, slab: Slab) -> Iterator[pa.RecordBatch]:
         if not slab.count:
             return
         try:
-            with _store(self.path)[0].open_input_file(slab.path) as file:
+            with _store(slab.given)[0].open_input_file(slab.path) as file:
                 yield from self._pixels(slab, file)
         except Exception as e:  # any broken file becomes a row
             if slab.number == 0 or not isinstance(e, NoVolume):  # all slabs see the same header
@@ -120,10 +122,11 @@ def _header(file: BinaryIO) -> tuple[int, tuple[int, int, int], np.dtype]:
     return head.tell(), shape, kind
 
 
-def read_slabs(spark: SparkSession, path: str, offset: int = 0, slab_bytes: int = SLAB_BYTES) -> DataFrame:
-    """NpyVolumes of all .npy files at or below path."""
+def read_slabs(spark: SparkSession, path: str | list[str], offset: int = 0, slab_bytes: int = SLAB_BYTES) -> DataFrame:
+    """NpyVolumes of all .npy files at or below path, or of a list of files."""
     spark.dataSource.register(NpyVolumes)
-    return spark.read.format("npy_volumes").option("offset", offset).option("slabBytes", slab_bytes).load(path)
+    reader = spark.read.format("npy_volumes").option("offset", offset).option("slabBytes", slab_bytes)
+    return reader.load(path) if isinstance(path, str) else reader.option("files", json.dumps(path)).load()
 
 
 def write_volumes(waveforms: DataFrame, path: str, shape: tuple[int, int, int], kind: str = "int64") -> DataFrame:

@@ -172,3 +172,23 @@ def test_all_frames_fail(spark, tmp_path):
     done = estimation.estimate_written(spark.createDataFrame(frame(0), WAVES), frames, to, *OPTIONS, load).collect()
     assert [(r.status, r.labels, r.error) for r in done] == [("failed", 0, "OSError: no weights")]
     assert estimation.predictions(spark, to).count() == 0
+
+
+def test_from_files_to_predictions(spark, tmp_path):
+    files = tmp_path / "in"
+    for n in range(6):
+        folder = files / f"scene00{n % 2}" / f"hist00{n % 3}"
+        folder.mkdir(parents=True, exist_ok=True)
+        np.save(folder / f"frame{n}_voxel.npy", volume(frame(n), 7, 6, 5))
+    (files / "scene000" / "hist000" / "broken_voxel.npy").write_bytes(b"no array")
+    np.save(files / "scene000" / "real_voxel.npy", np.ones((7, 6, 5)))
+    one, other = str(tmp_path / "one"), str(tmp_path / "other")
+    done = estimation.estimate_files(spark, str(files), one, *OPTIONS, failing_model, 300, frames_each=3).collect()
+    rows = spark.createDataFrame([(f"frame{r[0]}", *r[1:]) for n in range(6) for r in frame(n)], WAVES.replace("frame_id int", "frame_id string"))
+    frames = spark.createDataFrame([(f"scene00{n % 2}", f"hist00{n % 3}", f"frame{n}") for n in range(6)], "scene_id string, hist_id string, frame_id string")
+    want = estimation.estimate_written(rows, frames, other, *OPTIONS, failing_model).collect()
+    broken = {r.frame_id: r for r in done if r.frame_id in ("broken", "real")}
+    assert {(r.status, r.labels) for r in broken.values()} == {("failed", 0)} and "array" in broken["broken"].error and "whole numbers" in broken["real"].error
+    assert broken["real"].hist_id == "unknown" and sorted(r for r in done if r.frame_id not in broken) == sorted(want)
+    labels = [sorted(map(tuple, estimation.predictions(spark, to, "string").collect())) for to in (one, other)]
+    assert labels[0] == labels[1] and labels[0]
