@@ -95,5 +95,5 @@ def test_empty(spark):
 
 def test_registered():
     found = queries.queries()
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in found)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in found)] == []
     assert set(queries.oracle_sql()) <= set(found)
