@@ -46,6 +46,7 @@ def estimate_written(waveforms: DataFrame | Callable[[DataFrame], DataFrame], fr
     Frames go in groups of about frames_each, by a hash of their id, so that no list of frames comes to the driver. A group is scored by tiles.estimate_frames(),
     its labels replace what the folders of these frames held, and only then its frames enter the ledger: so frames of an
     interrupted group are done again, all others are not, and a resumed run ends like one run. With frames_each=1 every frame is a commit of its own.
+    Scores of the group at work are in the folder "scored" below `to`, which is deleted at the end; one run at a time writes to a folder.
 
     Defined results: a frame for which the model raises, or that has no waveforms, is failed, with the error, and has no labels; others go on;
     a frame without any label is ok; waveforms of frames that are not listed are not read further than their key. To try failed
@@ -66,6 +67,8 @@ def estimate_written(waveforms: DataFrame | Callable[[DataFrame], DataFrame], fr
         done.coalesce(1).write.mode("append").parquet(f"{to}/ledger")
         if after_each is not None:
             after_each(number)
+    scratch = spark._jvm.org.apache.hadoop.fs.Path(f"{to}/scored")
+    scratch.getFileSystem(spark._jsc.hadoopConfiguration()).delete(scratch, True)
     return ledger(spark, to, kind)
 
 

@@ -115,6 +115,7 @@ def test_resumed_run_equals_one_run(spark, tmp_path):
     job(spark, parts, rows, frames_each=2, after_each=done.append)
     assert len(done) <= 5 and both(parts) == both(whole)
     assert job(spark, parts, rows, after_each=done.append).count() == 9
+    assert {p.name for p in (tmp_path / "parts").iterdir()} == {"labels", "ledger"}
     labels, ledger = both(whole)
     by_frame = {r[2]: r for r in ledger}
     assert by_frame[8][3:] == ("failed", 0, "no waveforms")
