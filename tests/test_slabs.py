@@ -122,3 +122,15 @@ def test_label_joins_on_buckets_move_nothing(spark, tmp_path):
     assert "Join" in plan and "Exchange" not in plan
     want = {k: (int(k in set(keys[:200])), 2 * (k in set(keys[150:350]))) for k in keys[:300]}
     assert {(r.frame_id, r.x, r.y, r.bin): (r.ann, r.pred) for r in got} == want
+
+
+def test_label_joins_on_buckets_broadcast_nothing(spark, tmp_path):
+    from echograin.operators import points
+    from echograin.sources import bucketed
+
+    found = spark.createDataFrame([(0, 0, 0, b) for b in range(9)], "frame_id int, x int, y int, bin int")
+    tables = [bucketed.write_bucketed(rows, str(tmp_path / name), 4) for name, rows in (("p", found), ("a", found.withColumn("label", F.lit(1))), ("b", found.where("bin < 3").withColumn("label", F.lit(2))))]
+    rows = points.labelled(points.labelled(tables[0], tables[1], "ann"), tables[2], "pred")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+    assert {r.bin: (r.ann, r.pred) for r in rows.collect()} == {b: (1, 2 * (b < 3)) for b in range(9)}
