@@ -23,6 +23,10 @@ from . import volumes
 
 #: Bytes of a slab, about.
 SLAB_BYTES = 64 << 20
+#: Tasks from which on neighbouring slabs share one, until it has SLAB_BYTES.
+TASKS = 1 << 10
+#: Bytes that a slab counts at least.
+LEAST_BYTES = 1 << 12
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -32,15 +36,22 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-class Slab(InputPartition):
-    def __init__(self, path: str, given: str, number: int, count: int):
-        self.path, self.given, self.number, self.count = path, given, number, count
+class Slab:
+    def __init__(self, path: str, given: str, number: int, count: int, size: int):
+        self.path, self.given, self.number, self.count, self.size = path, given, number, count, size
+
+
+class Slabs(InputPartition):
+    """Slabs that one task reads."""
+
+    def __init__(self, slabs: list[Slab]):
+        self.slabs = slabs
 
 
 class NpyVolumes(DataSource):
     """spark.read.format("npy_volumes").load(path): path, x, y, hist, error like volumes.unpack(), of all .npy volumes (x, y, bin) of whole numbers at or below path.
 
-    Options: offset (bins left out at the front), slabBytes, and files, a JSON list of the files to read instead of a path. The driver lists names and sizes only; each task reads an array's header and then
+    Options: offset (bins left out at the front), slabBytes (over TASKS slabs share tasks), and files, a JSON list of the files to read instead of a path. The driver lists names and sizes only; each task reads an array's header and then
     its own pixels' bytes, in steps of some thousand pixels. A file that is no such volume, or that ends early, is one row
     with the error. Files are not changed while they are read.
     """
@@ -72,12 +83,22 @@ class SlabReader(DataSourceReader):
             found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
             for f in sorted((f for f in found if f.is_file and f.path.endswith(".npy")), key=lambda f: f.path):
                 count = max(1, math.ceil(f.size / self.slab))
-                slabs += [Slab(f.path, given, k, count) for k in range(count)]
-        return slabs or [Slab("", "", 0, 0)]
-
-    def read(self, slab: Slab) -> Iterator[pa.RecordBatch]:
-        if not slab.count:
-            return
+                slabs += [Slab(f.path, given, k, count, max(LEAST_BYTES, f.size // count)) for k in range(count)]
+        share = min(SLAB_BYTES, sum(s.size for s in slabs) / TASKS) if len(slabs) > TASKS else 0
+        parts, held = [Slabs([])], 0
+        for slab in slabs:
+            if held and held + slab.size > share:
+                parts.append(Slabs([]))
+                held = 0
+            parts[-1].slabs.append(slab)
+            held += slab.size
+        return parts
+
+    def read(self, part: Slabs) -> Iterator[pa.RecordBatch]:
+        for slab in part.slabs:
+            yield from self._slab(slab)
+
+    def _slab(self, slab: Slab) -> Iterator[pa.RecordBatch]:
         try:
             with _store(slab.given)[0].open_input_file(slab.path) as file:
                 yield from self._pixels(slab, file)

@@ -55,6 +55,17 @@ def test_a_full_frame_is_read_by_many_tasks(spark, tmp_path):
     assert len(sums) == 8 and sum(r.n for r in sums) == 400 * 512 and all(r.off == 0 for r in sums) and max(r.n for r in sums) < 26_000
 
 
+def test_many_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    for n in range(60):
+        np.save(tmp_path / f"{n}.npy", np.full((4, 4, 64), n, np.int64))
+    want = rows_of(npy.read_slabs(spark, str(tmp_path), 60, 2_000))
+    monkeypatch.setattr(npy, "TASKS", 16)
+    parts = npy.SlabReader({"path": str(tmp_path), "slabBytes": "2000"}).partitions()
+    assert len(parts) <= 20 and sum(len(p.slabs) for p in parts) == 300
+    rows = npy.read_slabs(spark, str(tmp_path), 60, 2_000)
+    assert rows_of(rows) == want and len(want) == 60 * 16
+
+
 def test_empty_and_missing_folders(spark, tmp_path):
     assert npy.read_slabs(spark, str(tmp_path)).count() == 0
     with pytest.raises(Exception, match="missing"):
