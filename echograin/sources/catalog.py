@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +76,16 @@ def resolve_predictions(predictions: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def written_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """scene_id, hist_id, frame_id and prediction_path (a folder) of each frame that volumes.write_predictions() has written below path. Names only are read."""
-    folders = list_files(spark, [path], "*.parquet", True).select(F.regexp_replace("path", "/[^/]*$", "").alias("prediction_path")).distinct()
-    part = lambda name: F.url_decode(F.replace(F.regexp_extract("prediction_path", f"/{name}=([^/]*)", 1), F.lit("+"), F.lit("%2B")))
-    return folders.select(*[part(n).alias(n) for n in ("scene_id", "hist_id", "frame_id")], "prediction_path").where("frame_id <> ''")
+    """scene_id, hist_id, frame_id and prediction_path (a folder) of each frame that volumes.write_predictions() has written below path. Of the files' columns only frame_id is read."""
+    try:
+        kind = spark.read.parquet(path).schema["frame_id"].dataType.simpleString()
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.createDataFrame([], "scene_id string, hist_id string, frame_id string, prediction_path string")
+    rows = spark.read.schema(f"frame_id {kind}, scene_id string, hist_id string").parquet(path)
+    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("prediction_path")
+    return rows.select("scene_id", "hist_id", F.col("frame_id").cast("string").alias("frame_id"), folder).distinct()
 
 
 def resolve_written(predictions: DataFrame, frames: DataFrame) -> DataFrame:

@@ -89,6 +89,20 @@ def test_odd_names_of_written_predictions(spark, tmp_path):
     assert {r.frame_id: (r.path, r.status) for r in catalog.resolve_written(found, frames).collect()} == {"plain": ("/d/x", "ok"), "a+b%c:d": (None, "no source")}
 
 
+def test_files_of_predictions_do_not_grow_with_frames(spark, tmp_path):
+    def rows(frames, label):
+        return spark.createDataFrame([("01", "h", str(n), b, 0, 0, label) for n in frames for b in range(2)], "scene_id string, hist_id string, frame_id string, x int, y int, bin int, label int")
+
+    path = str(tmp_path / "p")
+    volumes.write_predictions(rows(range(200), 1), path)
+    volumes.write_predictions(rows(range(150, 300), 2), path)
+    assert len(list((tmp_path / "p").rglob("*.parquet"))) <= volumes.PARTS
+    got = sorted((int(r.frame_id), r.x, r.label) for r in spark.read.parquet(path).collect())
+    assert got == [(n, b, 1 + (n >= 150)) for n in range(300) for b in range(2)]
+    found = catalog.written_predictions(spark, path).collect()
+    assert sorted(int(r.frame_id) for r in found) == list(range(300)) and {r.scene_id for r in found} == {"01"}
+
+
 def test_table_function(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = spark.createDataFrame([(n, x, 0, rng.integers(0, 30, 40).tolist()) for n in range(3) for x in range(20)] + [(9, 0, 0, None), (9, 1, 0, []), (9, 2, 0, [4, 4])], WAVES)
