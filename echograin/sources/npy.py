@@ -24,7 +24,7 @@ from . import volumes
 #: Bytes of a slab, about.
 SLAB_BYTES = 64 << 20
 #: Tasks from which on neighbouring slabs share one, until it has SLAB_BYTES.
-TASKS = 1 << 10
+TASKS = 1 << 8
 #: Bytes that a slab counts at least.
 LEAST_BYTES = 1 << 12
 
