@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echograin.llm import exact_dedup, langid, packing, shared, simhash, toxicity
+from echograin.llm import exact_dedup, langid, near_copies, packing, shared, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,8 +37,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 of their five-word shingles, the one with the smallest id."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """Of documents linked by a similarity of 0.8 of their five-word shingles, the one with the smallest id: SimHash and ball hashing, pairs verified, MinHash for those beyond the balls."""
+    return near_copies.one_of_each(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

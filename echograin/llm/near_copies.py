@@ -1,15 +1,18 @@
 """Near copies by resemblance: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-This is the SimHash operator's mode for a similarity on shingles. At a similarity of 0.8 two SimHash fingerprints differ in 9.7 of
-64 bits on average and in 16 and more in the tail; a ball of half that radius has 5 * 10**9 words, so ball hashing cannot find such pairs.
-Candidates come from MinHash instead: BANDS words of ROWS minima each, of which two texts of similarity s share one with
-probability 1 - (1 - s**ROWS)**BANDS (0.99995 at 0.8). Colliding pairs are verified on their shingles, so no text below MIN_SIMILARITY is linked.
+This is the SimHash operator's mode for a similarity on shingles. Each text has the SimHash fingerprint of its five-word shingles;
+fingerprints whose balls meet (see simhash) are candidates, verified on their shingles, and what passes is linked.
+
+At a similarity of 0.8 two fingerprints differ in 9.7 of 64 bits on average and in 16 and more in the tail; a ball of half that radius
+has 5 * 10**9 words, so ball hashing finds the closer pairs only. Those that it cannot reach come from MinHash: BANDS words of ROWS minima
+each, of which two texts of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS (0.99995 at 0.8). All
+candidates are verified on their shingles, so no text below MIN_SIMILARITY is linked.
 
 Texts that share a word are paired where they are few. Where they are many, they are taken in overlapping parts in the
 order of their sketches, and each is paired with the members of largest estimated similarity and along a maximum spanning forest
 of the estimates: two texts of similarity s are connected in it by steps of at least s, but for the estimate's error, and pairs grow with the members
 only. Each is paired with the part's leader, too, the member that most others are like. First one pair of each text is verified, that
-with a leader before others, then the pairs between texts that are not connected yet.
+with a leader before those of SimHash's radius before others, then the pairs, of the ball and of MinHash, between texts that are not connected yet.
 
 What the estimates miss in a crowd is made good exactly: where the members of a crowded word are still in several
 groups, all of them that can reach the similarity at all are compared on their shingles, block by block, but for pairs inside the crowd's
@@ -28,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, shared
+from . import components, shared, simhash
 
 SEED = 42
 WIDTH = 5
 MIN_SIMILARITY = 0.8
+#: Bits in which fingerprints whose balls meet may differ for a pair to be verified: 9.7 expected at 0.8, 6.6 at 0.9.
+REACH = 12
 BANDS, ROWS = 25, 5
 #: Permutations; a sketch has two bits of each minimum.
 HASHES = 128
@@ -59,12 +64,7 @@ _EVEN = np.uint64(0x5555555555555555)
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; of all words where they are fewer; none of a text without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = [digest(join(s), SEED) for s in zip(*(words[k:] for k in range(width)), strict=False)] or [digest(join(words), SEED)]
-    return np.unique(np.array(hashes, np.uint64))
+    return np.unique(simhash.shingle_hashes(text, width))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -96,25 +96,45 @@ def alike(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _hash (SHA-256 of the text's words, which tells equal texts), _words (one per band; none without shingles) and _sketch."""
+    """docs with _hash (SHA-256 of the text's words, which tells equal texts), _words (one per band; none without shingles), _sketch and _fp (SimHash of the shingles, repeats included)."""
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, words, sketches = [], [], []
+            hashes, words, sketches, prints = [], [], [], []
             for text in batch.column(at):
                 plain = text.as_py()
-                found = shingles(plain)
+                every = simhash.shingle_hashes(plain, WIDTH)
+                found = np.unique(every)
                 least = minima(found)
                 hashes.append(hashlib.sha256(b" ".join((plain or "").encode().lower().split())).digest())
                 words.append(np.array([xxhash.xxh64_intdigest(least[k * ROWS : k * ROWS + ROWS].tobytes(), k) for k in range(BANDS)] if len(found) else [], np.uint64).view(np.int64))
                 sketches.append(sketch(least))
-            arrays = [pa.array(hashes, pa.binary()), pa.array(words, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*names, "_hash", "_words", "_sketch"])
+                prints.append(simhash.majority(every))
+            arrays = [pa.array(hashes, pa.binary()), pa.array(words, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*names, "_hash", "_words", "_sketch", "_fp"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, _hash binary, _words array<long>, _sketch binary")
+    return docs.mapInArrow(run, f"{schema}, _hash binary, _words array<long>, _sketch binary, _fp long")
+
+
+def _close(nodes: DataFrame) -> DataFrame:
+    """a, b, bits: pairs of nodes to verify whose fingerprints are near, by ball hashing, and the bits in which these differ. A fingerprint's first node stands for it; nodes of one fingerprint are all paired where they are few, else each with the first."""
+    some = nodes.where(F.size("words") > 0).select("fp", "node")
+    prints = shared.written(some.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "near-prints")
+    pairs = shared.written(simhash.links(prints, reach=REACH), "near-balls")
+    for end in ("a", "b"):
+        ends = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).join(prints.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end)
+        pairs = shared.join_groups(pairs, shared.written(ends, "near-ends"), [end], "n", "inner")
+    several = prints.where("n > 1").withColumn("many", F.col("n") > ALL_PAIRS)
+    same = shared.written(shared.join_groups(some, several, ["fp"], "n", "inner"), "near-same")
+    few = same.where("NOT many").select("fp", F.col("node").alias("a"))
+    few = few.join(few.select("fp", F.col("a").alias("b")), "fp").where("a < b").select("a", "b", F.lit(0).alias("bits"))
+    many = same.where("many AND node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(0).alias("bits"))
+    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits")
+    both = pairs.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"), bits).where(F.col("bits") <= REACH)
+    return shared.written(both.unionByName(few).unionByName(many), "near-close")
 
 
 def _placed(nodes: DataFrame) -> DataFrame:
@@ -271,15 +291,10 @@ def _members(column: pa.ListArray) -> list[np.ndarray]:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose shingles have MIN_SIMILARITY. Pairs of one text are dealt to tasks of TASK_PAIRS."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similarity(x, y) >= MIN_SIMILARITY for x, y in zip(_members(batch.column(2)), _members(batch.column(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
     for side in ("a", "b"):
         pairs = shared.join_groups(pairs, sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}"), "n"), [side], "n", "inner", most_rows=TASK_PAIRS, small=False)
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.where(both / (F.size("set_a") + F.size("set_b") - both) >= MIN_SIMILARITY).select("a", "b")
 
 
 def _merged(roots: DataFrame, joined: DataFrame) -> DataFrame:
@@ -351,19 +366,23 @@ def _crowd_links(crowds: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFr
 
 def _linked(nodes: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     """node, root of all nodes that a verified pair connects."""
+    close = _close(nodes)
     begun = shared.written(_candidates(_placed(nodes), True), "near-found")
     across = begun.where(F.col("edge") >= 0).select(F.xxhash64("edge", "word").alias("key"), F.col("a").alias("node"), "sketch", "word")
     across = across.select(F.col("word"), "node", "sketch", "key").repartition("key").sortWithinPartitions("word", "sketch").select("word", "node", "sketch")
     more = shared.written(_candidates(across, False), "near-across")
     found = begun.where("edge IS NULL OR edge < 0").unionByName(more)
-    pairs = found.where("b IS NOT NULL").groupBy("a", "b")
-    pairs = shared.written(pairs.agg(F.max("alike").alias("alike"), F.max(F.col("lead") == 1).alias("lead_a"), F.max(F.col("lead") == 2).alias("lead_b")), "near-pairs")
+    pairs = found.where("b IS NOT NULL").select("a", "b", "alike", "lead", F.lit(None).cast("int").alias("bits"))
+    pairs = pairs.unionByName(close.select("a", "b", F.lit(0).cast("long").alias("alike"), F.lit(0).cast("long").alias("lead"), "bits")).groupBy("a", "b")
+    pairs = shared.written(pairs.agg(F.max("alike").alias("alike"), F.max(F.col("lead") == 1).alias("lead_a"), F.max(F.col("lead") == 2).alias("lead_b"), F.min("bits").alias("bits")), "near-pairs")
     crowds = shared.written(found.where("b IS NULL").select("word", F.col("a").alias("node")).distinct(), "near-crowds", begun, more)
     sides = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).alias("one")).unionByName(crowds.select("node", F.lit(0).alias("one"))).groupBy("node").agg(F.sum("one").alias("n"))
     sets = _sets(shared.written(sides.join(nodes.select("node", F.col("row").alias("_row")), "node"), "near-sides"), rows, text_col)
 
     def side(node: str, other: str) -> DataFrame:
-        rank = F.struct((~F.col(f"lead_{other}")).alias("last"), F.when(F.col(f"lead_{other}"), F.col(other)).otherwise(-F.col("alike")).alias("by"), F.col(other).alias("other"))
+        lead, near = F.col(f"lead_{other}"), F.coalesce(F.col("bits") <= simhash.RADIUS, F.lit(False))
+        by = F.when(lead, F.col(other)).when(near, F.col("bits")).otherwise(-F.col("alike"))
+        rank = F.struct(F.when(lead, 0).when(near, 1).otherwise(2).alias("kind"), by.alias("by"), F.col(other).alias("other"))
         return pairs.select(F.col(node).alias("node"), rank.alias("rank"))
 
     best = side("a", "b").unionByName(side("b", "a")).groupBy("node").agg(F.min("rank").alias("rank")).select("node", F.col("rank.other").alias("other"))
@@ -392,7 +411,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text, ident = (f"c{columns.index(c)}" for c in (text_col, id_col))
     with shared.Scope(docs.sparkSession) as scope:
         rows = shared.written(_sketched(plain, text).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-        nodes = rows.groupBy(F.col("_hash").alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("row"), F.min("_words").alias("words"), F.min("_sketch").alias("sketch"))
+        nodes = rows.groupBy(F.col("_hash").alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("row"), F.min("_words").alias("words"), F.min("_sketch").alias("sketch"), F.min("_fp").alias("fp"))
         nodes = shared.written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
         roots = _linked(nodes, rows, text)
         classes = nodes.select("node", "hash", "n").join(roots, "node", "left").where("n > 1 OR root IS NOT NULL")
@@ -403,5 +422,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         gone = shared.join_groups(members, firsts, ["root"], "n", "inner").where(F.col("_row") != F.col("first._row")).select("_row")
         gone = shared.written(gone, "near-gone")
         scope.keep(rows, gone)
-    kept = shared.drop_rows(rows.drop("_hash", "_words", "_sketch"), gone, "_row")
+    kept = shared.drop_rows(rows.drop("_hash", "_words", "_sketch", "_fp"), gone, "_row")
     return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, near_copies, shared
+from . import components, shared
 
 SEED = 42
 WIDTH = 4
@@ -30,20 +30,29 @@ BLOCKS = 3
 MAX_PAIRWISE = 2048
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """64-bit SimHash over word shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; of all words where they are fewer; none of a text without words."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z, and space with \x09-\x0D
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = [digest(join(s), SEED) for s in zip(*(words[k:] for k in range(width)), strict=False)] or [digest(join(words), SEED)]
+    return np.array([digest(join(s), SEED) for s in zip(*(words[k:] for k in range(width)), strict=False)] or [digest(join(words), SEED)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 without hashes."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], "<u8")
+        part = hashes[at : at + (1 << 16)].astype("<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """64-bit SimHash over word shingles, repeats included; 0 for a text without words."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a long)."""
 
@@ -168,6 +177,20 @@ def _edges(rows: DataFrame, radius: int, most: int, star: bool) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, max_pairwise: int = MAX_PAIRWISE, reach: int = 0) -> DataFrame:
+    """a, b: links that connect the fingerprints (column fp, distinct, a written table) at most `radius` bits apart.
+
+    With a larger `reach`, those whose balls meet are linked up to that many bits apart, for a check by the caller.
+    """
+    edges = shared.written(_edges(_variants(fps, radius, blocks), max(radius, reach), max_pairwise, False), "simhash-links")
+    dense = edges.where("a = b").select(F.col("a").alias("fp"))
+    found = edges.where("a <> b")
+    if not dense.isEmpty():
+        crowded = fps.join(dense, "fp", "left_semi")
+        found = found.unionByName(_edges(_variants(crowded, radius, 1), radius, max_pairwise, True))
+    return found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, blocks: int = BLOCKS, max_pairwise: int = MAX_PAIRWISE) -> DataFrame:
     """doc_id, fp, component_id for every row of docs; component_id is the smallest id reachable by links.
 
@@ -182,13 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with shared.Scope(docs.sparkSession) as scope:
         found = shared.written(fingerprints(docs, id_col, text_col, width), "simhash-fps")
         fps = shared.written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
-        edges = shared.written(_edges(_variants(fps, radius, blocks), radius, max_pairwise, False), "simhash-links")
-        dense = edges.where("a = b").select(F.col("a").alias("fp"))
-        links = edges.where("a <> b")
-        if not dense.isEmpty():
-            crowded = fps.join(dense, "fp", "left_semi")
-            links = links.unionByName(_edges(_variants(crowded, radius, 1), radius, max_pairwise, True))
-        roots = components.connected(links).withColumnRenamed("node", "fp")
+        roots = components.connected(links(fps, radius, blocks, max_pairwise)).withColumnRenamed("node", "fp")
         placed = shared.written(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-placed")
         least = shared.written(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "simhash-least")
         classes = shared.join_groups(placed.select("fp", "root", "n"), least, ["root"], "size").select("fp", "component_id", "n")
@@ -197,14 +214,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return shared.join_groups(found, classes, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs of each group of near copies: texts linked by a Jaccard similarity of 0.8 of their five-word shingles.
-
-    Such pairs lie too far apart for a ball of half their distance, so candidates are found by MinHash (see near_copies).
-    """
-    return near_copies.one_of_each(docs, id_col, text_col)
-
-
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """near_duplicates() of the whole documents table; null and repeated rows as defined there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

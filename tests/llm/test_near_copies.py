@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from echograin.llm import near_copies
+from echograin.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -128,3 +128,24 @@ def test_crowds_without_a_largest_group(spark, monkeypatch):
     base = [f"w{k}" for k in range(120)]
     rows = [(k, " ".join(changed(rng, base, rng.choice([1, 2, 4])))) for k in range(200)]
     assert len(kept(spark, rows)) == distinct_groups([near_copies.shingles(t) for _, t in rows])
+
+
+def test_ball_hashing_finds_copies_without_minhash(spark, monkeypatch):
+    """SimHash's own part: pairs within the ball are linked if they are similar, and no others, also where fingerprints are equal."""
+    monkeypatch.setattr(near_copies, "_pairs_of", lambda node, sketches: [])
+    rng = random.Random(21)
+    rows, near, alike = [], set(), set()
+    for k in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        copy = " ".join(changed(rng, words, rng.choice((1, 2, 4, 60))))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, copy)]
+        if jaccard(rows[-2][1], copy) >= 0.8:
+            alike.add(2 * k + 1)
+            bits = simhash.fingerprint(rows[-2][1], near_copies.WIDTH) ^ simhash.fingerprint(copy, near_copies.WIDTH)
+            near |= {2 * k + 1} if bits.bit_count() <= simhash.RADIUS else set()
+    often = "go " * 3000
+    tails = [" ".join(f"{c}{k}" for k in range(100)) for c in "ab"]
+    equal = [(1000, often + tails[0]), (1001, often + tails[0].replace("a50", "x")), (1002, often + tails[1])]
+    assert len({simhash.fingerprint(t, near_copies.WIDTH) for _, t in equal}) == 1 and jaccard(equal[0][1], equal[1][1]) >= 0.8
+    gone = {d for d, _ in rows + equal} - {r[1] for r in kept(spark, rows + equal)}
+    assert len(near) > 20 and near | {1001} <= gone <= alike | {1001}
