@@ -7,6 +7,9 @@ exactly one row stays. Input columns beyond those of documents are left out; an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,18 @@ from echograin.llm import exact_dedup, langid, near_copies, packing, shared, tox
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def set_up(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage with small batches for Python workers in its session; results are computed after the stage returns, so the setting stays."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@set_up
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised."""
     with shared.Scope(spark) as scope:
@@ -25,22 +40,26 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return shared.drop_rows(docs, rejected, row).select(*COLUMNS)
 
 
+@set_up
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under one half; learned from the labelled ones among them, held-out ones excepted."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~toxicity.held_out())
     return toxicity.score_texts(docs, toxicity.learn(docs, labels)).where("score < 0.5").select(*COLUMNS)
 
 
+@set_up
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
     return exact_dedup.drop_duplicates(docs).select(*COLUMNS)
 
 
+@set_up
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 of their five-word shingles, the one with the smallest id: SimHash and ball hashing, pairs verified, MinHash for those beyond the balls."""
     return near_copies.one_of_each(docs.select(*COLUMNS))
 
 
+@set_up
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
     import public_tokenizers

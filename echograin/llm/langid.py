@@ -143,8 +143,8 @@ def _sample(ids: DataFrame, sizes: dict[str, int], most: int) -> DataFrame:
     """
     each = quota(list(sizes.values()), most)
     wanted = each + 6 * math.sqrt(each) + 10
-    limits = [(lang, -1.0 + 2.0 * min(1.0, 1.1 * wanted / n)) for lang, n in sizes.items()]
-    cut = F.broadcast(ids.sparkSession.createDataFrame(limits, "lang string, cut double"))
+    limits = pa.table({"lang": pa.array(list(sizes), pa.string()), "cut": pa.array([-1.0 + 2.0 * min(1.0, 1.1 * wanted / n) for n in sizes.values()], pa.float64())})
+    cut = F.broadcast(ids.sparkSession.createDataFrame(limits))  # an Arrow table: rows would take a second set of Python workers on each executor
     near = ids.join(cut, "lang").where((F.col("cut") >= 1) | (F.col("hash") / F.lit(2.0**63) <= F.col("cut"))).select("id", "lang", "hash").distinct()
     least = ids.groupBy("lang").agg(F.min(F.struct("hash", "id")).alias("s")).select("s.id", "lang", "s.hash")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))

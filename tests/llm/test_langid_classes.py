@@ -55,3 +55,13 @@ def test_two_thousand_languages(spark):
     got = {r.id: (r.lang, round(r.probability, 6), r.accepted) for r in found.collect()}
     want = brute([(k, "p", text, url, host) for k, text, url, host in rows], model)
     assert all(got[k][0] == lang and abs(got[k][1] - p) <= 2e-6 and got[k][2] == a for (k, _), (lang, p, a) in want.items())
+
+
+def test_sampling_takes_no_rows_through_python_workers(spark, monkeypatch):
+    def refused(*args, **named):
+        raise AssertionError("rows from the driver's Python pass a set of Python workers of their own")
+
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(k, spoken(rng, "abcdef" if k % 2 else "uvwxyz"), "en" if k % 2 else "de") for k in range(40)], SCHEMA)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert langid.fit(rows, 10).languages == ["de", "en"]

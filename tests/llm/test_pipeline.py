@@ -3,6 +3,7 @@
 import os
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -86,6 +87,29 @@ def test_run_leaves_only_what_the_result_reads(spark):
     assert left and not any(os.path.exists(p) for p in left)
 
 
+def test_batches_for_python_workers_are_small(spark):
+    """Of whole tables of long texts, with each stage's result still to be computed; a user's own setting stays."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('of the and ', id, ' '), 1000) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        spark.conf.unset(shared.BATCH_SETTING)
+        found = stage(spark, docs, SF)
+        seen = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in seen) == 3000 and max(r.size for r in seen) < 2 * shared.BATCH_BYTES < sum(r.size for r in seen) / 4, name
+        assert found.columns == list(corpus_pipeline.COLUMNS)
+    spark.conf.set(shared.BATCH_SETTING, "1000")
+    for name, stage in corpus_pipeline.STAGES:
+        found = shared.written(stage(spark, spark.read.parquet(f"{SF}/documents.parquet") if name == "language_id" else found, SF), name)
+        assert spark.conf.get(shared.BATCH_SETTING) == "1000"
+    small = sorted(map(tuple, found.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    spark.conf.unset(shared.BATCH_SETTING)
+    assert small == sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
